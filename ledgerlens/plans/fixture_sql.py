@@ -1,0 +1,88 @@
+"""Derived views over the driver tables (oracle side, DuckDB SQL).
+
+Each constant is one ``name AS (...)`` common table expression mirroring the rule
+of the same name in :mod:`ledgerlens.plans.fixtures`.
+"""
+from __future__ import annotations
+
+from .fixtures import LEGACY_JUDGE_ERROR
+
+ATTEMPTS = f"""attempts AS (
+  SELECT
+    'run' || CAST(event_id % 4 AS VARCHAR) AS run_id,
+    'p' || CAST(user_id AS VARCHAR) AS problem_key,
+    event_id AS seq,
+    'q' || CAST(user_id AS VARCHAR) AS question,
+    CAST(user_id % 10 AS VARCHAR) AS ground_truth,
+    CASE WHEN event_id % 11 = 0 THEN '' ELSE 'r' || CAST(event_id AS VARCHAR) END AS model_response,
+    event_type = 'purchase' AS correct,
+    CAST(10 + k AS BIGINT) AS prompt_tokens,
+    CAST(event_id % 500 AS BIGINT) AS answer_tokens,
+    CAST(k * 37 AS BIGINT) AS reasoning_tokens,
+    CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 500 + k * 37 END AS BIGINT) AS output_tokens,
+    CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 10 + k + event_id % 500 + k * 37 END AS BIGINT) AS total_tokens,
+    value AS latency,
+    CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'HTTP 500'
+         WHEN event_type = 'error' THEN '{LEGACY_JUDGE_ERROR}'
+         WHEN event_id % 13 = 0 THEN ''
+         ELSE NULL END AS error,
+    CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'judge timeout' END AS evaluator_error,
+    CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'error' ELSE 'answer_block' END AS extraction_method,
+    CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'error' ELSE 'stop' END AS finish_reason
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+)"""
+
+# P15 fill + P14 legacy migration over F1.
+FIXED = """fixed AS (
+  SELECT * REPLACE (
+      CASE WHEN legacy THEN NULL ELSE error END AS error,
+      CASE WHEN legacy THEN error ELSE evaluator_error END AS evaluator_error)
+  FROM (
+    SELECT * REPLACE (
+        CASE WHEN output_tokens = 0 THEN reasoning_tokens + answer_tokens ELSE output_tokens END AS output_tokens,
+        CASE WHEN total_tokens = 0 THEN prompt_tokens + answer_tokens + reasoning_tokens ELSE total_tokens END AS total_tokens),
+      (coalesce(length(error), 0) > 0 AND coalesce(length(evaluator_error), 0) = 0
+       AND coalesce(length(model_response), 0) > 0
+       AND NOT coalesce(extraction_method IN ('error', 'exception'), false)) AS legacy
+    FROM attempts)
+)"""
+
+# A1 (latest row per key, first-seen position) + P17 outcome.
+LATEST = """latest AS (
+  SELECT *,
+    CASE WHEN coalesce(length(error), 0) = 0 AND coalesce(length(evaluator_error), 0) = 0 THEN 'completed'
+         WHEN coalesce(length(evaluator_error), 0) > 0 AND coalesce(length(error), 0) = 0
+              AND coalesce(length(model_response), 0) > 0 THEN 'rejudge'
+         ELSE 'regenerate' END AS outcome
+  FROM (
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY run_id, problem_key ORDER BY seq DESC) AS rn,
+             min(seq) OVER (PARTITION BY run_id, problem_key) AS first_seq
+      FROM fixed) WHERE rn = 1)
+)"""
+
+RUN_PROBLEMS = """run_problems AS (
+  SELECT 'run' || CAST(c_custkey % 4 AS VARCHAR) AS run_id,
+         'p' || CAST(c_custkey AS VARCHAR) AS problem_key,
+         c_name AS problem, c_mktsegment AS answer
+  FROM customer
+)"""
+
+SUMMARY_SELECT = """
+    count(*)::BIGINT AS total_problems,
+    count_if(coalesce(correct, false))::BIGINT AS correct_count,
+    round(coalesce(count_if(coalesce(correct, false)) / count(*) * 100.0, 0.0), 6) AS accuracy,
+    coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens,
+    coalesce(sum(prompt_tokens), 0)::BIGINT AS total_prompt_tokens,
+    coalesce(sum(answer_tokens), 0)::BIGINT AS total_answer_tokens,
+    coalesce(sum(reasoning_tokens), 0)::BIGINT AS total_reasoning_tokens,
+    coalesce(sum(output_tokens), 0)::BIGINT AS total_output_tokens,
+    round(coalesce(sum(total_tokens) / count(*), 0.0), 6) AS avg_tokens_per_problem,
+    round(coalesce(sum(latency) / count(*), 0.0), 6) AS avg_latency,
+    count_if(coalesce(length(error), 0) > 0 OR coalesce(length(evaluator_error), 0) > 0)::BIGINT AS error_count,
+    round(coalesce(count_if(coalesce(correct, false)) / count(*) * 100.0, 0.0)
+          - 10.0 * ln(coalesce(sum(total_tokens) / count(*), 0.0) / 10000.0 + 1.0), 9) AS ock_score"""
+
+
+def with_ctes(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"

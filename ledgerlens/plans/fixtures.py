@@ -1,0 +1,66 @@
+"""Derived views over the driver tables (Spark side).
+
+Each view is defined by a rule over a driver table so its size grows with the
+data; the identical rule in SQL lives in :mod:`ledgerlens.plans.fixture_sql` and
+feeds the DuckDB oracle.  All arithmetic is on non-negative integers.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+
+
+def _s(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+# The legacy judge failure text stored in ``error`` by old ledgers.
+LEGACY_JUDGE_ERROR = "judge: no JSON object in response"
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the attempt ledger, one attempt per event."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k BIGINT")["k"])
+    eid = F.col("event_id")
+    et = F.col("event_type")
+    k = F.col("k")
+    http = (et == "error") & (eid % 3 != 0)
+    error = (F.when(http, F.lit("HTTP 500"))
+             .when(et == "error", F.lit(LEGACY_JUDGE_ERROR))
+             .when(eid % 13 == 0, F.lit(""))
+             .otherwise(F.lit(None).cast("string")))
+    prompt = F.lit(10) + k
+    answer = eid % 500
+    reasoning = k * 37
+    return e.select(
+        F.concat(F.lit("run"), _s(eid % 4)).alias("run_id"),
+        F.concat(F.lit("p"), _s("user_id")).alias("problem_key"),
+        eid.alias("seq"),
+        F.concat(F.lit("q"), _s("user_id")).alias("question"),
+        _s(F.col("user_id") % 10).alias("ground_truth"),
+        F.when(eid % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), _s(eid))).alias("model_response"),
+        (et == "purchase").alias("correct"),
+        prompt.cast("bigint").alias("prompt_tokens"),
+        answer.cast("bigint").alias("answer_tokens"),
+        reasoning.cast("bigint").alias("reasoning_tokens"),
+        F.when(eid % 5 == 0, F.lit(0)).otherwise(answer + reasoning).cast("bigint").alias("output_tokens"),
+        F.when(eid % 7 == 0, F.lit(0)).otherwise(prompt + answer + reasoning).cast("bigint").alias("total_tokens"),
+        F.col("value").alias("latency"),
+        error.alias("error"),
+        F.when((et == "signup") & (eid % 2 == 0), F.lit("judge timeout")).alias("evaluator_error"),
+        F.when(http, F.lit("error")).otherwise(F.lit("answer_block")).alias("extraction_method"),
+        F.when(http, F.lit("error")).otherwise(F.lit("stop")).alias("finish_reason"),
+    )
+
+
+def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem set per run for resume planning: every customer is one problem of one run."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.concat(F.lit("run"), _s(F.col("c_custkey") % 4)).alias("run_id"),
+        F.concat(F.lit("p"), _s("c_custkey")).alias("problem_key"),
+        F.col("c_name").alias("problem"),
+        F.col("c_mktsegment").alias("answer"),
+    )
