@@ -86,3 +86,135 @@ SUMMARY_SELECT = """
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+USAGE_PAYLOADS = """usage_payloads AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE l_linenumber % 4 WHEN 0 THEN 'chat_completion' WHEN 1 THEN 'openai-responses'
+                          WHEN 2 THEN 'gemini' ELSE 'anthropic' END AS provider,
+    CASE l_linenumber % 4
+      WHEN 0 THEN '{"prompt_tokens": ' || p || ', "completion_tokens": ' || c || ', "total_tokens": ' || t
+                  || CASE WHEN has_r THEN ', "completion_tokens_details": {"reasoning_tokens": ' || r || '}' ELSE '' END || '}'
+      WHEN 1 THEN CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE
+                  '{"input_tokens": ' || p || ', "output_tokens": ' || c || ', "total_tokens": ' || t
+                  || CASE WHEN has_r THEN ', "output_tokens_details": {"reasoning_tokens": ' || r || '}' ELSE '' END || '}' END
+      WHEN 2 THEN CASE l_orderkey % 3
+          WHEN 0 THEN '{"prompt_token_count": ' || p || ', "candidates_token_count": ' || c || ', "total_token_count": ' || t
+                      || CASE WHEN has_r THEN ', "thoughts_token_count": ' || r ELSE '' END || '}'
+          WHEN 1 THEN '{"prompt_token_count": 0, "prompt_tokens": ' || p || ', "completion_tokens": ' || c
+                      || ', "total_tokens": ' || t || '}'
+          ELSE '{"input_tokens": ' || p || ', "output_tokens": ' || c
+               || CASE WHEN has_r THEN ', "thoughts_token_count": ' || r ELSE '' END || '}' END
+      ELSE '{"input_tokens": ' || p || ', "output_tokens": ' || c
+           || CASE WHEN has_r THEN ', "output_tokens_details": {"thinking_tokens": ' || r || '}' ELSE '' END
+           || CASE WHEN cache THEN ', "cache_creation_input_tokens": ' || cc || ', "cache_read_input_tokens": ' || (l_suppkey % 40)
+                   || ', "cache_creation": {"ephemeral_5m_input_tokens": ' || c5 || ', "ephemeral_1h_input_tokens": ' || (cc - c5) || '}'
+                   ELSE '' END || '}'
+    END AS usage,
+    CASE WHEN l_orderkey % 9 = 0 THEN '' ELSE repeat('x', CAST(l_linenumber * 5 AS INTEGER)) END AS final_text
+  FROM (
+    SELECT *, l_partkey % 97 AS p, CAST(l_quantity AS BIGINT) AS c, l_suppkey % 60 AS r,
+      CASE l_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN l_partkey % 97 + CAST(l_quantity AS BIGINT)
+           WHEN 2 THEN l_partkey % 97 + CAST(l_quantity AS BIGINT) + (l_orderkey % 7) * 11 + 1
+           ELSE l_partkey % 97 END AS t,
+      (l_orderkey + l_linenumber) % 3 <> 0 AS has_r,
+      (l_orderkey * 7 + l_linenumber) % 10 = 0 AS cache,
+      l_partkey % 50 AS cc, CAST(floor((l_partkey % 50) / 2) AS BIGINT) AS c5
+    FROM lineitem)
+)"""
+
+# N1-N9 over F4 in SQL: parsed fields → per-provider rules → fill.
+USAGE_NORM = """usage_fields AS (
+  SELECT l_orderkey, l_linenumber, provider, usage, final_text,
+    CAST(json_extract(usage, '$.prompt_tokens') AS BIGINT) AS j_prompt_tokens,
+    CAST(json_extract(usage, '$.completion_tokens') AS BIGINT) AS j_completion_tokens,
+    CAST(json_extract(usage, '$.total_tokens') AS BIGINT) AS j_total_tokens,
+    CAST(json_extract(usage, '$.completion_tokens_details.reasoning_tokens') AS BIGINT) AS j_ctd_reasoning,
+    CAST(json_extract(usage, '$.input_tokens') AS BIGINT) AS j_input_tokens,
+    CAST(json_extract(usage, '$.output_tokens') AS BIGINT) AS j_output_tokens,
+    CAST(json_extract(usage, '$.output_tokens_details.reasoning_tokens') AS BIGINT) AS j_otd_reasoning,
+    CAST(json_extract(usage, '$.output_tokens_details.thinking_tokens') AS BIGINT) AS j_otd_thinking,
+    CAST(json_extract(usage, '$.prompt_token_count') AS BIGINT) AS j_prompt_token_count,
+    CAST(json_extract(usage, '$.candidates_token_count') AS BIGINT) AS j_candidates_token_count,
+    CAST(json_extract(usage, '$.total_token_count') AS BIGINT) AS j_total_token_count,
+    CAST(json_extract(usage, '$.thoughts_token_count') AS BIGINT) AS j_thoughts_token_count,
+    CAST(json_extract(usage, '$.cache_creation_input_tokens') AS BIGINT) AS j_cache_creation,
+    CAST(json_extract(usage, '$.cache_read_input_tokens') AS BIGINT) AS j_cache_read,
+    CAST(json_extract(usage, '$.cache_creation.ephemeral_5m_input_tokens') AS BIGINT) AS j_c5m,
+    CAST(json_extract(usage, '$.cache_creation.ephemeral_1h_input_tokens') AS BIGINT) AS j_c1h,
+    CASE WHEN coalesce(length(final_text), 0) = 0 THEN 0
+         ELSE greatest(1, CAST(ceil(length(final_text) / 4.0) AS BIGINT)) END AS vis,
+    CAST(floor(floor(coalesce(length(final_text), 0) / 4) * 1.7::DOUBLE) AS BIGINT) AS counted
+  FROM usage_payloads
+),
+split_in AS (
+  SELECT *,
+    CASE WHEN provider = 'chat_completion' THEN coalesce(j_prompt_tokens, 0) ELSE coalesce(j_input_tokens, 0) END AS sp,
+    CASE WHEN provider = 'chat_completion' THEN coalesce(j_completion_tokens, 0) ELSE coalesce(j_output_tokens, 0) END AS sc,
+    coalesce(j_total_tokens, 0) AS st,
+    CASE WHEN provider = 'chat_completion' THEN coalesce(j_ctd_reasoning, 0) ELSE coalesce(j_otd_reasoning, 0) END AS sr
+  FROM usage_fields
+),
+split_fold AS (
+  SELECT *, sc + greatest(st - sp - sc, 0) AS so, sr + greatest(st - sp - sc, 0) AS sr1,
+         greatest(st - sp - sc, 0) AS sun
+  FROM split_in
+),
+split_norm AS (
+  SELECT l_orderkey, l_linenumber, provider, sp AS prompt_tokens,
+    CASE WHEN greatest(sr1, 0) <= greatest(so, 0) THEN greatest(so, 0) - greatest(sr1, 0)
+         ELSE least(vis, greatest(so, 0)) END AS answer_tokens,
+    CASE WHEN greatest(sr1, 0) <= greatest(so, 0) THEN greatest(sr1, 0)
+         ELSE greatest(so, 0) - least(vis, greatest(so, 0)) END AS reasoning_tokens,
+    so AS output_tokens, st AS total_tokens,
+    NOT (greatest(sr1, 0) <= greatest(so, 0)) AS answer_tokens_estimated,
+    sun AS unattributed_tokens
+  FROM split_fold WHERE provider IN ('chat_completion', 'openai-responses')
+),
+gen_in AS (
+  SELECT *,
+    coalesce(nullif(j_prompt_token_count, 0), nullif(j_prompt_tokens, 0), nullif(j_input_tokens, 0), 0) AS gp,
+    coalesce(nullif(j_candidates_token_count, 0), nullif(j_completion_tokens, 0), nullif(j_output_tokens, 0), 0) AS ga,
+    coalesce(j_thoughts_token_count, 0) AS gr,
+    coalesce(nullif(j_total_token_count, 0), nullif(j_total_tokens, 0), 0) AS grep
+  FROM usage_fields WHERE provider = 'gemini'
+),
+gen_tot AS (
+  SELECT *, CASE WHEN grep = 0 THEN gp + ga + gr ELSE grep END AS gt FROM gen_in
+),
+gen_norm AS (
+  SELECT l_orderkey, l_linenumber, provider, gp AS prompt_tokens, ga AS answer_tokens,
+    gr + greatest(gt - gp - (gr + ga), 0) AS reasoning_tokens,
+    gr + ga + greatest(gt - gp - (gr + ga), 0) AS output_tokens,
+    gt AS total_tokens, false AS answer_tokens_estimated,
+    greatest(gt - gp - (gr + ga), 0) AS unattributed_tokens
+  FROM gen_tot
+),
+msg_in AS (
+  SELECT *, coalesce(j_input_tokens, 0) AS mp, coalesce(j_output_tokens, 0) AS mo, j_otd_thinking AS th,
+    (j_otd_thinking IS NOT NULL AND j_otd_thinking >= 0 AND j_otd_thinking <= coalesce(j_output_tokens, 0)) AS exact,
+    coalesce(length(final_text) > 0, false) AS has_text
+  FROM usage_fields WHERE provider = 'anthropic'
+),
+msg_ans AS (
+  SELECT *, CASE WHEN exact THEN mo - th WHEN has_text THEN least(counted, mo) ELSE 0 END AS ma,
+    CASE WHEN exact THEN false WHEN has_text THEN true ELSE false END AS mest
+  FROM msg_in
+),
+msg_norm AS (
+  SELECT l_orderkey, l_linenumber, provider, mp AS prompt_tokens, ma AS answer_tokens,
+    greatest(mo - ma, 0) AS reasoning_tokens, mo AS output_tokens, mp + mo AS total_tokens,
+    mest AS answer_tokens_estimated, 0 AS unattributed_tokens
+  FROM msg_ans
+),
+usage_raw AS (
+  SELECT * FROM split_norm UNION ALL SELECT * FROM gen_norm UNION ALL SELECT * FROM msg_norm
+),
+usage_norm AS (
+  SELECT l_orderkey, l_linenumber, provider,
+    CAST(prompt_tokens AS BIGINT) AS prompt_tokens, CAST(answer_tokens AS BIGINT) AS answer_tokens,
+    CAST(reasoning_tokens AS BIGINT) AS reasoning_tokens,
+    CAST(CASE WHEN output_tokens = 0 THEN reasoning_tokens + answer_tokens ELSE output_tokens END AS BIGINT) AS output_tokens,
+    CAST(CASE WHEN total_tokens = 0 THEN prompt_tokens + answer_tokens + reasoning_tokens ELSE total_tokens END AS BIGINT) AS total_tokens,
+    answer_tokens_estimated, CAST(unattributed_tokens AS BIGINT) AS unattributed_tokens
+  FROM usage_raw
+)"""

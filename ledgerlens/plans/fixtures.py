@@ -64,3 +64,60 @@ def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("problem"),
         F.col("c_mktsegment").alias("answer"),
     )
+
+
+def _json_int(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}": '), _s(value))
+
+
+def usage_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one provider usage payload per line item (four JSON shapes, absent fields common)."""
+    li = table(spark, sf_dir, "lineitem")
+    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    p = F.col("l_partkey") % 97
+    c = F.col("l_quantity").cast("bigint")
+    r = F.col("l_suppkey") % 60
+    t = (F.when(ok % 4 == 0, F.lit(0).cast("bigint")).when(ok % 4 == 1, p + c)
+         .when(ok % 4 == 2, p + c + (ok % 7) * 11 + 1).otherwise(p))
+    has_r = (ok + ln) % 3 != 0
+    cache = (ok * 7 + ln) % 10 == 0
+    cc = F.col("l_partkey") % 50
+    c5 = F.floor(cc / 2).cast("bigint")
+
+    def opt(cond, piece):
+        return F.when(cond, piece).otherwise(F.lit(""))
+
+    chat = F.concat(F.lit("{"), _json_int("prompt_tokens", p), F.lit(", "), _json_int("completion_tokens", c),
+                    F.lit(", "), _json_int("total_tokens", t),
+                    opt(has_r, F.concat(F.lit(', "completion_tokens_details": {'),
+                                        _json_int("reasoning_tokens", r), F.lit("}"))), F.lit("}"))
+    resp = F.when(ok % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(
+        F.lit("{"), _json_int("input_tokens", p), F.lit(", "), _json_int("output_tokens", c),
+        F.lit(", "), _json_int("total_tokens", t),
+        opt(has_r, F.concat(F.lit(', "output_tokens_details": {'), _json_int("reasoning_tokens", r), F.lit("}"))),
+        F.lit("}")))
+    gem = (F.when(ok % 3 == 0, F.concat(
+        F.lit("{"), _json_int("prompt_token_count", p), F.lit(", "), _json_int("candidates_token_count", c),
+        F.lit(", "), _json_int("total_token_count", t),
+        opt(has_r, F.concat(F.lit(", "), _json_int("thoughts_token_count", r))), F.lit("}")))
+        .when(ok % 3 == 1, F.concat(
+            F.lit('{"prompt_token_count": 0, '), _json_int("prompt_tokens", p), F.lit(", "),
+            _json_int("completion_tokens", c), F.lit(", "), _json_int("total_tokens", t), F.lit("}")))
+        .otherwise(F.concat(
+            F.lit("{"), _json_int("input_tokens", p), F.lit(", "), _json_int("output_tokens", c),
+            opt(has_r, F.concat(F.lit(", "), _json_int("thoughts_token_count", r))), F.lit("}"))))
+    msg = F.concat(
+        F.lit("{"), _json_int("input_tokens", p), F.lit(", "), _json_int("output_tokens", c),
+        opt(has_r, F.concat(F.lit(', "output_tokens_details": {'), _json_int("thinking_tokens", r), F.lit("}"))),
+        opt(cache, F.concat(F.lit(", "), _json_int("cache_creation_input_tokens", cc), F.lit(", "),
+                            _json_int("cache_read_input_tokens", F.col("l_suppkey") % 40),
+                            F.lit(', "cache_creation": {'), _json_int("ephemeral_5m_input_tokens", c5),
+                            F.lit(", "), _json_int("ephemeral_1h_input_tokens", cc - c5), F.lit("}"))),
+        F.lit("}"))
+    m = ln % 4
+    provider = (F.when(m == 0, F.lit("chat_completion")).when(m == 1, F.lit("openai-responses"))
+                .when(m == 2, F.lit("gemini")).otherwise(F.lit("anthropic")))
+    usage = F.when(m == 0, chat).when(m == 1, resp).when(m == 2, gem).otherwise(msg)
+    text = F.when(ok % 9 == 0, F.lit("")).otherwise(F.repeat(F.lit("x"), (ln * 5).cast("int")))
+    return li.select(ok.alias("l_orderkey"), ln.alias("l_linenumber"), provider.alias("provider"),
+                     usage.alias("usage"), text.alias("final_text"))
