@@ -218,3 +218,24 @@ usage_norm AS (
     answer_tokens_estimated, CAST(unattributed_tokens AS BIGINT) AS unattributed_tokens
   FROM usage_raw
 )"""
+
+
+def _responses_sql() -> str:
+    from .fixtures import CODE_TAILS, MATH_TAILS, MCQ_TAILS
+    from .templates import case_sql
+    vals = {"L": "chr(CAST(65 + (doc_id * 7) % 4 AS INTEGER))", "N": "doc_id % 97", "ID": "doc_id"}
+    body = "translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'abcdABCD', 'xxxxxxxx')"
+    return f"""responses AS (
+  SELECT doc_id,
+    'Compute item ' || CAST(doc_id AS VARCHAR) || ' (' || lang || ')' AS question,
+    chr(CAST(65 + doc_id % 4 AS INTEGER)) AS truth,
+    CAST(doc_id % 97 AS VARCHAR) AS math_truth,
+    CASE WHEN doc_id % 12 = 11 THEN '' ELSE {body} || {case_sql('doc_id % 12', MCQ_TAILS, vals)} END AS mcq_response,
+    CASE WHEN doc_id % 23 = 0 THEN '' ELSE {body} || {case_sql('doc_id % 5', MATH_TAILS, vals)} END AS math_response,
+    {body} || {case_sql('doc_id % 7', CODE_TAILS, vals)} AS code_response,
+    list_transform(range(1, doc_id % 4 + 2), lambda i: 'assert f(' || CAST(i AS VARCHAR) || ') == ' || CAST(i + 1 AS VARCHAR)) AS tests
+  FROM documents
+)"""
+
+
+RESPONSES = _responses_sql()

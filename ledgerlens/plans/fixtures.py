@@ -121,3 +121,68 @@ def usage_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(ok % 9 == 0, F.lit("")).otherwise(F.repeat(F.lit("x"), (ln * 5).cast("int")))
     return li.select(ok.alias("l_orderkey"), ln.alias("l_linenumber"), provider.alias("provider"),
                      usage.alias("usage"), text.alias("final_text"))
+
+
+# Response tails appended to document text (F2 multiple choice, by doc_id % 12).
+# Placeholder L is the letter the response commits to.
+MCQ_TAILS = (
+    "\n\n<answer>{L}</answer>",
+    "\n\nThe answer is {L}.",
+    "\n\nAnswer: ({L})",
+    "\n\nFinal Answer: {L}",
+    "\n\nI choose {L}",
+    "\n\nOption {L}.",
+    "\n\n\\boxed{{L}}",
+    "\n\n{L}.",
+    "\n\nThus {L} is right",
+    "\n\nmy guess: {L} maybe",
+    "\n\nno idea here",
+    "",
+)
+# F2 math responses (by doc_id % 5); N is the committed value, ID the document id.
+MATH_TAILS = (
+    "\n<answer>{N}</answer>",
+    "<answer>first</answer> then <answer>{N}</answer>",
+    "<answer>{ID}</answer> and <answer>   </answer>",
+    "<ANSWER>\n  {N}\n</ANSWER>",
+    "",
+)
+# F2c code responses (by doc_id % 7).
+CODE_TAILS = (
+    "\n<solution>\ndef f(x):\n    return x + 1\n</solution>",
+    "\n```python\ndef f(x):\n    return x + 1\n```\n",
+    "\n```\nimport math\ndef f(x):\n    return x + 1\n```",
+    "\n\ndef f(x):\n    y = x + 1\n    return y\n\nThat is all.",
+    "\nclass F:\n    def f(self, x):\n        return x + 1\n",
+    "",
+    "\ndef\tf(x):\n    return x + 1\nDone.",
+)
+
+
+def doc_body(text: Column) -> Column:
+    """Whole document text, ASCII only, with the letters a-d replaced so the body itself
+    never commits to a choice or spells ``def``/``class``."""
+    return F.translate(F.regexp_replace(text, r"[^\x00-\x7F]", ""), "abcdABCD", "xxxxxxxx")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One multiple-choice, one math and one code response per document."""
+    from .templates import case_spark
+    d = table(spark, sf_dir, "documents")
+    did = F.col("doc_id")
+    body = doc_body(F.col("text"))
+    letter = F.expr("chr(65 + (doc_id * 7) % 4)")
+    vals = {"L": letter, "N": did % 97, "ID": did}
+    mcq = F.when(did % 12 == 11, F.lit("")).otherwise(F.concat(body, case_spark(did % 12, MCQ_TAILS, vals)))
+    math = F.when(did % 23 == 0, F.lit("")).otherwise(F.concat(body, case_spark(did % 5, MATH_TAILS, vals)))
+    code = F.concat(body, case_spark(did % 7, CODE_TAILS, vals))
+    tests = F.transform(F.sequence(F.lit(1).cast("bigint"), did % 4 + 1),
+                        lambda i: F.concat(F.lit("assert f("), i.cast("string"), F.lit(") == "),
+                                           (i + 1).cast("string")))
+    return d.select(
+        did.alias("doc_id"),
+        F.concat(F.lit("Compute item "), did.cast("string"), F.lit(" ("), F.col("lang"), F.lit(")")).alias("question"),
+        F.expr("chr(65 + doc_id % 4)").alias("truth"),
+        (did % 97).cast("string").alias("math_truth"),
+        mcq.alias("mcq_response"), math.alias("math_response"), code.alias("code_response"),
+        tests.alias("tests"))
