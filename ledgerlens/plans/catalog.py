@@ -1,2 +1,2 @@
 """Imports every query module so their ``@query`` registrations run."""
-from . import q_extract, q_ledger, q_usage  # noqa: F401
+from . import q_chunks, q_extract, q_ledger, q_usage  # noqa: F401

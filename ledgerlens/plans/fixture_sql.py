@@ -239,3 +239,17 @@ def _responses_sql() -> str:
 
 
 RESPONSES = _responses_sql()
+
+
+def chunk_lines_sql(protocol: str) -> str:
+    from .fixtures import STREAM_LINES
+    from .templates import case_sql
+    vals = {"ID": "event_id", "M": "k % 3", "K": "k", "K2": "k * 2", "K3": "k * 3 + k % 5", "KR": "k % 7",
+            "KT": "k % 9", "KX": "k * 3 + 1", "K4": "k % 50", "K5": "k % 40",
+            "C5": "CAST(floor((k % 50) / 2) AS BIGINT)", "C1": "k % 50 - CAST(floor((k % 50) / 2) AS BIGINT)"}
+    kind = ("CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'signup' THEN 2 "
+            "WHEN 'purchase' THEN k % 4 + 3 ELSE event_id % 3 + 7 END")
+    return f"""chunk_lines AS (
+  SELECT user_id AS request_id, event_id AS seq, {case_sql(kind, STREAM_LINES[protocol], vals)} AS line
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+)"""

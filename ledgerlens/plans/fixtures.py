@@ -186,3 +186,61 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (did % 97).cast("string").alias("math_truth"),
         mcq.alias("mcq_response"), math.alias("math_response"), code.alias("code_response"),
         tests.alias("tests"))
+
+
+# Stream lines per protocol (F5), indexed by event kind:
+# click 0, view 1, signup 2, purchase 3 + k % 4, error 7 + event_id % 3.
+CHAT_LINES = (
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [{"index": 0, "delta": {"content": "t{ID} "}, "finish_reason": null}]}',
+    'data: {"id": "c{ID}", "model": "", "choices": [{"index": 0, "delta": {"content": "v{ID} "}, "finish_reason": null}]}',
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [{"index": 0, "delta": {"reasoning_content": "think{ID}"}, "finish_reason": null}]}',
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}], "usage": {"prompt_tokens": {K}, "completion_tokens": {K2}, "total_tokens": {K3}}}',
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [{"index": 0, "delta": {}, "finish_reason": "length"}], "usage": {"prompt_tokens": {K}, "completion_tokens": {K2}, "total_tokens": {K3}, "completion_tokens_details": {"reasoning_tokens": {KR}}}}',
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [], "usage": {"prompt_tokens": {K}, "completion_tokens": {K2}, "total_tokens": {K3}, "completion_tokens_details": {"reasoning_tokens": {KR}}}}',
+    'data: {"id": "c{ID}", "model": "m-{M}", "choices": [{"index": 0, "delta": {"content": ""}, "finish_reason": "length"}]}',
+    "data: [DONE]",
+    ": keep-alive",
+    'data: {"id": "c{ID}", "choices": [ broken',
+)
+RESPONSES_LINES = (
+    'data: {"type": "response.output_text.delta", "delta": "t{ID} "}',
+    'data: {"type": "response.output_text.delta", "delta": "v{ID} "}',
+    'data: {"type": "response.reasoning_text.delta", "delta": "think{ID}"}',
+    'data: {"type": "response.completed", "response": {"model": "m-{M}", "status": "completed", "usage": {"input_tokens": {K}, "output_tokens": {K2}, "total_tokens": {K3}, "output_tokens_details": {"reasoning_tokens": {KR}}}}}',
+    'data: {"type": "response.incomplete", "response": {"model": "m-{M}", "status": "incomplete", "incomplete_details": {"reason": "max_output_tokens"}, "usage": {"input_tokens": {K}, "output_tokens": {K2}, "total_tokens": {K3}}}}',
+    'data: {"type": "response.incomplete", "response": {"incomplete_details": {"reason": "content_filter"}, "usage": {"input_tokens": {K}, "output_tokens": {K2}}}}',
+    'data: {"type": "response.failed", "response": {"model": "m-{M}", "status": "failed", "error": {"message": "overloaded {ID}"}}}',
+    "data: [DONE]",
+    "event: response.in_progress",
+    'data: {"type": "response.output_text.delta", "delta": broken',
+)
+MESSAGES_LINES = (
+    'data: {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": "t{ID} "}}',
+    'data: {"type": "message_start", "message": {"model": "m-{M}", "usage": {"input_tokens": {K}, "cache_creation_input_tokens": {K4}, "cache_read_input_tokens": {K5}, "cache_creation": {"ephemeral_5m_input_tokens": {C5}, "ephemeral_1h_input_tokens": {C1}}}}}',
+    'data: {"type": "content_block_delta", "index": 0, "delta": {"type": "thinking_delta", "thinking": "think{ID}"}}',
+    'data: {"type": "message_delta", "delta": {"stop_reason": "end_turn"}, "usage": {"output_tokens": {K2}, "output_tokens_details": {"thinking_tokens": {KT}}}}',
+    'data: {"type": "message_delta", "delta": {"stop_reason": "max_tokens"}, "usage": {"output_tokens": {K2}}}',
+    'data: {"type": "message_start", "message": {"usage": {"input_tokens": {K}}}}',
+    'data: {"type": "message_delta", "delta": {"stop_reason": null}, "usage": {"output_tokens": {K2}, "output_tokens_details": {"thinking_tokens": {KX}}}}',
+    "data: [DONE]",
+    "event: ping",
+    'data: {"type": "message_delta", broken',
+)
+STREAM_LINES = {"chat": CHAT_LINES, "responses": RESPONSES_LINES, "messages": MESSAGES_LINES}
+
+
+def chunk_values(k: Column, eid: Column) -> dict[str, Column]:
+    return {"ID": eid, "M": k % 3, "K": k, "K2": k * 2, "K3": k * 3 + k % 5, "KR": k % 7, "KT": k % 9,
+            "KX": k * 3 + 1, "K4": k % 50, "K5": k % 40, "C5": F.floor((k % 50) / 2).cast("bigint"),
+            "C1": k % 50 - F.floor((k % 50) / 2).cast("bigint")}
+
+
+def chunk_lines(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
+    """one stream line per event; request = user, order = event id."""
+    from .templates import case_spark
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k BIGINT")["k"])
+    et, eid, k = F.col("event_type"), F.col("event_id"), F.col("k")
+    kind = (F.when(et == "click", 0).when(et == "view", 1).when(et == "signup", 2)
+            .when(et == "purchase", k % 4 + 3).otherwise(eid % 3 + 7))
+    line = case_spark(kind, STREAM_LINES[protocol], chunk_values(k, eid))
+    return e.select(F.col("user_id").alias("request_id"), eid.alias("seq"), line.alias("line"))

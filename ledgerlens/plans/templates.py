@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PH = re.compile(r"\{([A-Z_]+)\}")
+_PH = re.compile(r"\{([A-Z][A-Z0-9_]*)\}")
 
 
 def _pieces(template: str):
