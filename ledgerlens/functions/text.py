@@ -31,8 +31,8 @@ def lstrip_ws(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """``not s or not s.strip()`` (null counts as blank)."""
-    return F.coalesce(F.length(strip_ws(c)) == 0, F.lit(True))
+    """``not s or not s.strip()`` (null counts as blank); stops at the first non-space."""
+    return ~F.coalesce(col(c).rlike(rf"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def non_empty(c) -> Column:

@@ -183,3 +183,83 @@ def cache_metrics(u) -> Column:
         _z(u["cache_read_input_tokens"]).alias("cache_read_tokens"),
         _z(u["cache_creation"]["ephemeral_5m_input_tokens"]).alias("cache_ephemeral_5m"),
         _z(u["cache_creation"]["ephemeral_1h_input_tokens"]).alias("cache_ephemeral_1h"))
+
+
+def normalize_usage_frame(df, provider: str = "provider", usage: str = "u", text: str = "final_text",
+                          counted: Column | None = None, out: str = "tokens"):
+    """N9 as staged projections: the same rules as :func:`normalize_usage`, but every
+    intermediate is its own column, so Catalyst keeps each stage as one projection
+    instead of inlining (and multiplying) the sub-expressions.  Adds struct ``out``."""
+    u, pv = F.col(usage), F.col(provider)
+    split, gen, msg = pv.isin(CHAT, RESPONSES), pv == GENERATE, pv == MESSAGES
+    zero = F.lit(0).cast("bigint")
+    counted = default_token_count(text) if counted is None else counted
+    s = df.withColumns({
+        "_p": (F.when(pv == CHAT, _z(u["prompt_tokens"]))
+               .when(gen, F.coalesce(_nz(u["prompt_token_count"]), _nz(u["prompt_tokens"]), _nz(u["input_tokens"]), zero))
+               .otherwise(_z(u["input_tokens"]))),
+        "_c": (F.when(pv == CHAT, _z(u["completion_tokens"]))
+               .when(gen, F.coalesce(_nz(u["candidates_token_count"]), _nz(u["completion_tokens"]),
+                                     _nz(u["output_tokens"]), zero))
+               .otherwise(_z(u["output_tokens"]))),
+        "_t": (F.when(gen, F.coalesce(_nz(u["total_token_count"]), _nz(u["total_tokens"]), zero))
+               .otherwise(_z(u["total_tokens"]))),
+        "_r": (F.when(pv == CHAT, _z(u["completion_tokens_details"]["reasoning_tokens"]))
+               .when(pv == RESPONSES, _z(u["output_tokens_details"]["reasoning_tokens"]))
+               .when(gen, _z(u["thoughts_token_count"])).otherwise(zero)),
+        "_th": u["output_tokens_details"]["thinking_tokens"],
+        "_vis": visible_tokens(text),
+        "_cnt": counted,
+    })
+    s = s.withColumns({
+        "_t2": F.when(gen & (F.col("_t") == 0), F.col("_p") + F.col("_c") + F.col("_r"))
+                .when(msg, F.col("_p") + F.col("_c")).otherwise(F.col("_t")),
+        "_o0": F.when(gen, F.col("_r") + F.col("_c")).otherwise(F.col("_c")),
+    })
+    s = s.withColumn("_gap", F.when(msg, zero).otherwise(
+        F.greatest(F.col("_t2") - F.col("_p") - F.col("_o0"), zero)))
+    s = s.withColumns({"_o": F.col("_o0") + F.col("_gap"), "_r1": F.col("_r") + F.col("_gap")})
+    s = s.withColumns({"_oo": F.greatest(F.col("_o"), zero), "_rr": F.greatest(F.col("_r1"), zero),
+                       "_exact": F.col("_th").isNotNull() & (F.col("_th") >= 0) & (F.col("_th") <= F.col("_c")),
+                       "_has_text": F.coalesce(F.length(text) > 0, F.lit(False))})
+    s = s.withColumns({"_fits": F.col("_rr") <= F.col("_oo"), "_est_ans": F.least(F.col("_vis"), F.col("_oo"))})
+    ans = (F.when(split, F.when(F.col("_fits"), F.col("_oo") - F.col("_rr")).otherwise(F.col("_est_ans")))
+           .when(gen, F.col("_c"))
+           .otherwise(F.when(F.col("_exact"), F.col("_c") - F.col("_th"))
+                      .when(F.col("_has_text"), F.least(F.col("_cnt")["n"], F.col("_c"))).otherwise(zero)))
+    est = (F.when(split, ~F.col("_fits")).when(gen, F.lit(False))
+           .otherwise(F.when(F.col("_exact"), F.lit(False)).when(F.col("_has_text"), F.col("_cnt")["estimated"])
+                      .otherwise(F.lit(False))))
+    s = s.withColumns({"_ans": ans, "_est": est})
+    rea = (F.when(split, F.when(F.col("_fits"), F.col("_rr")).otherwise(F.col("_oo") - F.col("_est_ans")))
+           .when(gen, F.col("_r1")).otherwise(F.greatest(F.col("_c") - F.col("_ans"), zero)))
+    s = s.withColumn("_rea", rea)
+    output = F.when(F.col("_o") == 0, F.col("_rea") + F.col("_ans")).otherwise(F.col("_o"))
+    total = F.when(F.col("_t2") == 0, F.col("_p") + F.col("_ans") + F.col("_rea")).otherwise(F.col("_t2"))
+    s = s.withColumn(out, _usage(F.col("_p"), F.col("_ans"), F.col("_rea"), output, total, F.col("_est"),
+                                 F.when(msg, zero).otherwise(F.col("_gap"))))
+    return s.drop("_p", "_c", "_t", "_r", "_th", "_vis", "_cnt", "_t2", "_o0", "_gap", "_o", "_r1", "_oo", "_rr",
+                  "_exact", "_has_text", "_fits", "_est_ans", "_ans", "_est", "_rea")
+
+
+def split_usage_frame(df, prompt: Column, completion: Column, total: Column, reasoning: Column,
+                      text: str, out: str = "tokens", filled: bool = True):
+    """N2 + N3 (+ N8 fill) as staged projections for chat / responses payloads."""
+    zero = F.lit(0).cast("bigint")
+    s = df.withColumns({"_p": _z(prompt), "_c": _z(completion), "_t": _z(total), "_r": _z(reasoning),
+                        "_vis": visible_tokens(text)})
+    s = s.withColumn("_gap", F.greatest(F.col("_t") - F.col("_p") - F.col("_c"), zero))
+    s = s.withColumns({"_o": F.col("_c") + F.col("_gap"), "_r1": F.col("_r") + F.col("_gap")})
+    s = s.withColumns({"_oo": F.greatest(F.col("_o"), zero), "_rr": F.greatest(F.col("_r1"), zero)})
+    s = s.withColumns({"_fits": F.col("_rr") <= F.col("_oo"), "_est_ans": F.least(F.col("_vis"), F.col("_oo"))})
+    s = s.withColumns({
+        "_ans": F.when(F.col("_fits"), F.col("_oo") - F.col("_rr")).otherwise(F.col("_est_ans")),
+        "_rea": F.when(F.col("_fits"), F.col("_rr")).otherwise(F.col("_oo") - F.col("_est_ans"))})
+    output, total_c = F.col("_o"), F.col("_t")
+    if filled:
+        output = F.when(F.col("_o") == 0, F.col("_rea") + F.col("_ans")).otherwise(F.col("_o"))
+        total_c = F.when(F.col("_t") == 0, F.col("_p") + F.col("_ans") + F.col("_rea")).otherwise(F.col("_t"))
+    s = s.withColumn(out, _usage(F.col("_p"), F.col("_ans"), F.col("_rea"), output, total_c,
+                                 ~F.col("_fits"), F.col("_gap")))
+    return s.drop("_p", "_c", "_t", "_r", "_vis", "_gap", "_o", "_r1", "_oo", "_rr", "_fits", "_est_ans",
+                  "_ans", "_rea")

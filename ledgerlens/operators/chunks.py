@@ -125,13 +125,12 @@ def chat_spec() -> FoldSpec:
 def fold_chat(lines: DataFrame) -> DataFrame:
     """Chat-completions chunks → one response per request (N4 usage, P8 policy)."""
     f = ordered_fold(parse_sse(lines), chat_spec())
-    u = F.struct(F.col("u_prompt").alias("prompt_tokens"), F.col("u_completion").alias("completion_tokens"),
-                 F.col("u_total").alias("total_tokens"),
-                 F.struct(F.col("u_reasoning").alias("reasoning_tokens")).alias("completion_tokens_details"))
-    zeros = U._usage(*[F.lit(0).cast("bigint")] * 5, F.lit(False), F.lit(0).cast("bigint"))
-    tokens = U.fill_usage(F.when(F.coalesce(F.col("has_usage"), F.lit(False)), U.chat_usage(u, "text"))
-                          .otherwise(zeros))
-    f = f.withColumn("tok", tokens)
+    has = F.coalesce(F.col("has_usage"), F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    f = U.split_usage_frame(f, F.when(has, F.col("u_prompt")).otherwise(zero),
+                            F.when(has, F.col("u_completion")).otherwise(zero),
+                            F.when(has, F.col("u_total")).otherwise(zero),
+                            F.when(has, F.col("u_reasoning")).otherwise(zero), "text", out="tok")
     err = C.classify_empty("text", F.col("tok.output_tokens"),
                            (F.col("tok.reasoning_tokens") > 0) | (F.col("reasoning_chars") > 0),
                            F.col("finish_reason") == "length",
@@ -170,13 +169,11 @@ def fold_responses(lines: DataFrame) -> DataFrame:
     status = F.when(F.col("t_type").isin(*TERMINAL_EVENTS),
                     F.coalesce(F.nullif(F.col("t_status"), F.lit("")),
                                F.regexp_replace(F.col("t_type"), r"^response\.", "")))
-    u = F.struct(F.col("u_input").alias("input_tokens"), F.col("u_output").alias("output_tokens"),
-                 F.col("u_total").alias("total_tokens"),
-                 F.struct(F.col("u_reasoning").alias("reasoning_tokens")).alias("output_tokens_details"))
-    raw = U.responses_usage(u, "text")
-    f = f.withColumns({"status": status, "raw": raw, "tok": U.fill_usage(raw)})
+    f = f.withColumn("status", status)
+    f = U.split_usage_frame(f, F.col("u_input"), F.col("u_output"), F.col("u_total"), F.col("u_reasoning"),
+                            "text", out="tok")
     err = C.responses_status_error("status", "t_reason", "t_error", F.col("tok.output_tokens"), "text",
-                                   (F.col("raw.reasoning_tokens") > 0) | (F.col("reasoning_chars") > 0))
+                                   (F.col("tok.reasoning_tokens") > 0) | (F.col("reasoning_chars") > 0))
     model = F.when(F.col("status").isNotNull(), F.coalesce(F.col("t_model"), F.lit(DEFAULT_MODEL))) \
         .otherwise(F.lit(DEFAULT_MODEL))
     return _response(f, model, C.responses_finish_reason("status", "t_reason"), err)

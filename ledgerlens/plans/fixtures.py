@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.tables import table
 
 
@@ -72,7 +73,8 @@ def _json_int(name: str, value: Column) -> Column:
 
 def usage_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one provider usage payload per line item (four JSON shapes, absent fields common)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
     p = F.col("l_partkey") % 97
     c = F.col("l_quantity").cast("bigint")
@@ -168,7 +170,7 @@ def doc_body(text: Column) -> Column:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One multiple-choice, one math and one code response per document."""
     from .templates import case_spark
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     did = F.col("doc_id")
     body = doc_body(F.col("text"))
     letter = F.expr("chr(65 + (doc_id * 7) % 4)")
@@ -238,7 +240,8 @@ def chunk_values(k: Column, eid: Column) -> dict[str, Column]:
 def chunk_lines(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
     """one stream line per event; request = user, order = event id."""
     from .templates import case_spark
-    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k BIGINT")["k"])
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
+    e = e.withColumn("k", F.from_json("props", "k BIGINT")["k"])
     et, eid, k = F.col("event_type"), F.col("event_id"), F.col("k")
     kind = (F.when(et == "click", 0).when(et == "view", 1).when(et == "signup", 2)
             .when(et == "purchase", k % 4 + 3).otherwise(eid % 3 + 7))

@@ -26,7 +26,7 @@ def _project(df, struct_col):
 @query("n9_all_providers", bench=True, oracle=_NORM + f"SELECT {_OUT_SQL} FROM usage_norm")
 def n9_all_providers(spark, sf_dir):
     df = _parsed(spark, sf_dir)
-    return _project(df.withColumn("n", U.normalize_usage("provider", "u", "final_text")), "n")
+    return _project(U.normalize_usage_frame(df, "provider", "u", "final_text", out="n"), "n")
 
 
 def _one(provider, fn):

@@ -64,3 +64,18 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables / stream state."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def spread(df, factor: int = 2):
+    """Round-robin ``df`` over ``factor ×`` the cluster's task slots when its scan yields
+    fewer partitions than that (e.g. one large row group), so expensive per-row work
+    (regex cascades, JSON parsing) is not confined to the scan's few tasks.  A scan that
+    already has enough splits — the normal case at scale — is left untouched (no shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    target = max(sc.defaultParallelism * factor, 1)
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. no RDD access: keep the plan as it is
+        return df
+    return df.repartition(target) if current < target else df
