@@ -253,3 +253,15 @@ def chunk_lines_sql(protocol: str) -> str:
   SELECT user_id AS request_id, event_id AS seq, {case_sql(kind, STREAM_LINES[protocol], vals)} AS line
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 )"""
+
+
+def _judge_outputs_sql() -> str:
+    from .fixtures import JUDGE_OUTPUTS
+    from .templates import case_sql
+    return f"""judge_outputs AS (
+  SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE {case_sql('doc_id % 10', JUDGE_OUTPUTS, {'N': 'doc_id % 97'})} END AS content
+  FROM documents
+)"""
+
+
+JUDGE_OUTPUTS = _judge_outputs_sql()

@@ -247,3 +247,27 @@ def chunk_lines(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
             .when(et == "purchase", k % 4 + 3).otherwise(eid % 3 + 7))
     line = case_spark(kind, STREAM_LINES[protocol], chunk_values(k, eid))
     return e.select(F.col("user_id").alias("request_id"), eid.alias("seq"), line.alias("line"))
+
+
+# Judge outputs (F6, by doc_id % 10); N is the answer the judge extracted.
+JUDGE_OUTPUTS = (
+    '{"correct": true, "extracted_answer": "{N}", "reasoning": "matches the reference"}',
+    '```json\n{"correct": false, "extracted_answer": "{N}", "reasoning": "off by one"}\n```',
+    '```\n{"correct": "yes", "extracted_answer": "{N}", "reasoning": "same value"}\n```',
+    'Here is my verdict: {"correct": true, "extracted_answer": "{N}", "reasoning": "fine"} hope it helps',
+    '{"correct": false, "reasoning": "first look"} and then {"correct": true, "extracted_answer": "{N}", "reasoning": "second look"}',
+    '{"correct": false, "extracted_answer": "x = m^{N}", "reasoning": "The student\'s answer does not ma',
+    '{"correct": "False ", "extracted_answer": "{N}", "reasoning": "string boolean"}',
+    '{"correct": 1, "extracted_answer": {N}, "reasoning": "numeric one"}',
+    "I cannot grade this answer.",
+    '[true, "{N}"]',
+)
+
+
+def judge_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one judge output per document (blank on every 31st)."""
+    from .templates import case_spark
+    d = spread(table(spark, sf_dir, "documents").select("doc_id"))
+    did = F.col("doc_id")
+    content = F.when(did % 31 == 0, F.lit("")).otherwise(case_spark(did % 10, JUDGE_OUTPUTS, {"N": did % 97}))
+    return d.select(did.alias("doc_id"), content.alias("content"))
