@@ -265,3 +265,23 @@ def _judge_outputs_sql() -> str:
 
 
 JUDGE_OUTPUTS = _judge_outputs_sql()
+
+
+PROBLEMS = """problems AS (
+  SELECT item_id,
+    CASE WHEN item_id % 5 = 0 THEN text || chr(10) || 'assert f(0) == 1' ELSE text END AS problem,
+    chr(CAST(65 + item_id % 4 AS INTEGER)) AS answer,
+    ['math', 'science', 'code', 'custom'][item_id % 4 + 1] AS evaluator_type,
+    list_transform(range(1, item_id % 4 + 2), lambda i: 'assert f(' || CAST(i AS VARCHAR) || ') == ' || CAST(i + 1 AS VARCHAR)) AS test_list,
+    CASE WHEN item_id % 3 = 0 THEN ['assert f(9) == 10'] ELSE []::VARCHAR[] END AS challenge_test_list,
+    CASE WHEN item_id % 6 = 0 THEN list_transform(range(1, item_id % 4 + 2), lambda i: 'assert f(' || CAST(i AS VARCHAR) || ') == ' || CAST(i + 1 AS VARCHAR)) END AS test_cases,
+    CASE WHEN item_id % 2 = 0 THEN CAST((item_id % 7 + 1) * 1000 AS BIGINT) END AS max_context_window,
+    CASE WHEN item_id % 2 = 1 THEN CAST((item_id % 5 + 1) * 512 AS BIGINT) END AS max_output_tokens
+  FROM benchmark
+)"""
+
+PAIRS = """pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""

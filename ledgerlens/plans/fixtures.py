@@ -271,3 +271,34 @@ def judge_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     did = F.col("doc_id")
     content = F.when(did % 31 == 0, F.lit("")).otherwise(case_spark(did % 10, JUDGE_OUTPUTS, {"N": did % 97}))
     return d.select(did.alias("doc_id"), content.alias("content"))
+
+
+# Evaluator type of a benchmark problem (by item_id % 4).
+EVALUATOR_TYPES = ("math", "science", "code", "custom")
+
+
+def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: problem set from ``benchmark`` (every 5th problem already carries an assert)."""
+    b = table(spark, sf_dir, "benchmark")
+    iid = F.col("item_id")
+    text = F.when(iid % 5 == 0, F.concat(F.col("text"), F.lit("\nassert f(0) == 1"))).otherwise(F.col("text"))
+    tests = F.transform(F.sequence(F.lit(1).cast("bigint"), iid % 4 + 1),
+                        lambda i: F.concat(F.lit("assert f("), i.cast("string"), F.lit(") == "),
+                                           (i + 1).cast("string")))
+    et = F.element_at(F.array(*[F.lit(x) for x in EVALUATOR_TYPES]), (iid % 4 + 1).cast("int"))
+    return b.select(iid.alias("item_id"), text.alias("problem"), F.expr("chr(65 + item_id % 4)").alias("answer"),
+                    et.alias("evaluator_type"), tests.alias("test_list"),
+                    F.when(iid % 3 == 0, F.array(F.lit("assert f(9) == 10"))).otherwise(
+                        F.array().cast("array<string>")).alias("challenge_test_list"),
+                    F.when(iid % 6 == 0, tests).alias("test_cases"),
+                    F.when(iid % 2 == 0, (iid % 7 + 1) * 1000).cast("bigint").alias("max_context_window"),
+                    F.when(iid % 2 == 1, (iid % 5 + 1) * 512).cast("bigint").alias("max_output_tokens"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a user turn and the assistant turn right after it (equi join on conv, turn + 1)."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return u.join(a, ["conv_id", "turn"], "inner")
