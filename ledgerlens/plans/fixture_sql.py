@@ -285,3 +285,55 @@ PAIRS = """pairs AS (
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
 )"""
+
+
+def _runs_sql() -> str:
+    from .fixtures import OVERRIDE_SET_RULES, OVERRIDE_UNSET_RULES, RUN_EVALUATORS, RUN_PROVIDERS
+    from .templates import render_sql
+    vals = {"T": "lower(p_type)", "K": "p_partkey", "S": "p_size"}
+    entries = ", ".join(
+        f"CASE WHEN p_partkey % {mod} = {rem} THEN {{'key': '{path}', 'value': {render_sql(tpl, vals)}}} END"
+        for path, tpl, mod, rem in OVERRIDE_SET_RULES)
+    unset = ", ".join(f"CASE WHEN p_partkey % {mod} = {rem} THEN '{path}' END" for path, mod, rem in OVERRIDE_UNSET_RULES)
+    prov = ", ".join(f"'{x}'" for x in RUN_PROVIDERS)
+    evs = ", ".join(f"'{x}'" for x in RUN_EVALUATORS)
+    u0 = "regexp_replace(url, '#.*$', '')"
+    u1 = f"CASE WHEN p_partkey % 3 = 0 THEN replace({u0}, '://', '://user:pw' || CAST(p_partkey AS VARCHAR) || '@') ELSE {u0} END"
+    u2 = (f"CASE WHEN p_partkey % 4 = 0 THEN ({u1}) || CASE WHEN contains({u1}, '?') THEN '&' ELSE '?' END "
+          f"|| 'api_key=SECRET' || CAST(p_partkey AS VARCHAR) || '&max_tokens=' || CAST(p_size AS VARCHAR) ELSE {u1} END")
+    return f"""runs AS (
+  SELECT 'run' || CAST(p_partkey AS VARCHAR) AS run_id,
+    [{prov}][p_partkey % 4 + 1] AS provider,
+    lower(replace(p_brand, '#', '-')) AS model,
+    'data/' || lower(p_type) || '.jsonl' AS dataset_path,
+    CASE WHEN p_partkey % 2 = 1 THEN lower(p_type) END AS dataset_name,
+    CASE WHEN p_partkey % 3 = 0 THEN 'test' END AS dataset_split,
+    [{evs}][p_size % 3 + 1] AS evaluator_type,
+    (p_size % 25) / 10.0::DOUBLE AS temperature,
+    CASE WHEN p_partkey % 2 = 1 THEN (p_partkey % 12) / 10.0::DOUBLE END AS top_p,
+    CAST(CASE WHEN p_partkey % 5 NOT IN (1, 4) THEN p_size * 100 END AS BIGINT) AS max_output_tokens,
+    CAST(CASE WHEN p_partkey % 5 = 0 THEN 32000 WHEN p_partkey % 5 = 4 THEN p_size * 1000 END AS BIGINT) AS max_context_window,
+    CASE WHEN p_partkey % 6 <> 0 THEN 'sk-' || CAST(p_partkey AS VARCHAR) END AS api_key,
+    {u2} AS base_url,
+    CAST(CASE WHEN p_partkey % 7 = 0 THEN 300 END AS BIGINT) AS wall_clock_timeout,
+    CAST(p_size % 3 + 5 AS BIGINT) AS execution_timeout,
+    CAST(p_partkey % 20 + 5 AS BIGINT) AS concurrency,
+    CAST(120 AS BIGINT) AS timeout,
+    CAST(p_partkey % 3 + 1 AS BIGINT) AS max_retries,
+    CASE WHEN p_partkey % 11 = 0 THEN 'high' END AS legacy_reasoning_effort,
+    list_filter([{entries}], lambda e: e IS NOT NULL) AS overrides_entries,
+    list_filter([{unset}], lambda x: x IS NOT NULL) AS overrides_unset,
+    CASE WHEN p_size % 3 = 0 AND p_partkey % 9 <> 4 THEN 'judge-' || CAST(p_partkey % 3 AS VARCHAR) END AS judge_model,
+    CASE WHEN p_size % 3 = 0 AND p_partkey % 4 = 2 THEN 'https://judge:pw' || CAST(p_partkey AS VARCHAR) || '@judge.example.com/v1'
+         WHEN p_size % 3 = 0 AND p_partkey % 4 <> 1 THEN 'https://judge.example.com/v1' END AS judge_base_url,
+    CASE WHEN p_size % 3 = 0 AND p_partkey % 5 <> 2 THEN 'jk-' || CAST(p_partkey AS VARCHAR) END AS judge_api_key
+  FROM part LEFT JOIN (SELECT page_id, url FROM pages) pg ON pg.page_id = part.p_partkey
+)"""
+
+
+RUNS = _runs_sql()
+
+DATASET_PROBLEMS = """dataset_problems AS (
+  SELECT pr.*, 'data/' || lower(p_type) || '.jsonl' AS dataset_path
+  FROM problems pr JOIN part ON part.p_partkey = pr.item_id
+)"""

@@ -302,3 +302,81 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     return u.join(a, ["conv_id", "turn"], "inner")
+
+
+# Provider of a run (by p_partkey % 4) and evaluator (by p_size % 3).
+RUN_PROVIDERS = ("chat_completion", "openai-responses", "anthropic", "gemini")
+RUN_EVALUATORS = ("math", "science", "code")
+# Override entries (path, JSON value template, p_partkey modulus, remainder); T is lower(p_type),
+# K the part key, S the part size.
+OVERRIDE_SET_RULES = (
+    ("reasoning.effort", '"{T}"', 1, 0),
+    ("extra_headers", '{"Authorization": "Bearer tok{K}", "X-Trace": "t{K}"}', 2, 0),
+    ("extra_body.api_token", '"tok-{K}"', 3, 1),
+    ("extra_body.options", '{"max_tokens": {S}, "nested": {"password": "pw{K}", "keep": 1}, "list": [{"secret": "s"}, 2]}', 5, 2),
+    ("max_completion_tokens", '"${max_output_tokens}"', 4, 1),
+    ("metadata.note", '"budget ${max_output_tokens} tokens"', 4, 2),
+    ("model", '"evil"', 9, 0),
+    ("stream", "false", 8, 3),
+    ("   ", "1", 13, 0),
+)
+OVERRIDE_UNSET_RULES = (("temperature", 3, 0), ("messages.0", 10, 0), ("stream_options", 7, 1))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the run registry — one run configuration per part (base URL from ``pages``)."""
+    from .templates import render_spark
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    pg = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), "url")
+    j = p.join(pg, "p_partkey", "left")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    vals = {"T": F.lower(F.col("p_type")), "K": k, "S": size}
+    entries = F.filter(F.array(*[
+        F.when(k % mod == rem, F.struct(F.lit(path).alias("key"), render_spark(tpl, vals).alias("value")))
+        for path, tpl, mod, rem in OVERRIDE_SET_RULES]), lambda e: e.isNotNull())
+    unset = F.filter(F.array(*[F.when(k % mod == rem, F.lit(path)) for path, mod, rem in OVERRIDE_UNSET_RULES]),
+                     lambda x: x.isNotNull())
+    u0 = F.regexp_replace(F.col("url"), "#.*$", "")
+    u1 = F.when(k % 3 == 0, F.expr("replace(regexp_replace(url, '#.*$', ''), '://', concat('://user:pw', "
+                                   "cast(p_partkey as string), '@'))")).otherwise(u0)
+    u2 = F.when(k % 4 == 0, F.concat(u1, F.when(u1.contains("?"), F.lit("&")).otherwise(F.lit("?")),
+                                     F.lit("api_key=SECRET"), k.cast("string"), F.lit("&max_tokens="),
+                                     size.cast("string"))).otherwise(u1)
+    et = F.element_at(F.array(*[F.lit(x) for x in RUN_EVALUATORS]), (size % 3 + 1).cast("int"))
+    math = et == "math"
+    return j.select(
+        F.concat(F.lit("run"), k.cast("string")).alias("run_id"),
+        F.element_at(F.array(*[F.lit(x) for x in RUN_PROVIDERS]), (k % 4 + 1).cast("int")).alias("provider"),
+        F.lower(F.regexp_replace("p_brand", "#", "-")).alias("model"),
+        F.concat(F.lit("data/"), F.lower("p_type"), F.lit(".jsonl")).alias("dataset_path"),
+        F.when(k % 2 == 1, F.lower("p_type")).alias("dataset_name"),
+        F.when(k % 3 == 0, F.lit("test")).alias("dataset_split"),
+        et.alias("evaluator_type"),
+        ((size % 25) / F.lit(10.0)).alias("temperature"),
+        F.when(k % 2 == 1, (k % 12) / F.lit(10.0)).alias("top_p"),
+        F.when(k % 5 != 1, F.when(k % 5 != 4, size * 100)).cast("bigint").alias("max_output_tokens"),
+        F.when(k % 5 == 0, F.lit(32000)).when(k % 5 == 4, size * 1000).cast("bigint").alias("max_context_window"),
+        F.when(k % 6 != 0, F.concat(F.lit("sk-"), k.cast("string"))).alias("api_key"),
+        u2.alias("base_url"),
+        F.when(k % 7 == 0, F.lit(300)).cast("bigint").alias("wall_clock_timeout"),
+        (size % 3 + 5).cast("bigint").alias("execution_timeout"),
+        (k % 20 + 5).cast("bigint").alias("concurrency"),
+        F.lit(120).cast("bigint").alias("timeout"),
+        (k % 3 + 1).cast("bigint").alias("max_retries"),
+        F.when(k % 11 == 0, F.lit("high")).alias("legacy_reasoning_effort"),
+        F.map_from_entries(entries).alias("overrides_set"),
+        unset.alias("overrides_unset"),
+        F.when(math & (k % 9 != 4), F.concat(F.lit("judge-"), (k % 3).cast("string"))).alias("judge_model"),
+        F.when(math & (k % 4 == 2), F.concat(F.lit("https://judge:pw"), k.cast("string"),
+                                             F.lit("@judge.example.com/v1")))
+        .when(math & (k % 4 != 1), F.lit("https://judge.example.com/v1")).alias("judge_base_url"),
+        F.when(math & (k % 5 != 2), F.concat(F.lit("jk-"), k.cast("string"))).alias("judge_api_key"),
+    )
+
+
+def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 problems placed in the dataset of the part with the same key (joins runs on dataset)."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item_id"),
+        F.concat(F.lit("data/"), F.lower("p_type"), F.lit(".jsonl")).alias("dataset_path"))
+    return problems(spark, sf_dir).join(part, "item_id", "inner")

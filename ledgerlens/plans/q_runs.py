@@ -1,0 +1,252 @@
+"""Run-registry queries over F7."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.redact import MASK, is_secret_key, redact_url
+from ..operators import runs as RU
+from . import fixture_sql as Q
+from . import sql_prompts as SP
+from .fixtures import dataset_problems, runs
+from .registry import query
+from .sql_extract import q as sq
+
+_RUNS = Q.with_ctes(Q.RUNS)
+_PATHS = "list_concat(list_transform(overrides_entries, lambda e: e.key), overrides_unset)"
+
+
+def _sql_secret(k: str) -> str:
+    low = f"lower({k})"
+    return (f"(contains({low}, 'key') OR contains({low}, 'secret') OR contains({low}, 'authorization') "
+            f"OR contains({low}, 'password') OR (contains({low}, 'token') AND NOT contains({low}, 'tokens')))")
+
+
+def _sql_violations() -> str:
+    rules = [
+        ("temperature_range", "temperature < 0 OR temperature > 2"),
+        ("top_p_range", "top_p IS NOT NULL AND (top_p < 0 OR top_p > 1)"),
+        ("max_output_tokens_positive", "max_output_tokens <= 0"),
+        ("max_context_window_positive", "max_context_window <= 0"),
+        ("settings_positive", "concurrency <= 0 OR timeout <= 0 OR max_retries <= 0 OR execution_timeout <= 0 "
+                              "OR wall_clock_timeout <= 0"),
+        ("budget_both", "max_output_tokens IS NOT NULL AND max_context_window IS NOT NULL"),
+        ("budget_missing", "max_output_tokens IS NULL AND max_context_window IS NULL"),
+        ("chat_requires_api_key", "provider = 'chat_completion' AND coalesce(length(api_key), 0) = 0"),
+        ("chat_requires_base_url", "provider = 'chat_completion' AND coalesce(length(base_url), 0) = 0"),
+        ("removed_field", "legacy_reasoning_effort IS NOT NULL"),
+        ("blank_override_path", f"len(list_filter({_PATHS}, lambda p: trim(p) = '')) > 0"),
+    ]
+    arms = ", ".join(f"CASE WHEN coalesce({cond}, false) THEN '{name}' END" for name, cond in rules)
+    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+
+
+def _sql_protected() -> str:
+    arms = " ".join(f"WHEN '{p}' THEN [{', '.join(sq(x) for x in paths)}]" for p, paths in RU.PROTECTED_PATHS.items())
+    prot = f"(CASE provider {arms} ELSE []::VARCHAR[] END)"
+    return f"list_filter({_PATHS}, lambda p: len(list_filter({prot}, lambda q: p = q OR starts_with(p, q || '.'))) > 0)"
+
+
+@query("p20_rules", oracle=_RUNS + f"""
+SELECT run_id, array_to_string({_sql_violations()}, ',') AS violations,
+       len({_sql_violations()})::BIGINT AS n_violations, len({_sql_violations()}) = 0 AS valid FROM runs""")
+def p20_rules(spark, sf_dir):
+    r = runs(spark, sf_dir).withColumn("v", RU.violations())
+    return r.select("run_id", F.array_join("v", ",").alias("violations"),
+                    F.size("v").cast("bigint").alias("n_violations"), (F.size("v") == 0).alias("valid"))
+
+
+@query("p21_protected", oracle=_RUNS + f"""
+SELECT run_id, provider, array_to_string(list_sort({_sql_protected()}), ',') AS offending_paths,
+       len({_sql_protected()})::BIGINT AS n_offending FROM runs""")
+def p21_protected(spark, sf_dir):
+    r = runs(spark, sf_dir).withColumn("o", RU.protected_violations(RU.override_paths(), "provider"))
+    return r.select("run_id", "provider", F.array_join(F.array_sort("o"), ",").alias("offending_paths"),
+                    F.size("o").cast("bigint").alias("n_offending"))
+
+
+_JM = ("list_filter([CASE WHEN coalesce(length(judge_model), 0) = 0 THEN 'judge model' END, "
+       "CASE WHEN coalesce(length(judge_base_url), 0) = 0 THEN 'judge endpoint/base_url' END, "
+       "CASE WHEN coalesce(length(judge_api_key), 0) = 0 THEN 'judge api-key' END], lambda x: x IS NOT NULL)")
+
+
+@query("p22_judge_missing", oracle=_RUNS + f"""
+SELECT run_id, array_to_string({_JM}, ', ') AS missing, len({_JM}) = 0 AS judge_ready
+FROM runs WHERE evaluator_type = 'math'""")
+def p22_judge_missing(spark, sf_dir):
+    r = runs(spark, sf_dir).filter(F.col("evaluator_type") == "math").withColumn("m", RU.judge_missing())
+    return r.select("run_id", F.array_join("m", ", ").alias("missing"), (F.size("m") == 0).alias("judge_ready"))
+
+
+@query("m1_secret_paths", oracle=_RUNS + f"""
+SELECT run_id, e.key AS path, string_split(e.key, '.')[-1] AS leaf, {_sql_secret("string_split(e.key, '.')[-1]")} AS leaf_secret
+FROM (SELECT run_id, unnest(overrides_entries) AS e FROM runs)""")
+def m1_secret_paths(spark, sf_dir):
+    return RU.secret_paths(runs(spark, sf_dir))
+
+
+def _sql_redact_url(u: str) -> str:
+    from ..functions.redact import URL_RE
+    g = lambda i: f"regexp_extract({u}, {sq(URL_RE)}, {i})"
+    netloc = g(2)
+    userinfo = f"regexp_extract({netloc}, '^(.*)@', 1)"
+    hostport = f"regexp_extract({netloc}, '^(?:.*@)?(.*)$', 1)"
+    host = f"lower(regexp_extract({hostport}, '^(\\[[^\\]]*\\]|[^:]*)', 1))"
+    port = f"regexp_extract({hostport}, '^(?:\\[[^\\]]*\\]|[^:]*):([0-9]+)$', 1)"
+    user_present = (f"(contains({netloc}, '@') AND (length(regexp_extract({userinfo}, '^([^:]*)', 1)) > 0 "
+                    f"OR contains({userinfo}, ':')))")
+    new_netloc = (f"CASE WHEN {user_present} THEN '{MASK}@' || {host} || CASE WHEN {port} <> '' THEN ':' || {port} "
+                  f"ELSE '' END ELSE {netloc} END")
+    query_ = g(4)
+    key = "url_decode(replace(regexp_extract(p, '^([^=]*)', 1), '+', ' '))"
+    is_sec = f"(length(p) > 0 AND {_sql_secret(key)})"
+    pairs = f"string_split({query_}, '&')"
+    q_changed = f"len(list_filter({pairs}, lambda p: {is_sec})) > 0"
+    new_query = (f"CASE WHEN {q_changed} THEN array_to_string(list_transform({pairs}, lambda p: CASE WHEN {is_sec} "
+                 f"THEN regexp_extract(p, '^([^=]*)', 1) || '={MASK}' ELSE p END), '&') ELSE {query_} END")
+    rebuilt = (f"{g(1)} || '://' || ({new_netloc}) || {g(3)} || CASE WHEN regexp_matches({u}, '^[^#]*\\?') AND "
+               f"length({new_query}) > 0 THEN '?' || ({new_query}) ELSE '' END || CASE WHEN contains({u}, '#') AND "
+               f"length({g(5)}) > 0 THEN '#' || {g(5)} ELSE '' END")
+    eligible = f"(contains({u}, '@') OR contains({u}, '?'))"
+    return (f"CASE WHEN {eligible} AND regexp_matches({u}, {sq(URL_RE)}) AND ({user_present} OR {q_changed}) "
+            f"THEN {rebuilt} ELSE {u} END")
+
+
+@query("m3_url", oracle=_RUNS + f"""
+SELECT run_id, {_sql_redact_url('base_url')} AS base_url, {_sql_redact_url('judge_base_url')} AS judge_base_url FROM runs""")
+def m3_url(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    return r.select("run_id", redact_url("base_url").alias("base_url"),
+                    redact_url("judge_base_url").alias("judge_base_url"))
+
+
+@query("m5_redact_config")
+def m5_redact_config(spark, sf_dir):
+    """M5 (rows-only: deep masking of override values runs in a per-run Python helper)."""
+    r = RU.redact_config(runs(spark, sf_dir))
+    return r.select("run_id", "api_key", "base_url", F.to_json("overrides_set").alias("overrides_set"),
+                    "judge_api_key", "judge_base_url")
+
+
+@query("h5_identity_hash")
+def h5_identity_hash(spark, sf_dir):
+    """H4 + H5 (rows-only): identity components and their SHA-256."""
+    r = RU.with_identity(runs(spark, sf_dir))
+    return r.select("run_id", "identity_hash", F.to_json("identity").alias("identity"))
+
+
+def _requested(spark, sf_dir):
+    """The configuration a resumed run asks for: some runs changed temperature or model."""
+    r = runs(spark, sf_dir)
+    k = F.regexp_extract("run_id", r"(\d+)", 1).cast("bigint")
+    return r.withColumns({
+        "temperature": F.when(k % 5 == 3, F.col("temperature") + F.lit(0.1)).otherwise(F.col("temperature")),
+        "model": F.when(k % 7 == 2, F.concat(F.col("model"), F.lit("-v2"))).otherwise(F.col("model")),
+    })
+
+
+@query("j5_identity_check")
+def j5_identity_check(spark, sf_dir):
+    """J5 + J7 + W6 (rows-only): stored header vs requested run; changed keys in key order."""
+    stored = RU.with_identity(runs(spark, sf_dir))
+    current = RU.with_identity(_requested(spark, sf_dir))
+    return RU.identity_check(stored, current)
+
+
+@query("q9_inspect")
+def q9_inspect(spark, sf_dir):
+    """Q9 (rows-only): masked request per valid run for the fixed sample problem."""
+    return RU.inspect_requests(runs(spark, sf_dir))
+
+
+@query("q5_override")
+def q5_override(spark, sf_dir):
+    """Q1-Q8 end to end (rows-only): shaped request per run × problem of its dataset."""
+    req = RU.build_requests(runs(spark, sf_dir), dataset_problems(spark, sf_dir))
+    return req.select("run_id", "item_id", "budget", F.sha2("request", 256).alias("request_sha"),
+                      F.length("request").cast("bigint").alias("request_chars"))
+
+
+_VALID = f"len({_sql_violations()}) = 0 AND len({_sql_protected()}) = 0"
+_FMT = SP.format_prompt("dp.problem", "r.evaluator_type", "dp.test_list")
+_BUDGET = SP.budget(_FMT, "r.max_output_tokens", "r.max_context_window")
+
+
+@query("q7_substitution", oracle=Q.with_ctes(Q.RUNS, Q.PROBLEMS, Q.DATASET_PROBLEMS) + f"""
+SELECT r.run_id, dp.item_id, {_BUDGET} AS budget,
+  CASE WHEN list_contains(list_transform(r.overrides_entries, lambda e: e.key), 'max_completion_tokens')
+       THEN {_BUDGET} END AS max_completion_tokens,
+  CASE WHEN list_contains(list_transform(r.overrides_entries, lambda e: e.key), 'metadata.note')
+       THEN 'budget ' || CAST({_BUDGET} AS VARCHAR) || ' tokens' END AS note,
+  CASE WHEN list_contains(r.overrides_unset, 'temperature') THEN false
+       ELSE r.provider IN ('chat_completion', 'openai-responses') END AS has_temperature
+FROM (SELECT * FROM runs WHERE {_VALID}) r JOIN dataset_problems dp ON dp.dataset_path = r.dataset_path""")
+def q7_substitution(spark, sf_dir):
+    """Q5-Q7 checked field by field: typed exact placeholder, textual embedded one, unset."""
+    req = RU.build_requests(runs(spark, sf_dir), dataset_problems(spark, sf_dir))
+    return req.select("run_id", "item_id", "budget",
+                      F.get_json_object("request", "$.max_completion_tokens").cast("bigint").alias("max_completion_tokens"),
+                      F.get_json_object("request", "$.metadata.note").alias("note"),
+                      F.get_json_object("request", "$.temperature").isNotNull().alias("has_temperature"))
+
+
+@query("q1_requests", oracle=Q.with_ctes(Q.RUNS, Q.PROBLEMS, Q.DATASET_PROBLEMS) + f"""
+SELECT r.run_id, dp.item_id, r.provider,
+  json_extract_string(req, '$.model') AS model, CAST(json_extract(req, '$.stream') AS BOOLEAN) AS stream,
+  coalesce(json_extract_string(req, '$.messages[0].content'), json_extract_string(req, '$.input'),
+           json_extract_string(req, '$.contents')) = {_FMT} AS prompt_placed,
+  CAST(coalesce(json_extract(req, '$.max_tokens'), json_extract(req, '$.max_output_tokens'),
+                json_extract(req, '$.config.max_output_tokens')) AS BIGINT) AS budget_field
+FROM (SELECT *, '{{"model":' || to_json(model) || ',"stream":' || CASE WHEN provider = 'gemini' THEN 'null' ELSE 'true' END
+        || '}}' AS req_head FROM runs WHERE {_VALID}) r
+JOIN dataset_problems dp ON dp.dataset_path = r.dataset_path,
+LATERAL (SELECT CASE r.provider
+    WHEN 'gemini' THEN '{{"model":' || to_json(r.model) || ',"contents":' || to_json({_FMT}) || ',"config":{{"max_output_tokens":' || CAST({_BUDGET} AS VARCHAR) || '}}}}'
+    WHEN 'openai-responses' THEN '{{"model":' || to_json(r.model) || ',"input":' || to_json({_FMT}) || ',"max_output_tokens":' || CAST({_BUDGET} AS VARCHAR) || ',"stream":true}}'
+    ELSE '{{"model":' || to_json(r.model) || ',"messages":[{{"role":"user","content":' || to_json({_FMT}) || '}}],"max_tokens":' || CAST({_BUDGET} AS VARCHAR) || ',"stream":true}}'
+  END AS req) x""")
+def q1_requests(spark, sf_dir):
+    """Q1-Q4: base request per provider (before overrides), checked field by field."""
+    r = RU.valid_runs(runs(spark, sf_dir))
+    from ..functions import prompts as P
+    rs = r.select("run_id", "dataset_path", "provider", "model", "evaluator_type", "temperature", "top_p",
+                  "max_output_tokens", "max_context_window")
+    dp = dataset_problems(spark, sf_dir).select("dataset_path", "item_id", "problem", "test_list")
+    j = dp.join(rs, "dataset_path")
+    j = j.withColumn("prompt", P.format_prompt("problem", "evaluator_type", "test_list"))
+    j = j.withColumn("budget", P.output_budget("prompt", "max_output_tokens", "max_context_window"))
+    j = j.withColumn("req", RU.base_request("provider", "model", "prompt", "budget", "temperature", "top_p"))
+    g = lambda p: F.get_json_object("req", p)
+    return j.select("run_id", "item_id", "provider", g("$.model").alias("model"),
+                    g("$.stream").cast("boolean").alias("stream"),
+                    (F.coalesce(g("$.messages[0].content"), g("$.input"), g("$.contents")) == F.col("prompt"))
+                    .alias("prompt_placed"),
+                    F.coalesce(g("$.max_tokens"), g("$.max_output_tokens"), g("$.config.max_output_tokens"))
+                    .cast("bigint").alias("budget_field"))
+
+
+# The base override layer (preset) every run starts from.
+BASE_SET = (("reasoning.effort", '"low"'), ("temperature", "0.5"))
+BASE_UNSET = ("top_p",)
+
+
+@query("q8_merge", oracle=_RUNS + f"""
+SELECT run_id,
+  array_to_string(list_sort(list_transform(list_concat(
+      list_filter([{', '.join(f"{{'key': {sq(k)}, 'value': {sq(v)}}}" for k, v in BASE_SET)}],
+                  lambda e: NOT list_contains(list_transform(overrides_entries, lambda c: c.key), e.key)),
+      overrides_entries), lambda e: e.key || '=' || e.value)), '|') AS merged_set,
+  array_to_string(list_filter(list_concat([{', '.join(sq(p) for p in BASE_UNSET)}],
+      list_filter(overrides_unset, lambda p: NOT list_contains([{', '.join(sq(p) for p in BASE_UNSET)}], p))),
+      lambda p: NOT (list_contains(list_transform(overrides_entries, lambda c: c.key), p)
+                     AND NOT list_contains(overrides_unset, p))), '|') AS merged_unset
+FROM runs""")
+def q8_merge(spark, sf_dir):
+    """Q8: preset layer overlaid by each run's own overrides."""
+    r = runs(spark, sf_dir)
+    base_set = F.create_map(*[x for k, v in BASE_SET for x in (F.lit(k), F.lit(v))])
+    base_unset = F.array(*[F.lit(p) for p in BASE_UNSET])
+    m = RU.merge_overrides(base_set, base_unset, "overrides_set", "overrides_unset")
+    r = r.withColumn("m", m)
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("m.set"),
+                                                   lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return r.select("run_id", merged.alias("merged_set"), F.array_join("m.unset", "|").alias("merged_unset"))
