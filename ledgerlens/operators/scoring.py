@@ -76,10 +76,18 @@ def summarize(df: DataFrame, by: Sequence[str] = ("run_id",), duration: float |
 def summarize_rollup(df: DataFrame, dims: Sequence[str], cube: bool = False) -> DataFrame:
     """Summaries at every level of ``rollup``/``cube`` over ``dims`` (one shuffle)."""
     grouped = df.cube(*dims) if cube else df.rollup(*dims)
-    agg = grouped.agg(*summary_aggs(df), *[F.grouping(d).alias(f"g_{d}") for d in dims])
-    out = _finish(agg, list(dims) + [f"g_{d}" for d in dims], None)
-    level = sum((F.col(f"g_{d}") * (1 << i) for i, d in enumerate(reversed(list(dims)))), F.lit(0))
-    return out.withColumn("grouping_level", level.cast("bigint")).drop(*[f"g_{d}" for d in dims])
+    agg = grouped.agg(*summary_aggs(df), F.grouping_id(*dims).cast("bigint").alias("grouping_level"))
+    return _finish(agg, list(dims) + ["grouping_level"], None)
+
+
+def fill_summary_aliases(df: DataFrame) -> DataFrame:
+    """Stored summaries — ``total_completion_tokens`` stands in for a missing
+    ``total_answer_tokens``; a missing or zero output total becomes answer + reasoning."""
+    ans = F.coalesce(F.col("total_answer_tokens"), F.col("total_completion_tokens"), F.lit(0).cast("bigint"))
+    out = F.when(F.coalesce(F.col("total_output_tokens"), F.lit(0)) == 0,
+                 ans + F.coalesce(F.col("total_reasoning_tokens"), F.lit(0).cast("bigint"))) \
+        .otherwise(F.col("total_output_tokens"))
+    return df.withColumns({"total_answer_tokens": ans, "total_output_tokens": out}).drop("total_completion_tokens")
 
 
 def round_summary(df: DataFrame) -> DataFrame:

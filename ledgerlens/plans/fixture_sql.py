@@ -337,3 +337,28 @@ DATASET_PROBLEMS = """dataset_problems AS (
   SELECT pr.*, 'data/' || lower(p_type) || '.jsonl' AS dataset_path
   FROM problems pr JOIN part ON part.p_partkey = pr.item_id
 )"""
+
+
+def _failures_sql() -> str:
+    from .fixtures import FAILURE_MESSAGES, FAILURE_STATUS, FINISH_REASONS, RUN_PROVIDERS
+    lst = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+    return f"""failures AS (
+  SELECT event_id, {lst(RUN_PROVIDERS)}[user_id % 4 + 1] AS provider,
+    CAST([{', '.join(str(x) for x in FAILURE_STATUS)}][event_id % 7 + 1] AS BIGINT) AS status_code,
+    {lst(FAILURE_MESSAGES)}[k % 8 + 1] AS message,
+    {lst(FINISH_REASONS)}[k % 6 + 1] AS finish_reason,
+    CAST(event_id % 4 AS BIGINT) AS attempt, CAST(3 AS BIGINT) AS max_retries, value AS latency
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'error'
+)"""
+
+
+FAILURES = _failures_sql()
+
+GENERATE_RESPONSES = """generate_responses AS (
+  SELECT doc_id,
+    CASE WHEN doc_id % 4 = 0 THEN body ELSE '' END AS text,
+    CASE WHEN doc_id % 4 = 1 THEN string_split(body, chr(10)) ELSE []::VARCHAR[] END AS parts,
+    CASE WHEN doc_id % 4 = 2 THEN body END AS candidate_text,
+    ['FinishReason.STOP', 'FinishReason.MAX_TOKENS', 'MAX_TOKENS'][doc_id % 3 + 1] AS finish_reason
+  FROM (SELECT doc_id, translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'abcdABCD', 'xxxxxxxx') AS body FROM documents)
+)"""

@@ -380,3 +380,44 @@ def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("item_id"),
         F.concat(F.lit("data/"), F.lower("p_type"), F.lit(".jsonl")).alias("dataset_path"))
     return problems(spark, sf_dir).join(part, "item_id", "inner")
+
+
+# Recorded provider failures (F9, from error events): status by event_id % 7,
+# message by k % 8, finish reason vocabulary by k % 6.
+FAILURE_STATUS = (400, 401, 403, 404, 422, 429, 500)
+FAILURE_MESSAGES = ("Invalid API key provided", "rate limit exceeded", "peer closed connection",
+                    "Internal server error", "ReadTimeout while streaming", "context length exceeded",
+                    "upstream returned 429", "Bad gateway")
+FINISH_REASONS = ("stop", "length", "max_tokens", "incomplete:max_output_tokens", "FinishReason.MAX_TOKENS",
+                  "end_turn")
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one recorded failure per error event, plus the finish reason of its request."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error") \
+        .withColumn("k", F.from_json("props", "k BIGINT")["k"])
+    eid, k = F.col("event_id"), F.col("k")
+    return e.select(
+        eid.alias("event_id"),
+        F.element_at(F.array(*[F.lit(x) for x in RUN_PROVIDERS]), (F.col("user_id") % 4 + 1).cast("int")).alias("provider"),
+        F.element_at(F.array(*[F.lit(x) for x in FAILURE_STATUS]), (eid % 7 + 1).cast("int")).cast("bigint").alias("status_code"),
+        F.element_at(F.array(*[F.lit(x) for x in FAILURE_MESSAGES]), (k % 8 + 1).cast("int")).alias("message"),
+        F.element_at(F.array(*[F.lit(x) for x in FINISH_REASONS]), (k % 6 + 1).cast("int")).alias("finish_reason"),
+        (eid % 4).cast("bigint").alias("attempt"),
+        F.lit(3).cast("bigint").alias("max_retries"),
+        F.col("value").alias("latency"))
+
+
+def generate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """non-streamed generate-content responses (text, candidate parts, candidate text)."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    did = F.col("doc_id")
+    body = doc_body(F.col("text"))
+    m = did % 4
+    return d.select(
+        did.alias("doc_id"),
+        F.when(m == 0, body).otherwise(F.lit("")).alias("text"),
+        F.when(m == 1, F.split(body, "\n", -1)).otherwise(F.array().cast("array<string>")).alias("parts"),
+        F.when(m == 2, body).alias("candidate_text"),
+        F.element_at(F.array(F.lit("FinishReason.STOP"), F.lit("FinishReason.MAX_TOKENS"), F.lit("MAX_TOKENS")),
+                     (did % 3 + 1).cast("int")).alias("finish_reason"))
