@@ -240,13 +240,13 @@ def chunk_values(k: Column, eid: Column) -> dict[str, Column]:
 def chunk_lines(spark: SparkSession, sf_dir: str, protocol: str) -> DataFrame:
     """one stream line per event; request = user, order = event id."""
     from .templates import case_spark
-    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", "ts"))
     e = e.withColumn("k", F.from_json("props", "k BIGINT")["k"])
     et, eid, k = F.col("event_type"), F.col("event_id"), F.col("k")
     kind = (F.when(et == "click", 0).when(et == "view", 1).when(et == "signup", 2)
             .when(et == "purchase", k % 4 + 3).otherwise(eid % 3 + 7))
     line = case_spark(kind, STREAM_LINES[protocol], chunk_values(k, eid))
-    return e.select(F.col("user_id").alias("request_id"), eid.alias("seq"), line.alias("line"))
+    return e.select(F.col("user_id").alias("request_id"), eid.alias("seq"), line.alias("line"), "ts")
 
 
 # Judge outputs (F6, by doc_id % 10); N is the answer the judge extracted.
