@@ -181,3 +181,13 @@ def w4_first_last(spark, sf_dir):
                     F.array_join(X.last_n("tests", 3), "|").alias("last_tests"),
                     F.substring("mcq_response", -200, 200).alias("tail200"),
                     F.substring("math_response", 1, 120).alias("head120"))
+
+
+@query("u1_grader_dispatch", oracle=_R + f"""
+SELECT doc_id, {_MCQ_A} AS extracted_answer, {_MCQ_M} AS extraction_method,
+       {SX.mcq_correct(_MCQ_A, 'truth')} AS correct FROM responses""")
+def u1_grader_dispatch(spark, sf_dir):
+    """The multiple-choice responses graded through the grader registry by name."""
+    from ..registry import grade
+    r = responses(spark, sf_dir).select("doc_id", F.col("mcq_response").alias("response"), "truth")
+    return grade(r, "science").select("doc_id", "extracted_answer", "extraction_method", "correct")
