@@ -59,7 +59,7 @@ def _finish(agg: DataFrame, keys: Sequence[str], duration: float | None) -> Data
         avg_tokens.alias("avg_tokens_per_problem"), avg_latency.alias("avg_latency"),
         "error_count",
     ]
-    out = agg.select(*cols).withColumn("ock_score", score("accuracy", "avg_tokens_per_problem"))
+    out = agg.select(*cols).withColumn("efficiency_score", score("accuracy", "avg_tokens_per_problem"))
     if duration is not None:
         out = out.withColumn("total_duration", F.lit(float(duration)))
     return out
@@ -96,5 +96,5 @@ def round_summary(df: DataFrame) -> DataFrame:
         "accuracy": F.round("accuracy", 6),
         "avg_tokens_per_problem": F.round("avg_tokens_per_problem", 6),
         "avg_latency": F.round("avg_latency", 6),
-        "ock_score": F.round("ock_score", 9),
+        "efficiency_score": F.round("efficiency_score", 9),
     })

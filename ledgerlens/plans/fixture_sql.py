@@ -81,7 +81,7 @@ SUMMARY_SELECT = """
     round(coalesce(sum(latency) / count(*), 0.0), 6) AS avg_latency,
     count_if(coalesce(length(error), 0) > 0 OR coalesce(length(evaluator_error), 0) > 0)::BIGINT AS error_count,
     round(coalesce(count_if(coalesce(correct, false)) / count(*) * 100.0, 0.0)
-          - 10.0 * ln(coalesce(sum(total_tokens) / count(*), 0.0) / 10000.0 + 1.0), 9) AS ock_score"""
+          - 10.0 * ln(coalesce(sum(total_tokens) / count(*), 0.0) / 10000.0 + 1.0), 9) AS efficiency_score"""
 
 
 def with_ctes(*ctes: str) -> str:

@@ -32,10 +32,10 @@ def a3_summary_all(spark, sf_dir):
 
 
 @query("a2_score", oracle=Q.with_ctes(Q.ATTEMPTS) + """
-SELECT seq, round(10.0 * (seq % 10) - 10.0 * ln(total_tokens / 10000.0 + 1.0), 9) AS ock_score FROM attempts""")
+SELECT seq, round(10.0 * (seq % 10) - 10.0 * ln(total_tokens / 10000.0 + 1.0), 9) AS efficiency_score FROM attempts""")
 def a2_score(spark, sf_dir):
     a = attempts(spark, sf_dir)
-    return a.select("seq", F.round(S.score((F.col("seq") % 10) * F.lit(10.0), F.col("total_tokens")), 9).alias("ock_score"))
+    return a.select("seq", F.round(S.score((F.col("seq") % 10) * F.lit(10.0), F.col("total_tokens")), 9).alias("efficiency_score"))
 
 
 @query("a1_latest_attempt", oracle=Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST) + """

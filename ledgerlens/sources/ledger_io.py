@@ -116,9 +116,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     results = spark.read.parquet(f"{base}/results")
     docs = spark.read.text(f"{base}/documents").select(
         "run_id", F.from_json("value", "config STRUCT<provider: STRING, model: STRING>, "
-                                        "summary STRUCT<accuracy: DOUBLE, ock_score: DOUBLE>").alias("d"))
+                                        "summary STRUCT<accuracy: DOUBLE, efficiency_score: DOUBLE>").alias("d"))
     docs = docs.select("run_id", F.assert_true(non_empty("d.config.provider"),
                                                F.lit("result document lacks provider")).alias("_ok"),
                        F.col("d.config.provider").alias("provider"), F.col("d.config.model").alias("model"),
-                       F.col("d.summary.accuracy").alias("accuracy"), F.col("d.summary.ock_score").alias("ock_score"))
+                       F.col("d.summary.accuracy").alias("accuracy"), F.col("d.summary.efficiency_score").alias("efficiency_score"))
     return results.join(docs.filter(F.col("_ok").isNull()).drop("_ok"), "run_id", "left")

@@ -32,13 +32,13 @@ def test_summary_golden_rollup(spark):
     assert (s.total_prompt_tokens, s.total_answer_tokens, s.total_reasoning_tokens) == (15, 45, 25)
     assert (s.total_output_tokens, s.total_tokens) == (70, 90)
     assert s.avg_tokens_per_problem == 45.0
-    assert s.ock_score == pytest.approx(50.0 - 10 * math.log(45.0 / 10000 + 1))
+    assert s.efficiency_score == pytest.approx(50.0 - 10 * math.log(45.0 / 10000 + 1))
     assert s.error_count == 0
 
 
 def test_summary_empty_is_zero(spark):
     s = S.summarize(_ledger(spark, []), by=()).collect()[0]
-    assert (s.total_problems, s.accuracy, s.total_tokens, s.avg_tokens_per_problem, s.ock_score) == (0, 0.0, 0, 0.0, 0.0)
+    assert (s.total_problems, s.accuracy, s.total_tokens, s.avg_tokens_per_problem, s.efficiency_score) == (0, 0.0, 0, 0.0, 0.0)
 
 
 def test_error_truthiness(spark):
