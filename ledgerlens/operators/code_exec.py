@@ -62,8 +62,12 @@ def _runner(script_col: str, timeout_s: float, per_task: int):
 def run_scripts(df: DataFrame, keys: Sequence[str], script_col: str = "script", timeout_s: float = 5,
                 partitions: int | None = None, per_task: int = 2) -> DataFrame:
     """``(keys..., script)`` → ``(keys..., rc, stdout, stderr, timed_out)``."""
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism * 2, 1)
+    if partitions is None:
+        try:
+            partitions = max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
+        except Exception:  # noqa: BLE001 - no context handle: let the shuffle default decide
+            partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = partitions
     narrow = df.select(*keys, script_col).repartition(n)
     schema = T.StructType([f for f in narrow.schema.fields if f.name != script_col] + RUN_FIELDS)
     return narrow.mapInPandas(_runner(script_col, timeout_s, per_task), schema)

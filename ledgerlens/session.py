@@ -49,13 +49,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we read it from the session.  Only when
     it is unset (local tests) do we pick a fresh scratch folder of our own.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a context handle (e.g. Connect)
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -72,9 +81,8 @@ def spread(df, factor: int = 2):
     (regex cascades, JSON parsing) is not confined to the scan's few tasks.  A scan that
     already has enough splits — the normal case at scale — is left untouched (no shuffle).
     """
-    sc = df.sparkSession.sparkContext
-    target = max(sc.defaultParallelism * factor, 1)
     try:
+        target = max(df.sparkSession.sparkContext.defaultParallelism * factor, 1)
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. no RDD access: keep the plan as it is
         return df
