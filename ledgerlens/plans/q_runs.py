@@ -119,12 +119,25 @@ def m3_url(spark, sf_dir):
                     redact_url("judge_base_url").alias("judge_base_url"))
 
 
-@query("m5_redact_config")
+_MASKED_COUNT = ("(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END "
+                 "+ CASE WHEN k % 5 = 2 THEN 2 ELSE 0 END)")
+
+
+@query("m5_redact_config", oracle=_RUNS + f"""
+SELECT run_id, CASE WHEN coalesce(length(api_key), 0) > 0 THEN '{MASK}' ELSE api_key END AS api_key,
+  {_sql_redact_url('base_url')} AS base_url,
+  CASE WHEN coalesce(length(judge_api_key), 0) > 0 THEN '{MASK}' ELSE judge_api_key END AS judge_api_key,
+  {_sql_redact_url('judge_base_url')} AS judge_base_url,
+  CAST({_MASKED_COUNT} AS BIGINT) AS masked_values, false AS leaked
+FROM (SELECT *, CAST(substr(run_id, 4) AS BIGINT) AS k FROM runs)""")
 def m5_redact_config(spark, sf_dir):
-    """M5 (rows-only: deep masking of override values runs in a per-run Python helper)."""
-    r = RU.redact_config(runs(spark, sf_dir))
-    return r.select("run_id", "api_key", "base_url", F.to_json("overrides_set").alias("overrides_set"),
-                    "judge_api_key", "judge_base_url")
+    """M4 + M5: every credential masked (key, URL user-info and query, judge trio, override values
+    at any depth); counts the masked override values and checks no secret text survives."""
+    r = RU.redact_config(runs(spark, sf_dir)).withColumn("ov", F.to_json("overrides_set"))
+    masked = (F.size(F.split("ov", F.lit(MASK.replace("*", r"\*")))) - 1).cast("bigint")
+    leaked = F.col("ov").rlike(r'Bearer tok|tok-\d|pw\d|secret\\":\\"s\\"')
+    return r.select("run_id", "api_key", "base_url", "judge_api_key", "judge_base_url",
+                    masked.alias("masked_values"), leaked.alias("leaked"))
 
 
 @query("h5_identity_hash")
@@ -144,9 +157,14 @@ def _requested(spark, sf_dir):
     })
 
 
-@query("j5_identity_check")
+@query("j5_identity_check", oracle=_RUNS + """
+SELECT run_id, NOT (k % 5 = 3 OR k % 7 = 2) AS resumable,
+       array_to_string(list_filter([CASE WHEN k % 5 = 3 THEN 'generation' END, CASE WHEN k % 7 = 2 THEN 'model' END],
+                                   lambda x: x IS NOT NULL), ',') AS changed
+FROM (SELECT run_id, CAST(substr(run_id, 4) AS BIGINT) AS k FROM runs)""")
 def j5_identity_check(spark, sf_dir):
-    """J5 + J7 + W6 (rows-only): stored header vs requested run; changed keys in key order."""
+    """J5 + J7 + W6: stored header vs requested run (some runs changed temperature or model);
+    the identity hash must differ exactly there, and the changed keys come out in key order."""
     stored = RU.with_identity(runs(spark, sf_dir))
     current = RU.with_identity(_requested(spark, sf_dir))
     return RU.identity_check(stored, current)

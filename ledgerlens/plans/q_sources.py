@@ -99,9 +99,12 @@ def s5_append(spark, sf_dir):
     return _summary(LIO.read_rows(spark, path))
 
 
-@query("s7_results")
+@query("s7_results", oracle=Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST, Q.RUNS) + f"""
+SELECT l.run_id, l.problem_key, l.correct, r.provider, r.model, s.accuracy
+FROM latest l JOIN runs r ON r.run_id = l.run_id
+JOIN (SELECT run_id, {Q.SUMMARY_SELECT} FROM latest GROUP BY run_id) s ON s.run_id = l.run_id""")
 def s7_results(spark, sf_dir):
-    """S7 + S8 (rows-only): results, summaries and redacted configs written, read back joined."""
+    """S7 + S8: results, summaries and redacted configs written, read back and joined."""
     from .fixtures import runs
     path = _scratch(spark, sf_dir, "results")
     latest = L.latest_rows(attempts(spark, sf_dir), columns=("correct", "total_tokens", "error", "evaluator_error",
