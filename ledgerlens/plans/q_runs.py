@@ -135,7 +135,7 @@ def m5_redact_config(spark, sf_dir):
     at any depth); counts the masked override values and checks no secret text survives."""
     r = RU.redact_config(runs(spark, sf_dir)).withColumn("ov", F.to_json("overrides_set"))
     masked = (F.size(F.split("ov", F.lit(MASK.replace("*", r"\*")))) - 1).cast("bigint")
-    leaked = F.col("ov").rlike(r'Bearer tok|tok-\d|pw\d|secret\\":\\"s\\"')
+    leaked = F.col("ov").rlike(r'Bearer tok|tok-\d|pw\d|secret\\":\s*\\"s\\"')
     return r.select("run_id", "api_key", "base_url", "judge_api_key", "judge_base_url",
                     masked.alias("masked_values"), leaked.alias("leaked"))
 
