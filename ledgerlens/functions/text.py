@@ -63,3 +63,15 @@ def py_repr(c) -> Column:
     use_double = s.contains("'") & ~s.contains('"')
     return F.when(use_double, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'")))
+
+
+def staged(df, **cols: Column):
+    """Add ``cols`` to ``df`` so that each is evaluated exactly once per row.
+
+    Catalyst inlines an aliased expression into every later reference, including a
+    filter it pushes below the projection (and below a repartition).  For a regex
+    cascade that doubles the most expensive work of a query and can move it into the
+    few tasks of a scan.  A one-element ``inline`` is a Generate node: predicates on
+    its outputs are not pushed below it and projections do not collapse through it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

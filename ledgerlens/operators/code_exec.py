@@ -77,21 +77,19 @@ def grade_code(df: DataFrame, keys: Sequence[str], code_col: str = "code", tests
                timeout_s: float = 5, partitions: int | None = None) -> DataFrame:
     """X9 + X10: run rows that have code and tests, then grade every row.
 
-    Rows without code or tests never reach a Python worker; their fixed outcome is a
-    column expression.  Runnable rows carry their own columns through the worker and
-    the two branches are concatenated, so no join matches results back by key.
+    One pass: every row carries its own columns through the worker, and only rows with
+    code and tests get a script, so only they start a child interpreter; the fixed
+    outcome of the others is a column expression.  Nothing is matched back by key,
+    and the extraction that produced ``code_col`` is evaluated once.
     """
     keys = list(keys)
     runnable = F.coalesce(F.length(code_col) > 0, F.lit(False)) & F.coalesce(F.size(tests_col) > 0, F.lit(False))
-    base = df.select(*keys, code_col, tests_col).withColumn("_run", runnable)
     carried = keys + [code_col, tests_col]
-    to_run = base.filter("_run").select(*carried, test_script(code_col, tests_col).alias("script"))
-    ran = run_scripts(to_run, carried, "script", timeout_s, partitions)
-    rest = base.filter(~F.col("_run")).select(
-        *carried, *[F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FIELDS])
+    prepared = df.select(*carried, F.when(runnable, test_script(code_col, tests_col)).alias("script"))
+    ran = run_scripts(prepared, carried, "script", timeout_s, partitions)
     outcome = run_outcome(tests_col, "rc", "stdout", "stderr", F.coalesce(F.col("timed_out"), F.lit(False)),
                           _fmt_timeout(timeout_s))
-    graded = ran.unionByName(rest).withColumn("g", code_grade(code_col, tests_col, outcome))
+    graded = ran.withColumn("g", code_grade(code_col, tests_col, outcome))
     return graded.select(*keys, "g.all_passed", "g.tests_passed", "g.tests_total", "g.execution_error")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..functions.text import last_match
+from ..functions.text import last_match, staged
 from ..operators.code_exec import grade_code
 from ..operators.judge import judge_prompt
 from . import fixture_sql as Q
@@ -107,7 +107,7 @@ def _judge_prompt_sql():
 SELECT doc_id, sha256({_judge_prompt_sql()}) AS prompt_sha, length({_judge_prompt_sql()})::BIGINT AS prompt_chars
 FROM responses WHERE {_X1_M} <> 'empty_response'""")
 def x12_judge_prompt(spark, sf_dir):
-    r = responses(spark, sf_dir).withColumn("c", X.math_candidate("math_response")).filter("c.needs_judge")
+    r = staged(responses(spark, sf_dir), c=X.math_candidate("math_response")).filter("c.needs_judge")
     p = judge_prompt("question", "math_truth", "c.candidate")
     return r.select("doc_id", F.sha2(p, 256).alias("prompt_sha"), F.length(p).cast("bigint").alias("prompt_chars"))
 
@@ -147,7 +147,7 @@ SELECT doc_id, sha256(script) AS script_sha, length(script)::BIGINT AS script_ch
 FROM (SELECT doc_id, {SX.test_script('code', 'tests')} AS script
       FROM (SELECT doc_id, tests, {_X5_A} AS code FROM responses) WHERE code IS NOT NULL)""")
 def x8_script(spark, sf_dir):
-    r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response")).filter(F.col("c.answer").isNotNull())
+    r = staged(responses(spark, sf_dir), c=X.code_answer("code_response")).filter(F.col("c.answer").isNotNull())
     s = X.test_script("c.answer", "tests")
     return r.select("doc_id", F.sha2(s, 256).alias("script_sha"), F.length(s).cast("bigint").alias("script_chars"))
 
@@ -157,7 +157,7 @@ SELECT doc_id, false AS all_passed, 0::BIGINT AS tests_passed, len(tests)::BIGIN
        'Failed to extract code' AS execution_error
 FROM (SELECT doc_id, tests, {_X5_A} AS code FROM responses) WHERE code IS NULL""")
 def x10_no_code(spark, sf_dir):
-    r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response")).filter(F.col("c.answer").isNull())
+    r = staged(responses(spark, sf_dir), c=X.code_answer("code_response")).filter(F.col("c.answer").isNull())
     g = X.code_grade("c.answer", "tests", F.lit(None))
     return r.select("doc_id", g["all_passed"].alias("all_passed"), g["tests_passed"].alias("tests_passed"),
                     g["tests_total"].alias("tests_total"), g["execution_error"].alias("execution_error"))
