@@ -117,16 +117,25 @@ def coerce_correct_text(s) -> Column:
     return F.coalesce(F.lower(strip_ws(s)).isin(*AFFIRMATIVE), F.lit(False))
 
 
-def parse_judgment(content) -> Column:
-    """X13 + X14: struct<correct, extracted_answer, reasoning, error, stage>."""
-    c = unfence(content)
-    whole = strict_json(c)
+def _last_strict_span(c) -> Column:
+    """Stage 3: the last ``{...}`` span (shortest brace span) that parses strictly."""
     spans = F.regexp_extract_all(c, F.lit(JSON_SPAN), F.lit(0))
     parsed_spans = F.filter(F.transform(spans, lambda m: strict_json(m)), lambda v: v.isNotNull())
-    span = F.try_element_at(parsed_spans, F.lit(-1))
+    return F.try_element_at(parsed_spans, F.lit(-1))
+
+
+def _stage(c, whole, span) -> Column:
+    trunc_ok = lstrip_ws(c).startswith("{") & c.rlike(TRUNC_CORRECT)
+    return (F.when(whole.isNotNull() & _is_object(whole), F.lit("whole"))
+            .when(whole.isNotNull(), F.lit("not_object"))
+            .when(span.isNotNull(), F.lit("span"))
+            .when(trunc_ok, F.lit("truncated"))
+            .otherwise(F.lit("failed")))
+
+
+def _judgment(c, whole, span, stage) -> Column:
+    """The verdict struct from the unfenced text, its two strict parses and the stage."""
     m_corr = F.regexp_extract(c, TRUNC_CORRECT, 1)
-    has_corr = c.rlike(TRUNC_CORRECT)
-    trunc_ok = lstrip_ws(c).startswith("{") & has_corr
     ext_raw = F.when(c.rlike(TRUNC_EXTRACTED), F.regexp_extract(c, TRUNC_EXTRACTED, 1))
     ext_dec = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), ext_raw, F.lit('"'))), "$", "string")
     rea_raw = F.when(c.rlike(TRUNC_REASONING), F.regexp_extract(c, TRUNC_REASONING, 1))
@@ -134,13 +143,7 @@ def parse_judgment(content) -> Column:
     head = F.substring(c, 1, HEAD_CHARS)
     fail_msg = F.concat(F.lit("JSONDecodeError: No JSON object found in judge response (head: "),
                         py_repr(head), F.lit("): line 1 column 1 (char 0)"))
-
     obj = F.when(whole.isNotNull(), whole).otherwise(span)
-    stage = (F.when(whole.isNotNull() & _is_object(whole), F.lit("whole"))
-             .when(whole.isNotNull(), F.lit("not_object"))
-             .when(span.isNotNull(), F.lit("span"))
-             .when(trunc_ok, F.lit("truncated"))
-             .otherwise(F.lit("failed")))
 
     def field(name):
         return F.try_variant_get(obj, f"$.{name}", "string")
@@ -161,6 +164,25 @@ def parse_judgment(content) -> Column:
                     reasoning.alias("reasoning"), error.alias("error"), stage.alias("stage"))
 
 
+def parse_judgment(content) -> Column:
+    """X13 + X14: struct<correct, extracted_answer, reasoning, error, stage>."""
+    c = unfence(content)
+    whole, span = strict_json(c), _last_strict_span(c)
+    return _judgment(c, whole, span, _stage(c, whole, span))
+
+
+def parse_judgment_frame(df: DataFrame, content: str, out: str = "judgment") -> DataFrame:
+    """:func:`parse_judgment` as staged projections: the unfenced text, both strict parses
+    and the stage are columns of their own, so Catalyst keeps one projection per stage
+    instead of inlining each into every reference (the single expression is ~100x
+    larger and too big for whole-stage code generation).  Adds struct ``out``."""
+    s = df.withColumn("_jc", unfence(content))
+    s = s.withColumns({"_jw": strict_json("_jc"), "_js": _last_strict_span(F.col("_jc"))})
+    s = s.withColumn("_jst", _stage(F.col("_jc"), F.col("_jw"), F.col("_js")))
+    s = s.withColumn(out, _judgment(F.col("_jc"), F.col("_jw"), F.col("_js"), F.col("_jst")))
+    return s.drop("_jc", "_jw", "_js", "_jst")
+
+
 def verdict_grade(candidates: DataFrame, verdicts: DataFrame, keys: Sequence[str],
                   response_col: str = "response", content_col: str = "content") -> DataFrame:
     """J6 + X11 + X15: grade math responses from a table of judge outputs.
@@ -171,8 +193,8 @@ def verdict_grade(candidates: DataFrame, verdicts: DataFrame, keys: Sequence[str
     """
     keys = list(keys)
     cands = candidates.withColumn("_c", math_candidate(response_col))
-    judged = cands.join(verdicts.select(*keys, content_col), keys, "left") \
-        .withColumn("_v", F.when(F.col(content_col).isNotNull(), parse_judgment(content_col)))
+    judged = parse_judgment_frame(cands.join(verdicts.select(*keys, content_col), keys, "left"), content_col, "_v")
+    judged = judged.withColumn("_v", F.when(F.col(content_col).isNotNull(), F.col("_v")))
     blank = ~F.col("_c.needs_judge")
     missing = F.col("_v").isNull()
     err = F.when(blank, F.lit(None).cast("string")).when(missing, F.lit(MISSING_VERDICT)) \

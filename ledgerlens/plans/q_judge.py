@@ -17,14 +17,14 @@ _PARSED = Q.with_ctes(Q.JUDGE_OUTPUTS, parsed_cte())
 @query("x13_parse", oracle=_PARSED + """
 SELECT doc_id, stage, correct, extracted_answer, reasoning, error FROM judge_parsed""")
 def x13_parse(spark, sf_dir):
-    j = judge_outputs(spark, sf_dir).withColumn("v", J.parse_judgment("content"))
+    j = J.parse_judgment_frame(judge_outputs(spark, sf_dir), "content", "v")
     return j.select("doc_id", "v.stage", "v.correct", "v.extracted_answer", "v.reasoning", "v.error")
 
 
 @query("x14_coerce", oracle=_PARSED + """
 SELECT stage, correct, count(*)::BIGINT AS n FROM judge_parsed GROUP BY stage, correct""")
 def x14_coerce(spark, sf_dir):
-    j = judge_outputs(spark, sf_dir).withColumn("v", J.parse_judgment("content"))
+    j = J.parse_judgment_frame(judge_outputs(spark, sf_dir), "content", "v")
     return j.groupBy("v.stage", "v.correct").agg(F.count(F.lit(1)).alias("n"))
 
 
