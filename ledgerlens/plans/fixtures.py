@@ -326,7 +326,7 @@ OVERRIDE_UNSET_RULES = (("temperature", 3, 0), ("messages.0", 10, 0), ("stream_o
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the run registry — one run configuration per part (base URL from ``pages``)."""
     from .templates import render_spark
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
     pg = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), "url")
     j = p.join(pg, "p_partkey", "left")
     k, size = F.col("p_partkey"), F.col("p_size")
