@@ -201,10 +201,12 @@ FROM (SELECT * FROM runs WHERE {_VALID}) r JOIN dataset_problems dp ON dp.datase
 def q7_substitution(spark, sf_dir):
     """Q5-Q7 checked field by field: typed exact placeholder, textual embedded one, unset."""
     req = RU.build_requests(runs(spark, sf_dir), dataset_problems(spark, sf_dir))
+    # One parse per request; string fields keep a value's JSON text, as ``get_json_object`` does.
+    f = F.from_json("request", "max_completion_tokens STRING, metadata STRUCT<note: STRING>, temperature STRING")
     return req.select("run_id", "item_id", "budget",
-                      F.get_json_object("request", "$.max_completion_tokens").cast("bigint").alias("max_completion_tokens"),
-                      F.get_json_object("request", "$.metadata.note").alias("note"),
-                      F.get_json_object("request", "$.temperature").isNotNull().alias("has_temperature"))
+                      f["max_completion_tokens"].cast("bigint").alias("max_completion_tokens"),
+                      f["metadata"]["note"].alias("note"),
+                      f["temperature"].isNotNull().alias("has_temperature"))
 
 
 @query("q1_requests", oracle=Q.with_ctes(Q.RUNS, Q.PROBLEMS, Q.DATASET_PROBLEMS) + f"""
