@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import MASK, is_secret_key, redact_url
 from ..operators import runs as RU
+from ..session import spread
 from . import fixture_sql as Q
 from . import sql_prompts as SP
 from .fixtures import dataset_problems, runs
@@ -231,11 +232,12 @@ def q1_requests(spark, sf_dir):
     rs = r.select("run_id", "dataset_path", "provider", "model", "evaluator_type", "temperature", "top_p",
                   "max_output_tokens", "max_context_window")
     dp = dataset_problems(spark, sf_dir).select("dataset_path", "item_id", "problem", "test_list")
-    j = dp.join(rs, "dataset_path")
+    j = spread(dp).join(rs, "dataset_path")
     j = j.withColumn("prompt", P.format_prompt("problem", "evaluator_type", "test_list"))
     j = j.withColumn("budget", P.output_budget("prompt", "max_output_tokens", "max_context_window"))
     j = j.withColumn("req", RU.base_request("provider", "model", "prompt", "budget", "temperature", "top_p"))
-    g = lambda p: F.get_json_object("req", p)
+    j = j.withColumn("_v", F.try_parse_json("req"))  # one parse, many lookups
+    g = lambda p: F.try_variant_get("_v", p, "string")
     return j.select("run_id", "item_id", "provider", g("$.model").alias("model"),
                     g("$.stream").cast("boolean").alias("stream"),
                     (F.coalesce(g("$.messages[0].content"), g("$.input"), g("$.contents")) == F.col("prompt"))
