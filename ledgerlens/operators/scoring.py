@@ -73,6 +73,11 @@ def summarize(df: DataFrame, by: Sequence[str] = ("run_id",), duration: float |
     return _finish(agg, keys, duration)
 
 
+def summary_from_sums(agg: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """A3 from already merged sums named as in :func:`summary_aggs` (e.g. incremental deltas)."""
+    return _finish(agg, list(by), None)
+
+
 def summarize_rollup(df: DataFrame, dims: Sequence[str], cube: bool = False) -> DataFrame:
     """Summaries at every level of ``rollup``/``cube`` over ``dims`` (one shuffle)."""
     grouped = df.cube(*dims) if cube else df.rollup(*dims)

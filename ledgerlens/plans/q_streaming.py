@@ -73,4 +73,4 @@ def t3_live_summary(spark, sf_dir):
     work = _workdir(spark, "t3")
     _stage_two_arrivals(attempts(spark, sf_dir), "problem_key", "seq", f"{work}/src")
     LS.live_summary(spark, f"{work}/src", f"{work}/summary", f"{work}/ckpt", FILES_PER_ARRIVAL).awaitTermination()
-    return spark.read.parquet(f"{work}/summary").drop("batch_id")
+    return spark.read.parquet(f"{work}/summary/current").drop("batch_id")

@@ -4,15 +4,21 @@
   the run-partitioned Parquet ledger through the exactly-once file sink; a restart
   resumes from the checkpoint and never re-appends a committed file.  Logical
   duplicates (a problem attempted again) are resolved later by latest-row de-dup.
-* T3: a streaming aggregation keeps the latest attempt per ``(run, problem)`` in the
-  state store; each trigger recomputes the run summaries from that table inside
-  ``foreachBatch`` (a second aggregation cannot be chained in the same streaming
-  query) and overwrites the summary table.
+* T3: the state store keeps, per ``(run, problem)``, the summary contribution of its
+  latest attempt (one row of counts and sums).  When a newer attempt arrives the state
+  function emits the difference (new minus old contribution), so every trigger
+  produces O(changed problems) delta rows, never the whole table.  ``foreachBatch``
+  writes the per-run sums of a batch's deltas into that batch's own partition
+  (a retried batch overwrites it, so nothing is counted twice) and republishes the
+  summaries from the per-batch sums, which are one row per run and batch.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import ledger as L
 from ..operators import scoring as S
@@ -40,21 +46,66 @@ def ingest(spark: SparkSession, src: str, ledger_path: str, checkpoint: str, fil
     return q
 
 
-SUMMARY_PAYLOAD = ("correct", "prompt_tokens", "answer_tokens", "reasoning_tokens", "output_tokens",
-                   "total_tokens", "latency", "gen_error", "eval_error", "has_response")
+# Contribution of one latest attempt to its run's summary sums.
+CONTRIB = (("n", T.LongType()), ("n_correct", T.LongType()), ("total_tokens", T.LongType()),
+           ("prompt_tokens", T.LongType()), ("answer_tokens", T.LongType()), ("reasoning_tokens", T.LongType()),
+           ("output_tokens", T.LongType()), ("latency", T.DoubleType()), ("n_error", T.LongType()))
+DELTA_SCHEMA = T.StructType([T.StructField("run_id", T.StringType())]
+                            + [T.StructField(n, t) for n, t in CONTRIB])
+DELTA_STATE = T.StructType([T.StructField("seq", T.LongType())] + [T.StructField(n, t) for n, t in CONTRIB])
+# Summary sums (as named by ``scoring.summary_aggs``) ← delta columns.
+SUM_OF = (("total_problems", "n"), ("correct_count", "n_correct"), ("total_tokens", "total_tokens"),
+          ("total_prompt_tokens", "prompt_tokens"), ("total_answer_tokens", "answer_tokens"),
+          ("total_reasoning_tokens", "reasoning_tokens"), ("total_output_tokens", "output_tokens"),
+          ("_latency_sum", "latency"), ("error_count", "n_error"))
+
+
+def contributions(rows: DataFrame) -> DataFrame:
+    """Row fixes (P15, P14), error flags, then one attempt's counts and sums (JVM-side)."""
+    f = L.error_flags(L.migrate_legacy_errors(L.fill_token_usage(rows)))
+    zero = F.lit(0).cast("bigint")
+    return f.select(
+        "run_id", "problem_key", "seq", F.lit(1).cast("bigint").alias("n"),
+        F.when(F.coalesce(F.col("correct"), F.lit(False)), 1).otherwise(0).cast("bigint").alias("n_correct"),
+        *[F.coalesce(F.col(c), zero).alias(c) for c in ("total_tokens", "prompt_tokens", "answer_tokens",
+                                                         "reasoning_tokens", "output_tokens")],
+        F.coalesce(F.col("latency"), F.lit(0.0)).alias("latency"),
+        F.when(F.col("gen_error") | F.col("eval_error"), 1).otherwise(0).cast("bigint").alias("n_error"))
+
+
+def _latest_delta(key, batches, state):
+    pdf = pd.concat(list(batches), ignore_index=True)
+    best = pdf.loc[pdf["seq"].idxmax()]
+    if state.exists and state.get[0] >= best["seq"]:
+        return  # only older attempts arrived: the latest row is unchanged
+    old = state.get[1:] if state.exists else (0,) * len(CONTRIB)
+    new = tuple(float(best[n]) if t == T.DoubleType() else int(best[n]) for n, t in CONTRIB)
+    state.update((int(best["seq"]),) + new)
+    yield pd.DataFrame([{"run_id": key[0], **{n: b - a for (n, _), a, b in zip(CONTRIB, old, new)}}])
+
+
+def latest_deltas(rows: DataFrame) -> DataFrame:
+    """Per ``(run, problem)``: the change of the run's sums when its latest attempt changes."""
+    return contributions(rows).groupBy("run_id", "problem_key").applyInPandasWithState(
+        _latest_delta, DELTA_SCHEMA, DELTA_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def live_summary(spark: SparkSession, src: str, summary_path: str, checkpoint: str,
                  files_per_trigger: int | None = None):
-    """Latest attempt per problem kept as streaming state; summaries rewritten per trigger."""
-    rows = read_attempts_stream(spark, src, files_per_trigger)
-    flagged = L.error_flags(L.migrate_legacy_errors(L.fill_token_usage(rows)))
-    latest = flagged.groupBy("run_id", "problem_key").agg(
-        F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in SUMMARY_PAYLOAD])
+    """Run summaries over the latest attempt per problem, kept current per trigger.
+
+    Layout: ``<summary_path>/deltas/batch_id=N`` (per-run sums of batch N's deltas) and
+    ``<summary_path>/current`` (the published summaries)."""
+    base = summary_path.rstrip("/")
+    deltas_schema = T.StructType(DELTA_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        s = S.round_summary(S.summarize(batch, by=("run_id",)))
-        s.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(summary_path)
+        sums = batch.groupBy("run_id").agg(*[F.sum(n).alias(n) for n, _ in CONTRIB])
+        sums.write.mode("overwrite").parquet(f"{base}/deltas/batch_id={batch_id}")
+        merged = batch.sparkSession.read.schema(deltas_schema).parquet(f"{base}/deltas").groupBy("run_id").agg(
+            *[F.sum(d).alias(s) for s, d in SUM_OF])
+        out = S.round_summary(S.summary_from_sums(merged))
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/current")
 
-    return (latest.writeStream.outputMode("complete").foreachBatch(publish)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (latest_deltas(read_attempts_stream(spark, src, files_per_trigger)).writeStream
+            .foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
