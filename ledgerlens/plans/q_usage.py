@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import usage as U
+from ..functions.text import staged
 from . import fixture_sql as Q
 from .fixtures import usage_payloads
 from .registry import query
@@ -134,5 +135,5 @@ FROM usage_fields
 WHERE provider = 'anthropic' AND (coalesce(j_cache_creation, 0) > 0 OR coalesce(j_cache_read, 0) > 0)""")
 def n10_cache_rows(spark, sf_dir):
     df = _parsed(spark, sf_dir).filter(F.col("provider") == U.MESSAGES)
-    m = df.select(*_KEYS, U.cache_metrics("u").alias("m")).select(*_KEYS, "m.*")
+    m = staged(df.select(*_KEYS, "u"), m=U.cache_metrics("u")).select(*_KEYS, "m.*")
     return m.filter((F.col("cache_creation_tokens") > 0) | (F.col("cache_read_tokens") > 0))
