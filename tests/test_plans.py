@@ -46,3 +46,10 @@ def test_filtered_cascade_is_evaluated_once(spark):
 @pytest.mark.parametrize("name", ["x13_parse", "j6_verdicts"])
 def test_judge_recovery_stays_small(spark, name):
     assert len(_plan(spark, name)) < 60_000
+
+
+def test_cache_filter_does_not_reparse_payloads(spark):
+    plan = _plan(spark, "n10_cache_rows")
+    filters = [ln for ln in plan.split("\n") if re.search(r"\bFilter\b", ln)]
+    assert filters and all("from_json" not in ln for ln in filters)
+    assert plan.count("from_json") == 1
