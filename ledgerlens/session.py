@@ -7,8 +7,10 @@ cluster's own settings (shuffle partitions, checkpoint folder, ...) always win.
 """
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +71,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python functions can
+    be loaded there whatever folder or ``PYTHONPATH`` the workers start with."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a session without a context handle ships by artifacts
+        sc = None
+    app = sc.applicationId if sc is not None else str(id(spark))
+    if app in _SHIPPED or (sc is not None and sc.master.startswith("local") and "cluster" not in sc.master):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), os.path.dirname(here)))
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-"), "ledgerlens.zip")
+    with open(path, "wb") as f:
+        f.write(packed.getvalue())
+    sc.addPyFile(path) if sc is not None else spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables / stream state."""
     base = ensure_checkpoint_dir(spark)
