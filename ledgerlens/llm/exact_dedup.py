@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _places(words: np.ndarray, level: int, size: int) -> np.ndarray:
-    return _mix(words[:, level % 4] + np.uint64(level) * np.uint64(0xA24BAED4963EE407)) % np.uint64(size)
+    return _mix(words[:, level % 4] + np.uint64(level * 0xA24BAED4963EE407 % 2**64)) % np.uint64(size)
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
