@@ -5,11 +5,25 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup, quality_rules, substring_dedup
 from .common import by_name
 from .sql import ORACLES
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.mark(by_name(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(by_name(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.strip(by_name(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(by_name(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -19,6 +33,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(by_name(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_near_dedup, op7_substring_dedup, op8_mixing, op10_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for name, sql in ORACLES.items() if name in QUERIES}

@@ -23,4 +23,30 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id NULLS LAST)
 """
 
-ORACLES = {"op8_mixing": OP8, "op10_exact_dedup": OP10}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("text, ''", _LOWER + ", ''")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS m FROM d),
+e AS (SELECT doc_id, len(m) AS n, unnest(m) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(m)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.a
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS m FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE m < doc_id),
+a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM a ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES = {"op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
