@@ -1,7 +1,8 @@
 """Quality by weak supervision: rules vote good (1), bad (-1) or abstain (0); nobody says which rule is right.
 
 Expectation-maximisation takes each document's true quality as hidden and estimates, for good and for bad documents,
-how often each rule casts each vote, and how many documents are good.  A document's verdict is the
+how often each rule casts each vote, and how many documents are good.  Two rules look at each usual fault, so that they
+confirm each other.  A document's verdict is the
 posterior probability that it is good, not that it passes every rule.  All of it are DataFrame functions: the rules read
 counts that one pass over the text writes to the shared folder; the estimation reads the table of vote
 patterns, which has at most 3 ** (number of rules) rows, and brings one row of sums to the driver per step.
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, stage
 
-PRIOR, STEPS, MOVED, VERDICT = 0.2, 25, 1e-5, 0.5
+PRIOR, STEPS, MOVED, VERDICT = 1.0, 25, 1e-5, 0.5
 #: Where the estimation starts and what the prior holds: bad and good votes from bad documents, from good documents.
-START = {"bad": (0.30, 0.40), "good": (0.01, 0.80)}
+START = {"bad": (0.30, 0.60), "good": (0.003, 0.85)}
 START_GOOD = 0.85
 
 
@@ -35,6 +36,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words",
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_covered(F.col("h"))).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -65,7 +67,8 @@ def votes() -> dict[str, Column]:
         "length": _vote(c("n_words") < 20, c("n_words").between(50, 100_000)),
         "word_length": _vote(some & ~share("word_chars", "n_words").between(2.0, 14.0), share("word_chars", "n_words").between(3.0, 11.0)),
         "symbols": _vote(share("n_symbols", "n_words") > 0.1, share("n_symbols", "n_words") < 0.03),
-        "repeated_lines": _vote(share("n_dup_lines", "n_lines") > 0.3, share("n_dup_lines", "n_lines") <= 0.1),
+        "symbol_runs": _vote(share("n_symbol_runs", "n_words") > 0.1, share("n_symbol_runs", "n_words") < 0.03),
+        "repeated_lines": _vote(share("n_dup_lines", "n_lines") > 0.6, share("n_dup_lines", "n_lines") <= 0.1),
         "repeated_words": _vote(share("n_repeat_words", "n_words") > 0.3, share("n_repeat_words", "n_words") < 0.15),
         "variety": _vote((c("n_words") <= 1000) & (share("n_kinds", "n_words") < 0.3), (c("n_words") <= 1000) & (share("n_kinds", "n_words") > 0.45)),
         "capitals": _vote(share("n_capitals", "word_chars") > 0.3, share("n_capitals", "word_chars") < 0.1),
