@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def cut(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20
         n = batch.num_rows
         if not n:
             continue
-        lengths = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        lengths = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         first, size = 0, 0
         for i, length in enumerate(lengths):
             if size and size + length > max_bytes:

@@ -5,7 +5,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_rules, substring_dedup
+from . import compression_quality, exact_dedup, lm_score, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 from .common import by_name
 from .sql import ORACLES
 
@@ -15,6 +15,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.mark(by_name(spark, sf_dir, "documents"), by_name(spark, sf_dir, "labels"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(by_name(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.mark(by_name(spark, sf_dir, "documents"), by_name(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.write(by_name(spark, sf_dir, "pages"))
+    return warc.records(warc.read(manifest, folder))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(by_name(spark, sf_dir, "documents"))
 
@@ -33,6 +51,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(by_name(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_near_dedup, op7_substring_dedup, op8_mixing, op10_exact_dedup)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_score.score(by_name(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_compression_quality, op3_packing, op4_toxicity, op5_warc, op6_near_dedup, op7_substring_dedup, op8_mixing, op9_lm_score,
+    op10_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for name, sql in ORACLES.items() if name in QUERIES}

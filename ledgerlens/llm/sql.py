@@ -49,4 +49,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to FROM m
+"""
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+b AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM t),
+u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+g AS (SELECT prev, word, count(*) AS c FROM b WHERE prev IS NOT NULL GROUP BY prev, word HAVING count(*) >= 2),
+s AS (SELECT b.doc_id, CASE WHEN b.prev IS NULL THEN ln(u.c / n.n) WHEN g.c IS NOT NULL THEN ln(g.c / p.c) ELSE ln(u.c / n.n) + ln(0.4) END AS x
+  FROM b JOIN u USING (word) LEFT JOIN g ON g.prev = b.prev AND g.word = b.word LEFT JOIN u p ON p.word = b.prev CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM t) n),
+a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score FROM d LEFT JOIN a USING (doc_id)
+"""
+
+ORACLES = {"op5_warc": OP5, "op9_lm_score": OP9, "op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}

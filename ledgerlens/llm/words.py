@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LETTERS = np.zeros(256, bool)  # letters, digits and all that isn't ASCII
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
@@ -69,11 +71,12 @@ class Words:
         return mix64((sums[start + k] - sums[start]) * down[start] + np.uint64(k)), first
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, inside: np.ndarray | None = None) -> Words:
+    """lower: A-Z become a-z.  inside: which bytes make words, if not all but white space."""
     raw, at = column_bytes(column)
     if lower:
         raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+    inside = ~_SPACE[raw] if inside is None else inside[raw]
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = at[(at > 0) & (at < len(raw))]
