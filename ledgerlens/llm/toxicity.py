@@ -2,9 +2,10 @@
 
 Features are the words (letters and digits, A-Z in lower case) of a text, their pairs, and the pairs with one word between, each hashed to one of
 2**``BITS`` coordinates; a text has a feature or has it not, whatever its length.  Every coordinate has its own learning rate, and
-coordinates whose gradients don't add up to ``L1`` stay exactly 0, so that a few thousand weights are left, which every task gets.
-One task fits them on a bounded sample - ``PER_CLASS`` labelled rows a class, ``EPOCHS`` times in the order of a hash - as a stream: it holds
-the coordinates and one batch.  Rows are weighted to the labels' own shares.  Scoring shuffles nothing.
+coordinates whose gradients don't add up to ``L1`` stay exactly 0, so that a few hundred weights are left, which every task gets.
+One task fits them on a bounded sample - ``PER_CLASS`` labelled rows a class, in the order of a hash, ``EPOCHS`` times or until ``SEEN`` rows
+were seen - as a stream: it holds the coordinates and one batch.  Rows are weighted to the labels' own shares, toxic ones
+``BOOST`` times as much, and the weights start from those shares' odds.  Scoring shuffles nothing.
 
 Null and empty texts get the intercept's score.  Without rows of both labels, every score is the share of
 label 1 (0.5 without any).  Repeated rows get equal scores; a null doc_id is held out.  Extra columns are ignored.  An empty table
@@ -12,6 +13,7 @@ gives an empty result.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +26,8 @@ from .common import cut, held_out
 from .labelled import sample
 from .words import LETTERS, mix64, words_of
 
-BITS, PER_CLASS, EPOCHS, THRESHOLD = 20, 5000, 2, 0.5
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+BITS, PER_CLASS, EPOCHS, SEEN, THRESHOLD = 20, 5000, 3, 30_000, 0.5
+ALPHA, BETA, L1, L2, BOOST = 2.0, 1.0, 10.0, 0.0, 3.0
 
 
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate([of, np.repeat(np.arange(len(n)), np.diff(first)), of[near]])
 
 
-def _fit(bits: int, weight: dict[int, float], alpha: float, beta: float, l1: float, l2: float):
+def _fit(bits: int, weight: dict[int, float], prior: float, alpha: float, beta: float, l1: float, l2: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << bits
         z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last one is the intercept
@@ -60,12 +62,12 @@ def _fit(bits: int, weight: dict[int, float], alpha: float, beta: float, l1: flo
             for d, y in enumerate(piece.column("y").to_pylist()):
                 i = np.append(np.unique(at[edges[d]:edges[d + 1]]), size)
                 w = weights(i)
-                p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+                p = 1 / (1 + np.exp(-np.clip(prior + w.sum(), -35, 35)))
                 g = (p - y) * weight[y]
                 z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
                 n[i] += g * g
-        every = np.arange(size + 1)
-        w = weights(every)
+        w = weights(np.arange(size + 1))
+        w[size] += prior
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"at": pa.array(some, pa.int64()), "w": pa.array(w[some], pa.float64())})
     return run
@@ -92,17 +94,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, per_class: int = PER_CLASS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, per_class: int = PER_CLASS, epochs: int = EPOCHS, seen: int = SEEN, alpha: float = ALPHA, beta: float = BETA,
+        l1: float = L1, l2: float = L2, boost: float = BOOST) -> Model:
     rows, share = sample(docs, labels, "toxic", per_class)
     if len(share) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), bits, float(next(iter(share), 0.5)))
     used = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    raw = {y: share[y] / max(used.get(y, 0), 1) for y in (0, 1)}
-    mean = sum(raw[y] * used.get(y, 0) for y in raw) / max(sum(used.values()), 1)
-    weight = {y: raw[y] / mean for y in raw}
+    whole = {0: float(share[0]), 1: boost * share[1]}
+    n = sum(used.values())
+    if len(used) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0), bits, share[1] / (share[0] + share[1]))
+    weight = {y: whole[y] / used[y] * n / sum(whole.values()) for y in whole}
+    epochs = max(epochs, -(-seen // n))
     turns = rows.withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(epochs)])))
     stream = turns.repartition(1).sortWithinPartitions("epoch", "place", "doc_id").select("text", "y")
-    got = stream.mapInArrow(_fit(bits, weight, alpha, beta, l1, l2), "at long, w double").toPandas()
+    got = stream.mapInArrow(_fit(bits, weight, math.log(whole[1] / whole[0]), alpha, beta, l1, l2), "at long, w double").toPandas()
     return Model(got["at"].to_numpy(np.int64), got["w"].to_numpy(float), bits)
 
 
