@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,66 +47,100 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokenizer:
-    """Token ids of a text as little-endian bytes, two for each where the vocabulary allows it, else four.  A word - a run without white space - has the same tokens wherever it
-    stands, and letters and the marks behind them are never in one token, so both are looked up in bounded caches."""
+    """Token ids of a text as little-endian bytes, two for each where the vocabulary allows it, else four.  A word - a run without
+    white space - has the same tokens wherever it stands, and letters and the marks behind them are never in one token, so
+    words and their letters are looked up in bounded caches.  New letters are tokenised together and cut behind the tokens that end a word."""
 
     def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer, self._most = Tokenizer.from_file(path), most
-        self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._words: dict[bytes, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
-        self._split = re.compile(r"([A-Za-z]+)([.,;:!?*&%$#|]*)").fullmatch
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts: dict[bytes, tuple[str, ...]] = {}
-        for word in words:
-            text = word.decode()
-            both = self._split(text)
-            parts[word] = (both[1].lower(), both[2]) if both and both[2] else (text.lower(),) if both else (text,)
+        self._split = re.compile(r"([^\W\d_]+)([.,;:!?*&%$#|]*)").fullmatch
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Of runs of letters, each of which the tokenizer takes for one word."""
+        out: list[bytes] = []
+        for i in range(0, len(runs), 512):
+            own = runs[i:i + 512]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * self.kind.itemsize
+            if len(ends) == len(own):
+                data, edges = ids.tobytes(), [0, *ends.tolist()]
+                out += [data[x:y] for x, y in zip(edges, edges[1:])]
+            else:  # a vocabulary that doesn't mark the ends
+                out += self._alone(own)
+        return out
+
+    def _stems(self, stems: list[str]) -> list[bytes | None]:
+        """None for letters that the tokenizer's own normal form turns into something else than letters."""
         known = self._parts
-        new = [x for x in {p for own in parts.values() for p in own} if x not in known]
-        got = {}
-        for i in range(0, len(new), 4096):
-            for part, found in zip(new[i:i + 4096], self._tokenizer.encode_batch(new[i:i + 4096], add_special_tokens=False)):
-                got[part] = np.array(found.ids, self.kind).tobytes()
-        lookup = lambda p: known[p] if p in known else got[p]
-        out = {word: b"".join([lookup(p) for p in own]) for word, own in parts.items()}
+        out = list(map(known.get, stems))
+        new = [i for i, x in enumerate(out) if x is None and (stems[i].isascii() or unicodedata.normalize("NFC", stems[i]).lower().isalpha())]
+        for i, found in zip(new, self._letters([stems[i] for i in new])):
+            out[i] = found
         if len(known) < self._most:
-            known.update(got)
-        if len(self._words) < self._most:
-            self._words.update(out)
+            known.update((stems[i], out[i]) for i in new)
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").encode().split() for x in texts]
-        known = self._words
-        extra = self._learn({w for words in split for w in words if w not in known})
-        if extra:
-            known = _Both(known, extra)
-        return [b"".join([known[w] for w in words]) for words in split]
-
+    def _learn(self, words: pa.Array) -> list[bytes]:
+        parts = pc.extract_regex(words, r"^(?P<stem>\p{L}+)(?P<marks>[.,;:!?*&%$#|]*)$")
+        fits = np.flatnonzero(np.asarray(parts.is_valid()))
+        out: list[bytes | None] = [None] * len(words)
+        if len(fits):
+            parts = parts.take(pa.array(fits))
+            stems, marks = pc.ascii_lower(parts.field("stem")).dictionary_encode(), parts.field("marks").dictionary_encode()
+            letters = pa.array(self._stems(stems.dictionary.to_pylist()), pa.binary()).take(stems.indices)
+            rest = pa.array(self._alone(marks.dictionary.to_pylist()), pa.binary()).take(marks.indices)
+            for i, x in zip(fits.tolist(), pc.binary_join_element_wise(letters, rest, b"").to_pylist()):
+                out[i] = x
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self._alone(words.take(pa.array(left, pa.int64())).to_pylist())):
+            out[i] = x
+        return out
 
-class _Both(dict):
-    """The words of this call first, then those kept."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, with the end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        kinds, which, known = words.dictionary.to_pylist(), np.asarray(words.indices), self._words
+        own = list(map(known.get, kinds))
+        new = [i for i, x in enumerate(own) if x is None]
+        for i, x in zip(new, self._learn(words.dictionary.take(pa.array(new, pa.int64())))):
+            own[i] = x
+        if len(known) < self._most:  # the first words to come are the commonest ones
+            known.update((kinds[i], own[i]) for i in new)
+        data = np.frombuffer(b"".join(own), self.kind)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        each = size[which]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        kind = np.int32 if max(ends[-1], len(data)) < 2**31 else np.int64
+        at = np.repeat((start[which] - ends[:-1]).astype(kind), each)
+        at += np.arange(ends[-1], dtype=kind)
+        return data.take(at), ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
-    def __init__(self, kept: dict[bytes, bytes], own: dict[bytes, bytes]):
-        super().__init__(own)
-        self._kept = kept
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self._kept[word]
+_TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker process
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker process
+def _tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _lanes(path: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordTokenizer(path)
-        tokenizer = _TOKENIZERS[path]
+        tokenizer = _tokenizer(path)
         width, last = tokenizer.kind.itemsize, np.array([end], tokenizer.kind).tobytes()
         part, lane, before = TaskContext.get().partitionId(), 0, {}
         docs: list[tuple] = []
@@ -117,10 +153,11 @@ def _lanes(path: str, end: int, most: int):
                 before[source] = before.get(source, 0) + len(ids) // width
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, LANES)], schema=LANES)
 
-        for piece in cut(batches, "text", 2 << 20):
-            for doc_id, source, ids in zip(piece.column("doc_id").to_pylist(), piece.column("source").to_pylist(), tokenizer(piece.column("text").to_pylist())):
-                docs.append((doc_id, source, ids + last))
-                size += len(ids) // width + 1
+        for piece in cut(batches, "text", 4 << 20):
+            ids, first = tokenizer(piece.column("text"))
+            for doc_id, source, a, b in zip(piece.column("doc_id").to_pylist(), piece.column("source").to_pylist(), first.tolist(), first[1:].tolist()):
+                docs.append((doc_id, source, ids[a:b].tobytes() + last))
+                size += b - a + 1
                 if size >= most:
                     yield emit()
                     docs, size, lane = [], 0, lane + 1

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import mixing, packing
@@ -90,10 +91,11 @@ def test_packing_in_small_lanes_keeps_the_shares(spark):
 def test_words_are_tokens_of_their_own():
     rows = [t for _, t, *_ in odd_rows()] + ["it's <|endoftext|>x o'clock's don'T", "á é́ ́x", "Σ ΑΣ ΑΣ. 12ab34", "x,y;z!! ...a", "they're we'LL"]
     tokenizer = packing.WordTokenizer(packing.tokenizer_path(), most=3)
-    got = tokenizer(rows)
-    again = tokenizer(rows)
-    for t, ids, more in zip(rows, got, again):
-        assert np.frombuffer(ids, tokenizer.kind).tolist() == _encoded(t)[:-1] and ids == more
+    for _ in range(2):
+        ids, first = tokenizer(pa.array(rows))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [_encoded(t)[:-1] for t in rows]
+    ids, first = tokenizer(pa.array(rows).slice(3, 4))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [_encoded(t)[:-1] for t in rows[3:7]]
 
 
 def test_serve_keeps_to_the_shares_and_carries_deficits():
