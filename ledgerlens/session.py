@@ -82,7 +82,7 @@ def ship_package(spark: SparkSession) -> None:
     except Exception:  # noqa: BLE001 - a session without a context handle ships by artifacts
         sc = None
     app = sc.applicationId if sc is not None else str(id(spark))
-    if app in _SHIPPED or (sc is not None and sc.master.startswith("local") and "cluster" not in sc.master):
+    if app in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     packed = io.BytesIO()
