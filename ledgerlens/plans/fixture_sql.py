@@ -224,7 +224,7 @@ def _responses_sql() -> str:
     from .fixtures import CODE_TAILS, MATH_TAILS, MCQ_TAILS
     from .templates import case_sql
     vals = {"L": "chr(CAST(65 + (doc_id * 7) % 4 AS INTEGER))", "N": "doc_id % 97", "ID": "doc_id"}
-    body = "translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'abcdABCD', 'xxxxxxxx')"
+    body = "text"
     return f"""responses AS (
   SELECT doc_id,
     'Compute item ' || CAST(doc_id AS VARCHAR) || ' (' || lang || ')' AS question,
@@ -360,5 +360,5 @@ GENERATE_RESPONSES = """generate_responses AS (
     CASE WHEN doc_id % 4 = 1 THEN string_split(body, chr(10)) ELSE []::VARCHAR[] END AS parts,
     CASE WHEN doc_id % 4 = 2 THEN body END AS candidate_text,
     ['FinishReason.STOP', 'FinishReason.MAX_TOKENS', 'MAX_TOKENS'][doc_id % 3 + 1] AS finish_reason
-  FROM (SELECT doc_id, translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'abcdABCD', 'xxxxxxxx') AS body FROM documents)
+  FROM (SELECT doc_id, text AS body FROM documents)
 )"""

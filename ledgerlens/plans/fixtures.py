@@ -161,18 +161,12 @@ CODE_TAILS = (
 )
 
 
-def doc_body(text: Column) -> Column:
-    """Whole document text, ASCII only, with the letters a-d replaced so the body itself
-    never commits to a choice or spells ``def``/``class``."""
-    return F.translate(F.regexp_replace(text, r"[^\x00-\x7F]", ""), "abcdABCD", "xxxxxxxx")
-
-
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One multiple-choice, one math and one code response per document."""
     from .templates import case_spark
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     did = F.col("doc_id")
-    body = doc_body(F.col("text"))
+    body = F.col("text")
     letter = F.expr("chr(65 + (doc_id * 7) % 4)")
     vals = {"L": letter, "N": did % 97, "ID": did}
     mcq = F.when(did % 12 == 11, F.lit("")).otherwise(F.concat(body, case_spark(did % 12, MCQ_TAILS, vals)))
@@ -412,7 +406,7 @@ def generate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """non-streamed generate-content responses (text, candidate parts, candidate text)."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     did = F.col("doc_id")
-    body = doc_body(F.col("text"))
+    body = F.col("text")
     m = did % 4
     return d.select(
         did.alias("doc_id"),

@@ -34,7 +34,7 @@ def x2_cascade(spark, sf_dir):
 
 
 @query("x3_fallback", oracle=_R + f"""
-SELECT doc_id, upper({SX.last('right(mcq_response, 200)', X.MCQ_FALLBACK)}) AS tail_letter FROM responses""")
+SELECT doc_id, upper({SX.last_letter('right(mcq_response, 200)')}) AS tail_letter FROM responses""")
 def x3_fallback(spark, sf_dir):
     r = responses(spark, sf_dir)
     tail = F.substring("mcq_response", -X.MCQ_TAIL_CHARS, X.MCQ_TAIL_CHARS)
