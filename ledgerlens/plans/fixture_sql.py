@@ -301,6 +301,8 @@ def _runs_sql() -> str:
     u1 = f"CASE WHEN p_partkey % 3 = 0 THEN replace({u0}, '://', '://user:pw' || CAST(p_partkey AS VARCHAR) || '@') ELSE {u0} END"
     u2 = (f"CASE WHEN p_partkey % 4 = 0 THEN ({u1}) || CASE WHEN contains({u1}, '?') THEN '&' ELSE '?' END "
           f"|| 'api_key=SECRET' || CAST(p_partkey AS VARCHAR) || '&max_tokens=' || CAST(p_size AS VARCHAR) ELSE {u1} END")
+    u2 = f"(({u2}) || regexp_extract(url, '(#.*)$', 1))"
+    u2 = f"CASE p_partkey % 13 WHEN 5 THEN regexp_replace({u2}, '^[a-z]+://', '') WHEN 6 THEN regexp_replace({u2}, '^[a-z]+:', '') ELSE {u2} END"
     return f"""runs AS (
   SELECT 'run' || CAST(p_partkey AS VARCHAR) AS run_id,
     [{prov}][p_partkey % 4 + 1] AS provider,

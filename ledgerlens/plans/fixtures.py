@@ -331,11 +331,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     unset = F.filter(F.array(*[F.when(k % mod == rem, F.lit(path)) for path, mod, rem in OVERRIDE_UNSET_RULES]),
                      lambda x: x.isNotNull())
     u0 = F.regexp_replace(F.col("url"), "#.*$", "")
-    u1 = F.when(k % 3 == 0, F.expr("replace(regexp_replace(url, '#.*$', ''), '://', concat('://user:pw', "
-                                   "cast(p_partkey as string), '@'))")).otherwise(u0)
+    u1 = F.when(k % 3 == 0, F.replace(u0, F.lit("://"), F.concat(F.lit("://user:pw"), k.cast("string"), F.lit("@")))).otherwise(u0)
     u2 = F.when(k % 4 == 0, F.concat(u1, F.when(u1.contains("?"), F.lit("&")).otherwise(F.lit("?")),
                                      F.lit("api_key=SECRET"), k.cast("string"), F.lit("&max_tokens="),
                                      size.cast("string"))).otherwise(u1)
+    u2 = F.concat(u2, F.regexp_extract(F.col("url"), "(#.*)$", 1))  # the fragment, after what is planted
+    u2 = F.when(k % 13 == 5, F.regexp_replace(u2, "^[a-z]+://", "")).when(k % 13 == 6, F.regexp_replace(u2, "^[a-z]+:", "")).otherwise(u2)
     et = F.element_at(F.array(*[F.lit(x) for x in RUN_EVALUATORS]), (size % 3 + 1).cast("int"))
     math = et == "math"
     return j.select(

@@ -88,15 +88,15 @@ def m1_secret_paths(spark, sf_dir):
 def _sql_redact_url(u: str) -> str:
     from ..functions.redact import URL_RE
     g = lambda i: f"regexp_extract({u}, {sq(URL_RE)}, {i})"
-    netloc = g(2)
+    netloc = f"substr({g(2)}, 3)"
     userinfo = f"regexp_extract({netloc}, '^(.*)@', 1)"
     hostport = f"regexp_extract({netloc}, '^(?:.*@)?(.*)$', 1)"
     host = f"lower(regexp_extract({hostport}, '^(\\[[^\\]]*\\]|[^:]*)', 1))"
     port = f"regexp_extract({hostport}, '^(?:\\[[^\\]]*\\]|[^:]*):([0-9]+)$', 1)"
     user_present = (f"(contains({netloc}, '@') AND (length(regexp_extract({userinfo}, '^([^:]*)', 1)) > 0 "
                     f"OR contains({userinfo}, ':')))")
-    new_netloc = (f"CASE WHEN {user_present} THEN '{MASK}@' || {host} || CASE WHEN {port} <> '' THEN ':' || {port} "
-                  f"ELSE '' END ELSE {netloc} END")
+    new_netloc = (f"CASE WHEN {user_present} THEN '//{MASK}@' || {host} || CASE WHEN {port} <> '' THEN ':' || {port} "
+                  f"ELSE '' END ELSE {g(2)} END")
     query_ = g(4)
     key = "url_decode(replace(regexp_extract(p, '^([^=]*)', 1), '+', ' '))"
     is_sec = f"(length(p) > 0 AND {_sql_secret(key)})"
@@ -104,9 +104,8 @@ def _sql_redact_url(u: str) -> str:
     q_changed = f"len(list_filter({pairs}, lambda p: {is_sec})) > 0"
     new_query = (f"CASE WHEN {q_changed} THEN array_to_string(list_transform({pairs}, lambda p: CASE WHEN {is_sec} "
                  f"THEN regexp_extract(p, '^([^=]*)', 1) || '={MASK}' ELSE p END), '&') ELSE {query_} END")
-    rebuilt = (f"{g(1)} || '://' || ({new_netloc}) || {g(3)} || CASE WHEN regexp_matches({u}, '^[^#]*\\?') AND "
-               f"length({new_query}) > 0 THEN '?' || ({new_query}) ELSE '' END || CASE WHEN contains({u}, '#') AND "
-               f"length({g(5)}) > 0 THEN '#' || {g(5)} ELSE '' END")
+    rebuilt = (f"{g(1)} || ({new_netloc}) || {g(3)} || CASE WHEN length({query_}) > 0 THEN '?' || ({new_query}) ELSE '' END "
+               f"|| CASE WHEN length({g(5)}) > 0 THEN '#' || {g(5)} ELSE '' END")
     eligible = f"(contains({u}, '@') OR contains({u}, '?'))"
     return (f"CASE WHEN {eligible} AND regexp_matches({u}, {sq(URL_RE)}) AND ({user_present} OR {q_changed}) "
             f"THEN {rebuilt} ELSE {u} END")
