@@ -104,15 +104,7 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def spread(df, factor: int = 2):
-    """Round-robin ``df`` over ``factor ×`` the cluster's task slots when its scan yields
-    fewer partitions than that (e.g. one large row group), so expensive per-row work
-    (regex cascades, JSON parsing) is not confined to the scan's few tasks.  A scan that
-    already has enough splits — the normal case at scale — is left untouched (no shuffle).
-    """
-    try:
-        target = max(df.sparkSession.sparkContext.defaultParallelism * factor, 1)
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access: keep the plan as it is
-        return df
-    return df.repartition(target) if current < target else df
+def spread(df):
+    """``df`` dealt evenly over the session's shuffle partitions, for expensive per-row work (regex
+    cascades, JSON parsing) behind a scan of few, large row groups.  Building the plan runs no job."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

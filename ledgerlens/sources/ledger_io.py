@@ -10,6 +10,7 @@ Layout on shared storage (every path is a folder, written by Spark tasks):
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,23 +71,36 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/rows")
 
 
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """None only where nothing is stored under ``path``; any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def open_ledger(spark: SparkSession, path: str, runs: DataFrame) -> None:
-    """S6 + J5: create headers for new runs; refuse runs whose stored identity differs.
+    """S6 + J5: create headers for new runs; refuse runs whose stored identity differs, and runs that
+    have rows but no header.
 
-    Only the (small) mismatch report reaches the driver, to raise with the changed keys."""
+    Only the report on the refused runs reaches the driver, to raise with all of them, the
+    components that changed and both sides."""
     hdr_path = f"{path.rstrip('/')}/header"
     current = RU.with_identity(runs).select("run_id", "identity_hash", "identity")
-    try:
-        stored = spark.read.parquet(hdr_path)
-    except Exception:  # noqa: BLE001 - no header folder yet: every run is new
-        current.write.mode("append").parquet(hdr_path)
-        return
-    check = RU.identity_check(stored, current)
-    bad = check.filter(~F.col("resumable")).select("run_id", "changed").limit(1).collect()
-    if bad:
-        raise ValueError(f"ledger run '{bad[0].run_id}' belongs to a different configuration; "
-                         f"changed identity components: {bad[0].changed}")
-    new = current.join(stored.select("run_id"), "run_id", "left_anti")
+    stored, rows = _read_if_there(spark, hdr_path), _read_if_there(spark, f"{path.rstrip('/')}/rows")
+    said = []
+    if stored is not None:
+        for r in RU.identity_check(stored, current).filter(~F.col("resumable")).orderBy("run_id").collect():
+            sides = "; ".join(f"{c.component}: stored {c.stored}, current {c.current}" for c in r.changes)
+            said.append(f"ledger run '{r.run_id}' belongs to a different configuration ({sides})")
+    new = current if stored is None else current.join(stored.select("run_id"), "run_id", "left_anti")
+    if rows is not None:
+        bare = new.join(rows.select("run_id").distinct(), "run_id", "left_semi").select("run_id").orderBy("run_id").collect()
+        said += [f"ledger run '{r.run_id}' has rows but no header" for r in bare]
+    if said:
+        raise ValueError("\n".join(said))
     new.write.mode("append").parquet(hdr_path)
 
 
@@ -97,16 +111,21 @@ def write_results(latest: DataFrame, summaries: DataFrame, runs: DataFrame, path
     A run's results are never gathered into one row: the document's ``results`` list is
     the folder ``results/run_id=<id>/`` of JSON lines."""
     base = path.rstrip("/")
+
+    def save(df: DataFrame, name: str, form: str) -> None:
+        # only the folders of the runs being written are replaced; those saved before stay
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").format(form).save(f"{base}/{name}")
+
     cfg = RU.redact_config(runs).withColumn("overrides_set", F.to_json("overrides_set"))
-    latest.write.mode("overwrite").partitionBy("run_id").parquet(f"{base}/results")
-    summaries.write.mode("overwrite").parquet(f"{base}/summaries")
-    cfg.write.mode("overwrite").parquet(f"{base}/config")
+    save(latest, "results", "parquet")
+    save(summaries, "summaries", "parquet")
+    save(cfg, "config", "parquet")
     doc = summaries.join(cfg, "run_id", "left").select(
         "run_id", F.to_json(F.struct(F.lit(RU.SCHEMA_VERSION).alias("schema_version"),
                                      F.struct(*[F.col(c) for c in cfg.columns if c != "run_id"]).alias("config"),
                                      F.struct(*[F.col(c) for c in summaries.columns if c != "run_id"]).alias("summary"),
                                      F.current_timestamp().cast("string").alias("timestamp"))).alias("document"))
-    doc.write.mode("overwrite").partitionBy("run_id").text(f"{base}/documents")
+    save(doc, "documents", "text")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
