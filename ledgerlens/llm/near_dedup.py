@@ -10,8 +10,10 @@ Pairs within a list are never all formed.  In each round a few hubs of a list, f
 commonest and later those outside the list's largest component, are compared with its members.  Pairs are
 filtered by the estimate from the sketch of the union and verified by the exact similarity of the whole sets.
 Hubs then leave the list, as all their pairs are done; a list whose members are in one component is done
-too, as its other links can't change the result.  Rounds go on until no list is left, with more hubs each time, so no
-link that would join two components is dropped.
+too, as its other links can't change the result.  After the first round, what is left is listed anew, by the rarest shingles of the whole
+sets: so many that similar sets of the sizes at hand must share one of them.  Members of a large group that differ too much from its
+origin, and texts that share no more than a passage, then rarely meet.  Rounds go on until no list is left, with more hubs each
+time, so no link that would join two components is dropped.
 
 Null text and text without words: an empty set, linked with nothing.  Fewer words than a shingle: the whole
 sequence is the one shingle.  A null doc_id is a document that comes behind all ids; those with equal texts share it, and
@@ -93,8 +95,8 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame, k: int = K, need: int = NEED, percent: int = PERCENT) -> DataFrame:
-    """value, v, n, rank: the classes under their rarest values that others have too.  rank is higher for classes
-    with common values, as the origin of many copies has them."""
+    """value, v, n, rank, cap: the classes under their rarest values that others have too.  rank is higher for classes
+    with common values, as the origin of many copies has them; cap bounds the size of partners, here not."""
     values = reps.select("v", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = values.join(shared, "value")
@@ -102,7 +104,7 @@ def inverted_lists(reps: DataFrame, k: int = K, need: int = NEED, percent: int =
     least = F.least(F.expr(f"({percent} * n + 99) div 100"), F.lit(need))
     return (held.withColumn("place", F.row_number().over(own.orderBy("df", "value")) + F.col("size") - F.count(F.lit(1)).over(own))
             .withColumn("rank", F.sum(F.log2("df")).over(own))
-            .where(F.col("place") <= F.col("size") - least + 1).select("value", "v", "n", "rank"))
+            .where(F.col("place") <= F.col("size") - least + 1).select("value", "v", "n", "rank", F.lit(LAST_ID).alias("cap")))
 
 
 def _hubs(lists: DataFrame, count: int, order: list) -> DataFrame:
@@ -132,50 +134,72 @@ def similar(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int = K, perc
 
 def mark(docs: DataFrame, width: int = SHINGLE, k: int = K, need: int = NEED, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
     rows = stage(sketches(docs, width, k), "sketches")
     classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("v")), "classes")
     reps = stage(rows.join(classes, (rows["key"] == classes["key"]) & (rows["id"] == classes["v"])).select("v", "n", "sketch", rows["key"].alias("key")).dropDuplicates(["key"]).drop("key"), "reps")
     lists = stage(inverted_lists(reps, k, need, percent), "lists")
     active = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(lists, "value").select(F.col("v").alias("id")).distinct()
-    narrow = _narrow(docs)
-    sets = stage(narrow.join(active, "id", "left_semi").mapInArrow(_whole(width), "v long, members array<long>"), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = None
-    hubs_each, order = HUBS, [F.col("stray").desc(), F.col("rank").desc(), F.col("v")]
+    sets = stage(_narrow(docs).join(active, "id", "left_semi").mapInArrow(_whole(width), "v long, members array<long>"), "sets")
+    links, labels, hubs_each = None, None, HUBS
     while True:
         now = stage(_open(lists, labels), "open")
         if now.isEmpty():
             break
-        hubs = _hubs(now, hubs_each, order).select("value", F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
-        hubs = stage(hubs, "hubs")
-        near = ((F.col("hub") != F.col("v")) & (F.col("hub_c") != F.col("c"))
-                & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-        pairs = (now.join(hubs, "value").where(near)
-                 .select(F.greatest("hub", "v").alias("x"), F.least("hub", "v").alias("y"), (F.col("hub") < F.col("v")).alias("z"))
-                 .groupBy("x", "y").agg(F.max("z").alias("z"))
-                 .select(F.when(F.col("z"), F.col("y")).otherwise(F.col("x")).alias("a"), F.when(F.col("z"), F.col("x")).otherwise(F.col("y")).alias("b")))
-        links = stage(links.union(similar(pairs, reps, sets, k, percent)), "linked")
-        labels = stage(components(links), "labels")
-        lists = stage(now.join(hubs.select("value", F.col("hub").alias("v")), ["value", "v"], "left_anti").select("value", "v", "n", "rank"), "lists")
+        hubs = stage(_hubs(now, hubs_each, [F.col("stray").desc(), F.col("rank").desc(), F.col("v")]), "hubs")
+        found = similar(_pairs(now, hubs, percent), reps, sets, k, percent)
+        links = stage(found if labels is None else links.union(found), "linked")
+        lists = now.join(hubs.select("value", "v"), ["value", "v"], "left_anti").select("value", "v", "n", "rank", "cap")
+        if labels is None:
+            labels = stage(components(links), "labels")
+            lists = stage(whole_lists(stage(_open(lists, labels), "open"), sets, percent), "lists")
+        else:
+            labels = stage(components(links), "labels")
         hubs_each *= 4
-    found = classes.join(labels, classes["v"] == labels["node"], "left").select("key", F.coalesce("component", "v").alias("component")) if labels is not None else classes.select("key", F.col("v").alias("component"))
+    label = F.col("v") if labels is None else F.coalesce("component", "v")
+    found = (classes if labels is None else classes.join(labels, classes["v"] == labels["node"], "left")).select("key", label.alias("component"))
     done = rows.join(found, "key", "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return done.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def _pairs(now: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """a, b, once each: hubs (first) with the members of their lists that are in other components and near enough in size."""
+    hub = hubs.select("value", F.col("v").alias("a"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("cap").alias("hub_cap"))
+    near = ((F.col("hub_c") != F.col("c")) & (F.col("n") <= F.col("hub_cap")) & (F.col("hub_n") <= F.col("cap"))
+            & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    both = now.join(hub, (now["value"] == hub["value"]) & near).select("a", F.col("v").alias("b"))
+    return both.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.max("a").alias("a")).select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
+
+
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists whose members are in several components, with each member's component c and whether it is a stray,
-    that is outside the list's largest component."""
+    """The lists with members of several components, with each member's component c; stray: it is outside the list's largest one."""
     if labels is None:
-        own = lists.withColumn("c", F.col("v"))
-    else:
-        own = lists.join(labels, lists["v"] == labels["node"], "left").select(lists["*"], F.coalesce("component", "v").alias("c"))
+        several = lists.groupBy("value").agg((F.min("v") != F.max("v")).alias("more")).where("more").select("value")
+        return lists.join(several, "value").withColumn("c", F.col("v")).withColumn("stray", F.lit(False))
+    sizes = lists.groupBy("value").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
+    lists = lists.join(sizes, "value").where("least <= cap and n <= most").drop("least", "most")  # the others have no partner of a size they could be similar to
+    own = lists.join(labels, lists["v"] == labels["node"], "left").select(lists["*"], F.coalesce("component", "v").alias("c"))
     parts = own.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m"))
-    whole = parts.groupBy("value").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    stray = F.lit(False) if labels is None else F.col("c") != F.col("top.c")
-    return own.join(whole, "value").select("value", "v", "n", "rank", "c", stray.alias("stray"))
+    whole = parts.groupBy("value").agg(F.max_by("c", "m").alias("top"), (F.min("c") != F.max("c")).alias("more")).where("more").select("value", "top")
+    return own.join(whole, "value").withColumn("stray", F.col("c") != F.col("top")).drop("top")
+
+
+def whole_lists(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """value, v, n, rank, cap: the members of the lists under the rarest shingles of their whole sets.
+
+    Similar sets of n and m shingles share at least percent (n + m) / (100 + percent) of them, and m isn't below the smallest size in
+    a member's lists.  Of two sets in one order, so many from the front that fewer than these are left can't all differ.  The larger the partner,
+    the shorter this front: cap is the largest size for which a place counts."""
+    least = now.groupBy("value").agg(F.min("n").alias("least"))
+    members = (now.join(least, "value").groupBy("v").agg(F.max("n").alias("n"), F.max("rank").alias("rank"), F.min("least").alias("least"))
+               .withColumn("m", F.greatest("least", F.expr(f"({percent} * n + 99) div 100")))
+               .withColumn("front", F.expr(f"n - ({percent} * (n + m) + {99 + percent}) div {100 + percent} + 1")).select("v", "n", "rank", "front"))
+    shingles = stage(sets.join(members, "v").select("v", "n", "rank", "front", F.explode("members").alias("value")), "shingles")
+    common = shingles.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("v")
+    return (shingles.join(common, "value")
+            .withColumn("place", F.row_number().over(own.orderBy("df", "value")) + F.col("n") - F.count(F.lit(1)).over(own))
+            .where("place <= front").select("value", "v", "n", "rank", F.expr(f"({100 + percent} * (n - place + 1)) div {percent} - n").alias("cap")))
 
 
 def keep(docs: DataFrame, **how) -> DataFrame:
