@@ -7,6 +7,7 @@ under test, so the check covers the real reader.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -91,10 +92,10 @@ def s4_ledger_scan(spark, sf_dir):
 @query("s5_append", oracle=_A5_SQL)
 def s5_append(spark, sf_dir):
     """Two appends (in event-type order) to a run-partitioned Parquet ledger, read back."""
-    path = _scratch(spark, sf_dir, "ledger_parquet")
+    path = _scratch(spark, sf_dir, f"ledger_parquet-{uuid.uuid4().hex[:12]}")
     a = attempts(spark, sf_dir)
     first = F.col("extraction_method") == "error"
-    a.filter(first).write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/rows")
+    LIO.append_rows(a.filter(first), path)
     LIO.append_rows(a.filter(~first), path)
     return _summary(LIO.read_rows(spark, path))
 
@@ -111,5 +112,6 @@ def s7_results(spark, sf_dir):
                                                             "model_response"))
     summaries = _summary(attempts(spark, sf_dir))
     reg = runs(spark, sf_dir).join(summaries.select("run_id"), "run_id", "left_semi")
-    LIO.write_results(latest, summaries, reg, path)
+    for run in (F.col("run_id") < "run2", F.col("run_id") >= "run2"):  # saved one after the other
+        LIO.write_results(latest.where(run), summaries.where(run), reg.where(run), path)
     return LIO.read_results(spark, path).select("run_id", "problem_key", "correct", "provider", "model", "accuracy")

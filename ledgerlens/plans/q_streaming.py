@@ -1,9 +1,8 @@
 """Structured Streaming queries (T1-T3, T5) driven to completion with ``availableNow``.
 
-Each query stages data Spark derives from the driver tables as files in two arrivals
-(earlier and later half of the sequence range), streams them with a small
-``maxFilesPerTrigger`` so state carries across micro-batches, and returns the sink's
-contents as a batch DataFrame.
+Each query stages data Spark derives from the driver tables as files in two arrivals, runs
+the stream to the end of what is there after each (so it also resumes from its checkpoint, and state carries
+over), and returns the sink's contents as a batch DataFrame.
 """
 from __future__ import annotations
 
@@ -19,39 +18,59 @@ from . import sql_chunks as SC
 from .fixtures import attempts, chunk_lines
 from .registry import query
 
-FILES_PER_ARRIVAL = 4
+#: How far lines may arrive out of event-time order here: more than the tables span.
+LATENESS_DAYS = 36_500
 
 
-def _stage_two_arrivals(df, key: str, order: str, path: str) -> None:
-    """Write ``df`` as JSON files in two arrivals split at the median ``order``; within a
-    file rows are clustered by ``key`` and sorted by ``order``."""
-    cut = df.agg(F.percentile_approx(order, 0.5).alias("m")).first()["m"]
-    for i, part in enumerate((df.filter(F.col(order) <= cut), df.filter(F.col(order) > cut))):
-        (part.repartition(FILES_PER_ARRIVAL, key).sortWithinPartitions(key, order)
-         .write.mode("overwrite" if i == 0 else "append").json(path))
+def _arrivals(df, late):
+    """The rows in two arrivals: those that aren't late, then the late ones."""
+    return [df.where(~late), df.where(late)]
+
+
+def _drive(arrivals, src: str, start) -> None:
+    """Write each arrival as files, in no order, and run the stream until it has read them."""
+    for rows in arrivals:
+        rows.write.mode("append").json(src)
+        start().awaitTermination()
 
 
 def _workdir(spark, name: str) -> str:
     return checkpoint_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
 
-_ENDED = ("SELECT user_id FROM events WHERE event_type = 'purchase' "
-          "OR (event_type = 'error' AND event_id % 3 = 0)")
+def _stream_fold(spark, sf_dir, protocol):
+    """T1 + T5: lines arrive in an order that has nothing to do with theirs, half of each request in a
+    second arrival; then the source falls silent and heartbeats let the timers run."""
+    work = _workdir(spark, f"t1-{protocol}")
+    lines = chunk_lines(spark, sf_dir, protocol)
+
+    def start():
+        src = spark.readStream.schema("request_id BIGINT, seq BIGINT, line STRING, ts TIMESTAMP").json(f"{work}/src")
+        return (A.assemble(src, protocol, lateness=f"{LATENESS_DAYS} days").writeStream.format("parquet").option("path", f"{work}/out")
+                .option("checkpointLocation", f"{work}/ckpt").outputMode("append").trigger(availableNow=True).start())
+
+    silent = lines.agg((F.max("ts") + F.expr(f"INTERVAL {LATENESS_DAYS + 1} DAYS")).alias("ts")).select(
+        F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("line"), "ts")
+    _drive([*_arrivals(lines, F.xxhash64("seq") % 2 == 0), silent, silent], f"{work}/src", start)
+    return A.responses(spark.read.schema(A.HELD).parquet(f"{work}/out"), protocol, "bigint")
 
 
-@query("t1_stream_fold", oracle=f"SELECT * FROM ({SC.responses_sql()}) WHERE request_id IN ({_ENDED})")
+@query("t1_stream_fold", oracle=SC.responses_sql())
 def t1_stream_fold(spark, sf_dir):
-    """T1 + T5: responses-protocol chunks streamed through the per-request state machine;
-    every request that reached a terminal event or ``[DONE]`` matches the batch fold."""
-    work = _workdir(spark, "t1")
-    _stage_two_arrivals(chunk_lines(spark, sf_dir, "responses"), "request_id", "seq", f"{work}/src")
-    lines = (spark.readStream.schema("request_id BIGINT, seq BIGINT, line STRING, ts TIMESTAMP")
-             .option("maxFilesPerTrigger", FILES_PER_ARRIVAL).json(f"{work}/src"))
-    q = (A.assemble(A.responses_events(lines)).writeStream.format("parquet").option("path", f"{work}/out")
-         .option("checkpointLocation", f"{work}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    ended = spark.read.parquet(f"{work}/out").filter(F.col("end_seq").isNotNull())
-    return A.classify_folded(ended)
+    """Every request of the responses protocol, ended or timed out, equals the batch fold."""
+    return _stream_fold(spark, sf_dir, "responses")
+
+
+@query("t1_stream_chat", oracle=SC.chat_sql())
+def t1_stream_chat(spark, sf_dir):
+    """T1 for the chat protocol."""
+    return _stream_fold(spark, sf_dir, "chat")
+
+
+@query("t1_stream_messages", oracle=SC.messages_sql())
+def t1_stream_messages(spark, sf_dir):
+    """T1 for the messages protocol, which has no end marker: requests are over when silent."""
+    return _stream_fold(spark, sf_dir, "messages")
 
 
 _A5_SQL = Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST) + f"SELECT run_id, {Q.SUMMARY_SELECT} FROM latest GROUP BY run_id"
@@ -61,16 +80,19 @@ _A5_SQL = Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST) + f"SELECT run_id, {Q.SUMMA
 def t2_ingest(spark, sf_dir):
     """Attempt files ingested incrementally into the Parquet ledger, then summarised."""
     from .q_sources import _summary
+    from ..sources import ledger_io as LIO
     work = _workdir(spark, "t2")
-    _stage_two_arrivals(attempts(spark, sf_dir), "problem_key", "seq", f"{work}/src")
-    LS.ingest(spark, f"{work}/src", f"{work}/ledger", f"{work}/ckpt", FILES_PER_ARRIVAL).awaitTermination()
-    return _summary(spark.read.parquet(f"{work}/ledger/rows"))
+    rows = attempts(spark, sf_dir)
+    by_stream, appended = rows.where("seq % 5 <> 0"), rows.where("seq % 5 = 0")
+    _drive(_arrivals(by_stream, F.col("seq") % 2 == 0), f"{work}/src", lambda: LS.ingest(spark, f"{work}/src", f"{work}/ledger", f"{work}/ckpt"))
+    LIO.append_rows(appended, f"{work}/ledger")  # a batch append after the stream's: both are read
+    return _summary(LIO.read_rows(spark, f"{work}/ledger"))
 
 
 @query("t3_live_summary", oracle=_A5_SQL)
 def t3_live_summary(spark, sf_dir):
     """Latest attempt per problem as streaming state, summaries republished per trigger."""
     work = _workdir(spark, "t3")
-    _stage_two_arrivals(attempts(spark, sf_dir), "problem_key", "seq", f"{work}/src")
-    LS.live_summary(spark, f"{work}/src", f"{work}/summary", f"{work}/ckpt", FILES_PER_ARRIVAL).awaitTermination()
-    return spark.read.parquet(f"{work}/summary/current").drop("batch_id")
+    _drive(_arrivals(attempts(spark, sf_dir), F.col("seq") % 2 == 0), f"{work}/src",
+           lambda: LS.live_summary(spark, f"{work}/src", f"{work}/summary", f"{work}/ckpt"))
+    return LS.read_summary(spark, f"{work}/summary").drop("batch_id")

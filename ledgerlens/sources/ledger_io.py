@@ -2,7 +2,7 @@
 
 Layout on shared storage (every path is a folder, written by Spark tasks):
 
-* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``run_id``, append-only;
+* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``arrival`` and ``run_id``;
 * ``<ledger>/header`` — one identity row per run (hash + components);
 * JSON-lines ledgers written by other tools are read with :func:`read_ledger_json`:
   a header line carries a truthy flag key and is split off; corrupt lines are dropped
@@ -10,6 +10,8 @@ Layout on shared storage (every path is a folder, written by Spark tasks):
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,13 +64,17 @@ def ledger_json_lines(ledger: DataFrame) -> DataFrame:
                                             *[F.col(c) for c in other], tok.alias("tokens"))).alias("value"))
 
 
-def append_rows(ledger: DataFrame, path: str) -> None:
-    """Append attempt rows (Parquet, partitioned by run so summaries prune per run)."""
-    ledger.write.mode("append").partitionBy("run_id").parquet(f"{path.rstrip('/')}/rows")
+def append_rows(ledger: DataFrame, path: str, arrival: str | None = None) -> None:
+    """Add attempt rows as an arrival of their own, partitioned by run so summaries prune per run.
+
+    An arrival that is written again (a repeated micro-batch) replaces itself, so rows are
+    added once; arrivals of batches and of streams lie side by side."""
+    (ledger.withColumn("arrival", F.lit(arrival or f"append-{uuid.uuid4().hex}")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("arrival", "run_id").parquet(f"{path.rstrip('/')}/rows"))
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/rows")
+    return spark.read.parquet(f"{path.rstrip('/')}/rows").drop("arrival")
 
 
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:

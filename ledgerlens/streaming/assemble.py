@@ -1,126 +1,71 @@
-"""Streaming response assembly (T1, T4 timer, T5 late-chunk policy).
-
-Lines are parsed JVM-side into narrow typed columns; a per-request state machine
-(``applyInPandasWithState``) keeps the text so far and emits one row when the
-request's first terminal event or ``[DONE]`` arrives.  Later chunks of an ended
-request are ignored (the ended marker is kept until its TTL runs out), and a
-request that stays silent longer than the read timeout is emitted without a
-terminal event, which classifies as ``responses_stream_incomplete``.  Usage
-normalisation and classification then run as the same JVM expressions as the
-batch fold, so batch and stream agree on every ended request.
+"""Streaming response assembly (T1, T4 timer, T5 late-chunk policy), for any protocol and key type.
+
+A request's lines are held in state until it is over: a while (``grace``) after its end
+marker, so that lines that arrive out of order are in, or when it has been silent longer
+than the read timeout.  Then all its lines come out at once, in sequence order, and the
+batch fold (C1-C3) makes the response of them; batch and stream agree on every request, and
+there is one response per request.  Lines that come after that are ignored while the
+marker that stays in state lives (T5).  Timers run on the lines' event time behind a
+watermark; ``lateness`` is how far lines may arrive out of event-time order.
 """
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions import classify as C
-from ..functions import usage as U
-from ..operators.chunks import DEFAULT_MODEL, TERMINAL_EVENTS, parse_sse, vget
-
-EVENT_FIELDS = [
-    ("seq", T.LongType()), ("kind", T.StringType()), ("delta", T.StringType()), ("t_type", T.StringType()),
-    ("t_model", T.StringType()), ("t_status", T.StringType()), ("t_reason", T.StringType()),
-    ("t_error", T.StringType()), ("u_input", T.LongType()), ("u_output", T.LongType()),
-    ("u_total", T.LongType()), ("u_reasoning", T.LongType()),
-]
-OUT_SCHEMA = T.StructType([T.StructField("request_id", T.LongType())]
-                          + [T.StructField(n, t) for n, t in EVENT_FIELDS if n not in ("seq", "kind", "delta")]
-                          + [T.StructField("text", T.StringType()), T.StructField("reasoning_chars", T.LongType()),
-                             T.StructField("end_seq", T.LongType())])
-STATE_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("reasoning_chars", T.LongType()),
-                             T.StructField("ended", T.BooleanType()), T.StructField("last_ms", T.LongType())])
-
-
-def responses_events(lines: DataFrame) -> DataFrame:
-    """S9 for the responses protocol, reduced to the narrow columns the state machine needs."""
-    ev = parse_sse(lines)
-    t = vget("$.type")
-    kind = (F.when(F.col("is_done"), F.lit("done")).when(t.isin(*TERMINAL_EVENTS), F.lit("terminal"))
-            .when(t == "response.output_text.delta", F.lit("text"))
-            .when(t == "response.reasoning_text.delta", F.lit("reasoning")).otherwise(F.lit("other")))
-    err_obj = F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("ev"), "$.response.error", "variant"))
-                         .startswith("OBJECT"), F.lit(False))
-    return ev.select(
-        "request_id", "seq", "ts", kind.alias("kind"), F.coalesce(vget("$.delta"), F.lit("")).alias("delta"),
-        t.alias("t_type"), vget("$.response.model").alias("t_model"), vget("$.response.status").alias("t_status"),
-        vget("$.response.incomplete_details.reason").alias("t_reason"),
-        F.when(err_obj, vget("$.response.error.message")).otherwise(F.nullif(vget("$.response.error"), F.lit("")))
-        .alias("t_error"),
-        vget("$.response.usage.input_tokens", "bigint").alias("u_input"),
-        vget("$.response.usage.output_tokens", "bigint").alias("u_output"),
-        vget("$.response.usage.total_tokens", "bigint").alias("u_total"),
-        vget("$.response.usage.output_tokens_details.reasoning_tokens", "bigint").alias("u_reasoning"))
+from ..operators import chunks as CH
 
+SPECS = {"chat": CH.chat_spec, "responses": CH.responses_spec, "messages": CH.messages_spec}
+HELD = "request_id string, seq long, line string, timed_out boolean"
+STATE = "seqs array<long>, lines array<string>, ended boolean, emitted boolean, last_ms long"
 
-def _emit(key, text, rchars, end_row):
-    out = {"request_id": key, "text": text, "reasoning_chars": rchars,
-           "end_seq": None if end_row is None else int(end_row["seq"])}
-    for n, _ in EVENT_FIELDS:
-        if n in ("seq", "kind", "delta"):
-            continue
-        out[n] = None if end_row is None or end_row["kind"] != "terminal" else end_row[n]
-    return pd.DataFrame([out])
 
+def marked(lines: DataFrame, protocol: str) -> DataFrame:
+    """request_id (as text), seq, ts, line and whether the line ends its request."""
+    ev = CH.parse_sse(lines.withColumn("_line", F.col("line")))
+    return ev.select(F.col("request_id").cast("string").alias("request_id"), "seq", "ts", F.col("_line").alias("line"),
+                     F.coalesce(SPECS[protocol]().end, F.lit(False)).alias("ends"))
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
 
-
-def _step(read_timeout_ms: int, ended_ttl_ms: int):
+def _hold(read_timeout_ms: int, grace_ms: int, marker_ms: int):
     def step(key, batches, state):
-        rid = int(key[0])
-        text, rchars, ended, last_ms = state.get if state.exists else ("", 0, False, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if not ended:  # T4: silent past the read timeout → emitted without a terminal event
-                yield _emit(rid, text, rchars, None)
+        if key[0] is None:  # a heartbeat
             return
-        if ended:  # T5: late chunks after the end are ignored until the marker expires
-            for _ in batches:
-                pass
+        seqs, lines, ended, emitted, last_ms = state.get if state.exists else ([], [], False, False, 0)
+        if state.hasTimedOut:
+            if emitted:
+                state.remove()
+                return
+            state.update(([], [], ended, True, last_ms))
+            state.setTimeoutTimestamp(max(last_ms + marker_ms, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame({"request_id": key[0], "seq": seqs, "line": lines, "timed_out": not ended}).sort_values("seq", kind="stable")
             return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable").reset_index(drop=True)
-        last_ms = max(last_ms, _ms(pdf["ts"].max()))
-        ends = pdf.index[pdf["kind"].isin(["terminal", "done"])]
-        upto = pdf if len(ends) == 0 else pdf.loc[:ends[0]]
-        text += "".join(upto.loc[upto["kind"] == "text", "delta"].tolist())
-        rchars += int(upto.loc[upto["kind"] == "reasoning", "delta"].str.len().sum())
-        floor_ms = state.getCurrentWatermarkMs() + 1
-        if len(ends) == 0:
-            state.update((text, rchars, False, last_ms))
-            state.setTimeoutTimestamp(max(last_ms + read_timeout_ms, floor_ms))
+        seqs, lines = list(seqs), list(lines)
+        for pdf in batches:
+            if not emitted and len(pdf):
+                seqs += pdf["seq"].tolist()
+                lines += pdf["line"].tolist()
+                ended = ended or bool(pdf["ends"].any())
+                last_ms = max(last_ms, int(pdf["ts"].max().value // 1_000_000))
+        if emitted:  # late: the response is out
             return
-        state.update(("", 0, True, last_ms))
-        state.setTimeoutTimestamp(max(last_ms + ended_ttl_ms, floor_ms))
-        yield _emit(rid, text, rchars, pdf.loc[ends[0]])
+        state.update((seqs, lines, ended, False, last_ms))
+        state.setTimeoutTimestamp(max(last_ms + (grace_ms if ended else read_timeout_ms), state.getCurrentWatermarkMs() + 1))
     return step
 
 
-def assemble(events: DataFrame, read_timeout_ms: int = 120_000, ended_ttl_ms: int = 600_000,
-             watermark: str = "10 minutes") -> DataFrame:
-    """One raw folded row per request, emitted at its end.  Timers run on the chunks'
-    event time (``ts``) behind a watermark, so a bounded replay also terminates."""
-    return events.withWatermark("ts", watermark).groupBy("request_id").applyInPandasWithState(
-        _step(read_timeout_ms, ended_ttl_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+def assemble(lines: DataFrame, protocol: str, read_timeout_ms: int = 120_000, grace_ms: int = 5_000,
+             marker_ms: int = 600_000, lateness: str = "10 minutes") -> DataFrame:
+    """The lines (request_id, seq, line, timed_out) of each request that is over, together.
+
+    Rows without a request id only move the event time on (a heartbeat of the source)."""
+    # heartbeats are dropped in the groups: a filter would go below the watermark and take them from it
+    return marked(lines, protocol).withWatermark("ts", lateness).groupBy("request_id").applyInPandasWithState(
+        _hold(read_timeout_ms, grace_ms, marker_ms), HELD, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def classify_folded(f: DataFrame) -> DataFrame:
-    """The batch fold's post-processing (N5, P10, finish reason) on streamed rows."""
-    status = F.when(F.col("t_type").isin(*TERMINAL_EVENTS),
-                    F.coalesce(F.nullif(F.col("t_status"), F.lit("")),
-                               F.regexp_replace(F.col("t_type"), r"^response\.", "")))
-    f = f.withColumn("status", status)
-    f = U.split_usage_frame(f, F.col("u_input"), F.col("u_output"), F.col("u_total"), F.col("u_reasoning"),
-                            "text", out="tok")
-    err = C.responses_status_error("status", "t_reason", "t_error", F.col("tok.output_tokens"), "text",
-                                   (F.col("tok.reasoning_tokens") > 0) | (F.col("reasoning_chars") > 0))
-    model = F.when(F.col("status").isNotNull(), F.coalesce(F.col("t_model"), F.lit(DEFAULT_MODEL))) \
-        .otherwise(F.lit(DEFAULT_MODEL))
-    return f.select("request_id", "text", model.alias("model"),
-                    C.responses_finish_reason("status", "t_reason").alias("finish_reason"),
-                    *[F.col(f"tok.{c}").alias(c) for c in U.USAGE_FIELDS], err.alias("error"))
+def responses(held: DataFrame, protocol: str, key_type: str = "string") -> DataFrame:
+    """The responses of assembled requests, by the batch fold."""
+    return CH.fold(held.select(F.col("request_id").cast(key_type).alias("request_id"), "seq", "line"), protocol)

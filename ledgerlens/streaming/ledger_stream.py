@@ -1,27 +1,24 @@
 """Incremental ledger ingest and live summaries.
 
-* T2: new ledger files (JSON lines) are picked up by the file source and appended to
-  the run-partitioned Parquet ledger through the exactly-once file sink; a restart
-  resumes from the checkpoint and never re-appends a committed file.  Logical
-  duplicates (a problem attempted again) are resolved later by latest-row de-dup.
-* T3: the state store keeps, per ``(run, problem)``, the summary contribution of its
-  latest attempt (one row of counts and sums).  When a newer attempt arrives the state
-  function emits the difference (new minus old contribution), so every trigger
-  produces O(changed problems) delta rows, never the whole table.  ``foreachBatch``
-  writes the per-run sums of a batch's deltas into that batch's own partition
-  (a retried batch overwrites it, so nothing is counted twice) and republishes the
-  summaries from the per-batch sums, which are one row per run and batch.
+* T2: new ledger files (JSON lines) are picked up by the file source and added to the
+  run-partitioned Parquet ledger, each micro-batch as an arrival that a repeated batch
+  replaces.  Logical duplicates (a problem attempted again) are resolved later by
+  latest-row de-dup.
+* T3: each micro-batch is reduced to the latest attempt per problem (JVM aggregation), kept in
+  folders that are merged by levels, and the summaries are published as a new version.
 """
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import ledger as L
 from ..operators import scoring as S
+from ..sources.ledger_io import append_rows
 
 ATTEMPT_SCHEMA = (
     "run_id STRING, problem_key STRING, seq BIGINT, question STRING, ground_truth STRING, model_response STRING, "
@@ -39,25 +36,27 @@ def read_attempts_stream(spark: SparkSession, src: str, files_per_trigger: int |
 
 
 def ingest(spark: SparkSession, src: str, ledger_path: str, checkpoint: str, files_per_trigger: int | None = None):
-    """Append new attempt files to ``<ledger>/rows`` (Parquet, by run)."""
-    q = (read_attempts_stream(spark, src, files_per_trigger).writeStream.format("parquet")
-         .option("path", f"{ledger_path.rstrip('/')}/rows").option("checkpointLocation", checkpoint)
-         .partitionBy("run_id").outputMode("append").trigger(availableNow=True).start())
-    return q
-
-
-# Contribution of one latest attempt to its run's summary sums.
-CONTRIB = (("n", T.LongType()), ("n_correct", T.LongType()), ("total_tokens", T.LongType()),
-           ("prompt_tokens", T.LongType()), ("answer_tokens", T.LongType()), ("reasoning_tokens", T.LongType()),
-           ("output_tokens", T.LongType()), ("latency", T.DoubleType()), ("n_error", T.LongType()))
-DELTA_SCHEMA = T.StructType([T.StructField("run_id", T.StringType())]
-                            + [T.StructField(n, t) for n, t in CONTRIB])
-DELTA_STATE = T.StructType([T.StructField("seq", T.LongType())] + [T.StructField(n, t) for n, t in CONTRIB])
-# Summary sums (as named by ``scoring.summary_aggs``) ← delta columns.
+    """Add new attempt files to ``<ledger>/rows``, one arrival per micro-batch; a batch that
+    runs again after a failure replaces its own arrival."""
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        append_rows(batch, ledger_path, f"stream-{stream}-{batch_id}")
+
+    return (read_attempts_stream(spark, src, files_per_trigger).writeStream.foreachBatch(add)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+# Sums of a run's latest attempts.
+SUMS = ("n", "n_correct", "total_tokens", "prompt_tokens", "answer_tokens", "reasoning_tokens", "output_tokens", "latency", "n_error")
+# Summary sums (as named by ``scoring.summary_aggs``) ← contribution columns.
 SUM_OF = (("total_problems", "n"), ("correct_count", "n_correct"), ("total_tokens", "total_tokens"),
           ("total_prompt_tokens", "prompt_tokens"), ("total_answer_tokens", "answer_tokens"),
           ("total_reasoning_tokens", "reasoning_tokens"), ("total_output_tokens", "output_tokens"),
           ("_latency_sum", "latency"), ("error_count", "n_error"))
+KEY = ("run_id", "problem_key")
+# Latest rows kept as one folder per level; a full level is merged into the next.
+LEVEL_FOLDERS = 4
 
 
 def contributions(rows: DataFrame) -> DataFrame:
@@ -73,39 +72,59 @@ def contributions(rows: DataFrame) -> DataFrame:
         F.when(F.col("gen_error") | F.col("eval_error"), 1).otherwise(0).cast("bigint").alias("n_error"))
 
 
-def _latest_delta(key, batches, state):
-    pdf = pd.concat(list(batches), ignore_index=True)
-    best = pdf.loc[pdf["seq"].idxmax()]
-    if state.exists and state.get[0] >= best["seq"]:
-        return  # only older attempts arrived: the latest row is unchanged
-    old = state.get[1:] if state.exists else (0,) * len(CONTRIB)
-    new = tuple(float(best[n]) if t == T.DoubleType() else int(best[n]) for n, t in CONTRIB)
-    state.update((int(best["seq"]),) + new)
-    yield pd.DataFrame([{"run_id": key[0], **{n: b - a for (n, _), a, b in zip(CONTRIB, old, new)}}])
+def latest_contributions(rows: DataFrame) -> DataFrame:
+    """Per ``(run, problem)`` the contribution of its latest attempt: one aggregation, combined before the shuffle."""
+    return rows.groupBy(*KEY).agg(F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in SUMS])
 
 
-def latest_deltas(rows: DataFrame) -> DataFrame:
-    """Per ``(run, problem)``: the change of the run's sums when its latest attempt changes."""
-    return contributions(rows).groupBy("run_id", "problem_key").applyInPandasWithState(
-        _latest_delta, DELTA_SCHEMA, DELTA_STATE, "append", GroupStateTimeout.NoTimeout)
+def _state(spark: SparkSession, base: str) -> tuple[list[str], int]:
+    """The folders that hold the latest rows, and the last batch in them, as the last published version says."""
+    try:
+        row = spark.read.schema("folders array<string>, batch_id long").json(f"{base}/version").orderBy(F.desc("batch_id")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return (list(row["folders"]), row["batch_id"]) if row else ([], -1)
 
 
 def live_summary(spark: SparkSession, src: str, summary_path: str, checkpoint: str,
                  files_per_trigger: int | None = None):
     """Run summaries over the latest attempt per problem, kept current per trigger.
 
-    Layout: ``<summary_path>/deltas/batch_id=N`` (per-run sums of batch N's deltas) and
-    ``<summary_path>/current`` (the published summaries)."""
+    A trigger reduces its own rows to one per problem and adds them as a folder; of every
+    ``LEVEL_FOLDERS`` folders of a size one larger one is made, so a row is written again
+    a logarithmic number of times and a summary reads few folders.  The sums are taken anew from the latest rows, so
+    nothing is added to or taken from floating sums.  A version names the folders that
+    count and its summaries; both are written under new names and become current by the version's own
+    file, so readers never find half of one.  A batch that runs again starts from the version before it."""
     base = summary_path.rstrip("/")
-    deltas_schema = T.StructType(DELTA_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy("run_id").agg(*[F.sum(n).alias(n) for n, _ in CONTRIB])
-        sums.write.mode("overwrite").parquet(f"{base}/deltas/batch_id={batch_id}")
-        merged = batch.sparkSession.read.schema(deltas_schema).parquet(f"{base}/deltas").groupBy("run_id").agg(
-            *[F.sum(d).alias(s) for s, d in SUM_OF])
-        out = S.round_summary(S.summary_from_sums(merged))
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/current")
-
-    return (latest_deltas(read_attempts_stream(spark, src, files_per_trigger)).writeStream
+        session = batch.sparkSession
+        folders, last = _state(session, base)
+        if batch_id <= last:
+            return  # this batch is in already
+        tag = f"{batch_id}-{uuid.uuid4().hex[:8]}"
+        latest_contributions(contributions(batch)).write.parquet(f"{base}/latest/0-{tag}")
+        folders.append(f"0-{tag}")
+        level = 0
+        while len(full := [f for f in folders if f.startswith(f"{level}-")]) >= LEVEL_FOLDERS:
+            merged = f"{level + 1}-{tag}"
+            latest_contributions(session.read.parquet(*[f"{base}/latest/{f}" for f in full])).write.parquet(f"{base}/latest/{merged}")
+            folders = [merged, *[f for f in folders if f not in full]]
+            level += 1
+        rows = latest_contributions(session.read.parquet(*[f"{base}/latest/{f}" for f in folders]))
+        sums = rows.groupBy("run_id").agg(*[F.sum(c).alias(s) for s, c in SUM_OF])
+        S.round_summary(S.summary_from_sums(sums)).withColumn("batch_id", F.lit(batch_id).cast("long")).write.parquet(f"{base}/summary/{tag}")
+        session.createDataFrame([(folders, batch_id, tag)], "folders array<string>, batch_id long, tag string").write.mode("append").json(f"{base}/version")
+
+    return (read_attempts_stream(spark, src, files_per_trigger).writeStream
             .foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_summary(spark: SparkSession, summary_path: str) -> DataFrame:
+    """The summaries of the last published version."""
+    base = summary_path.rstrip("/")
+    tag = spark.read.schema("batch_id long, tag string").json(f"{base}/version").orderBy(F.desc("batch_id")).first()["tag"]
+    return spark.read.parquet(f"{base}/summary/{tag}")

@@ -23,8 +23,50 @@ def test_live_summary_replaces_latest_and_ignores_older(spark, tmp_path):
         (src / f"part-{i}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
     out = tmp_path / "summary"
     LS.live_summary(spark, str(src), str(out), str(tmp_path / "ckpt"), files_per_trigger=1).awaitTermination()
-    s = spark.read.parquet(str(out / "current")).collect()[0]
+    s = LS.read_summary(spark, str(out)).collect()[0]
     assert (s.total_problems, s.correct_count, s.error_count) == (2, 2, 0)
     assert s.total_tokens == 50 and s.avg_tokens_per_problem == 25.0
     assert s.accuracy == 100.0 and s.batch_id == 2
-    assert len(list((out / "deltas").glob("batch_id=*"))) == 3
+    assert len(list((out / "latest").glob("0-*"))) == 3
+
+
+def test_latest_rows_are_merged_by_levels(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(5):
+        (src / f"part-{i}.json").write_text(json.dumps(_attempt("p%d" % (i % 2), i, True, 10 + i)) + "\n")
+    out = tmp_path / "summary"
+    LS.live_summary(spark, str(src), str(out), str(tmp_path / "ckpt"), files_per_trigger=1).awaitTermination()
+    s = LS.read_summary(spark, str(out)).collect()[0]
+    assert (s.total_problems, s.total_tokens) == (2, 13 + 14) and len(list((out / "latest").glob("1-*"))) == 1
+
+
+def _lines(texts, end="data: [DONE]"):
+    chunk = 'data: {"id": "c", "model": "m", "choices": [{"index": 0, "delta": {"content": "%s"}, "finish_reason": null}]}'
+    return [chunk % t for t in texts] + ([end] if end else [])
+
+
+def test_requests_come_once_and_in_order(spark, tmp_path):
+    from ledgerlens.streaming import assemble as A
+    src, n = tmp_path / "src", [0]
+    src.mkdir()
+
+    def arrive(*rows):
+        n[0] += 1
+        (src / f"{n[0]}.json").write_text("".join(json.dumps({"request_id": r, "seq": s, "line": x, "ts": t}) + "\n" for r, s, x, t in rows))
+        lines = spark.readStream.schema("request_id STRING, seq LONG, line STRING, ts TIMESTAMP").json(str(src))
+        (A.assemble(lines, "chat", read_timeout_ms=60_000, lateness="1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination())
+
+    x = _lines(["a", "b"])
+    arrive(("swapped", 2, x[1], "2024-01-01 00:00:01"), ("early end", 3, x[2], "2024-01-01 00:00:01"), ("silent", 1, x[0], "2024-01-01 00:00:01"))
+    arrive(("swapped", 1, x[0], "2024-01-01 00:00:02"), ("early end", 1, x[0], "2024-01-01 00:00:02"), ("early end", 2, x[1], "2024-01-01 00:00:02"))
+    arrive((None, None, None, "2024-01-01 00:05:00"))
+    arrive((None, None, None, "2024-01-01 00:05:01"))
+    arrive(("silent", 2, x[1], "2024-01-01 00:06:00"))
+    arrive((None, None, None, "2024-01-01 00:09:00"))
+    arrive((None, None, None, "2024-01-01 00:09:01"))
+    held = spark.read.schema(A.HELD).parquet(str(tmp_path / "out"))
+    got = {r["request_id"]: r["text"] for r in A.responses(held, "chat").collect()}
+    assert got == {"swapped": "ab", "early end": "ab", "silent": "a"}
+    assert {r["request_id"] for r in held.where("timed_out").collect()} == {"swapped", "silent"}
