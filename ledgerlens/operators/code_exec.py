@@ -28,21 +28,73 @@ RUN_FIELDS = [
 ]
 
 
+#: Lines of a program's output that the grade reads; all others are dropped as they come.
+TOLD = ("RESULTS", "FAILED", "ERROR")
+PIECE = 1 << 16
+
+
+def _kept_lines(pipe, kept: list) -> None:
+    """Adds the lines of ``pipe`` that begin with a word of :data:`TOLD`; reads in pieces, so that a line
+    without end takes no memory unless it is kept."""
+    at_start, keep = True, False
+    for piece in iter(lambda: pipe.readline(PIECE), ""):
+        if at_start:
+            keep = piece.startswith(TOLD)
+        if keep:
+            kept.append(piece)
+        at_start = piece.endswith("\n")
+
+
+def _last_lines(pipe, last) -> None:
+    """Leaves the last lines of ``pipe`` in the bounded ``last``, blank ones at the end aside."""
+    for piece in iter(lambda: pipe.readline(PIECE), ""):
+        if piece.strip():
+            last.append(piece)
+
+
+def run_program(script: str, timeout_s: float) -> tuple:
+    """(rc, stdout lines that count, last stderr lines, timed out) of a program in a child interpreter
+    with an empty environment."""
+    import subprocess
+    import sys
+    from collections import deque
+    from threading import Thread
+
+    told, last = [], deque(maxlen=3)
+    child = subprocess.Popen([sys.executable, "-I", "-"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE,
+                             text=True, encoding="utf-8", errors="replace", env={})
+    readers = [Thread(target=_kept_lines, args=(child.stdout, told)), Thread(target=_last_lines, args=(child.stderr, last))]
+    for reader in readers:
+        reader.start()
+    timed_out = False
+    try:
+        try:
+            child.stdin.write(script)
+            child.stdin.close()
+        except BrokenPipeError:
+            pass  # it ended before it had read all
+        child.wait(timeout_s)
+    except subprocess.TimeoutExpired:
+        timed_out = True
+    finally:
+        child.kill()
+        child.wait()
+        for reader in readers:
+            reader.join()
+        child.stdout.close()
+        child.stderr.close()
+    return (None, "", "", True) if timed_out else (child.returncode, "".join(told), "".join(last), False)
+
+
 def _runner(script_col: str, timeout_s: float, per_task: int):
     def run(batches):
-        import subprocess
-        import sys
         from concurrent.futures import ThreadPoolExecutor
 
         def one(script):
             if script is None:
                 return (None, None, None, False)
             try:
-                r = subprocess.run([sys.executable, "-I", "-"], input=script, capture_output=True,
-                                   text=True, timeout=timeout_s)
-                return (r.returncode, r.stdout, r.stderr, False)
-            except subprocess.TimeoutExpired:
-                return (None, "", "", True)
+                return run_program(script, timeout_s)
             except Exception as e:  # noqa: BLE001 - reported as the run's stderr
                 return (1, "", f"{type(e).__name__}: {e}", False)
 
@@ -50,10 +102,8 @@ def _runner(script_col: str, timeout_s: float, per_task: int):
             for pdf in batches:
                 res = list(pool.map(one, pdf[script_col].tolist()))
                 out = pdf.drop(columns=[script_col])
-                out["rc"] = [r[0] for r in res]
-                out["stdout"] = [r[1] for r in res]
-                out["stderr"] = [r[2] for r in res]
-                out["timed_out"] = [r[3] for r in res]
+                for k, name in enumerate(("rc", "stdout", "stderr", "timed_out")):
+                    out[name] = [r[k] for r in res]
                 out["rc"] = out["rc"].astype("Int32")
                 yield out
     return run
@@ -62,12 +112,7 @@ def _runner(script_col: str, timeout_s: float, per_task: int):
 def run_scripts(df: DataFrame, keys: Sequence[str], script_col: str = "script", timeout_s: float = 5,
                 partitions: int | None = None, per_task: int = 2) -> DataFrame:
     """``(keys..., script)`` → ``(keys..., rc, stdout, stderr, timed_out)``."""
-    if partitions is None:
-        try:
-            partitions = max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
-        except Exception:  # noqa: BLE001 - no context handle: let the shuffle default decide
-            partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = partitions
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = df.select(*keys, script_col).repartition(n)
     schema = T.StructType([f for f in narrow.schema.fields if f.name != script_col] + RUN_FIELDS)
     return narrow.mapInPandas(_runner(script_col, timeout_s, per_task), schema)
@@ -84,7 +129,7 @@ def grade_code(df: DataFrame, keys: Sequence[str], code_col: str = "code", tests
     """
     keys = list(keys)
     runnable = F.coalesce(F.length(code_col) > 0, F.lit(False)) & F.coalesce(F.size(tests_col) > 0, F.lit(False))
-    carried = keys + [code_col, tests_col]
+    carried = keys + [c for c in (code_col, tests_col) if c not in keys]
     prepared = df.select(*carried, F.when(runnable, test_script(code_col, tests_col)).alias("script"))
     ran = run_scripts(prepared, carried, "script", timeout_s, partitions)
     outcome = run_outcome(tests_col, "rc", "stdout", "stderr", F.coalesce(F.col("timed_out"), F.lit(False)),

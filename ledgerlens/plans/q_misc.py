@@ -98,22 +98,23 @@ def p16_summary_fill(spark, sf_dir):
 
 @query("p18_ledger_rows", oracle=f"""
 SELECT request_id,
-  CASE WHEN failed THEN false ELSE coalesce(contains(text, 'v'), false) END AS correct,
-  CASE WHEN failed THEN 'error' ELSE 'contains' END AS extraction_method,
-  CASE WHEN failed THEN coalesce(nullif(error, ''), {sq(C.DEFAULT_ERROR)}) END AS error,
-  CAST(NULL AS VARCHAR) AS evaluator_error, total_tokens, finish_reason
-FROM (SELECT *, error IS NOT NULL OR coalesce(finish_reason = 'error', false) AS failed FROM ({SC.responses_sql()}))""")
+  CASE WHEN raised OR failed THEN false ELSE coalesce(contains(text, 'v'), false) END AS correct,
+  CASE WHEN raised THEN 'exception' WHEN failed THEN 'error' ELSE 'contains' END AS extraction_method,
+  CASE WHEN raised THEN 'lost ' || CAST(request_id AS VARCHAR) WHEN failed THEN coalesce(nullif(error, ''), {sq(C.DEFAULT_ERROR)}) END AS error,
+  CASE WHEN NOT (raised OR failed) AND request_id % 7 = 2 THEN 'no verdict' END AS evaluator_error,
+  CASE WHEN raised THEN 0 ELSE total_tokens END AS total_tokens, CASE WHEN NOT raised THEN finish_reason END AS finish_reason
+FROM (SELECT *, error IS NOT NULL OR coalesce(finish_reason = 'error', false) AS failed, request_id % 11 = 4 AS raised FROM ({SC.responses_sql()}))""")
 def p18_ledger_rows(spark, sf_dir):
-    """A response becomes a ledger row — failures keep their tokens and carry the error;
-    others are graded (here by containment) with scorer failures kept apart."""
+    """Responses become ledger rows; some generations raised, some scorers fail."""
+    from ..operators.resume import result_rows
+
+    def grade(df):
+        return df.withColumns({"correct": X.contains_grade("text", F.lit("v")), "extraction_method": F.lit("contains"),
+                               "evaluator_error": F.when(F.col("request_id") % 7 == 2, F.lit("no verdict"))})
+
     r = CH.fold_responses(chunk_lines(spark, sf_dir, "responses"))
-    failed = C.generation_failed("error", "finish_reason")
-    return r.select(
-        "request_id",
-        F.when(failed, F.lit(False)).otherwise(X.contains_grade("text", F.lit("v"))).alias("correct"),
-        F.when(failed, F.lit("error")).otherwise(F.lit("contains")).alias("extraction_method"),
-        F.when(failed, C.failure_message("error")).alias("error"),
-        F.lit(None).cast("string").alias("evaluator_error"), "total_tokens", "finish_reason")
+    r = r.withColumn("exception", F.when(F.col("request_id") % 11 == 4, F.concat(F.lit("lost "), F.col("request_id").cast("string"))))
+    return result_rows(r, grade).select("request_id", "correct", "extraction_method", "error", "evaluator_error", "total_tokens", "finish_reason")
 
 
 def _latest_with_runs(spark, sf_dir):

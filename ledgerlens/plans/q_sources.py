@@ -76,17 +76,20 @@ def _summary(df):
 
 @query("s4_ledger_scan", oracle=_A5_SQL)
 def s4_ledger_scan(spark, sf_dir):
-    """The ledger as JSON lines with a header line and two corrupt lines, read back and
+    """Ledgers as JSON lines, with a header line, two corrupt lines and lines without run and place, read back and
     summarised — the summary is a pure function of the ledger."""
     path = _scratch(spark, sf_dir, "ledger_jsonl")
     # problem keys are JSON values in the ledger (here: strings)
     a = attempts(spark, sf_dir).withColumn("problem_key", F.concat(F.lit('"'), "problem_key", F.lit('"')))
-    body = LIO.ledger_json_lines(a)
+    named = F.col("run_id").isin("run0", "run1")
     extra = spark.createDataFrame(
         [('{"%s": true, "identity_hash": "h"}' % LIO.HEADER_KEY,), ('{"run_id": "run0", broken',), ("not json",)],
         "value string")
-    _write_lines(body.unionByName(extra), path)
-    return _summary(LIO.read_ledger_json(spark, path))
+    _write_lines(LIO.ledger_json_lines(a.where(named)).unionByName(extra), f"{path}/mixed.jsonl")
+    for run in ("run2", "run3"):  # one ledger each; its lines name neither run nor place, their order does
+        own = a.where(F.col("run_id") == run).repartitionByRange("seq").sortWithinPartitions("seq")
+        _write_lines(LIO.ledger_json_lines(own.drop("run_id", "seq")), f"{path}/{run}.jsonl")
+    return _summary(LIO.read_ledger_json(spark, f"{path}/*.jsonl"))
 
 
 @query("s5_append", oracle=_A5_SQL)

@@ -6,8 +6,7 @@ oracle spells these out as Unicode classes, so that it accepts the same text in
 from __future__ import annotations
 
 from ..functions.extract import (ANSWER_BLOCK, CODE_PATTERNS, CODE_START, FUNC_ANYWHERE, FUNC_LINE,
-                                 MCQ_PATTERNS, MCQ_TAIL_CHARS, SCRIPT_HEAD, SCRIPT_IMPORTS,
-                                 SCRIPT_TAIL)
+                                 MCQ_PATTERNS, MCQ_TAIL_CHARS, SCRIPT_IMPORTS, SCRIPT_RUNNER)
 from .templates import sql_literal
 
 
@@ -113,15 +112,7 @@ def py_repr(t: str) -> str:
 
 
 def test_script(code_col: str, tests: str) -> str:
-    head = " || chr(10) || ".join([sql_literal(s) for s in SCRIPT_IMPORTS] + [code_col]
-                                  + [sql_literal(s) for s in SCRIPT_HEAD])
-    block = (f"lambda t, i: '    total += 1' || chr(10) || '    try:' || chr(10) || '        ' || t || chr(10) "
-             f"|| '        passed += 1' || chr(10) || '    except AssertionError as e:' || chr(10) "
-             f"|| '        failed += 1' || chr(10) "
-             f"|| '        print(''FAILED Test ' || CAST(i AS VARCHAR) || ': '' + ' || {py_repr('t')} || ')' || chr(10) "
-             f"|| '    except Exception as e:' || chr(10) || '        failed += 1' || chr(10) "
-             f"|| '        print(''ERROR Test ' || CAST(i AS VARCHAR) || ': '' + type(e).__name__ + '': '' + str(e))' "
-             f"|| chr(10)")
-    tail = sql_literal("\n".join(SCRIPT_TAIL))
-    return (f"CASE WHEN len({tests}) > 0 THEN {head} || chr(10) || array_to_string(list_transform({tests}, {block}), chr(10)) "
-            f"|| chr(10) || {tail} ELSE {head} || chr(10) || {tail} END")
+    before, after = SCRIPT_RUNNER.split("{TESTS}")
+    listed = f"array_to_string(list_transform({tests}, lambda t: {py_repr('t')}), ', ')"
+    imports = "\n".join(SCRIPT_IMPORTS) + "\n"
+    return f"{sql_literal(imports)} || {code_col} || {sql_literal(before)} || '[' || {listed} || ']' || {sql_literal(after)}"

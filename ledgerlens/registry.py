@@ -56,14 +56,12 @@ def _science(df: DataFrame, conf: dict) -> DataFrame:
 
 @register_grader("code")
 def _code(df: DataFrame, conf: dict) -> DataFrame:
+    """Every column goes through the runner with its row: as many rows come out as went in."""
     from .operators.code_exec import grade_code
-    resp, tests, keys = conf.get("response", "response"), conf.get("tests", "tests"), conf["keys"]
-    g = df.withColumn("_x", X.code_answer(resp))
-    code = g.select(*keys, F.col("_x.answer").alias("_code"), tests)
-    ran = grade_code(code, keys, "_code", tests, timeout_s=conf.get("execution_timeout", 5))
-    out = g.join(ran, keys, "left")
-    return out.withColumns({"extracted_answer": F.col("_x.answer"), "extraction_method": F.col("_x.method"),
-                            "correct": F.col("all_passed")}).drop("_x")
+    resp, tests = conf.get("response", "response"), conf.get("tests", "tests")
+    g = df.withColumn("_x", X.code_answer(resp)).select(*df.columns, F.col("_x.answer").alias("extracted_answer"), F.col("_x.method").alias("extraction_method"))
+    out = grade_code(g, g.columns, "extracted_answer", tests, timeout_s=conf.get("execution_timeout", 5))
+    return out.withColumn("correct", F.col("all_passed"))
 
 
 @register_grader("math")

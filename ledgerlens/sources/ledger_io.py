@@ -16,9 +16,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import non_empty
+from ..functions.text import is_blank, non_empty
 from ..operators import runs as RU
+from .lines import numbered_lines
 
+# The run a file's lines belong to, in files and folders named <run>.jsonl.
+RUN_OF_FILE = r"([^/]+?)(?:\.jsonl)?(?:/part-[^/]*)?$"
 # Flag key of a JSON-lines ledger header (configurable per call).
 HEADER_KEY = "__ledger_header__"
 
@@ -36,11 +39,16 @@ LEDGER_JSON_SCHEMA = (
 
 def read_ledger_json(spark: SparkSession, path: str, header_key: str = HEADER_KEY) -> DataFrame:
     """S4 + H7: ledger rows of JSON-lines files, header and corrupt lines removed, tokens
-    flattened (the legacy ``completion_tokens`` alias fills a missing answer count)."""
+    flattened (the legacy ``completion_tokens`` alias fills a missing answer count).
+
+    A line that names no run belongs to the run its file (or folder of part files) is named
+    after, ``<run>.jsonl``; one without a sequence number has its place in that run's lines."""
     schema = f"`{header_key}` BOOLEAN, " + LEDGER_JSON_SCHEMA + ", _corrupt_record STRING"
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("lineSep", "\n").json(path))
+    lines = numbered_lines(spark, path, F.regexp_extract("file", RUN_OF_FILE, 1)).where(~is_blank("value"))
+    raw = lines.select("group", "line", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
+    raw = raw.select("group", "line", "j.*")
     body = raw.filter(F.col("_corrupt_record").isNull() & ~F.coalesce(F.col(f"`{header_key}`"), F.lit(False)))
+    body = body.withColumns({"run_id": F.coalesce("run_id", F.try_url_decode("group")), "seq": F.coalesce("seq", "line")})
     t = F.col("tokens")
     zero = F.lit(0).cast("bigint")
     return body.select(

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import loader_hint, merge_tests
+from ..functions.text import is_blank
+from .lines import numbered_lines
 
 
 def _v(path: str, typ: str = "variant") -> Column:
@@ -42,8 +44,9 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 def read_code(spark: SparkSession, path: str) -> DataFrame:
     """Code datasets in three shapes — flat (problem/answer/metadata), nested ``doc``, and
     old top-level fields.  Tests merge as P4, the prompt gets the P3 hint.  A missing id
-    falls back to a generated row id (unique, not a line number)."""
-    raw = _read(spark, path).withColumn("_rid", F.monotonically_increasing_id() + 1)
+    falls back to the line's number in its file."""
+    lines = numbered_lines(spark, path).where(~is_blank("value"))
+    raw = lines.select(F.parse_json("value").alias("v"), F.col("line").alias("_rid"))
     flat = _v("$.problem").isNotNull() & _v("$.answer").isNotNull()
     nested = _v("$.doc").isNotNull()
     row_id = F.col("_rid").cast("string")
