@@ -45,9 +45,9 @@ def last_match(c, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
-def first_match(c, pattern: str, group: int = 1) -> Column:
-    """Group of the first match, null when the pattern does not match at all."""
-    return F.when(col(c).rlike(pattern), F.regexp_extract(col(c), pattern, group))
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def py_repr(c) -> Column:

@@ -39,7 +39,7 @@ def parse_sse(lines: DataFrame, line_col: str = "line") -> DataFrame:
     parsed payload of a ``data: `` line, null for other lines and undecodable JSON."""
     ln = strip_ws(F.col(line_col))
     is_data = ln.startswith("data: ")
-    payload = F.substring(ln, 7, 1 << 30)
+    payload = F.regexp_replace(ln, "^data: ", "")
     done = is_data & (payload == "[DONE]")
     ev = F.when(is_data & ~done, F.try_parse_json(payload))
     return lines.withColumns({"is_done": F.coalesce(done, F.lit(False)), "ev": ev}).drop(line_col)
@@ -65,20 +65,21 @@ class FoldSpec:
 def ordered_fold(df: DataFrame, spec: FoldSpec, key: str = "request_id", order: str = "seq",
                  bucket: int = BUCKET) -> DataFrame:
     """Two-level ordered fold; see the module docstring."""
-    b = F.floor(F.col(order) / F.lit(bucket))
+    # narrow, typed columns first: the parsed payload doesn't go through the shuffle
+    cols = {"_b": F.floor(F.col(order) / F.lit(bucket)), "_end_row": F.coalesce(spec.end, F.lit(False)),
+            "_text": spec.text if spec.text is not None else F.lit(None).cast("string")}
+    for n, (v, present) in spec.last.items():
+        cols |= {f"{n}__x": v, f"{n}__p": F.coalesce(present, F.lit(False))}
+    cols |= {f"{n}__x": v for n, v in spec.sums.items()} | {f"{n}__e": v for n, v in spec.at_end.items()}
+    base = df.select(key, order, *[v.alias(n) for n, v in cols.items()])
     w1 = Window.partitionBy(key, "_b")
-    base = df.withColumn("_b", b).withColumn("_end_row", F.coalesce(spec.end, F.lit(False)))
     base = base.withColumn("_bend", F.min(F.when(F.col("_end_row"), F.col(order))).over(w1))
     keep = F.col("_bend").isNull() | (F.col(order) <= F.col("_bend"))
-    cols = {"_t": F.when(keep, spec.text) if spec.text is not None else F.lit(None).cast("string")}
-    for n, (v, present) in spec.last.items():
-        cols[f"{n}__o"] = F.when(keep & F.coalesce(present, F.lit(False)), F.col(order))
-        cols[f"{n}__x"] = v
-    for n, v in spec.sums.items():
-        cols[f"{n}__x"] = F.when(keep, v)
-    for n, v in spec.at_end.items():
-        cols[f"{n}__e"] = F.when(F.col(order) == F.col("_bend"), v)
-    base = base.withColumns(cols)
+    kept = {"_t": F.when(keep, F.col("_text"))}
+    kept |= {f"{n}__o": F.when(keep & F.col(f"{n}__p"), F.col(order)) for n in spec.last}
+    kept |= {f"{n}__x": F.when(keep, F.col(f"{n}__x")) for n in spec.sums}
+    kept |= {f"{n}__e": F.when(F.col(order) == F.col("_bend"), F.col(f"{n}__e")) for n in spec.at_end}
+    base = base.withColumns(kept)
 
     lvl1 = [F.expr(f"listagg(_t, '') WITHIN GROUP (ORDER BY {order})").alias("_piece"),
             F.min("_bend").alias("_end")]
@@ -248,7 +249,3 @@ def pick_text(text, parts, candidate_text) -> Column:
     return F.coalesce(F.nullif(F.col(text) if isinstance(text, str) else text, F.lit("")), joined,
                       F.nullif(F.col(candidate_text) if isinstance(candidate_text, str) else candidate_text,
                                F.lit("")), F.lit(""))
-
-
-def keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys).distinct()

@@ -96,7 +96,7 @@ def unfence(content) -> Column:
     c0 = strip_ws(content)
     parts = F.split(c0, "```", -1)
     fenced = strip_ws(F.element_at(parts, 2))
-    fenced = F.when(fenced.startswith("json"), strip_ws(F.substring(fenced, 5, 1 << 30))).otherwise(fenced)
+    fenced = F.when(fenced.startswith("json"), strip_ws(F.regexp_replace(fenced, "^json", ""))).otherwise(fenced)
     return F.when(c0.startswith("```") & (F.size(parts) >= 3), fenced).otherwise(c0)
 
 

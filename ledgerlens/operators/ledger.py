@@ -157,3 +157,11 @@ def latest_flags(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     flagged = error_flags(migrate_legacy_errors(fill_token_usage(df)))
     latest = dedupe_latest(flagged, list(columns) + ["gen_error", "eval_error", "has_response"])
     return latest.withColumn("outcome", outcome_from_flags())
+
+
+def latest_texts(df: DataFrame, wanted: str, columns: Sequence[str]) -> DataFrame:
+    """The latest rows of outcome ``wanted`` with ``columns``.  De-duplication and outcome need flags only;
+    texts are fetched by key and sequence for the rows that are left."""
+    rows = latest_flags(df).where(F.col("outcome") == wanted).select(*KEY, "seq", "outcome", "first_seq")
+    fixed = migrate_legacy_errors(fill_token_usage(df)).select(*KEY, "seq", *columns)
+    return fixed.join(rows, [*KEY, "seq"])

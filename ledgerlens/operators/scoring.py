@@ -78,10 +78,20 @@ def summary_from_sums(agg: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFr
     return _finish(agg, list(by), None)
 
 
-def summarize_rollup(df: DataFrame, dims: Sequence[str], cube: bool = False) -> DataFrame:
-    """Summaries at every level of ``rollup``/``cube`` over ``dims`` (one shuffle)."""
-    grouped = df.cube(*dims) if cube else df.rollup(*dims)
-    agg = grouped.agg(*summary_aggs(df), F.grouping_id(*dims).cast("bigint").alias("grouping_level"))
+SUM_COLUMNS = ("total_problems", "correct_count", "total_tokens", "total_prompt_tokens", "total_answer_tokens",
+               "total_reasoning_tokens", "total_output_tokens", "_latency_sum", "error_count")
+
+
+def run_sums(df: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row of sums per run."""
+    return df.groupBy(key).agg(*summary_aggs(df))
+
+
+def summarize_rollup(sums: DataFrame, dims: Sequence[str], cube: bool = False) -> DataFrame:
+    """Summaries at every level of ``rollup``/``cube`` over ``dims``, from one row of sums
+    per run (:func:`run_sums`) that carries the dimensions: only those rows are multiplied."""
+    grouped = sums.cube(*dims) if cube else sums.rollup(*dims)
+    agg = grouped.agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS], F.grouping_id(*dims).cast("bigint").alias("grouping_level"))
     return _finish(agg, list(dims) + ["grouping_level"], None)
 
 

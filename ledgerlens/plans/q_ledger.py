@@ -123,7 +123,7 @@ SELECT p.run_id, p.problem_key, p.problem, l.seq, l.model_response, l.evaluator_
 FROM run_problems p JOIN latest l ON l.run_id = p.run_id AND l.problem_key = p.problem_key
 WHERE l.outcome = 'rejudge'""")
 def j2_rejudge(spark, sf_dir):
-    latest = L.latest_rows(attempts(spark, sf_dir), columns=R.PLAN_COLUMNS)
+    latest = L.latest_texts(attempts(spark, sf_dir), L.REJUDGE, R.PLAN_COLUMNS)
     return R.rejudge_pairs(run_problems(spark, sf_dir), latest).select(
         "run_id", "problem_key", "problem", "seq", "model_response", "evaluator_error")
 
@@ -147,7 +147,7 @@ SELECT l.run_id, l.problem_key, l.seq AS cached_seq,
 FROM run_problems p JOIN latest l ON l.run_id = p.run_id AND l.problem_key = p.problem_key
 WHERE l.outcome = 'rejudge'""")
 def p19_rejudge_rows(spark, sf_dir):
-    latest = L.latest_rows(attempts(spark, sf_dir), columns=R.PLAN_COLUMNS)
+    latest = L.latest_texts(attempts(spark, sf_dir), L.REJUDGE, R.PLAN_COLUMNS)
     pairs = R.rejudge_pairs(run_problems(spark, sf_dir), latest)
     return R.rejudge_projection(pairs).select(
         "run_id", "problem_key", "cached_seq", "question", "ground_truth", "model_response",

@@ -117,10 +117,10 @@ def p18_ledger_rows(spark, sf_dir):
     return result_rows(r, grade).select("request_id", "correct", "extraction_method", "error", "evaluator_error", "total_tokens", "finish_reason")
 
 
-def _latest_with_runs(spark, sf_dir):
+def _sums_with_runs(spark, sf_dir):
     latest = L.latest_flags(attempts_f(spark, sf_dir), columns=SUMMARY_COLUMNS)
     reg = runs(spark, sf_dir).select("run_id", "provider", "evaluator_type", "model")
-    return latest.join(reg, "run_id", "inner")
+    return S.run_sums(latest).join(reg, "run_id", "inner")
 
 
 _RUN_JOIN = ("(SELECT l.*, r.provider, r.evaluator_type, r.model FROM latest l "
@@ -132,7 +132,7 @@ SELECT evaluator_type, model, GROUPING(evaluator_type, model)::BIGINT AS groupin
 FROM {_RUN_JOIN} GROUP BY ROLLUP (evaluator_type, model)""")
 def a7_compare(spark, sf_dir):
     """Accuracy and score side by side, with sub-totals per evaluator and overall."""
-    return S.round_summary(S.summarize_rollup(_latest_with_runs(spark, sf_dir), ["evaluator_type", "model"]))
+    return S.round_summary(S.summarize_rollup(_sums_with_runs(spark, sf_dir), ["evaluator_type", "model"]))
 
 
 @query("a8_cube", oracle=Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST, Q.RUNS) + f"""
@@ -140,7 +140,7 @@ SELECT provider, evaluator_type, GROUPING(provider, evaluator_type)::BIGINT AS g
 FROM {_RUN_JOIN} GROUP BY CUBE (provider, evaluator_type)""")
 def a8_cube(spark, sf_dir):
     """Totals for every combination of provider and task (one shuffle)."""
-    return S.round_summary(S.summarize_rollup(_latest_with_runs(spark, sf_dir), ["provider", "evaluator_type"],
+    return S.round_summary(S.summarize_rollup(_sums_with_runs(spark, sf_dir), ["provider", "evaluator_type"],
                                               cube=True))
 
 
