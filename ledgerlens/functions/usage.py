@@ -186,14 +186,20 @@ def cache_metrics(u) -> Column:
 
 
 def normalize_usage_frame(df, provider: str = "provider", usage: str = "u", text: str = "final_text",
-                          counted: Column | None = None, out: str = "tokens"):
+                          counter=None, out: str = "tokens"):
     """N9 as staged projections: the same rules as :func:`normalize_usage`, but every
     intermediate is its own column, so Catalyst keeps each stage as one projection
-    instead of inlining (and multiplying) the sub-expressions.  Adds struct ``out``."""
+    instead of inlining (and multiplying) the sub-expressions.  Adds struct ``out``.
+
+    ``counter`` (U4) gets a text only where the messages rules need a count; for other rows
+    it sees null.  Providers registered beside the built-in ones use their own normaliser."""
+    from ..registry import providers
     u, pv = F.col(usage), F.col(provider)
     split, gen, msg = pv.isin(CHAT, RESPONSES), pv == GENERATE, pv == MESSAGES
     zero = F.lit(0).cast("bigint")
-    counted = default_token_count(text) if counted is None else counted
+    thinking, visible = u["output_tokens_details"]["thinking_tokens"], _z(u["output_tokens"])
+    exact = F.coalesce((thinking >= 0) & (thinking <= visible), F.lit(False))
+    counted = (counter or default_token_count)(F.when(msg & ~exact & (F.length(text) > 0), F.col(text)))
     s = df.withColumns({
         "_p": (F.when(pv == CHAT, _z(u["prompt_tokens"]))
                .when(gen, F.coalesce(_nz(u["prompt_token_count"]), _nz(u["prompt_tokens"]), _nz(u["input_tokens"]), zero))
@@ -238,6 +244,9 @@ def normalize_usage_frame(df, provider: str = "provider", usage: str = "u", text
     total = F.when(F.col("_t2") == 0, F.col("_p") + F.col("_ans") + F.col("_rea")).otherwise(F.col("_t2"))
     s = s.withColumn(out, _usage(F.col("_p"), F.col("_ans"), F.col("_rea"), output, total, F.col("_est"),
                                  F.when(msg, zero).otherwise(F.col("_gap"))))
+    for p in providers():
+        if p.name not in (CHAT, RESPONSES, GENERATE, MESSAGES):
+            s = s.withColumn(out, F.when(pv == p.name, fill_usage(p.normalize_usage(u, text))).otherwise(F.col(out)))
     return s.drop("_p", "_c", "_t", "_r", "_th", "_vis", "_cnt", "_t2", "_o0", "_gap", "_o", "_r1", "_oo", "_rr",
                   "_exact", "_has_text", "_fits", "_est_ans", "_ans", "_est", "_rea")
 

@@ -323,6 +323,9 @@ def _runs_sql() -> str:
     CAST(120 AS BIGINT) AS timeout,
     CAST(p_partkey % 3 + 1 AS BIGINT) AS max_retries,
     CASE WHEN p_partkey % 11 = 0 THEN 'high' END AS legacy_reasoning_effort,
+    CASE WHEN p_partkey % 17 = 3 THEN 'true' END AS legacy_enable_thinking,
+    CAST(CASE WHEN p_partkey % 19 = 7 THEN 0 END AS BIGINT) AS judge_max_tokens,
+    CAST(CASE WHEN p_partkey % 23 = 5 THEN -1 END AS BIGINT) AS judge_timeout,
     list_filter([{entries}], lambda e: e IS NOT NULL) AS overrides_entries,
     list_filter([{unset}], lambda x: x IS NOT NULL) AS overrides_unset,
     CASE WHEN p_size % 3 = 0 AND p_partkey % 9 <> 4 THEN 'judge-' || CAST(p_partkey % 3 AS VARCHAR) END AS judge_model,

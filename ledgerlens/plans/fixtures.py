@@ -359,6 +359,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(120).cast("bigint").alias("timeout"),
         (k % 3 + 1).cast("bigint").alias("max_retries"),
         F.when(k % 11 == 0, F.lit("high")).alias("legacy_reasoning_effort"),
+        F.when(k % 17 == 3, F.lit("true")).alias("legacy_enable_thinking"),
+        F.when(k % 19 == 7, F.lit(0)).cast("bigint").alias("judge_max_tokens"),
+        F.when(k % 23 == 5, F.lit(-1)).cast("bigint").alias("judge_timeout"),
         F.map_from_entries(entries).alias("overrides_set"),
         unset.alias("overrides_unset"),
         F.when(math & (k % 9 != 4), F.concat(F.lit("judge-"), (k % 3).cast("string"))).alias("judge_model"),

@@ -163,9 +163,18 @@ def x10_no_code(spark, sf_dir):
                     g["tests_total"].alias("tests_total"), g["execution_error"].alias("execution_error"))
 
 
-@query("x9_run_tests")
+#: What the programs planted by CODE_TAILS do: all pass but the method without self (4) and the response without code (5).
+X9_SQL = _R + """
+SELECT doc_id, doc_id % 7 NOT IN (4, 5) AS all_passed, CASE WHEN doc_id % 7 IN (4, 5) THEN 0 ELSE len(tests) END::BIGINT AS tests_passed,
+  len(tests)::BIGINT AS tests_total,
+  CASE doc_id % 7 WHEN 5 THEN 'Failed to extract code' WHEN 4 THEN array_to_string(list_transform(range(1, len(tests) + 1),
+    lambda i: 'ERROR Test ' || i || ': TypeError: f() missing 1 required positional argument: ' || chr(39) || 'x' || chr(39)), chr(10)) END AS execution_error
+FROM responses"""
+
+
+@query("x9_run_tests", oracle=X9_SQL)
 def x9_run_tests(spark, sf_dir):
-    """X9 + X10 over every code response (rows-only check: programs run in child processes)."""
+    """X9 + X10 over every code response; programs run in child processes."""
     r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response"))
     code = r.select("doc_id", F.col("c.answer").alias("code"), "tests")
     return grade_code(code, ["doc_id"], "code", "tests", timeout_s=5)

@@ -15,6 +15,7 @@ from .fixtures import chunk_lines, failures, generate_responses, runs
 from .fixtures import attempts as attempts_f
 from .q_ledger import SUMMARY_COLUMNS
 from .registry import query
+from .q_extract import X9_SQL
 from .sql_extract import q as sq
 
 _F = Q.with_ctes(Q.FAILURES)
@@ -186,9 +187,11 @@ def s10_artifact_path(spark, sf_dir):
     return r.select("run_id", artifact_name("dataset_name", "dataset_path", "model", F.col("last_ts")).alias("artifact"))
 
 
-@query("a9_tests")
+@query("a9_tests", oracle=f"""
+SELECT d.lang, sum(tests_passed)::BIGINT AS tests_passed, sum(tests_total)::BIGINT AS tests_total, count_if(all_passed)::BIGINT AS all_passed
+FROM ({X9_SQL}) JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def a9_tests(spark, sf_dir):
-    """A9 (rows-only): tests passed / total per document language over the code runs."""
+    """Tests passed / total per document language over the code runs."""
     from ..sources.tables import table
     from .q_extract import x9_run_tests
     g = x9_run_tests(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")

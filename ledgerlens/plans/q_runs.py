@@ -34,7 +34,8 @@ def _sql_violations() -> str:
         ("budget_missing", "max_output_tokens IS NULL AND max_context_window IS NULL"),
         ("chat_requires_api_key", "provider = 'chat_completion' AND coalesce(length(api_key), 0) = 0"),
         ("chat_requires_base_url", "provider = 'chat_completion' AND coalesce(length(base_url), 0) = 0"),
-        ("removed_field", "legacy_reasoning_effort IS NOT NULL"),
+        ("removed_field", "legacy_reasoning_effort IS NOT NULL OR legacy_enable_thinking IS NOT NULL"),
+        ("judge_limits_positive", "judge_max_tokens <= 0 OR judge_timeout <= 0"),
         ("blank_override_path", f"len(list_filter({_PATHS}, lambda p: trim(p) = '')) > 0"),
     ]
     arms = ", ".join(f"CASE WHEN coalesce({cond}, false) THEN '{name}' END" for name, cond in rules)

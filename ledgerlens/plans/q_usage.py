@@ -137,3 +137,49 @@ def n10_cache_rows(spark, sf_dir):
     df = _parsed(spark, sf_dir).filter(F.col("provider") == U.MESSAGES)
     m = staged(df.select(*_KEYS, "u"), m=U.cache_metrics("u")).select(*_KEYS, "m.*")
     return m.filter((F.col("cache_creation_tokens") > 0) | (F.col("cache_read_tokens") > 0))
+
+
+def _mirror_provider():
+    """A provider of a user's own, registered once: its usage is one total, its body is flat."""
+    from ..registry import Provider, available_providers, register_provider
+    if "mirror" not in available_providers():
+        z = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+        usage = lambda u, text: F.struct(
+            F.lit(0).cast("bigint").alias("prompt_tokens"), z(u["total_tokens"]).alias("answer_tokens"), F.lit(0).cast("bigint").alias("reasoning_tokens"),
+            z(u["total_tokens"]).alias("output_tokens"), z(u["total_tokens"]).alias("total_tokens"), F.lit(True).alias("answer_tokens_estimated"),
+            F.lit(0).cast("bigint").alias("unattributed_tokens"))
+        body = lambda model, prompt, budget, temperature, top_p: F.to_json(F.struct(
+            F.col(model).alias("m"), prompt.alias("p") if hasattr(prompt, "alias") else F.col(prompt).alias("p"),
+            budget.alias("n") if hasattr(budget, "alias") else F.col(budget).alias("n")))
+        register_provider(Provider("mirror", ("m", "p"), usage, body))
+
+
+@query("u2_custom_provider", oracle=Q.with_ctes(Q.RUNS) + """
+SELECT run_id, max_output_tokens, array_to_string(list_filter(['m', 'p.x', 'note'], lambda p: p <> 'note'), ',') AS protected,
+  'ask ' || run_id AS prompt_sent, model AS model_sent, coalesce(max_output_tokens, 0) AS total_tokens
+FROM runs""")
+def u2_custom_provider(spark, sf_dir):
+    """A registered provider drives the request body, the protected paths and the usage of its rows."""
+    from ..operators import runs as RU
+    from .fixtures import runs
+    _mirror_provider()
+    r = runs(spark, sf_dir).withColumns({"provider": F.lit("mirror"), "prompt": F.concat(F.lit("ask "), "run_id"),
+                                         "paths": F.array(F.lit("m"), F.lit("p.x"), F.lit("note")), "final_text": F.lit("x"),
+                                         "u": U.parse_usage(F.to_json(F.struct(F.col("max_output_tokens").alias("total_tokens"))))})
+    r = r.withColumn("request", RU.base_request("provider", "model", "prompt", "max_output_tokens", "temperature", "top_p"))
+    n = U.normalize_usage_frame(r, "provider", "u", "final_text", out="n")
+    return n.select("run_id", "max_output_tokens", F.array_join(RU.protected_violations(F.col("paths"), "provider"), ",").alias("protected"),
+                    F.get_json_object("request", "$.p").alias("prompt_sent"), F.get_json_object("request", "$.m").alias("model_sent"),
+                    F.col("n.total_tokens").alias("total_tokens"))
+
+
+@query("u4_counter", oracle=_NORM + """
+SELECT l_orderkey, l_linenumber, provider, least(len(regexp_extract_all(final_text, '[^ ]+')), mo)::BIGINT AS answer_tokens
+FROM msg_in WHERE NOT exact AND has_text""")
+def u4_counter(spark, sf_dir):
+    """U4: a counter of the user's own (here: words) replaces the estimate where a text must be counted."""
+    words = lambda text: F.struct(F.regexp_count(text, F.lit("[^ ]+")).cast("bigint").alias("n"), F.lit(True).alias("estimated"))
+    n = U.normalize_usage_frame(_parsed(spark, sf_dir), "provider", "u", "final_text", counter=words, out="n")
+    n = staged(n.select(*_KEYS, "provider", "n"), m=F.col("n"))  # the filter stays above the staged arithmetic
+    return n.where((F.col("provider") == "anthropic") & F.col("m.answer_tokens_estimated")).select(
+        *_KEYS, "provider", F.col("m.answer_tokens").alias("answer_tokens"))

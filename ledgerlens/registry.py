@@ -77,9 +77,13 @@ def _math(df: DataFrame, conf: dict) -> DataFrame:
 # ---------------------------------------------------------------- providers
 @dataclass(frozen=True)
 class Provider:
+    """What a registered provider brings: its request body (Q1-Q4), the paths no override may
+    touch (P21) and its usage normaliser over the parsed payload and the text (N9)."""
+
     name: str
     protected_paths: tuple[str, ...]
-    normalize_usage: Callable[..., Column]
+    normalize_usage: Callable[[Column, str], Column]
+    build_request: Callable[..., Column]
 
 
 _PROVIDERS: dict[str, Provider] = {}
@@ -92,6 +96,10 @@ def register_provider(p: Provider) -> Provider:
     return p
 
 
+def providers() -> list[Provider]:
+    return list(_PROVIDERS.values())
+
+
 def available_providers() -> list[str]:
     return sorted(_PROVIDERS)
 
@@ -104,13 +112,13 @@ def get_provider(name: str) -> Provider:
 
 
 def _builtin_providers() -> None:
-    from .operators.runs import PROTECTED_PATHS
-    register_provider(Provider(U.CHAT, PROTECTED_PATHS[U.CHAT], U.chat_usage))
-    register_provider(Provider(U.RESPONSES, PROTECTED_PATHS[U.RESPONSES], U.responses_usage))
-    register_provider(Provider(U.GENERATE, PROTECTED_PATHS[U.GENERATE], lambda u, text=None: U.generate_usage(u)))
-    register_provider(Provider(U.MESSAGES, PROTECTED_PATHS[U.MESSAGES],
-                               lambda u, text: U.messages_usage(u["input_tokens"], u["output_tokens"],
-                                                                u["output_tokens_details"]["thinking_tokens"], text)))
+    from .operators import runs as RU
+    built = {
+        U.CHAT: (U.chat_usage, RU.chat_request), U.RESPONSES: (U.responses_usage, RU.responses_request),
+        U.GENERATE: (lambda u, text: U.generate_usage(u), RU.generate_request),
+        U.MESSAGES: (lambda u, text: U.messages_usage(u["input_tokens"], u["output_tokens"], u["output_tokens_details"]["thinking_tokens"], text), RU.messages_request)}
+    for name, (usage, request) in built.items():
+        register_provider(Provider(name, RU.PROTECTED_PATHS[name], usage, request))
 
 
 _builtin_providers()
