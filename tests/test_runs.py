@@ -96,6 +96,49 @@ def test_overrides_and_placeholders(spark):
 
 def test_protected_and_rules(spark):
     bad = _run(spark, overrides_set={"stream": "false", "messages.0.role": '"x"'}, top_p=1.5, max_context_window=10)
-    r = bad.select(RU.violations().alias("v"),
+    r = RU.complete(bad).select(RU.violations().alias("v"),
                    F.array_sort(RU.protected_violations(RU.override_paths(), "provider")).alias("p")).collect()[0]
     assert r.v == ["top_p_range", "budget_both"] and r.p == ["messages.0.role", "stream"]
+
+
+def test_different_configurations_have_different_hashes(spark):
+    def hashed(**over):
+        return RU.with_identity(_run(spark, **over)).collect()[0].identity_hash
+
+    pairs = [(dict(overrides_unset=["a", "b"]), dict(overrides_unset=["a,b"])),
+             (dict(overrides_set={"a": "1", "b": "2"}), dict(overrides_set={"a": "1,b:2"})),
+             (dict(dataset_name=None), dict(dataset_name="null")),
+             (dict(dataset_split="s;path=p", dataset_path="q"), dict(dataset_split="s", dataset_path="p;path=q"))]
+    for a, b in pairs:
+        assert hashed(**a) != hashed(**b)
+
+
+def test_identity_changes_come_with_both_sides(spark):
+    r = RU.identity_check(RU.with_identity(_run(spark)), RU.with_identity(_run(spark, model="m2"))).collect()[0]
+    assert [(c.component, json.loads(c.stored)["value"] != json.loads(c.current)["value"]) for c in r.changes] == [("model", True)]
+
+
+def test_prompts_go_out_as_they_are(spark):
+    for text in ("-987654321", "${max_output_tokens}", '\x01 \x02 "q"', "\\u0001PROMPT"):
+        probs = spark.createDataFrame([("d.jsonl", 1, text, [])], "dataset_path string, item_id int, problem string, test_list array<string>")
+        req = json.loads(RU.build_requests(_run(spark), probs).collect()[0].request)
+        assert req["messages"][0]["content"].endswith("Problem: " + text)
+
+
+def test_override_rows():
+    def sent(sets, unset=(), base='{"a":{"b":1,"c":2},"t":0.5}'):
+        return json.loads(RU.request_with_slots(base, json.dumps({k: json.dumps(v) for k, v in sets.items()}), json.dumps(list(unset))).replace(RU.BUDGET_SLOT, "7"))
+
+    assert sent({"a.b.c": 1}) == {"a": {"b": {"c": 1}, "c": 2}, "t": 0.5}
+    assert sent({"x.y": {"z": 1}, "x.y.w": 2}) == {"a": {"b": 1, "c": 2}, "t": 0.5, "x": {"y": {"z": 1, "w": 2}}}
+    assert sent({"a": []}, ["t", "a.b", "no.such"]) == {"a": []}
+    assert sent({}, ["a.b", "a.c"]) == {"a": {}, "t": 0.5}
+    assert sent({"l": ["${max_output_tokens}", {"${max_output_tokens}": "n ${max_output_tokens}"}]})["l"] == [7, {"${max_output_tokens}": "n 7"}]
+
+
+def test_urls_without_scheme(spark):
+    from ledgerlens.functions.redact import redact_url
+    urls = {"relay.example.com/v1?api_key=S&x=1": f"relay.example.com/v1?api_key={MASK}&x=1", "/v1?token=S": f"/v1?token={MASK}",
+            "//u:pw@host/v1": f"//{MASK}@host/v1", "https://h/p?max_tokens=5#f?token=x": "https://h/p?max_tokens=5#f?token=x", "a@b": "a@b"}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", redact_url("u").alias("r")).collect()
+    assert {r.u: r.r for r in got} == urls

@@ -37,3 +37,51 @@ def test_mbpp_routing(spark, tmp_path):
     r = read_problems(spark, str(p)).collect()[0]
     assert r.problem_key == "7" and r.problem.endswith("  assert f(3) == 4\n")
     assert len(r.test_cases) == 5
+
+
+def test_open_ledger_refuses_rows_without_header_and_raises_other_errors(spark, tmp_path):
+    path = str(tmp_path / "bare")
+    run = _run(spark)
+    LIO.append_rows(run.select("run_id", "model"), path)
+    with pytest.raises(ValueError, match="rows but no header"):
+        LIO.open_ledger(spark, path, run)
+    broken = tmp_path / "broken"
+    (broken / "header").mkdir(parents=True)
+    (broken / "header" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception) as e:
+        LIO.open_ledger(spark, str(broken), run)
+    assert not (broken / "header" / "_SUCCESS").exists() and "PATH_NOT_FOUND" not in str(e.value)
+
+
+def test_appends_side_by_side_and_repeated_arrivals(spark, tmp_path):
+    rows = spark.createDataFrame([("r", i) for i in range(10)], "run_id string, seq long")
+    LIO.append_rows(rows, str(tmp_path), "stream-x-0")
+    LIO.append_rows(rows, str(tmp_path), "stream-x-0")
+    LIO.append_rows(rows, str(tmp_path))
+    got = LIO.read_rows(spark, str(tmp_path))
+    assert got.count() == 20 and set(got.columns) == {"run_id", "seq"}
+
+
+def test_line_numbers_do_not_follow_the_splits(spark, tmp_path):
+    from ledgerlens.sources.lines import numbered_lines
+    p = tmp_path / "mbpp.jsonl"
+    p.write_text("".join('{"text": "t%d", "code": "c"}\n' % i + ("\n" if i % 7 == 0 else "") for i in range(400)))
+    keys = []
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "1000", "333"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            keys.append(sorted((r.problem, r.problem_key) for r in read_problems(spark, str(p)).collect()))
+            lines = p.read_text().split("\n")[:-1]
+            assert {r.line: r.value for r in numbered_lines(spark, str(p)).collect()} == {i: x for i, x in enumerate(lines, 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert keys[0] == keys[1] == keys[2] and len({k for _, k in keys[0]}) == 400
+
+
+def test_plain_ledger_lines_take_run_and_place_from_the_file(spark, tmp_path):
+    (tmp_path / "run7.jsonl").write_text('{"problem_id": "p", "correct": false}\nbroken\n{"problem_id": "p", "correct": true}\n')
+    got = sorted((r.run_id, r.seq, r.correct) for r in LIO.read_ledger_json(spark, str(tmp_path / "run7.jsonl")).collect())
+    assert got == [("run7", 1, False), ("run7", 3, True)]
