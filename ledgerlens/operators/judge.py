@@ -69,11 +69,19 @@ def judge_prompt(question, ground_truth, candidate) -> Column:
         "CANDIDATE": col(candidate)})
 
 
+#: The verdict's fields; read so, the last of repeated members counts and NaN is a value.
+VERDICT_FIELDS = "array<struct<correct VARIANT, extracted_answer STRING, reasoning STRING>>"
+
+
 def strict_json(c) -> Column:
-    """One complete JSON value and nothing after it, else null (as VARIANT)."""
-    v = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
-    return F.when(v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
-                  F.try_variant_get(v, "$[0]", "variant"))
+    """One complete JSON value and nothing after it, else null (as VARIANT).
+
+    An object that VARIANT refuses, for repeated members or NaN, is read by its verdict fields."""
+    listed = F.concat(F.lit("["), col(c), F.lit("]"))
+    v = F.try_parse_json(listed)
+    fields = F.from_json(listed, VERDICT_FIELDS)
+    lenient = F.when((F.size(fields) == 1) & lstrip_ws(c).startswith("{"), F.to_variant_object(F.element_at(fields, 1)))
+    return F.when(v.isNull(), lenient).when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
 
 
 def _vtype(v) -> Column:

@@ -145,3 +145,18 @@ def test_judge_truncated_and_prose(spark):
     assert rows[0].stage == "truncated" and rows[0].correct is False
     assert rows[0].extracted_answer == "x = m^2" and rows[0].reasoning.endswith("[truncated]")
     assert rows[1].stage == "failed" and rows[1].error.startswith("JSONDecodeError: No JSON object found")
+
+
+@pytest.mark.parametrize("content,correct,answer,failed", [
+    ('{"correct": false, "correct": true, "extracted_answer": "4"}', True, "4", False),
+    ('{"correct": true, "correct": "no"}', False, None, False),
+    ('{"correct": NaN, "reasoning": "whole text"}', False, None, False),
+    ('so {"correct": false, "correct": 1} it is', True, None, False),
+    ('{"correct": true}, {"correct": false}', False, None, False),
+    ('nothing', False, None, True),
+])
+def test_judge_repeated_members_and_nan(spark, content, correct, answer, failed):
+    from ledgerlens.operators.judge import parse_judgment_frame
+    r = parse_judgment_frame(spark.createDataFrame([(content,)], "c string"), "c", "v").collect()[0].v
+    assert (r.correct, r.extracted_answer, r.error is not None) == (correct, answer, failed)
+    assert "[truncated]" not in r.reasoning
