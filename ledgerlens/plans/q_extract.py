@@ -124,7 +124,7 @@ def x16_contains(spark, sf_dir):
 _X5_A, _X5_M = SX.code("code_response")
 
 
-@query("x5_code", oracle=_R + f"SELECT doc_id, {_X5_A} AS code, {_X5_M} AS method FROM responses")
+@query("x5_code", bench=True, oracle=_R + f"SELECT doc_id, {_X5_A} AS code, {_X5_M} AS method FROM responses")
 def x5_code(spark, sf_dir):
     r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response"))
     return r.select("doc_id", F.col("c.answer").alias("code"), F.col("c.method").alias("method"))

@@ -177,7 +177,7 @@ def q9_inspect(spark, sf_dir):
     return RU.inspect_requests(runs(spark, sf_dir))
 
 
-@query("q5_override")
+@query("q5_override", bench=True)
 def q5_override(spark, sf_dir):
     """Q1-Q8 end to end (rows-only): shaped request per run × problem of its dataset."""
     req = RU.build_requests(runs(spark, sf_dir), dataset_problems(spark, sf_dir))

@@ -89,7 +89,7 @@ def t2_ingest(spark, sf_dir):
     return _summary(LIO.read_rows(spark, f"{work}/ledger"))
 
 
-@query("t3_live_summary", oracle=_A5_SQL)
+@query("t3_live_summary", bench=True, oracle=_A5_SQL)
 def t3_live_summary(spark, sf_dir):
     """Latest attempt per problem as streaming state, summaries republished per trigger."""
     work = _workdir(spark, "t3")
