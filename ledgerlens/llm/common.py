@@ -62,6 +62,16 @@ def cut(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20
         yield batch.slice(first, n - first)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What tasks of one operator keep in a worker process.  Workers outlive operators, so what others kept goes."""
+    for other in [x for x in _CACHES if x != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})
+
+
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     cond = F.lit(True)
     for k, name in enumerate(names):

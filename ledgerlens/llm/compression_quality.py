@@ -19,16 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, worker_cache
 from .labelled import sample
 
 PER_CLASS, SAMPLE_CHARS, DICTIONARY, LEVEL, THRESHOLD = 6000, 20_000, 112_640, 3, 0.3
-_READY: dict[tuple, tuple] = {}  # compressors of this worker process
 
 
 def _compressors(good: bytes, bad: bytes, level: int) -> tuple:
-    key = (hash(good), hash(bad), level)
-    if key not in _READY:
+    key, kept = (hash(good), hash(bad), level), worker_cache("compression")
+    if key not in kept:
         import zstandard
         plain = {"level": level, "write_content_size": False, "write_dict_id": False}
         made = [zstandard.ZstdCompressor(**plain)]
@@ -36,9 +35,9 @@ def _compressors(good: bytes, bad: bytes, level: int) -> tuple:
             dictionary = zstandard.ZstdCompressionDict(data)
             dictionary.precompute_compress(level=level)
             made.append(zstandard.ZstdCompressor(dict_data=dictionary, **plain))
-        _READY.clear()
-        _READY[key] = tuple(made)
-    return _READY[key]
+        kept.clear()
+        kept[key] = tuple(made)
+    return kept[key]
 
 
 def _sizes(texts, good: bytes, bad: bytes, level: int) -> np.ndarray:

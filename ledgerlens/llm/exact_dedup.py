@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage
+from .common import SPACE, stage, worker_cache
 
 BUCKET_ROWS = 8192
 GROUP = "digest binary, chars long, doc_id long, n long"
@@ -75,6 +75,7 @@ def slots(digests: list[bytes], sizes: list[int], bits: np.ndarray) -> np.ndarra
 
 
 def _build(table: pa.Table) -> pa.Table:
+    worker_cache("digests")
     digests = table["digest"].to_pylist()
     sizes, bits = perfect_hash(digests)
     order = np.empty(len(digests), np.int64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import cut, stage, worker_cache
 from .components import components
 from .words import mix64, words_of
 
@@ -40,6 +40,7 @@ LAST_ID = 2**63 - 1
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
+    worker_cache("shingles")
     words = words_of(column, lower=True)
     hashes, first = words.windows(width)
     n = np.diff(words.first)

@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage
+from .common import cut, stage, worker_cache
 
-LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 256, 600_000
+LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 256, 450_000
 TOKENIZER = "word_bpe_49k.json"
 LANES = pa.schema([("part", pa.int64()), ("lane", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())),
                    ("before", pa.list_(pa.struct([("source", pa.string()), ("tokens", pa.int64())]))), ("width", pa.int32()), ("ids", pa.binary())])
@@ -129,13 +129,11 @@ class WordTokenizer:
         return data.take(at), ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker process
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    kept = worker_cache("packing")
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 def _lanes(path: str, end: int, most: int):
