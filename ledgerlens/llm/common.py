@@ -62,6 +62,18 @@ def cut(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20
         yield batch.slice(first, n - first)
 
 
+#: Rows that Spark hands to Python at once: texts are long, and both sides hold a whole batch.
+ARROW_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches to ``ARROW_ROWS`` rows (where they aren't shorter already)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 _CACHES: dict[str, dict] = {}
 
 

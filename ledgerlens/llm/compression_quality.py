@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, worker_cache
+from .common import held_out, short_batches, worker_cache
 from .labelled import sample
 
 PER_CLASS, SAMPLE_CHARS, DICTIONARY, LEVEL, THRESHOLD = 6000, 20_000, 112_640, 3, 0.3
@@ -128,11 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dictiona
 def mark(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = fit(docs, labels, **how)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score"))
+    scored = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows whose score reaches the threshold, with all columns."""
     model = fit(docs, labels, **how)
-    return docs.where(model.score(F.col("text")) >= threshold)
+    return short_batches(docs).where(model.score(F.col("text")) >= threshold)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, short_batches
 from .words import words_of
 
 ORDER, ALPHA, LEAST, BATCH, PER_BUCKET, LEAST_BITS = 2, 0.4, 2, 8 << 20, 2_000_000, 5
@@ -132,7 +132,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     size, words = got["bytes"] or 0, got["words"] or 0
     batches = max(1, math.ceil(size / BATCH))
     bits = min(24, max(LEAST_BITS, (words // PER_BUCKET).bit_length()))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("long"))
+    dealt = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("long"))
     entries = dealt.groupBy("batch").applyInArrow(_entries(order, bits), ENTRIES_DDL)
     answers = entries.groupBy("n", "bucket").applyInArrow(_totals(least), ANSWERS_DDL)
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, alpha, words), SCORES_DDL)

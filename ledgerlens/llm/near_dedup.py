@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage, worker_cache
+from .common import cut, short_batches, stage, worker_cache
 from .components import components
 from .words import mix64, words_of
 
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE, k: int = K) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
+    return short_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
 
 
 def inverted_lists(reps: DataFrame, k: int = K, need: int = NEED, percent: int = PERCENT) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stage, worker_cache
+from .common import cut, short_batches, stage, worker_cache
 
 LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 256, 450_000
 TOKENIZER = "word_bpe_49k.json"
@@ -165,7 +165,7 @@ def _lanes(path: str, end: int, most: int):
 
 
 def lanes(docs: DataFrame, path: str, end: int = END, most: int = LANE) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     return narrow.repartition(F.xxhash64("doc_id", "text")).mapInArrow(_lanes(path, end, most), LANES_DDL)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, short_batches
 from .words import words_of
 
 WINDOW, FLUSH, PER_BUCKET, LEAST_BITS = 13, 2_000_000, 2_000_000, 6
@@ -157,7 +157,7 @@ def _strip(window: int):
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (start and length in words) and kept_text of every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
+    narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(LEAST_BITS, (size // 7 // PER_BUCKET).bit_length()))
     entries = narrow.select("id", "text").mapInArrow(_spread(bits, window), ROWS)

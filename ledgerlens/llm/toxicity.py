@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, short_batches
 from .labelled import sample
 from .words import LETTERS, mix64, words_of
 
@@ -119,5 +119,5 @@ def mark(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in cut(batches, "text"):
             yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": pa.array(model.scores(piece.column("text")))})
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, stage
+from .common import cut, scratch_path, short_batches, stage
 
 LEAST_REVISIT, CHUNK, ARCHIVE, LEVEL = 1000, 1 << 18, 64 << 20, 1
 DATE = "2000-01-01T00:00:00Z"
@@ -48,7 +48,7 @@ CHUNKS_DDL = ("page_id long, url string, record_type string, refers_to long, chu
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, digest (hex SHA-1) and refers_to (null for responses) of every page."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    own = short_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = own.where(F.octet_length("payload") >= least).select("page_id", "digest")
     same = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisits = large.join(same, "digest").where("page_id < refers_to").distinct()
