@@ -3,10 +3,11 @@
 Each source has a target share of the tokens (its share of all tokens unless weights are given).  Documents are dealt evenly and
 tokenised where they land; a task cuts them into lanes of about ``LANE`` tokens and notes what each source had before the lane.
 Within a lane each source is a queue.  A window of ``LENGTH`` tokens credits every source with its share of
-the window; sources are served in turn as far as their credit goes, and what they couldn't use - or took in advance, when a
-window had room - stays as their deficit for the next one.  Credit below ``BURST`` tokens waits, so that small sources come in usable pieces.
-A lane starts with the deficits that all lanes before it left, which follow from the token counts: a source's share of
-all tokens before it, less the source's own.  So the counts of (partition, source) are all that is exchanged between partitions.
+the window - the given weight, or else what the lane still holds of it, so that the queues end together; sources are served in turn as far
+as their credit goes, and what they couldn't use - or took in advance, when a window had room - stays as their deficit for the next one.
+Credit below ``BURST`` tokens waits, so that small sources come in usable pieces.  The deficits that all lanes before one left are paid by
+its windows in equal parts.  They follow from the token counts: a source's share of all tokens before the lane, less the source's
+own.  So the counts of (partition, source) are all that is exchanged between partitions.
 
 A lane's last tokens fill sequences of powers of two, which need no padding; all others are full.
 
@@ -186,16 +187,22 @@ def _starts(staged: DataFrame, weights: dict | None) -> DataFrame:
     return (own.groupBy("part").agg(F.collect_list(F.struct("source", "share", "ahead")).alias("queues")).join(parts.select("part", "total"), "part"))
 
 
-def serve(lengths: dict, credit: dict, share: dict, length: int = LENGTH, burst: int = BURST) -> Iterator[list[tuple]]:
-    """Windows as lists of (source, tokens): deficit round-robin over queues of ``lengths`` tokens.  ``credit`` is carried on."""
+def serve(lengths: dict, carried: dict, share: dict | None = None, length: int = LENGTH, burst: int = BURST) -> Iterator[list[tuple]]:
+    """Windows as lists of (source, tokens): deficit round-robin over queues of ``lengths`` tokens.
+
+    A window's credit is dealt by ``share``, or by what each queue still holds, so that all end together.  The deficits
+    ``carried`` from what came before are paid in equal parts by all windows, not at once by the first ones."""
     left = {s: n for s, n in lengths.items() if n}
+    windows = max(1, -(-sum(left.values()) // length))
+    credit = dict.fromkeys(left, 0.0)
     turn = sorted(left, key=lambda s: (s is None, s or ""))
     while left:
         room, window = min(length, sum(left.values())), {}
         active = [s for s in turn if s in left]
-        total = sum(share[s] for s in active) or 1.0
+        weight = {s: left[s] if share is None else share[s] for s in active}
+        total = sum(weight.values())
         for s in active:
-            credit[s] += room * (share[s] / total if total else 1 / len(active))
+            credit[s] += room * (weight[s] / total if total else 1 / len(active)) + carried.get(s, 0) / windows
         for s in active:
             n = min(int(credit[s]), left[s], room)
             if n >= min(burst, left[s]) and n > 0:
@@ -221,7 +228,7 @@ def _tail(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def _pack(length: int, burst: int):
+def _pack(length: int, burst: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
@@ -234,13 +241,13 @@ def _pack(length: int, burst: int):
                 had = {x["source"]: x["tokens"] for x in row["before"]}
                 before = row["total"] + sum(had.values())
                 share = {s: own[s]["share"] for s in queues}
-                credit = {s: share[s] * before - own[s]["ahead"] - had.get(s, 0) for s in queues}
+                carried = {s: share[s] * before - own[s]["ahead"] - had.get(s, 0) for s in queues}
                 at = {s: [0, 0] for s in queues}  # the queue's document and the tokens of it that are gone
                 out: list[tuple] = []
                 sequence, filled, room = 0, 0, 0
                 sizes: list[int] = []
                 lengths = {s: sum(row["lengths"][k] for k in own_docs) for s, own_docs in queues.items()}
-                for window in serve(lengths, credit, share, length, burst):
+                for window in serve(lengths, carried, share if weighted else None, length, burst):
                     total = sum(n for _, n in window)
                     sizes = [length] if total == length else _tail(total)
                     room, filled = sizes.pop(0), 0
@@ -269,4 +276,4 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict | None = None,
     weights: target share of each source, any scale; sources that aren't named come only where others leave room."""
     staged = stage(lanes(docs, path or tokenizer_path(), end, lane), "lanes")
     starts = stage(_starts(staged, weights), "starts")
-    return staged.join(starts, "part").mapInArrow(_pack(length, burst), PIECES_DDL)
+    return staged.join(starts, "part").mapInArrow(_pack(length, burst, weights is not None), PIECES_DDL)

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing, packing
 from ledgerlens.llm.common import by_name
@@ -98,20 +99,38 @@ def test_words_are_tokens_of_their_own():
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [_encoded(t)[:-1] for t in rows[3:7]]
 
 
-def test_serve_keeps_to_the_shares_and_carries_deficits():
+@pytest.mark.parametrize("given", [True, False])
+def test_serve_keeps_to_the_shares(given):
     lengths, share = {"a": 60_000, "b": 30_000, "c": 9_000, None: 1_000}, {"a": .6, "b": .3, "c": .09, None: .01}
-    credit = dict.fromkeys(lengths, 0.0)
-    got, all_windows = dict.fromkeys(lengths, 0), list(packing.serve(lengths, credit, share))
-    for k, window in enumerate(all_windows, 1):
-        assert sum(n for _, n in window) == (4096 if k < len(all_windows) else 100_000 - 4096 * (len(all_windows) - 1))
+    got, windows = dict.fromkeys(lengths, 0), list(packing.serve(lengths, {}, share if given else None))
+    for k, window in enumerate(windows, 1):
+        assert sum(n for _, n in window) == (4096 if k < len(windows) else 100_000 - 4096 * (len(windows) - 1))
         for s, n in window:
             got[s] += n
-        if k < len(all_windows):
+        if k < len(windows):
             for s in got:
                 assert abs(got[s] - share[s] * 4096 * k) <= 2 * packing.BURST, (k, s)
     assert got == lengths
 
 
+def test_serve_pays_what_is_carried_in_equal_parts():
+    plain = list(packing.serve({"a": 50_000, "b": 50_000}, {}, {"a": .5, "b": .5}))
+    owed = list(packing.serve({"a": 50_000, "b": 50_000}, {"a": 5000, "b": -5000}, {"a": .5, "b": .5}))
+    sums = lambda windows, k: sum(n for w in windows[:k] for s, n in w if s == "a")
+    for k in (6, 12, 18):
+        assert sums(owed, k) - sums(plain, k) == pytest.approx(5000 * k / 25, abs=2 * packing.BURST)
+
+
+def test_windows_have_the_mixture_of_all(spark):
+    docs = by_name(spark, "/root/testdata/sf0.01", "documents")
+    docs = docs.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))
+    pieces = packing.pack(docs, lane=200_000).toPandas()
+    full = pieces.groupby("sequence_id").length.transform("sum") == 4096
+    share = pieces[full].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0) / 4096
+    whole = pieces.groupby("source").length.sum() / pieces.length.sum()
+    assert (share.mean() - whole).abs().max() < 0.02 and share.std().max() < 0.15
+
+
 def test_weights_set_the_mixture(spark):
     docs = by_name(spark, SMALL, "documents").replace({"src0": "left"}, subset=["source"])
     pieces = packing.pack(docs, weights={"src1": 3.0, "src2": 1.0}).collect()
