@@ -216,7 +216,12 @@ SELECT r.run_id, dp.item_id, r.provider,
   coalesce(json_extract_string(req, '$.messages[0].content'), json_extract_string(req, '$.input'),
            json_extract_string(req, '$.contents')) = {_FMT} AS prompt_placed,
   CAST(coalesce(json_extract(req, '$.max_tokens'), json_extract(req, '$.max_output_tokens'),
-                json_extract(req, '$.config.max_output_tokens')) AS BIGINT) AS budget_field
+                json_extract(req, '$.config.max_output_tokens')) AS BIGINT) AS budget_field,
+  CASE WHEN r.provider <> 'anthropic' THEN temperature END AS temperature,
+  CASE WHEN r.provider IN ('chat_completion', 'gemini') THEN top_p END AS top_p,
+  CASE WHEN r.provider = 'anthropic' THEN 'adaptive/summarized' END AS thinking,
+  CASE WHEN r.provider = 'chat_completion' THEN true END AS include_usage,
+  CASE WHEN r.provider IN ('chat_completion', 'anthropic') THEN 'user' END AS role
 FROM (SELECT *, '{{"model":' || to_json(model) || ',"stream":' || CASE WHEN provider = 'gemini' THEN 'null' ELSE 'true' END
         || '}}' AS req_head FROM runs WHERE {_VALID}) r
 JOIN dataset_problems dp ON dp.dataset_path = r.dataset_path,
@@ -243,7 +248,12 @@ def q1_requests(spark, sf_dir):
                     (F.coalesce(g("$.messages[0].content"), g("$.input"), g("$.contents")) == F.col("prompt"))
                     .alias("prompt_placed"),
                     F.coalesce(g("$.max_tokens"), g("$.max_output_tokens"), g("$.config.max_output_tokens"))
-                    .cast("bigint").alias("budget_field"))
+                    .cast("bigint").alias("budget_field"),
+                    F.coalesce(g("$.temperature"), g("$.config.temperature")).cast("double").alias("temperature"),
+                    F.coalesce(g("$.top_p"), g("$.config.top_p")).cast("double").alias("top_p"),
+                    F.concat(g("$.thinking.type"), F.lit("/"), g("$.thinking.display")).alias("thinking"),
+                    g("$.stream_options.include_usage").cast("boolean").alias("include_usage"),
+                    g("$.messages[0].role").alias("role"))
 
 
 # The base override layer (preset) every run starts from.

@@ -160,3 +160,10 @@ def test_judge_repeated_members_and_nan(spark, content, correct, answer, failed)
     r = parse_judgment_frame(spark.createDataFrame([(content,)], "c string"), "c", "v").collect()[0].v
     assert (r.correct, r.extracted_answer, r.error is not None) == (correct, answer, failed)
     assert "[truncated]" not in r.reasoning
+
+
+def test_jitter_adds_at_most_a_second_and_a_half(spark):
+    from ledgerlens.functions.classify import base_wait, jittered_wait
+    df = spark.range(200).selectExpr("CASE WHEN id % 2 = 0 THEN 'HTTP 429' ELSE 'reset' END AS m", "id % 6 AS a")
+    for r in df.select(base_wait("m", "a").alias("b"), jittered_wait("m", "a").alias("j")).collect():
+        assert r.b - 0.005 <= r.j <= r.b + 1.505 and round(r.j, 2) == r.j
