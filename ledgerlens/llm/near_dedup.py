@@ -34,7 +34,7 @@ from .common import cut, short_batches, stage, worker_cache
 from .components import components
 from .words import mix64, words_of
 
-SHINGLE, PERCENT, K, NEED, LEAST_ESTIMATE, HUBS, SALTS = 4, 80, 48, 24, 0.45, 4, 32
+SHINGLE, PERCENT, K, NEED, LEAST_ESTIMATE, HUBS, SALTS = 5, 80, 48, 24, 0.45, 4, 32
 LAST_ID = 2**63 - 1
 
 

@@ -34,7 +34,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.mark(by_name(spark, sf_dir, "documents"))
+    return near_dedup.mark(by_name(spark, sf_dir, "documents"), width=4)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

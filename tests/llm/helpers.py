@@ -52,14 +52,14 @@ def empty(spark):
     return frame(spark, [])
 
 
-def jaccard_set(text):
+def jaccard_set(text, k=4):
     w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
-    return set() if not w else {tuple(w)} if len(w) < 4 else {tuple(w[i:i + 4]) for i in range(len(w) - 3)}
+    return set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
-def near_classes(rows):
+def near_classes(rows, k=4):
     """doc_id -> (set size, smallest id reachable) of distinct ids."""
-    sets = {d: jaccard_set(t) for d, t in rows}
+    sets = {d: jaccard_set(t, k) for d, t in rows}
     ids = sorted(sets)
     top = {d: d for d in ids}
 

@@ -58,10 +58,11 @@ def test_empty_tables(spark):
     assert substring_dedup.strip(none).count() == 0
 
 
-def test_near_odd_rows(spark):
+@pytest.mark.parametrize("width", [4, near_dedup.SHINGLE])
+def test_near_odd_rows(spark, width):
     rows = [(2**63 - 1 - (d is None and i) if d is None else d, t) for i, (d, t, *_) in enumerate(odd_rows())]
-    want = near_classes(dict(rows).items())
-    got = near_dedup.mark(frame(spark)).collect()
+    want = near_classes(dict(rows).items(), width)
+    got = near_dedup.mark(frame(spark), width=width).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
@@ -89,7 +90,7 @@ def test_near_without_null_ids_equals_brute_force(spark):
     rows += [(200 + k, passage + " " + sentence(300 + k, 25)) for k in range(40)]
     rows += [(300 + k, sentence(7, 80)) for k in range(10)] + [(400 + k, f"tiny {k % 3}") for k in range(9)]
     want = near_classes(rows)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.mark(frame(spark, [(d, t, "", "", 0) for d, t in rows])).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.mark(frame(spark, [(d, t, "", "", 0) for d, t in rows]), width=4).collect()}
     assert got == want
     assert len({x for _, x in want.values()}) < len(want)
 
@@ -98,7 +99,7 @@ def test_near_on_the_small_table(spark):
     docs = by_name(spark, SMALL, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.mark(docs).collect()}
-    assert got == near_classes(rows)
+    assert got == near_classes(rows, near_dedup.SHINGLE)
 
 
 def test_shingles_are_distinct_windows():
