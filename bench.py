@@ -20,8 +20,15 @@ from ledgerlens.plans.registry import entries  # noqa: E402
 from ledgerlens.session import get_session  # noqa: E402
 
 
-def run_once(df) -> float:
+#: Queries that do their work while they are built (they run a stream); building counts for them.
+WORK_WHEN_BUILT = ("t3_live_summary",)
+
+
+def run_once(name: str, build) -> float:
     t0 = time.perf_counter()
+    df = build()
+    if name not in WORK_WHEN_BUILT:
+        t0 = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
 
@@ -35,8 +42,10 @@ def main() -> None:
     selected = {n: e for n, e in entries().items() if (n in only if only else e.bench)}
     timings = {}
     for name, e in sorted(selected.items()):
-        run_once(e.fn(spark, sf_dir))  # warm-up (JIT, file listing, Python workers)
-        timings[name] = round(statistics.median(run_once(e.fn(spark, sf_dir)) for _ in range(reps)), 3)
+        def build(e=e):
+            return e.fn(spark, sf_dir)
+        run_once(name, build)  # warm-up (JIT, file listing, Python workers)
+        timings[name] = round(statistics.median(run_once(name, build) for _ in range(reps)), 3)
     sf = os.path.basename(sf_dir).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total_median",
