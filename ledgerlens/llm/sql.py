@@ -68,4 +68,24 @@ a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score FROM d LEFT JOIN a USING (doc_id)
 """
 
+#: As OP9, with three words in a row where they stand there twice or more.
+OP9_TRIPLES = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+b AS (SELECT doc_id, i, word, lag(word) OVER v AS prev, lag(word, 2) OVER v AS prev2 FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+g AS (SELECT prev, word, count(*) AS c FROM b WHERE prev IS NOT NULL GROUP BY prev, word HAVING count(*) >= 2),
+h AS (SELECT prev2, prev, word, count(*) AS c FROM b WHERE prev2 IS NOT NULL GROUP BY prev2, prev, word HAVING count(*) >= 2),
+s AS (SELECT b.doc_id, CASE WHEN h.c IS NOT NULL THEN ln(h.c / q.c) ELSE CASE WHEN b.prev2 IS NULL THEN 0.0 ELSE ln(0.4) END
+  + CASE WHEN b.prev IS NULL THEN ln(u.c / n.n) WHEN g.c IS NOT NULL THEN ln(g.c / p.c) ELSE ln(u.c / n.n) + ln(0.4) END END AS x
+  FROM b JOIN u USING (word) LEFT JOIN g ON g.prev = b.prev AND g.word = b.word LEFT JOIN u p ON p.word = b.prev
+  LEFT JOIN h ON h.prev2 = b.prev2 AND h.prev = b.prev AND h.word = b.word LEFT JOIN g q ON q.prev = b.prev2 AND q.word = b.prev
+  CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM t) n),
+a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score FROM d LEFT JOIN a USING (doc_id)
+"""
+
 ORACLES = {"op5_warc": OP5, "op9_lm_score": OP9, "op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
+
+#: Of the queries in ``queries.LONGER``.
+LONGER_ORACLES = {"op9_lm_score_triples": OP9_TRIPLES}
