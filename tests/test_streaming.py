@@ -70,3 +70,39 @@ def test_requests_come_once_and_in_order(spark, tmp_path):
     got = {r["request_id"]: r["text"] for r in A.responses(held, "chat").collect()}
     assert got == {"swapped": "ab", "early end": "ab", "silent": "a"}
     assert {r["request_id"] for r in held.where("timed_out").collect()} == {"swapped", "silent"}
+
+
+def test_lines_of_a_hot_request_are_not_held_in_state(spark, tmp_path):
+    import random
+    from ledgerlens.streaming import assemble as A
+    src, rnd = tmp_path / "src", random.Random(1)
+    src.mkdir()
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2000)) for _ in range(1500)]
+    rows = [("hot", i, x) for i, x in enumerate(_lines(texts))] + [("small", i, x) for i, x in enumerate(_lines(["a", "b"]))]
+
+    def arrive(n, rows):
+        (src / f"{n}.json").write_text("".join(json.dumps({"request_id": r, "seq": s, "line": x, "ts": t}) + "\n" for r, s, x, t in rows))
+        lines = spark.readStream.schema("request_id STRING, seq LONG, line STRING, ts TIMESTAMP").json(str(src))
+        (A.assemble(lines, "chat", read_timeout_ms=60_000, lateness="1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination())
+
+    def responses():
+        held = spark.read.schema(A.HELD).parquet(str(tmp_path / "out"))
+        return {r["request_id"]: r["text"] for r in A.responses(held, "chat").collect()}
+
+    arrive(1, [(r, s, x, "2024-01-01 00:00:01") for r, s, x in rows if s % 2])
+    arrive(2, [(r, s, x, "2024-01-01 00:00:02") for r, s, x in rows if s % 2 == 0])
+    state = sum(p.stat().st_size for p in (tmp_path / "ckpt" / "state").rglob("*") if p.is_file())
+    assert state < 100_000 < sum(map(len, texts))
+    assert responses() == {}
+    arrive(3, [(None, None, None, "2024-01-01 00:05:00")])
+    arrive(4, [(None, None, None, "2024-01-01 00:05:01")])
+    want = {"hot": "".join(texts), "small": "ab"}
+    assert responses() == want
+    # too late; then the marker goes, and a further request of the same id stays open
+    arrive(5, [("small", 0, _lines(["late"])[0], "2024-01-01 00:06:00")])
+    assert responses() == want
+    arrive(6, [(None, None, None, "2024-01-01 00:30:00")])
+    arrive(7, [(None, None, None, "2024-01-01 00:30:01")])
+    arrive(8, [("small", 3, _lines(["again"])[0], "2024-01-01 00:31:00")])
+    assert responses() == want
