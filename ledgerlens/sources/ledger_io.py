@@ -36,6 +36,15 @@ LEDGER_JSON_SCHEMA = (
     "finish_reason STRING, judge_reasoning STRING, tests_passed BIGINT, tests_total BIGINT, execution_error STRING"
 )
 
+# A result document of the reference; fields that aren't named here (the two removed config keys among them) are dropped.
+RESULT_FIELDS = LEDGER_JSON_SCHEMA.removeprefix("run_id STRING, seq BIGINT, ")
+RESULT_DOCUMENT_SCHEMA = (
+    "schema_version STRING, config STRUCT<dataset_path: STRING, provider: STRING, model: STRING, evaluator_type: STRING, "
+    "experiment_name: STRING, notes: STRING>, summary STRUCT<total_problems: BIGINT, correct_count: BIGINT, accuracy: DOUBLE, "
+    "total_tokens: BIGINT, error_count: BIGINT, ock_score: DOUBLE>, timestamp STRING, dataset_name STRING, "
+    f"results ARRAY<STRUCT<{RESULT_FIELDS}>>"
+)
+
 
 def read_ledger_json(spark: SparkSession, path: str, header_key: str = HEADER_KEY) -> DataFrame:
     """S4 + H7: ledger rows of JSON-lines files, header and corrupt lines removed, tokens
@@ -155,3 +164,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
                        F.col("d.config.provider").alias("provider"), F.col("d.config.model").alias("model"),
                        F.col("d.summary.accuracy").alias("accuracy"), F.col("d.summary.efficiency_score").alias("efficiency_score"))
     return results.join(docs.filter(F.col("_ok").isNull()).drop("_ok"), "run_id", "left")
+
+
+def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S8 on documents of the reference: each file one JSON document with config, summary and a
+    ``results`` list; one row per result, with its place in the list and its document's fields.
+
+    A document that isn't JSON, or lacks an identity field, its summary or its results, fails the
+    read, also where its list is empty.  A document is read by one task, as its format demands."""
+    docs = spark.read.schema(RESULT_DOCUMENT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    needed = ("config.provider", "config.model", "config.dataset_path", "dataset_name", "summary", "results")
+    results = F.col("results")
+    for name in reversed(needed):  # part of the list itself, so that no plan can leave the test out
+        results = F.when(F.col(name).isNotNull(), results).otherwise(F.raise_error(F.lit(f"result document lacks {name}")))
+    rows = docs.select(F.input_file_name().alias("document"), "schema_version", "dataset_name", "timestamp", "config.dataset_path", "config.provider",
+                       "config.model", "config.evaluator_type", "config.experiment_name", "summary", F.posexplode(results).alias("position", "_result"))
+    return rows.select("*", "_result.*").drop("_result")

@@ -85,3 +85,29 @@ def test_plain_ledger_lines_take_run_and_place_from_the_file(spark, tmp_path):
     (tmp_path / "run7.jsonl").write_text('{"problem_id": "p", "correct": false}\nbroken\n{"problem_id": "p", "correct": true}\n')
     got = sorted((r.run_id, r.seq, r.correct) for r in LIO.read_ledger_json(spark, str(tmp_path / "run7.jsonl")).collect())
     assert got == [("run7", 1, False), ("run7", 3, True)]
+
+
+def test_result_documents_of_the_reference(spark, tmp_path):
+    import json
+    config = {"dataset_path": "d.jsonl", "provider": "p", "model": "m", "reasoning_effort": "high", "enable_thinking": True}
+    summary = {"total_problems": 2, "correct_count": 1, "accuracy": 50.0, "total_tokens": 9, "error_count": 0, "ock_score": 4.5}
+    results = [{"problem_id": i, "question": "q\n", "ground_truth": "1", "model_response": "r", "correct": c,
+                "tokens": {"prompt_tokens": 1, "answer_tokens": 2, "total_tokens": 3}, "latency": 1.5} for i, c in ((7, True), ("7", False))]
+    doc = {"schema_version": "1", "config": config, "results": results, "summary": summary, "timestamp": "t", "dataset_name": "d"}
+
+    def read(name, doc):
+        (tmp_path / name).write_text(json.dumps(doc, indent=2) if isinstance(doc, dict) else doc)
+        return LIO.read_result_documents(spark, str(tmp_path / name))
+
+    df = read("whole.json", doc)
+    rows = sorted(df.collect(), key=lambda r: r.position)
+    assert [(r.problem_id.toJson(), r.correct, r.tokens.total_tokens, r.provider, r.model, r.summary.accuracy) for r in rows] == [
+        ("7", True, 3, "p", "m", 50.0), ('"7"', False, 3, "p", "m", 50.0)]
+    assert not {"reasoning_effort", "enable_thinking"} & set(df.columns) and rows[0].document.endswith("whole.json")
+    assert read("empty.json", doc | {"results": []}).count() == 0
+    for i, lack in enumerate([{"config": {k: v for k, v in config.items() if k != "provider"}}, {"dataset_name": None}, {"results": None}]):
+        for results in (doc["results"], []):
+            with pytest.raises(Exception, match="result document lacks"):
+                read(f"lack{i}{len(results)}.json", doc | {"results": results} | lack).count()
+    with pytest.raises(Exception):
+        read("broken.json", '{"config": ').collect()
