@@ -139,23 +139,3 @@ def token_counter(name: str = "estimate") -> TokenCounter:
     if name not in _COUNTERS:
         raise ValueError(f"unknown token counter '{name}'. Registered: {', '.join(sorted(_COUNTERS))}")
     return _COUNTERS[name]
-
-
-def tokenizer_counter(encoding: str = "cl100k_base") -> TokenCounter:
-    """A pandas-UDF counter over a local tokenizer (exact counts, ``estimated = False``).
-
-    The encoding must be loadable without network access on the executors; empty text
-    never reaches the tokenizer (the messages normaliser skips it)."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("estimated", T.BooleanType())])
-
-    @F.pandas_udf(schema)
-    def count(texts: pd.Series) -> pd.DataFrame:
-        import tiktoken
-        enc = tiktoken.get_encoding(encoding)
-        n = texts.fillna("").map(lambda t: len(enc.encode(t)) if t else 0)
-        return pd.DataFrame({"n": n.astype("int64"), "estimated": False})
-
-    return lambda text: count(text if isinstance(text, Column) else F.col(text))

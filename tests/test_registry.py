@@ -80,3 +80,9 @@ def test_rejudging_keeps_the_graders_failure(spark):
     failing = lambda df: df.withColumns({"correct": F.lit(False), "extraction_method": F.lit("x"), "evaluator_error": F.lit("no verdict"), "judge_reasoning": F.lit("?")})
     r = rejudge_projection(pairs, failing).collect()[0]
     assert (r.evaluator_error, r.judge_reasoning, r.error) == ("no verdict", "?", None)
+
+
+def test_only_counters_that_can_be_asked_for_are_offered():
+    assert not hasattr(R, "tokenizer_counter")
+    with pytest.raises(ValueError, match="Registered: .*estimate"):
+        R.token_counter("tokenizer")
