@@ -19,8 +19,8 @@ def test_equals_its_sql(spark, duck_con, name):
     assert _rows(df.columns, map(tuple, df.collect())) == _rows(columns, res.fetchall())
 
 
-def test_ten_operators_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11)) and "pipeline" in QUERIES
+def test_all_operators_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == [*range(1, 11), 13] and "pipeline" in QUERIES
 
 
 def test_stages_follow_on_each_other(spark):
