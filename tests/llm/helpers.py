@@ -112,3 +112,47 @@ def counted(text):
 
 def key(row):
     return tuple((x is None, x if x is not None else 0) for x in row)
+
+
+def aligned(rows, path_a, path_b):
+    """What ``alignment.mark`` gives for (doc_id, text), from whole texts: ends of tokens by their decoded bytes, all pairs of a group."""
+    from ledgerlens.llm.alignment import Pieces
+    from ledgerlens.llm.segments import ByteLevel
+    a, b = ByteLevel(path_a, plain=True), Pieces(path_b)
+    held, docs, groups_of = collections.Counter(), [], []
+    for d, text in rows:
+        ids_a = a.tokenizer.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.model.encode(text) if text else []
+        raw = (" " + text).encode() if text else b""
+        if b"".join(a.tokens[i] for i in ids_a) != raw or b"".join(b.tokens[i] for i in ids_b) != raw:
+            ids_a, ids_b = [], []
+        ends = []
+        for ids, tokens in ((ids_a, a.tokens), (ids_b, b.tokens)):
+            at, own = 0, []
+            for i in ids:
+                at += len(tokens[i])
+                own.append(at)
+            ends.append(own)
+        groups, x, y = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            first, second = [], []
+            while x < len(ids_a) and ends[0][x] <= cut:
+                first.append(ids_a[x])
+                x += 1
+            while y < len(ids_b) and ends[1][y] <= cut:
+                second.append(ids_b[y])
+                y += 1
+            groups.append((first, second))
+        links = collections.Counter((i, j) for first, second in groups for i in first for j in second)
+        held.update(links.keys())
+        groups_of.append(groups)
+        docs.append((d, len(ids_a), len(ids_b), groups, links))
+    top: dict = {}
+    for (i, _), n in held.items():
+        top[i] = max(top.get(i, 0), n)
+    out = []
+    for d, n_a, n_b, groups, links in docs:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((d, n_a, n_b, len(groups), sum(links.values()), sum(n for p, n in links.items() if held[p] == top[p[0]]), sum(n * held[p] for p, n in links.items()),
+                    hashlib.sha256(text.encode()).hexdigest() if groups else ""))
+    return out, groups_of

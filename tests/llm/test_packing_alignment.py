@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import best_fit
+from ledgerlens.llm import alignment, best_fit
 from ledgerlens.llm.segments import ByteLevel, Cutter, gather
 
-from .helpers import empty, frame, odd_rows
+from .helpers import aligned, empty, frame, key, odd_rows
 
 ODD = ["", "  ", " \n\n foo bar's  'tis !'s can't", "a b　 c  d", "x\r\n\r\ny\t z", "\x1c a\x1f b", " <|endoftext|> a<|endoftext|>b, c!", "naïve é ﬁ…” foo", "!!'s ~'s {'re",
        "100,000.5-abc_DEF(x)[y]{z}", "a\n b\n\nc \nd  \n", "'s 't ''s 'sS", "🙂 🙂🙂 x", "\n", "a   b  c", None, "qxzj Zqk", "x\u0085 y", "日本語　テキスト。 ok", "▁a ▁", "<0x0A> <s> </s> <unk>", "é ﬁ​"]
@@ -117,3 +117,50 @@ def test_packing_of_documents(spark, level):
     pieces = [r.asDict() for r in best_fit.pack(docs).collect()]
     n = check([(r["doc_id"], r["text"]) for r in docs.collect()], pieces, level, best_fit.LENGTH)
     assert n <= -(-sum(p["length"] for p in pieces) // best_fit.LENGTH) + 1
+
+
+@pytest.fixture(scope="module")
+def paths():
+    return [alignment.tokenizer_path(x) for x in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)]
+
+
+def test_alignment_of_odd_texts(spark, paths):
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate([*odd_texts(1500), "a" * 5000 + " " * 300 + "b", "日" * 400 + "🙂" * 100])] + odd_rows()
+    want, groups = aligned([(r[0], r[1]) for r in rows], *paths)
+    df = frame(spark, rows)
+    for common in (alignment.COMMON, 40):  # all pairs broadcast, or few of them
+        got = alignment.mark(df, common=common)
+        assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    spans = alignment.groups(df.where("doc_id < 1500 and doc_id not in (13, 14, 15, 16, 17, 18, 19) and doc_id > 12")).collect()
+    for i in range(20, 1500):
+        own = sorted((s for s in spans if s["doc_id"] == i), key=lambda s: s["group"])
+        assert [(s["a"], s["b"]) for s in own] == groups[i]
+        assert [s["start"] for s in own] == [0, *[s["end"] for s in own]][:len(own)]
+
+
+def test_large_groups_are_counted_by_their_ids(paths):
+    a = alignment.Aligner(*paths)
+    ids_a, ids_b = np.array([5, 7, 5, 9]), np.array([1, 1, 2])
+    whole = a._links(ids_a, ids_b, np.array([0, 0, 0, 1]), np.array([3, 1]), np.array([2, 1]))
+    alignment.MANY, many = 1, alignment.MANY
+    try:
+        parts = a._links(ids_a, ids_b, np.array([0, 0, 0, 1]), np.array([3, 1]), np.array([2, 1]))
+    finally:
+        alignment.MANY = many
+    for x, y in zip(whole, parts):
+        assert all(np.array_equal(p, q) for p, q in zip(x, y))
+
+
+def test_alignment_of_long_texts_and_of_none(spark, paths):
+    text = " ".join(f"word{i % 977}, é☃x🙂\n" for i in range(500_000))  # several parts
+    want, _ = aligned([(1, text), (2, "x word7, y")], *paths)
+    assert sorted(map(tuple, alignment.mark(frame(spark, [(1, text, "en", "a", 1), (2, "x word7, y", "en", "a", 1)])).collect())) == want
+    assert alignment.mark(empty(spark)).count() == 0 and alignment.groups(empty(spark)).count() == 0
+
+
+def test_alignment_of_documents(spark, paths):
+    from ..conftest import SMALL
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want, _ = aligned([(r["doc_id"], r["text"]) for r in docs.collect()], *paths)
+    assert sorted(map(tuple, alignment.mark(docs).collect()), key=key) == sorted(want, key=key)
