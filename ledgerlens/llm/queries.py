@@ -5,7 +5,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, best_fit, compression_quality, exact_dedup, lm_score, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
+from . import alignment, best_fit, centroids, compression_quality, exact_dedup, lm_score, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 from .common import by_name
 from .sql import LONGER_ORACLES, ORACLES
 
@@ -63,6 +63,10 @@ def op9_lm_score_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_scores(lm_score.score(by_name(spark, sf_dir, "documents"), order=3))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.mark(by_name(spark, sf_dir, "embeddings"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.mark(by_name(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_compression_quality, op3_packing, op4_toxicity, op5_warc, op6_near_dedup, op7_substring_dedup, op8_mixing, op9_lm_score,
-    op10_exact_dedup, op12_tokenizer_alignment, op13_best_fit)}
+    op10_exact_dedup, op11_centroids, op12_tokenizer_alignment, op13_best_fit)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
 #: Operators again, in full length where the SQL of the query above fixes a shorter one.

@@ -85,7 +85,27 @@ a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score FROM d LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op5_warc": OP5, "op9_lm_score": OP9, "op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
+
+
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    nearest = (f"SELECT v.row, arg_min(c.cluster, (d, c.cluster)) AS cluster, min(d) AS distance FROM (SELECT v.row, c.cluster, {distance} AS d FROM v CROSS JOIN %s c) AS c JOIN v USING (row) GROUP BY v.row")
+    parts = [r"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INT AS cluster, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest % f'c{r}'})")
+        parts.append(f"""s{r} AS MATERIALIZED (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v.x) AS x, unnest(range(1, 65)) AS i FROM a{r} JOIN v USING (row)) GROUP BY cluster, i)""")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY cluster) m USING (cluster))""")
+    return f"""WITH {", ".join(parts)}, f AS MATERIALIZED ({nearest % f'c{rounds}'})
+SELECT v.vec_id, f.cluster, f.distance, sum(f.distance) OVER (PARTITION BY f.cluster)::BIGINT AS cluster_inertia, sum(f.distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM f JOIN v USING (row) JOIN c{rounds} c USING (cluster)"""
+
+
+OP11 = _op11()
+
+ORACLES = {"op11_centroids": OP11, "op5_warc": OP5, "op9_lm_score": OP9, "op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
 
 #: Of the queries in ``queries.LONGER``.
 LONGER_ORACLES = {"op9_lm_score_triples": OP9_TRIPLES}
