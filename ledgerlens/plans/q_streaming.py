@@ -11,16 +11,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from ..streaming import assemble as A
+from ..streaming import completion as K
 from ..streaming import ledger_stream as LS
 from . import fixture_sql as Q
 from . import sql_chunks as SC
 from .fixtures import attempts, chunk_lines
 from .registry import query
 
-#: How far lines may arrive out of event-time order here: more than the tables span.
-LATENESS_DAYS = 36_500
-
+#: Files of an arrival, and of a trigger.
+FILES = 8
 
 def _arrivals(df, late):
     """The rows in two arrivals: those that aren't late, then the late ones."""
@@ -38,21 +37,23 @@ def _workdir(spark, name: str) -> str:
     return checkpoint_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _stream_fold(spark, sf_dir, protocol):
-    """T1 + T5: lines arrive in an order that has nothing to do with theirs, half of each request in a
-    second arrival; then the source falls silent and heartbeats let the timers run."""
+def _complete(spark, sf_dir, protocol, arrivals, **options):
+    """Run the lines of ``arrivals`` through the stream, one arrival a trigger, until each request has its response."""
     work = _workdir(spark, f"t1-{protocol}")
     lines = chunk_lines(spark, sf_dir, protocol)
+    for rows in arrivals(lines):  # there before the stream starts, so that triggers follow each other
+        rows.repartition(FILES).write.mode("append").json(f"{work}/src")
+    src = spark.readStream.schema("request_id BIGINT, seq BIGINT, line STRING, ts TIMESTAMP").option("maxFilesPerTrigger", FILES).json(f"{work}/src")
+    query, store = K.start(src, f"{work}/out", f"{work}/ckpt", protocol, **options)
+    K.run_until(query, store, lines.select("request_id").distinct().count())
+    return K.responses(spark, f"{work}/out", "bigint")
 
-    def start():
-        src = spark.readStream.schema("request_id BIGINT, seq BIGINT, line STRING, ts TIMESTAMP").json(f"{work}/src")
-        return (A.assemble(src, protocol, lateness=f"{LATENESS_DAYS} days").writeStream.format("parquet").option("path", f"{work}/out")
-                .option("checkpointLocation", f"{work}/ckpt").outputMode("append").trigger(availableNow=True).start())
 
-    silent = lines.agg((F.max("ts") + F.expr(f"INTERVAL {LATENESS_DAYS + 1} DAYS")).alias("ts")).select(
-        F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("line"), "ts")
-    _drive([*_arrivals(lines, F.xxhash64("seq") % 2 == 0), silent, silent], f"{work}/src", start)
-    return A.responses(spark.read.schema(A.HELD).parquet(f"{work}/out"), protocol, "bigint")
+def _stream_fold(spark, sf_dir, protocol):
+    """T1 + T5: lines arrive in an order that has nothing to do with theirs, half of each request in a
+    second arrival; requests end by their marker or by silence."""
+    rows = _complete(spark, sf_dir, protocol, lambda lines: _arrivals(lines, F.xxhash64("seq") % 2 == 0), read_timeout_ms=4_000, grace_ms=1_000)
+    return rows.drop("kind", "retryable")
 
 
 @query("t1_stream_fold", oracle=SC.responses_sql())
@@ -73,6 +74,20 @@ def t1_stream_messages(spark, sf_dir):
     return _stream_fold(spark, sf_dir, "messages")
 
 
+_T4_SQL = f"""WITH r AS ({SC.chat_sql()}),
+d AS ({Q.with_ctes(SC.chunk_lines_sql("chat"))} SELECT request_id, bool_or(line = 'data: [DONE]') AS done FROM chunk_lines GROUP BY request_id)
+SELECT request_id, CASE WHEN done THEN 'ended' ELSE 'limit' END AS kind, CASE WHEN done THEN text ELSE '' END AS text, CASE WHEN done THEN total_tokens ELSE 0 END AS total_tokens,
+  CASE WHEN done THEN error ELSE 'wall_clock_timeout: attempt exceeded 5s' END AS error, coalesce(NOT done, false) AS timed_out FROM r JOIN d USING (request_id)"""
+
+
+@query("t4_stream_deadline", oracle=_T4_SQL)
+def t4_stream_deadline(spark, sf_dir):
+    """T4 in the stream: requests without an end marker exceed their attempt limit, a retryable failure each, while others arrive and end.
+    A request's lines are in one arrival, so that the outcome doesn't hang on the machine's speed."""
+    rows = _complete(spark, sf_dir, "chat", lambda lines: _arrivals(lines, F.col("request_id") % 3 == 0), read_timeout_ms=600_000, grace_ms=1_000, limit_ms=5_000)
+    return rows.select("request_id", "kind", "text", "total_tokens", "error", (F.col("retryable") & (F.col("kind") == K.LIMIT)).alias("timed_out"))
+
+
 _A5_SQL = Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST) + f"SELECT run_id, {Q.SUMMARY_SELECT} FROM latest GROUP BY run_id"
 
 

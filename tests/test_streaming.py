@@ -106,3 +106,87 @@ def test_lines_of_a_hot_request_are_not_held_in_state(spark, tmp_path):
     arrive(7, [(None, None, None, "2024-01-01 00:30:01")])
     arrive(8, [("small", 3, _lines(["again"])[0], "2024-01-01 00:31:00")])
     assert responses() == want
+
+
+# --- responses written while the stream runs --------------------------------------------------
+
+class _Feed:
+    """A source folder, and a stream on it that is run until so many responses are out."""
+
+    def __init__(self, spark, tmp_path, **options):
+        self.spark, self.path, self.options, self.n = spark, tmp_path, {"read_timeout_ms": 2_000, "grace_ms": 500, "buckets": 4, **options}, 0
+        (tmp_path / "src").mkdir()
+
+    def put(self, *rows):
+        self.n += 1
+        (self.path / "src" / f"{self.n:04d}.json").write_text("".join(json.dumps({"request_id": r, "seq": s, "line": x, "ts": "2024-01-01 00:00:00"}) + "\n" for r, s, x in rows))
+
+    def run(self, total):
+        from ledgerlens.streaming import completion as K
+        lines = self.spark.readStream.schema("request_id STRING, seq LONG, line STRING, ts TIMESTAMP").option("maxFilesPerTrigger", 1).json(str(self.path / "src"))
+        query, store = K.start(lines, str(self.path / "out"), str(self.path / "ckpt"), "chat", interval="0 seconds", **self.options)
+        K.run_until(query, store, total, 120)
+        self.store = store
+        return {r["request_id"]: r for r in K.responses(self.spark, str(self.path / "out")).collect()}
+
+
+def test_responses_come_once_while_others_run(spark, tmp_path):
+    feed = _Feed(spark, tmp_path, read_timeout_ms=600_000, marker_ms=600_000)
+    x = _lines(["a", "b"])
+    feed.put(("swapped", 2, x[2]), ("open", 0, x[0]), (None, 1, x[0]))
+    feed.put(("swapped", 1, x[1]), ("swapped", 0, x[0]))
+    got = feed.run(1)
+    assert {k: (r["text"], r["kind"], r["retryable"]) for k, r in got.items()} == {"swapped": ("ab", "ended", False)}
+    # the stream goes on from its checkpoint: a late line is ignored, the open request ends
+    feed.put(("swapped", 3, x[0]), ("open", 1, x[1]))
+    feed.put(("open", 2, x[2]))
+    got = feed.run(2)
+    assert {k: r["text"] for k, r in got.items()} == {"swapped": "ab", "open": "ab"}
+    assert len(list((tmp_path / "out" / "responses").iterdir())) == 2  # each was written by a trigger of its own
+
+
+def test_an_attempt_beyond_its_limit_fails_while_others_run(spark, tmp_path):
+    feed = _Feed(spark, tmp_path, read_timeout_ms=600_000, limit_ms=1_500)
+    x = _lines(["a", "b"])
+    feed.put(("slow", 0, x[0]), ("ends", 0, x[0]), ("ends", 1, x[1]), ("ends", 2, x[2]))
+    feed.put(("slow", 1, x[1]))
+    got = feed.run(2)
+    slow = got["slow"]
+    assert (slow["kind"], slow["text"], slow["error"], slow["total_tokens"], slow["retryable"]) == ("limit", "", "wall_clock_timeout: attempt exceeded 1.5s", 0, True)
+    assert (got["ends"]["kind"], got["ends"]["text"]) == ("ended", "ab")
+
+
+def test_a_trigger_reads_its_own_buckets_and_not_the_history(spark, tmp_path):
+    from ledgerlens.streaming import completion as K
+    store, x = K.Store(spark, str(tmp_path / "out"), "chat", buckets=16), _lines(["a" * 50] * 20)
+
+    def trigger(n, lines, marks=()):
+        rows = [(r, s, line, n, None, None, None) for r, s, line in lines] + [(r, None, None, None, kind, first, last) for r, kind, first, last in marks]
+        store.add(spark.createDataFrame(rows, "request_id string, seq long, line string, arrived long, kind string, first_arrived long, last_arrived long"), n)
+        return store.version
+
+    for n in range(5):  # a history of requests that are over
+        trigger(n, [(f"r{n}-{k}", s, line) for k in range(8) for s, line in enumerate(x)], [(f"r{n}-{k}", K.ENDED, n, n) for k in range(8)])
+    early, late = json.loads(sorted((tmp_path / "out" / "version").glob("*.json"))[1].read_text()), store.version
+    assert late["total"] == 40 and late["read"] <= 1.3 * early["read"] and late["written"] <= 1.3 * early["written"]
+    assert store._rows(late["buckets"], late["buckets"]) <= 8 * len(x)  # hardly any line is kept
+    one = trigger(5, [("own", s, line) for s, line in enumerate(x)], [("own", K.ENDED, 5, 5)])
+    assert one["read"] <= 4 * len(x)
+    assert trigger(5, [("own", 0, x[0])])["total"] == 41  # the same trigger again changes nothing
+    # a late line is known as such, and goes with the others
+    trigger(6, [("own", 21, x[0])], [("own", K.LATE, 6, 6)])
+    trigger(7, [("open", 0, x[0])])
+    held = store._lines(spark, store.version["buckets"], list(store.version["buckets"])).select("request_id").distinct().collect()
+    assert [r[0] for r in held] == ["open"]
+    assert K.responses(spark, str(tmp_path / "out")).count() == 41
+    assert len(list((tmp_path / "out" / "arrivals").iterdir())) <= 2  # superseded folders are deleted
+
+
+def test_two_writers_of_one_name(spark, tmp_path):
+    from ledgerlens.sources import files
+    path = str(tmp_path / "folder" / "x.json")
+    assert files.create(spark, path, "one") and not files.create(spark, path, "two")
+    assert files.read_text(spark, path) == "one" and files.names(spark, str(tmp_path / "folder")) == ["x.json"]
+    files.remove(spark, path)
+    assert files.names(spark, str(tmp_path / "none")) == [] and files.create(spark, path, "é")
+    assert files.read_text(spark, path) == "é"
