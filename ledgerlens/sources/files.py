@@ -10,10 +10,10 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
-def names(spark: SparkSession, folder: str) -> list[str]:
-    """The names in a folder, sorted; none where there is no folder."""
+def names(spark: SparkSession, folder: str, folders: bool = False) -> list[str]:
+    """The names in a folder, sorted; none where there is no folder.  folders: those of folders only."""
     fs, place = _fs(spark, folder)
-    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(place) if not folders or s.isDirectory()) if fs.exists(place) else []
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -27,10 +27,9 @@ def test_live_summary_replaces_latest_and_ignores_older(spark, tmp_path):
     assert (s.total_problems, s.correct_count, s.error_count) == (2, 2, 0)
     assert s.total_tokens == 50 and s.avg_tokens_per_problem == 25.0
     assert s.accuracy == 100.0 and s.batch_id == 2
-    assert len(list((out / "latest").glob("0-*"))) == 3
 
 
-def test_latest_rows_are_merged_by_levels(spark, tmp_path):
+def test_latest_rows_and_sums_are_merged(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
     for i in range(5):
@@ -38,7 +37,46 @@ def test_latest_rows_are_merged_by_levels(spark, tmp_path):
     out = tmp_path / "summary"
     LS.live_summary(spark, str(src), str(out), str(tmp_path / "ckpt"), files_per_trigger=1).awaitTermination()
     s = LS.read_summary(spark, str(out)).collect()[0]
-    assert (s.total_problems, s.total_tokens) == (2, 13 + 14) and len(list((out / "latest").glob("1-*"))) == 1
+    assert (s.total_problems, s.total_tokens) == (2, 13 + 14)
+    version = LS.latest_version(spark, str(out))
+    assert [f[:2] for f in version["sums"]] == ["1-", "0-"] and all(len(x) < LS.FOLDERS for x in version["buckets"].values())
+
+
+def test_a_summary_reads_the_buckets_of_its_problems_and_not_the_history(spark, tmp_path):
+    import random
+    r, latest, held = random.Random(2), LS.Latest(spark, str(tmp_path / "s"), bucket_rows=40), {}
+
+    def trigger(n, rows):
+        for x in rows:
+            key = (x["run_id"], x["problem_key"])
+            if key not in held or held[key]["seq"] < x["seq"]:
+                held[key] = x
+        latest.add(spark.createDataFrame([tuple(x.get(c.split(" ")[0]) for c in LS.ATTEMPT_SCHEMA.split(", ")) for x in rows], LS.ATTEMPT_SCHEMA), n)
+        got = {s["run_id"]: (s["total_problems"], s["correct_count"], s["total_tokens"], s["error_count"], s["avg_latency"]) for s in LS.read_summary(spark, str(tmp_path / "s")).collect()}
+        want = {}
+        for run in {k[0] for k in held}:
+            own = [x for k, x in held.items() if k[0] == run]
+            want[run] = (len(own), sum(x["correct"] for x in own), sum(x["total_tokens"] for x in own), sum(x["error"] is not None for x in own), round(sum(x["latency"] for x in own) / len(own), 6))
+        assert got == want
+        return latest.version
+
+    def some(n, of):
+        return [{**_attempt(f"p{r.randrange(of)}", 0, r.random() < 0.5, r.randint(1, 99), r.choice((None, "HTTP 500"))), "run_id": r.choice(("01", "1", "1.0")), "latency": r.randint(1, 10**6) / 1000} for _ in range(n)]
+
+    seq = 0
+    for n in range(6):
+        rows = some(150, 400)
+        for x in rows:
+            seq += 1
+            x["seq"] = seq - r.choice((0, 0, 0, 120))  # some arrive late
+        r.shuffle(rows)
+        seen = set()
+        trigger(n, [x for x in rows if (k := (x["run_id"], x["problem_key"], x["seq"])) not in seen and not seen.add(k)])
+    assert latest.version["n"] >= 8
+    one = trigger(6, [{**_attempt("p5", 10_000, True, 7), "run_id": "01"}])
+    assert one["read"] <= 4 * 40 < 300 < sum(sum(x.values()) for x in one["buckets"].values())
+    trigger(6, [])  # the same trigger again, and one without rows
+    trigger(7, [])
 
 
 def _lines(texts, end="data: [DONE]"):
