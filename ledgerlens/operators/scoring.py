@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import has_error
@@ -95,6 +95,17 @@ def summarize_rollup(sums: DataFrame, dims: Sequence[str], cube: bool = False) -
     return _finish(agg, list(dims) + ["grouping_level"], None)
 
 
+def compare_runs(summaries: DataFrame, group: str = "comparable_id") -> DataFrame:
+    """Runs side by side within groups that may be compared: ``rank`` by score (then accuracy, then run id), ``n_runs`` of the group, and how far
+    accuracy and score are behind the group's best.
+
+    Input is one row per run.  The group's best values come by an aggregation, combined before the shuffle, and a join; only the ranking sorts a group."""
+    best = summaries.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n_runs"), F.max("accuracy").alias("_a"), F.max("efficiency_score").alias("_s"))
+    order = Window.partitionBy(group).orderBy(F.desc_nulls_last("efficiency_score"), F.desc_nulls_last("accuracy"), "run_id")
+    return (summaries.join(best, F.col(group).eqNullSafe(F.col("_g"))).withColumn("rank", F.row_number().over(order).cast("bigint"))
+            .withColumn("accuracy_behind", F.col("_a") - F.col("accuracy")).withColumn("score_behind", F.col("_s") - F.col("efficiency_score")).drop("_g", "_a", "_s"))
+
+
 def fill_summary_aliases(df: DataFrame) -> DataFrame:
     """Stored summaries — ``total_completion_tokens`` stands in for a missing
     ``total_answer_tokens``; a missing or zero output total becomes answer + reasoning."""

@@ -338,6 +338,16 @@ def _runs_sql() -> str:
 
 RUNS = _runs_sql()
 
+#: F7s, after RUNS.
+SIBLING_RUNS = """sibling_runs AS (
+  SELECT * REPLACE (
+      CAST(CASE WHEN k % 7 = 3 THEN 900 ELSE wall_clock_timeout END AS BIGINT) AS wall_clock_timeout,
+      CAST(CASE WHEN k % 11 = 4 THEN coalesce(max_output_tokens, 0) + 1 ELSE max_output_tokens END AS BIGINT) AS max_output_tokens)
+  FROM (SELECT CAST(substr(o.run_id, 4) AS BIGINT) AS k, t.* REPLACE (o.run_id AS run_id, o.model AS model, o.api_key AS api_key,
+            o.temperature AS temperature, o.concurrency AS concurrency, o.max_retries AS max_retries)
+        FROM runs o JOIN runs t ON t.run_id = 'run' || CAST(CAST(substr(o.run_id, 4) AS BIGINT) % 5 + 1 AS VARCHAR))
+)"""
+
 DATASET_PROBLEMS = """dataset_problems AS (
   SELECT pr.*, 'data/' || lower(p_type) || '.jsonl' AS dataset_path
   FROM problems pr JOIN part ON part.p_partkey = pr.item_id

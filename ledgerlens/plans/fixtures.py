@@ -372,6 +372,21 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Columns in which sibling runs differ from the run they are made after.
+SIBLING_OWN = ("run_id", "model", "api_key", "temperature", "concurrency", "max_retries")
+
+
+def sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7s: runs that are made after one of five runs and keep only some columns of their own; every seventh has another
+    time limit and every eleventh another budget, so it must not be compared with its siblings."""
+    own = runs(spark, sf_dir).withColumn("k", F.substring("run_id", 4, 20).cast("bigint"))
+    rest = [c for c in own.columns if c not in (*SIBLING_OWN, "k")]
+    made_after = own.where("k between 1 and 5").select(F.col("k").alias("_k"), *rest)
+    s = own.select(*SIBLING_OWN, "k").join(made_after, F.col("_k") == F.col("k") % 5 + 1)
+    return s.withColumns({"wall_clock_timeout": F.when(F.col("k") % 7 == 3, F.lit(900)).otherwise(F.col("wall_clock_timeout")).cast("bigint"),
+                          "max_output_tokens": F.when(F.col("k") % 11 == 4, F.coalesce("max_output_tokens", F.lit(0)) + 1).otherwise(F.col("max_output_tokens")).cast("bigint")}).drop("_k", "k")
+
+
 def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8 problems placed in the dataset of the part with the same key (joins runs on dataset)."""
     part = table(spark, sf_dir, "part").select(

@@ -8,10 +8,11 @@ from ..functions import classify as C
 from ..functions import extract as X
 from ..operators import chunks as CH
 from ..operators import ledger as L
+from ..operators import runs as RU
 from ..operators import scoring as S
 from . import fixture_sql as Q
 from . import sql_chunks as SC
-from .fixtures import chunk_lines, failures, generate_responses, runs
+from .fixtures import chunk_lines, failures, generate_responses, runs, sibling_runs
 from .fixtures import attempts as attempts_f
 from .q_ledger import SUMMARY_COLUMNS
 from .registry import query
@@ -128,12 +129,53 @@ _RUN_JOIN = ("(SELECT l.*, r.provider, r.evaluator_type, r.model FROM latest l "
              "JOIN (SELECT run_id, provider, evaluator_type, model FROM runs) r ON r.run_id = l.run_id)")
 
 
-@query("a7_compare", oracle=Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST, Q.RUNS) + f"""
-SELECT evaluator_type, model, GROUPING(evaluator_type, model)::BIGINT AS grouping_level, {Q.SUMMARY_SELECT}
-FROM {_RUN_JOIN} GROUP BY ROLLUP (evaluator_type, model)""")
+# Attempts of 60 runs, so that groups have several.
+_A7_RUN = "'run' || CAST(seq % 60 + 1 AS VARCHAR)"
+
+
+def _a7_comparable_sql() -> str:
+    import hashlib
+
+    from ..functions.prompts import TEMPLATES
+    from .q_runs import _sql_redact_url
+    template = "CASE evaluator_type " + " ".join(f"WHEN '{n}' THEN '{hashlib.sha256(t.encode()).hexdigest()}'" for n, t in TEMPLATES.items()) + " ELSE 'raw' END"
+    paths = lambda x: f"list_sort(list_distinct(coalesce({x}, []::VARCHAR[])))"
+    fields = {"dataset_name": "dataset_name", "dataset_path": "dataset_path", "dataset_split": "dataset_split", "evaluator_type": "evaluator_type", "execution_timeout": "execution_timeout",
+              "judge_base_url": _sql_redact_url("judge_base_url"), "judge_model": "judge_model", "judge_set": "[]::VARCHAR[]", "judge_unset": "[]::VARCHAR[]",
+              "max_context_window": "max_context_window", "max_output_tokens": "max_output_tokens", "provider": "provider",
+              "set_paths": paths("list_transform(overrides_entries, lambda e: e.key)"), "template_hash": template, "unset_paths": paths("overrides_unset"), "wall_clock_timeout": "wall_clock_timeout"}
+    return f"sha256(to_json({{{', '.join(f"'{n}': {x}" for n, x in sorted(fields.items()))}}})::VARCHAR)"
+
+
+def _a7_sql(select: str) -> str:
+    spread = f"attempts AS (SELECT * REPLACE ({_A7_RUN} AS run_id) FROM attempts_by_four)"
+    return Q.with_ctes(Q.ATTEMPTS.replace("attempts AS", "attempts_by_four AS", 1), spread, Q.FIXED, Q.LATEST, Q.RUNS, Q.SIBLING_RUNS,
+                       f"joined AS (SELECT l.*, r.model, r.comparable_id FROM latest l JOIN (SELECT run_id, model, {_a7_comparable_sql()} AS comparable_id FROM sibling_runs) r USING (run_id))") + select
+
+
+def _a7_sums(spark, sf_dir):
+    a = attempts_f(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run"), (F.col("seq") % 60 + 1).cast("string")))
+    reg = sibling_runs(spark, sf_dir)
+    reg = reg.select("run_id", "model", RU.comparable_id(reg).alias("comparable_id"))
+    return S.run_sums(L.latest_flags(a, columns=SUMMARY_COLUMNS)).join(reg, "run_id", "inner")
+
+
+@query("a7_compare", oracle=_a7_sql(f"""
+SELECT *, row_number() OVER (PARTITION BY comparable_id ORDER BY efficiency_score DESC, accuracy DESC, run_id)::BIGINT AS rank, count(*) OVER g AS n_runs,
+  round(max(accuracy) OVER g - accuracy, 6) AS accuracy_behind, round(max(efficiency_score) OVER g - efficiency_score, 9) AS score_behind
+FROM (SELECT comparable_id, run_id, model, {Q.SUMMARY_SELECT} FROM joined GROUP BY comparable_id, run_id, model) WINDOW g AS (PARTITION BY comparable_id)"""))
 def a7_compare(spark, sf_dir):
-    """Accuracy and score side by side, with sub-totals per evaluator and overall."""
-    return S.round_summary(S.summarize_rollup(_sums_with_runs(spark, sf_dir), ["evaluator_type", "model"]))
+    """Accuracy and score side by side, ranked among the runs that may be compared and no others."""
+    rows = S.round_summary(S.summary_from_sums(_a7_sums(spark, sf_dir), ["comparable_id", "run_id", "model"]))
+    return S.compare_runs(rows).withColumns({"accuracy_behind": F.round("accuracy_behind", 6), "score_behind": F.round("score_behind", 9)})
+
+
+@query("a7_totals", oracle=_a7_sql(f"""
+SELECT comparable_id, model, GROUPING(comparable_id, model)::BIGINT AS grouping_level, {Q.SUMMARY_SELECT}
+FROM joined GROUP BY GROUPING SETS ((comparable_id, model), (comparable_id))"""))
+def a7_totals(spark, sf_dir):
+    """Sub-totals per model, and of each group of comparable runs; none beyond a group."""
+    return S.round_summary(S.summarize_rollup(_a7_sums(spark, sf_dir), ["comparable_id", "model"])).where("grouping_level < 3")
 
 
 @query("a8_cube", oracle=Q.with_ctes(Q.ATTEMPTS, Q.FIXED, Q.LATEST, Q.RUNS) + f"""
