@@ -120,6 +120,34 @@ def m3_url(spark, sf_dir):
                     redact_url("judge_base_url").alias("judge_base_url"))
 
 
+_PARTS = "(SELECT r.*, p.p_type, p.p_size, p.p_partkey AS k FROM runs r JOIN part p ON r.run_id = 'run' || CAST(p.p_partkey AS VARCHAR))"
+
+
+def _sql_template() -> tuple[str, str, str]:
+    import hashlib
+
+    from ..functions.prompts import PROMPT_FORMATTER_VERSION, TEMPLATES
+    arms = " ".join(f"WHEN '{n}' THEN '{hashlib.sha256(t.encode()).hexdigest()}'" for n, t in TEMPLATES.items())
+    return "evaluator_type", sq(PROMPT_FORMATTER_VERSION), f"CASE evaluator_type {arms} ELSE 'raw' END"
+
+
+def _sql_canonical_set() -> str:
+    """Sorted rows ``path=leaf`` of the masked override values, by the rules of F7."""
+    t, k, s = "to_json(lower(p_type))::VARCHAR", "k", "p_size"
+    mask = f'"{MASK}"'
+    rules = [("true", [("'\"reasoning.effort\"'", t)]),
+             ("k % 2 = 0", [("'\"extra_headers\"/\"Authorization\"'", f"'{mask}'"), ("'\"extra_headers\"/\"X-Trace\"'", f"'\"t' || {k} || '\"'")]),
+             ("k % 3 = 1", [("'\"extra_body.api_token\"'", f"'{mask}'")]),
+             ("k % 5 = 2", [("'\"extra_body.options\"/\"list\"/0/\"secret\"'", f"'{mask}'"), ("'\"extra_body.options\"/\"list\"/1'", "'2'"),
+                            ("'\"extra_body.options\"/\"max_tokens\"'", f"{s}::VARCHAR"), ("'\"extra_body.options\"/\"nested\"/\"keep\"'", "'1'"),
+                            ("'\"extra_body.options\"/\"nested\"/\"password\"'", f"'{mask}'")]),
+             ("k % 4 = 1", [("'\"max_completion_tokens\"'", "'\"${max_output_tokens}\"'")]),
+             ("k % 4 = 2", [("'\"metadata.note\"'", "'\"budget ${max_output_tokens} tokens\"'")]),
+             ("k % 9 = 0", [("'\"model\"'", "'\"evil\"'")]), ("k % 8 = 3", [("'\"stream\"'", "'false'")]), ("k % 13 = 0", [("'\"   \"'", "'1'")])]
+    parts = [f"CASE WHEN {cond} THEN [{', '.join(f'{path} || chr(61) || {leaf}' for path, leaf in rows)}] ELSE []::VARCHAR[] END" for cond, rows in rules]
+    return f"list_sort(flatten([{', '.join(parts)}]))".replace("\\", "")
+
+
 _MASKED_COUNT = ("(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END "
                  "+ CASE WHEN k % 5 = 2 THEN 2 ELSE 0 END)")
 
@@ -129,21 +157,46 @@ SELECT run_id, CASE WHEN coalesce(length(api_key), 0) > 0 THEN '{MASK}' ELSE api
   {_sql_redact_url('base_url')} AS base_url,
   CASE WHEN coalesce(length(judge_api_key), 0) > 0 THEN '{MASK}' ELSE judge_api_key END AS judge_api_key,
   {_sql_redact_url('judge_base_url')} AS judge_base_url,
-  CAST({_MASKED_COUNT} AS BIGINT) AS masked_values, false AS leaked
-FROM (SELECT *, CAST(substr(run_id, 4) AS BIGINT) AS k FROM runs)""")
+  CAST({_MASKED_COUNT} AS BIGINT) AS masked_values, false AS leaked, array_to_string({_sql_canonical_set()}, chr(10)) AS override_rows
+FROM {_PARTS}""")
 def m5_redact_config(spark, sf_dir):
     """M4 + M5: every credential masked (key, URL user-info and query, judge trio, override values
-    at any depth); counts the masked override values and checks no secret text survives."""
+    at any depth); the masked override values row by row, their number, and that no secret text survives."""
     r = RU.redact_config(runs(spark, sf_dir)).withColumn("ov", F.to_json("overrides_set"))
     masked = (F.size(F.split("ov", F.lit(MASK.replace("*", r"\*")))) - 1).cast("bigint")
     leaked = F.col("ov").rlike(r'Bearer tok|tok-\d|pw\d|secret\\":\s*\\"s\\"')
     return r.select("run_id", "api_key", "base_url", "judge_api_key", "judge_base_url",
-                    masked.alias("masked_values"), leaked.alias("leaked"))
+                    masked.alias("masked_values"), leaked.alias("leaked"), F.array_join(RU.override_rows("overrides_set"), "\n").alias("override_rows"))
+
+
+def _sql_identity() -> dict[str, str]:
+    """Component → its JSON, in the order of the keys."""
+    def js(**parts):
+        return f"to_json({{{', '.join(f"'{n}': {x}" for n, x in sorted(parts.items()))}}})::VARCHAR"
+
+    limits = dict(max_context_window="max_context_window", max_output_tokens="max_output_tokens", temperature="temperature", top_p="top_p")
+    et, version, template = _sql_template()
+    empty = "{'set': []::VARCHAR[], 'unset': []::VARCHAR[]}"
+    judge = js(base_url=_sql_redact_url("judge_base_url"), max_tokens=f"coalesce(judge_max_tokens, {RU.JUDGE_MAX_TOKENS})", model="judge_model", request_overrides=empty,
+               runtime=sq(RU.JUDGE_RUNTIME), timeout=f"coalesce(judge_timeout, {RU.JUDGE_TIMEOUT})")
+    return {
+        "base_url": js(value=_sql_redact_url("base_url")), "dataset": js(name="dataset_name", path="dataset_path", split="dataset_split"),
+        "evaluator_settings": js(execution_timeout="execution_timeout"), "evaluator_type": js(value="evaluator_type"),
+        "generation": f"CASE WHEN wall_clock_timeout IS NULL THEN {js(**limits)} ELSE {js(**limits, wall_clock_timeout='wall_clock_timeout')} END",
+        "judge": f"CASE WHEN judge_model IS NULL AND judge_base_url IS NULL AND judge_api_key IS NULL THEN 'null' ELSE {judge} END",
+        "model": js(value="model"), "prompt_template": js(evaluator_type=et, formatter_version=version, template_hash=template), "provider": js(value="provider"),
+        "request_overrides": f"to_json({{'set': {_sql_canonical_set()}, 'unset': overrides_unset}})::VARCHAR", "schema_version": js(value=sq(RU.SCHEMA_VERSION))}
+
 
+_IDENTITY = _sql_identity()
 
-@query("h5_identity_hash")
+
+@query("h5_identity_hash", oracle=_RUNS + f"""
+SELECT run_id, sha256(to_json([{', '.join(f"{{'key': '{n}', 'value': {n}_}}" for n in _IDENTITY)}])::VARCHAR) AS identity_hash,
+  to_json({{{', '.join(f"'{n}': {n}_" for n in _IDENTITY)}}})::VARCHAR AS identity
+FROM (SELECT run_id, {', '.join(f'{x} AS {n}_' for n, x in _IDENTITY.items())} FROM {_PARTS})""")
 def h5_identity_hash(spark, sf_dir):
-    """H4 + H5 (rows-only): identity components and their SHA-256."""
+    """H4 + H5: identity components, canonical at any depth, and their SHA-256."""
     r = RU.with_identity(runs(spark, sf_dir))
     return r.select("run_id", "identity_hash", F.to_json("identity").alias("identity"))
 
@@ -171,25 +224,58 @@ def j5_identity_check(spark, sf_dir):
     return RU.identity_check(stored, current).drop("changes")
 
 
-@query("q9_inspect")
+_VALID = f"len({_sql_violations()}) = 0 AND len({_sql_protected()}) = 0"
+_FMT = SP.format_prompt("dp.problem", "r.evaluator_type", "dp.test_list")
+_BUDGET = SP.budget(_FMT, "r.max_output_tokens", "r.max_context_window")
+
+
+def _sql_request(prompt: str, budget: str, masked: bool) -> str:
+    """The request's text, members sorted, after the overrides of F7 that valid runs may have (masked: as it is shown)."""
+    text = lambda x: f"to_json({x})::VARCHAR"
+    hide = lambda x: f"'\"{MASK}\"'" if masked else x
+    is_ = lambda *names: f"provider IN ({', '.join(sq(n) for n in names)})"
+    unset = "list_contains(overrides_unset, 'temperature')"
+    body = ("'{' || array_to_string(list_filter([CASE WHEN k % 3 = 1 THEN '\"api_token\":' || " + hide("'\"tok-' || k || '\"'") + " END, CASE WHEN k % 5 = 2 THEN '\"options\":{\"list\":[{\"secret\":' || "
+            + hide("'\"s\"'") + " || '},2],\"max_tokens\":' || p_size || ',\"nested\":{\"keep\":1,\"password\":' || " + hide("'\"pw' || k || '\"'")
+            + " || '}}' END], lambda x: x IS NOT NULL), ',') || '}'")
+    members = [
+        ("config", is_("gemini"), f"'{{\"max_output_tokens\":' || {budget} || ',\"temperature\":' || temperature || coalesce(',\"top_p\":' || top_p, '') || '}}'"),
+        ("contents", is_("gemini"), text(prompt)), ("extra_body", "k % 3 = 1 OR k % 5 = 2", body),
+        ("extra_headers", "k % 2 = 0", "'{\"Authorization\":' || " + hide("'\"Bearer tok' || k || '\"'") + " || ',\"X-Trace\":\"t' || k || '\"}'"),
+        ("input", is_("openai-responses"), text(prompt)), ("max_completion_tokens", "k % 4 = 1", f"{budget}::VARCHAR"), ("max_output_tokens", is_("openai-responses"), f"{budget}::VARCHAR"),
+        ("max_tokens", is_("chat_completion", "anthropic"), f"{budget}::VARCHAR"), ("messages", is_("chat_completion", "anthropic"), f"'[{{\"content\":' || {text(prompt)} || ',\"role\":\"user\"}}]'"),
+        ("metadata", "k % 4 = 2", f"'{{\"note\":\"budget ' || {budget} || ' tokens\"}}'"), ("model", "true", text("model")), ("reasoning", "true", "'{\"effort\":' || to_json(lower(p_type))::VARCHAR || '}'"),
+        ("stream", f"NOT ({is_('gemini')}) OR k % 8 = 3", f"CASE WHEN {is_('gemini')} THEN 'false' ELSE 'true' END"), ("stream_options", is_("chat_completion"), "'{\"include_usage\":true}'"),
+        ("temperature", f"({is_('chat_completion', 'openai-responses')}) AND NOT {unset}", "temperature::VARCHAR"), ("thinking", is_("anthropic"), "'{\"display\":\"summarized\",\"type\":\"adaptive\"}'"),
+        ("top_p", f"({is_('chat_completion')}) AND top_p IS NOT NULL", "top_p::VARCHAR")]
+    arms = ", ".join(f"CASE WHEN {cond} THEN '\"{name}\":' || {value} END" for name, cond, value in members)
+    return f"'{{' || array_to_string(list_filter([{arms}], lambda x: x IS NOT NULL), ',') || '}}'".replace("\\", "")
+
+
+_SAMPLE_TESTS = f"CASE WHEN evaluator_type = 'code' THEN [{', '.join(sq(t) for t in RU.SAMPLE_TESTS)}] END"
+
+
+@query("q9_inspect", oracle=_RUNS + f"""
+SELECT run_id, provider, model, {_sql_redact_url('base_url')} AS base_url, CASE WHEN coalesce(length(api_key), 0) > 0 THEN '{MASK}' END AS api_key, evaluator_type,
+  budget AS max_output_tokens, {_sql_request('prompt', 'budget', True)} AS request
+FROM (SELECT *, {SP.budget('prompt', 'max_output_tokens', 'max_context_window')} AS budget
+      FROM (SELECT *, {SP.format_prompt(sq(RU.SAMPLE_PROBLEM), 'evaluator_type', _SAMPLE_TESTS)} AS prompt FROM {_PARTS} WHERE {_VALID}))""")
 def q9_inspect(spark, sf_dir):
-    """Q9 (rows-only): masked request per valid run for the fixed sample problem."""
+    """Q9: masked request per valid run for the fixed sample problem, the whole text."""
     return RU.inspect_requests(runs(spark, sf_dir))
 
 
-@query("q5_override", bench=True)
+@query("q5_override", bench=True, oracle=Q.with_ctes(Q.RUNS, Q.PROBLEMS, Q.DATASET_PROBLEMS) + f"""
+SELECT run_id, item_id, budget, sha256(request) AS request_sha, length(request)::BIGINT AS request_chars
+FROM (SELECT *, {_sql_request('prompt', 'budget', False)} AS request
+      FROM (SELECT r.*, dp.item_id, {_FMT} AS prompt, {_BUDGET} AS budget FROM (SELECT * FROM {_PARTS} WHERE {_VALID}) r JOIN dataset_problems dp ON dp.dataset_path = r.dataset_path))""")
 def q5_override(spark, sf_dir):
-    """Q1-Q8 end to end (rows-only): shaped request per run × problem of its dataset."""
+    """Q1-Q8 end to end: shaped request per run × problem of its dataset."""
     req = RU.build_requests(runs(spark, sf_dir), dataset_problems(spark, sf_dir))
     return req.select("run_id", "item_id", "budget", F.sha2("request", 256).alias("request_sha"),
                       F.length("request").cast("bigint").alias("request_chars"))
 
 
-_VALID = f"len({_sql_violations()}) = 0 AND len({_sql_protected()}) = 0"
-_FMT = SP.format_prompt("dp.problem", "r.evaluator_type", "dp.test_list")
-_BUDGET = SP.budget(_FMT, "r.max_output_tokens", "r.max_context_window")
-
-
 @query("q7_substitution", oracle=Q.with_ctes(Q.RUNS, Q.PROBLEMS, Q.DATASET_PROBLEMS) + f"""
 SELECT r.run_id, dp.item_id, {_BUDGET} AS budget,
   CASE WHEN list_contains(list_transform(r.overrides_entries, lambda e: e.key), 'max_completion_tokens')

@@ -125,9 +125,11 @@ def test_prompts_go_out_as_they_are(spark):
         assert req["messages"][0]["content"].endswith("Problem: " + text)
 
 
-def test_override_rows():
+def test_override_rows(spark):
     def sent(sets, unset=(), base='{"a":{"b":1,"c":2},"t":0.5}'):
-        return json.loads(RU.request_with_slots(base, json.dumps({k: json.dumps(v) for k, v in sets.items()}), json.dumps(list(unset))).replace(RU.BUDGET_SLOT, "7"))
+        df = spark.createDataFrame([(base, list(unset))], "base string, u array<string>")  # a Python dict would lose the order of the sets
+        s = F.create_map(*[F.lit(x) for k, v in sets.items() for x in (k, json.dumps(v))]).cast("map<string,string>")
+        return json.loads(df.select(RU.request_with_slots("base", s, "u")).first()[0].replace(RU.BUDGET_SLOT, "7"))
 
     assert sent({"a.b.c": 1}) == {"a": {"b": {"c": 1}, "c": 2}, "t": 0.5}
     assert sent({"x.y": {"z": 1}, "x.y.w": 2}) == {"a": {"b": 1, "c": 2}, "t": 0.5, "x": {"y": {"z": 1, "w": 2}}}
