@@ -2,8 +2,8 @@
 
 Executing untrusted code is the one place that genuinely needs a Python worker:
 ``mapInPandas`` hands Arrow batches of ``(key, script)`` to each task, every script
-runs in its own isolated child interpreter (``python -I``, script on stdin, hard
-time limit), and only the raw ``(rc, stdout, stderr, timed_out)`` comes back.
+runs in its own isolated child interpreter (``python -I``, script on stdin, a process group
+and resource limits of its own, hard time limit), and only the raw ``(rc, stdout, stderr, timed_out)`` comes back.
 Parsing that output into pass counts and error text stays in column expressions
 (:func:`ledgerlens.functions.extract.run_outcome`).
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,61 +29,133 @@ RUN_FIELDS = [
 
 
 #: Lines of a program's output that the grade reads; all others are dropped as they come.
-TOLD = ("RESULTS", "FAILED", "ERROR")
+TOLD = (b"RESULTS", b"FAILED", b"ERROR")
 PIECE = 1 << 16
+#: What a program may use: address space, a file, and output that the grade reads.
+MEMORY_MB, FILE_MB, TOLD_MB = 1024, 64, 16
 
 
-def _kept_lines(pipe, kept: list) -> None:
-    """Adds the lines of ``pipe`` that begin with a word of :data:`TOLD`; reads in pieces, so that a line
-    without end takes no memory unless it is kept."""
-    at_start, keep = True, False
-    for piece in iter(lambda: pipe.readline(PIECE), ""):
-        if at_start:
-            keep = piece.startswith(TOLD)
-        if keep:
-            kept.append(piece)
-        at_start = piece.endswith("\n")
+class _Told:
+    """The lines that begin with a word of :data:`TOLD`; a line without end takes no memory unless it is kept."""
 
+    def __init__(self):
+        self.kept, self._head, self._keep = bytearray(), bytearray(), None
 
-def _last_lines(pipe, last) -> None:
-    """Leaves the last lines of ``pipe`` in the bounded ``last``, blank ones at the end aside."""
-    for piece in iter(lambda: pipe.readline(PIECE), ""):
-        if piece.strip():
-            last.append(piece)
+    def feed(self, data: bytes) -> None:
+        for k, part in enumerate(data.split(b"\n")):
+            if k:
+                self._end(b"\n")
+            if self._keep is None:
+                self._head += part[:PIECE]
+                if len(self._head) >= 8:
+                    self._keep = self._head.startswith(TOLD)
+                    if self._keep:
+                        self.kept += self._head + part[PIECE:]
+                    self._head.clear()
+            elif self._keep:
+                self.kept += part
 
+    def _end(self, mark: bytes) -> None:
+        if self._keep or (self._keep is None and self._head.startswith(TOLD)):
+            self.kept += self._head + mark
+        self._head.clear()
+        self._keep = None
 
-def run_program(script: str, timeout_s: float) -> tuple:
+    def text(self) -> str:
+        self._end(b"")
+        return self.kept.decode("utf-8", "replace")
+
+
+class _Last:
+    """The last three lines, blank ones aside, each cut at :data:`PIECE` bytes."""
+
+    def __init__(self):
+        from collections import deque
+        self._lines, self._line = deque(maxlen=3), bytearray()
+
+    def feed(self, data: bytes) -> None:
+        for k, part in enumerate(data.split(b"\n")):
+            if k:
+                self._end(b"\n")
+            self._line += part[:PIECE - len(self._line)]
+
+    def _end(self, mark: bytes) -> None:
+        if self._line.strip():
+            self._lines.append(bytes(self._line) + mark)
+        self._line.clear()
+
+    def text(self) -> str:
+        self._end(b"")
+        return b"".join(self._lines).decode("utf-8", "replace")
+
+
+def _bound(pid: int, timeout_s: float, memory_mb: int) -> None:
+    """Limits for a program that hasn't got its script yet, and for all that it starts; it can't raise them."""
+    import math
+    import resource
+    for kind, most in ((resource.RLIMIT_AS, memory_mb << 20), (resource.RLIMIT_FSIZE, FILE_MB << 20), (resource.RLIMIT_CORE, 0), (resource.RLIMIT_CPU, math.ceil(timeout_s) + 1)):
+        resource.prlimit(pid, kind, (most, most))
+
+
+def run_program(script: str, timeout_s: float, memory_mb: int = MEMORY_MB) -> tuple:
     """(rc, stdout lines that count, last stderr lines, timed out) of a program in a child interpreter
-    with an empty environment."""
+    with an empty environment, a process group of its own and bounded resources.
+
+    It is over when it and all that hold its output have ended, or at its limit; then the whole group is killed, and no pipe is waited for."""
+    import os
+    import selectors
+    import signal
     import subprocess
     import sys
-    from collections import deque
-    from threading import Thread
-
-    told, last = [], deque(maxlen=3)
-    child = subprocess.Popen([sys.executable, "-I", "-"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE,
-                             text=True, encoding="utf-8", errors="replace", env={})
-    readers = [Thread(target=_kept_lines, args=(child.stdout, told)), Thread(target=_last_lines, args=(child.stderr, last))]
-    for reader in readers:
-        reader.start()
-    timed_out = False
+    import time
+
+    child = subprocess.Popen([sys.executable, "-I", "-"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, env={}, start_new_session=True, bufsize=0)
+    deadline, told, last, left = time.monotonic() + timeout_s, _Told(), _Last(), memoryview(script.encode("utf-8", "surrogatepass"))
+    open_pipes, too_much = {child.stdout: told, child.stderr: last}, False
     try:
-        try:
-            child.stdin.write(script)
-            child.stdin.close()
-        except BrokenPipeError:
-            pass  # it ended before it had read all
-        child.wait(timeout_s)
-    except subprocess.TimeoutExpired:
-        timed_out = True
+        _bound(child.pid, timeout_s, memory_mb)
+        with selectors.DefaultSelector() as ready:
+            for pipe, kind in ((child.stdin, selectors.EVENT_WRITE), (child.stdout, selectors.EVENT_READ), (child.stderr, selectors.EVENT_READ)):
+                os.set_blocking(pipe.fileno(), False)
+                ready.register(pipe, kind)
+            while open_pipes and not too_much and (wait := deadline - time.monotonic()) > 0:
+                for key, _ in ready.select(wait):
+                    pipe = key.fileobj
+                    if pipe is child.stdin:
+                        try:
+                            left = left[os.write(pipe.fileno(), left[:PIECE]):] if left else left
+                        except BrokenPipeError:
+                            left = left[:0]  # it ended before it had read all
+                        if not left:
+                            ready.unregister(pipe)
+                            pipe.close()
+                    elif data := os.read(pipe.fileno(), PIECE):
+                        open_pipes[pipe].feed(data)
+                        too_much = len(told.kept) > TOLD_MB << 20
+                    else:
+                        ready.unregister(pipe)
+                        del open_pipes[pipe]
+        if not open_pipes:
+            try:
+                child.wait(max(0.0, deadline - time.monotonic()))
+            except subprocess.TimeoutExpired:
+                pass
+        done = not open_pipes and child.returncode is not None
     finally:
-        child.kill()
+        try:
+            os.killpg(child.pid, signal.SIGKILL)
+        except ProcessLookupError:
+            pass
         child.wait()
-        for reader in readers:
-            reader.join()
-        child.stdout.close()
-        child.stderr.close()
-    return (None, "", "", True) if timed_out else (child.returncode, "".join(told), "".join(last), False)
+        for pipe in (child.stdin, child.stdout, child.stderr):
+            if not pipe.closed:
+                try:
+                    pipe.close()
+                except BrokenPipeError:
+                    pass
+    if too_much:
+        return (1, "", f"OutputLimit: more than {TOLD_MB} MB of results", False)
+    return (child.returncode, told.text(), last.text(), False) if done else (None, "", "", True)
 
 
 def _runner(script_col: str, timeout_s: float, per_task: int):
@@ -118,6 +190,30 @@ def run_scripts(df: DataFrame, keys: Sequence[str], script_col: str = "script",
     return narrow.mapInPandas(_runner(script_col, timeout_s, per_task), schema)
 
 
+def register_run_scripts(spark: SparkSession, name: str = "run_scripts", timeout_s: float = 5) -> None:
+    """U5 as a table function for SQL: ``SELECT * FROM run_scripts(TABLE(programs) PARTITION BY bucket)``.
+
+    The table's columns come back, but for ``script``, with rc, stdout, stderr and timed_out behind them; a null script isn't run."""
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+
+    class RunScripts:
+        @staticmethod
+        def analyze(programs: AnalyzeArgument) -> AnalyzeResult:
+            if not programs.isTable or "script" not in programs.dataType.fieldNames():
+                raise ValueError("run_scripts takes a table with a column script")
+            return AnalyzeResult(T.StructType([f for f in programs.dataType.fields if f.name != "script"] + RUN_FIELDS))
+
+        def eval(self, row):
+            script = row["script"]
+            try:
+                ran = (None, None, None, False) if script is None else run_program(script, timeout_s)
+            except Exception as e:  # noqa: BLE001 - reported as the run's stderr
+                ran = (1, "", f"{type(e).__name__}: {e}", False)
+            yield (*[row[c] for c in row.__fields__ if c != "script"], *ran)
+
+    spark.udtf.register(name, udtf(RunScripts))
+
+
 def grade_code(df: DataFrame, keys: Sequence[str], code_col: str = "code", tests_col: str = "tests",
                timeout_s: float = 5, partitions: int | None = None) -> DataFrame:
     """X9 + X10: run rows that have code and tests, then grade every row.

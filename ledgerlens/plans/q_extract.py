@@ -180,6 +180,20 @@ def x9_run_tests(spark, sf_dir):
     return grade_code(code, ["doc_id"], "code", "tests", timeout_s=5)
 
 
+@query("u5_table_function", oracle=X9_SQL)
+def u5_table_function(spark, sf_dir):
+    """The same programs run from SQL by the table function, graded by the same columns."""
+    from ..operators.code_exec import register_run_scripts
+    r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response"))
+    code, n = F.col("code"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = r.select("doc_id", F.col("c.answer").alias("code"), "tests").withColumn("script", F.when((F.length(code) > 0) & (F.size("tests") > 0), X.test_script("code", "tests")))
+    register_run_scripts(spark)
+    ran = spark.sql("SELECT * FROM run_scripts(TABLE({programs}) PARTITION BY bucket)", programs=r.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4 * n))))
+    outcome = X.run_outcome("tests", "rc", "stdout", "stderr", F.coalesce(F.col("timed_out"), F.lit(False)), "5")
+    g = ran.withColumn("g", X.code_grade("code", "tests", outcome))
+    return g.select("doc_id", "g.all_passed", "g.tests_passed", "g.tests_total", "g.execution_error")
+
+
 @query("w4_first_last", oracle=_R + """
 SELECT doc_id, array_to_string(tests[1:3], '|') AS first_tests,
        array_to_string(tests[greatest(len(tests) - 2, 1):], '|') AS last_tests,
