@@ -2,22 +2,25 @@
 
 Layout on shared storage (every path is a folder, written by Spark tasks):
 
-* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``arrival`` and ``run_id``;
-* ``<ledger>/header`` — one identity row per run (hash + components);
+* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``run_id`` and ``arrival``;
+* ``<ledger>/header`` — one identity row per run (hash + components), in folders that a log of numbered
+  entries names; an entry is made only if its number is free, so headers are added one opener after the other;
 * JSON-lines ledgers written by other tools are read with :func:`read_ledger_json`:
   a header line carries a truthy flag key and is split off; corrupt lines are dropped
   (PERMISSIVE + ``_corrupt_record``); lines split on ``\\n`` only.
 """
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, non_empty
 from ..operators import runs as RU
+from . import files
 from .lines import numbered_lines
 
 # The run a file's lines belong to, in files and folders named <run>.jsonl.
@@ -87,44 +90,93 @@ def append_rows(ledger: DataFrame, path: str, arrival: str | None = None) -> Non
     An arrival that is written again (a repeated micro-batch) replaces itself, so rows are
     added once; arrivals of batches and of streams lie side by side."""
     (ledger.withColumn("arrival", F.lit(arrival or f"append-{uuid.uuid4().hex}")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("arrival", "run_id").parquet(f"{path.rstrip('/')}/rows"))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "arrival").parquet(f"{path.rstrip('/')}/rows"))
+
+
+def read_by_run(spark: SparkSession, path: str, *partitions: str, form: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """A folder partitioned by text columns, which stay text: left to itself Spark types folder names, and ``01``, ``1`` and ``1.0`` become one run.
+
+    Without ``schema``, the columns within the files are those of the files."""
+    within = schema or spark.read.format(form).option("recursiveFileLookup", True).load(path).schema
+    named = T.StructType([*[f for f in within.fields if f.name not in partitions], *[T.StructField(p, T.StringType()) for p in partitions]])
+    return spark.read.schema(named).format(form).load(path)
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/rows").drop("arrival")
+    return read_by_run(spark, f"{path.rstrip('/')}/rows", "run_id", "arrival").drop("arrival")
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """None only where nothing is stored under ``path``; any other error is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+HEADER = "run_id string, identity_hash string, identity map<string,string>"
+
+
+def _headers(spark: SparkSession, path: str) -> tuple[DataFrame | None, int, list[str]]:
+    """The stored headers, the number of the last log entry and the folders that it names."""
+    base = f"{path.rstrip('/')}/header"
+    log = files.names(spark, f"{base}/log")
+    log = [n for n in log if n.endswith(".json")]
+    folders = json.loads(files.read_text(spark, f"{base}/log/{log[-1]}"))["folders"] if log else []
+    paths = [f"{base}/{f}" for f in folders]
+    paths += [f"{base}/{n}" for n in files.names(spark, base) if n.endswith(".parquet")]  # headers from before there was a log
+    return (spark.read.schema(HEADER).parquet(*paths) if paths else None), int(log[-1].removesuffix(".json")) if log else 0, folders
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """H7: the headers of a ledger's runs."""
+    stored = _headers(spark, path)[0]
+    return stored if stored is not None else spark.createDataFrame([], HEADER)
+
+
+def open_report(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+    """S6 + J5: what opening the ledger means for each run: ``created`` (no header, no rows yet), ``resumed``, ``refused`` (another configuration: ``changes``
+    names the components with both sides) or ``bare`` (rows without a header)."""
+    return _report(spark, path, RU.with_identity(runs).select("run_id", "identity_hash", "identity"), read_headers(spark, path))
+
+
+def _report(spark: SparkSession, path: str, current: DataFrame, stored: DataFrame) -> DataFrame:
+    checked = RU.identity_check(stored, current)
+    known = checked.select("run_id", F.when(F.col("resumable"), "resumed").otherwise("refused").alias("outcome"), "changed", "changes")
+    new = current.select("run_id").join(stored.select("run_id"), "run_id", "left_anti").withColumn("outcome", F.lit("created"))
+    if files.names(spark, f"{path.rstrip('/')}/rows", folders=True):
+        bare = read_rows(spark, path).select(F.col("run_id").alias("_bare")).distinct()
+        new = new.join(bare, F.col("run_id") == F.col("_bare"), "left").withColumn("outcome", F.when(F.col("_bare").isNull(), F.col("outcome")).otherwise("bare")).drop("_bare")
+    return known.unionByName(new, allowMissingColumns=True)
 
 
 def open_ledger(spark: SparkSession, path: str, runs: DataFrame) -> None:
     """S6 + J5: create headers for new runs; refuse runs whose stored identity differs, and runs that
-    have rows but no header.
+    have rows but no header.  All runs are opened, or none.
 
+    New headers are written to a folder of their own and count once a log entry names it.  Where another opener has made that entry in the meantime, the
+    check is made again on what it stored, so of two openers with different configurations of a run one is refused.
     Only the report on the refused runs reaches the driver, to raise with all of them, the
     components that changed and both sides."""
-    hdr_path = f"{path.rstrip('/')}/header"
-    current = RU.with_identity(runs).select("run_id", "identity_hash", "identity")
-    stored, rows = _read_if_there(spark, hdr_path), _read_if_there(spark, f"{path.rstrip('/')}/rows")
-    said = []
-    if stored is not None:
-        for r in RU.identity_check(stored, current).filter(~F.col("resumable")).orderBy("run_id").collect():
-            sides = "; ".join(f"{c.component}: stored {c.stored}, current {c.current}" for c in r.changes)
-            said.append(f"ledger run '{r.run_id}' belongs to a different configuration ({sides})")
-    new = current if stored is None else current.join(stored.select("run_id"), "run_id", "left_anti")
-    if rows is not None:
-        bare = new.join(rows.select("run_id").distinct(), "run_id", "left_semi").select("run_id").orderBy("run_id").collect()
-        said += [f"ledger run '{r.run_id}' has rows but no header" for r in bare]
-    if said:
-        raise ValueError("\n".join(said))
-    new.write.mode("append").parquet(hdr_path)
+    base = f"{path.rstrip('/')}/header"
+    asked = f"{base}/asked-{uuid.uuid4().hex}"  # identities are worked out once
+    try:
+        RU.with_identity(runs).select("run_id", "identity_hash", "identity").write.parquet(asked)
+        _open(spark, path, base, spark.read.schema(HEADER).parquet(asked))
+    finally:
+        files.remove(spark, asked)
+
+
+def _open(spark: SparkSession, path: str, base: str, current: DataFrame) -> None:
+    while True:
+        stored, last, folders = _headers(spark, path)
+        report = _report(spark, path, current, stored if stored is not None else spark.createDataFrame([], HEADER))
+        said = []
+        for r in report.where(F.col("outcome").isin("refused", "bare")).orderBy("run_id").collect():
+            sides = "; ".join(f"{c.component}: stored {c.stored}, current {c.current}" for c in r.changes or [])
+            said.append(f"ledger run '{r.run_id}' has rows but no header" if r.outcome == "bare" else f"ledger run '{r.run_id}' belongs to a different configuration ({sides})")
+        if said:
+            raise ValueError("\n".join(said))
+        created = report.where("outcome = 'created'").select("run_id")
+        if created.isEmpty():
+            return
+        folder = f"data-{uuid.uuid4().hex}"
+        current.join(created, "run_id", "left_semi").write.parquet(f"{base}/{folder}")
+        if files.create(spark, f"{base}/log/{last + 1:012d}.json", json.dumps({"folders": [*folders, folder]})):
+            return
+        files.remove(spark, f"{base}/{folder}")
 
 
 def write_results(latest: DataFrame, summaries: DataFrame, runs: DataFrame, path: str) -> None:
@@ -155,8 +207,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Results joined to their run's document fields; a document without a provider
     fails the read (identity fields are required)."""
     base = path.rstrip("/")
-    results = spark.read.parquet(f"{base}/results")
-    docs = spark.read.text(f"{base}/documents").select(
+    results = read_by_run(spark, f"{base}/results", "run_id")
+    docs = read_by_run(spark, f"{base}/documents", "run_id", form="text").select(
         "run_id", F.from_json("value", "config STRUCT<provider: STRING, model: STRING>, "
                                         "summary STRUCT<accuracy: DOUBLE, efficiency_score: DOUBLE>").alias("d"))
     docs = docs.select("run_id", F.assert_true(non_empty("d.config.provider"),

@@ -1,5 +1,6 @@
 """Sources and sinks: ledger open/identity refusal (S6), fail-fast problem scans."""
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.sources import ledger_io as LIO
 from ledgerlens.sources.problems import read_problems
@@ -11,7 +12,7 @@ def test_open_ledger_refuses_changed_identity(spark, tmp_path):
     path = str(tmp_path / "ledger")
     LIO.open_ledger(spark, path, _run(spark))          # creates the header
     LIO.open_ledger(spark, path, _run(spark, concurrency=99))  # same identity: resumable
-    assert spark.read.parquet(f"{path}/header").count() == 1
+    assert LIO.read_headers(spark, path).count() == 1
     with pytest.raises(ValueError, match="generation"):
         LIO.open_ledger(spark, path, _run(spark, temperature=0.7))
 
@@ -50,7 +51,7 @@ def test_open_ledger_refuses_rows_without_header_and_raises_other_errors(spark,
     (broken / "header" / "part-0.parquet").write_bytes(b"not parquet")
     with pytest.raises(Exception) as e:
         LIO.open_ledger(spark, str(broken), run)
-    assert not (broken / "header" / "_SUCCESS").exists() and "PATH_NOT_FOUND" not in str(e.value)
+    assert not (broken / "header" / "log").exists() and "PATH_NOT_FOUND" not in str(e.value)
 
 
 def test_appends_side_by_side_and_repeated_arrivals(spark, tmp_path):
@@ -111,3 +112,32 @@ def test_result_documents_of_the_reference(spark, tmp_path):
                 read(f"lack{i}{len(results)}.json", doc | {"results": results} | lack).count()
     with pytest.raises(Exception):
         read("broken.json", '{"config": ').collect()
+
+
+def test_run_ids_are_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(r, i) for i, r in enumerate(("01", "1", "1.0", "007", "7", "2024-01-01", "a/b c", "1"))], "run_id string, seq long")
+    LIO.append_rows(rows, str(tmp_path))
+    got = LIO.read_rows(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("run_id", "seq").collect())) == sorted(map(tuple, rows.collect()))
+    one = got.where("run_id = '1'")
+    assert one.count() == 2 and "run_id" in str(one._jdf.queryExecution().executedPlan()).split("PartitionFilters")[1][:80]
+
+
+def test_two_openers_with_different_configurations(spark, tmp_path, monkeypatch):
+    from ledgerlens.sources import files
+    path, first = str(tmp_path), _run(spark)
+    other = first.withColumn("model", F.lit("other"))
+    create, tried = files.create, []
+
+    def late(spark, name, text):  # just before the first opener's entry, a second one opens with another configuration
+        if not tried:
+            tried.append(name)
+            LIO.open_ledger(spark, path, other)
+        return create(spark, name, text)
+
+    monkeypatch.setattr(files, "create", late)
+    with pytest.raises(ValueError, match="different configuration"):
+        LIO.open_ledger(spark, path, first)
+    assert [r["run_id"] for r in LIO.read_headers(spark, path).collect()] == ["r"]
+    LIO.open_ledger(spark, path, other)  # resumed: nothing is added
+    assert len([n for n in (tmp_path / "header" / "log").iterdir()]) == 1 and len(list((tmp_path / "header").glob("data-*"))) == 1
