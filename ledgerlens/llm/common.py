@@ -84,6 +84,16 @@ def worker_cache(owner: str) -> dict:
     return _CACHES.setdefault(owner, {})
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system.  Workers wait for further tasks, and several may wait beside those at work."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     cond = F.lit(True)
     for k, name in enumerate(names):

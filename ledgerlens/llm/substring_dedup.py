@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches
+from .common import cut, release, short_batches, worker_cache
 from .words import words_of
 
-WINDOW, FLUSH, PER_BUCKET, LEAST_BITS = 13, 2_000_000, 2_000_000, 6
+WINDOW, FLUSH, PER_BUCKET, LEAST_BITS = 13, 1_000_000, 2_000_000, 6
 LAST_ID = 2**63 - 1
 ROWS = "bucket int, docs binary, counts binary, hashes binary"
 ANSWERS = "id long, hashes binary"
@@ -47,24 +47,33 @@ def _per_doc(ids: np.ndarray, hashes: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 def _flush(hashes: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(hashes)
-    sorted_hashes, sorted_ids = hashes[order], ids[order]
+    sorted_ids, sorted_hashes = ids[order], hashes[order]
     starts = np.flatnonzero(np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1])))
-    each = np.diff(np.append(starts, len(order)))
-    least = np.repeat(np.minimum.reduceat(sorted_ids, starts), each)
-    mine = np.flatnonzero(sorted_ids == least)
+    del sorted_hashes
+    group = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(order))))
+    above = sorted_ids > np.minimum.reduceat(sorted_ids, starts)[group]
+    mine = np.flatnonzero(~above)
     one = np.empty(len(starts), np.int64)
-    one[np.repeat(np.arange(len(starts)), each)[mine]] = order[mine]  # of a hash, one window of the smallest id
+    one[group[mine]] = order[mine]  # of a hash, one window of the smallest id
     once, later = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
     once[one] = True
-    later[order] = sorted_ids > least
+    later[order] = above
+    del order, sorted_ids, group, above, mine, one
     schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
     keep = np.flatnonzero(once)
     bucket = (hashes[keep] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     turn = np.argsort(bucket, kind="stable")
     keep, bucket = keep[turn], bucket[turn]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keep) else np.zeros(1, np.int64)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
     rows: list[tuple] = []
     for a, b in zip(edges[:-1], edges[1:]):
+        if len(rows) == 512:
+            yield batch(rows)
+            rows = []
         own = ids[keep[a:b]]
         heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         counts = np.diff(np.append(heads, b - a)).astype(np.uint32)
@@ -75,13 +84,17 @@ def _flush(hashes: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[pa.Record
         where = where[np.argsort(ids[where], kind="stable")]
         known, answers = _per_doc(ids[where], hashes[where])
         for doc, answer in zip(known.to_pylist(), answers.to_pylist()):
+            if len(rows) == 512:
+                yield batch(rows)
+                rows = []
             rows.append((-1 - int(doc % (1 << bits)), np.int64(doc).tobytes(), b"", answer))
-    for i in range(0, len(rows), 512):
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i:i + 512]), schema)], schema=schema)
+    if rows:
+        yield batch(rows)
 
 
 def _spread(bits: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substring_dedup")
         held, ids, n = [], [], 0
         for piece in cut(batches, "text"):
             hashes, first = words_of(piece.column("text")).windows(window)
@@ -89,10 +102,16 @@ def _spread(bits: int, window: int):
             ids.append(np.repeat(_ids(piece.column("id")), np.diff(first)))
             n += len(hashes)
             if n >= FLUSH:
-                yield from _flush(np.concatenate(held), np.concatenate(ids), bits)
+                both = np.concatenate(held), np.concatenate(ids)
                 held, ids, n = [], [], 0
+                yield from _flush(*both, bits)
+                del both
         if n:
-            yield from _flush(np.concatenate(held), np.concatenate(ids), bits)
+            both = np.concatenate(held), np.concatenate(ids)
+            del held, ids
+            yield from _flush(*both, bits)
+            del both
+        release()
     return run
 
 
@@ -111,13 +130,19 @@ def _answers(bits: int):
             wide[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
             hashes.append(wide.reshape(-1).view(np.uint64))
         all_ids, all_hashes = np.concatenate(ids), np.concatenate(hashes)
+        del ids, hashes, docs, counts, blobs
         order = np.argsort(all_hashes)
         all_ids, all_hashes = all_ids[order], all_hashes[order]
+        del order
         starts = np.flatnonzero(np.concatenate(([True], all_hashes[1:] != all_hashes[:-1])))
         least = np.repeat(np.minimum.reduceat(all_ids, starts), np.diff(np.append(starts, len(all_ids))))
         goes = np.flatnonzero(all_ids > least)
-        goes = goes[np.argsort(all_ids[goes], kind="stable")]
-        known, answers = _per_doc(all_ids[goes], all_hashes[goes])
+        all_ids, all_hashes = all_ids[goes], all_hashes[goes]
+        del starts, least, goes
+        turn = np.argsort(all_ids, kind="stable")
+        known, answers = _per_doc(all_ids[turn], all_hashes[turn])
+        del all_ids, all_hashes, turn
+        release()
         return pa.table({"id": known, "hashes": answers})
     return run
 
@@ -128,6 +153,7 @@ def _strip(window: int):
     low = np.uint64((1 << 56) - 1)  # the part that answers carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substring_dedup")
         for piece in cut(batches, "text"):
             texts, found = piece.column("text").to_pylist(), piece.column("answers").to_pylist()
             some = [i for i, x in enumerate(found) if x]
@@ -152,6 +178,7 @@ def _strip(window: int):
                     kept = list(compress(words, ~gone))
                 rows.append((doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        release()
     return run
 
 
