@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, short_batches
 from .words import words_of
 
-ORDER, ALPHA, LEAST, BATCH, PER_BUCKET, LEAST_BITS = 2, 0.4, 2, 8 << 20, 2_000_000, 5
+ORDER, ALPHA, LEAST, BATCH, PER_BUCKET, LEAST_BITS = 3, 0.4, 2, 8 << 20, 2_000_000, 5
 ENTRIES = pa.schema([("n", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 ENTRIES_DDL = "n int, bucket int, batch long, hashes binary, counts binary"
 ANSWERS = pa.schema([("batch", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("large", pa.binary())])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import alignment, best_fit, centroids, compression_quality, exact_dedup, lm_score, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 from .common import by_name
-from .sql import LONGER_ORACLES, ORACLES
+from .sql import FURTHER_ORACLES, ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_scores(lm_score.score(by_name(spark, sf_dir, "documents")))
 
 
-def op9_lm_score_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_scores(lm_score.score(by_name(spark, sf_dir, "documents"), order=3))
+def op9_lm_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_scores(lm_score.score(by_name(spark, sf_dir, "documents"), order=2))
 
 
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +81,6 @@ QUERIES = {f.__name__: f for f in (
     op10_exact_dedup, op11_centroids, op12_tokenizer_alignment, op13_best_fit)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
-#: Operators again, in full length where the SQL of the query above fixes a shorter one.
-LONGER = {"op9_lm_score_triples": op9_lm_score_triples}
+#: Operators again, with other parameters.
+FURTHER = {"op9_lm_score_pairs": op9_lm_score_pairs}
+ALL_QUERIES, ALL_ORACLES = QUERIES | FURTHER, ORACLES | FURTHER_ORACLES

@@ -56,7 +56,7 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, C
   CASE WHEN page_id < top THEN top END AS refers_to FROM m
 """
 
-OP9 = rf"""
+OP9_PAIRS = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
 b AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM t),
@@ -68,8 +68,8 @@ a AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score FROM d LEFT JOIN a USING (doc_id)
 """
 
-#: As OP9, with three words in a row where they stand there twice or more.
-OP9_TRIPLES = rf"""
+#: As OP9_PAIRS, with three words in a row where they stand there twice or more.
+OP9 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
 b AS (SELECT doc_id, i, word, lag(word) OVER v AS prev, lag(word, 2) OVER v AS prev2 FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
@@ -107,5 +107,5 @@ OP11 = _op11()
 
 ORACLES = {"op11_centroids": OP11, "op5_warc": OP5, "op9_lm_score": OP9, "op6_near_dedup": OP6, "op7_substring_dedup": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
 
-#: Of the queries in ``queries.LONGER``.
-LONGER_ORACLES = {"op9_lm_score_triples": OP9_TRIPLES}
+#: Of the queries in ``queries.FURTHER``.
+FURTHER_ORACLES = {"op9_lm_score_pairs": OP9_PAIRS}
