@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we read it from the session.  Only when
-    it is unset (local tests) do we pick a fresh scratch folder of our own.
+    it is unset (local tests) do we pick a fresh scratch folder of our own; on a cluster that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -62,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)
