@@ -36,7 +36,13 @@ def is_json(text) -> Column:
 
 def string_of(token: Column) -> Column:
     """The text that a JSON string token stands for."""
-    return F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    parsed = F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    return F.when(token.contains("\\"), parsed).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
+def same_string(token: Column) -> Column:
+    """A JSON string token in the form that ``token_of`` gives; without a backslash it has that form."""
+    return F.when(token.contains("\\"), token_of(string_of(token))).otherwise(token)
 
 
 def token_of(text: Column) -> Column:
@@ -49,7 +55,7 @@ def scalar(token: Column) -> Column:
     """One form for each scalar: strings with the same escapes, whole numbers as they are, others as doubles."""
     number = token.rlike(r"^-?\d")
     whole = token.rlike(r"^-?\d+$")
-    return F.when(token.startswith('"'), token_of(string_of(token))).when(number & ~whole, token.try_cast("double").cast("string")).otherwise(token)
+    return F.when(token.startswith('"'), same_string(token)).when(number & ~whole, token.try_cast("double").cast("string")).otherwise(token)
 
 
 def json_rows(text) -> Column:
@@ -69,7 +75,7 @@ def json_rows(text) -> Column:
         now = (F.when(opens, F.concat(path, F.array(F.when(t == "[", F.lit("0")).otherwise(F.lit("")))))
                .when(closes, outer)
                .when(t == ",", F.when(kind == "[", with_last(path, (F.try_element_at(path, F.lit(-1)).try_cast("int") + 1).cast("string"))).otherwise(path))
-               .when(name, with_last(path, token_of(string_of(F.regexp_replace(t, r"\s*:$", "")))))
+               .when(name, with_last(path, same_string(F.regexp_replace(t, r"\s*:$", ""))))
                .otherwise(path))
         kept = F.when(opens, F.concat(kinds, t)).when(closes, F.substring(kinds, F.lit(1), F.length(kinds) - 1)).otherwise(kinds)
         row = (F.when(closes & state["fresh"], F.array(F.struct(outer.alias("path"), F.concat(kind, t).alias("leaf"))))
