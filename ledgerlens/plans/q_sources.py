@@ -170,7 +170,7 @@ def s8_result_documents(spark, sf_dir):
     results = latest.groupBy("run_id").agg(F.collect_list(F.struct(F.col("problem_key").alias("problem_id"), "correct", tokens, "latency")).alias("results"))
     config = runs(spark, sf_dir).select("run_id", F.struct("dataset_path", "provider", "model", "evaluator_type", F.lit("high").alias("reasoning_effort"),
                                                            F.lit(True).alias("enable_thinking")).alias("config"))
-    summary = _summary(a).select("run_id", F.struct("total_problems", "correct_count", "accuracy", "total_tokens", "error_count", F.col("efficiency_score").alias("ock_score")).alias("summary"))
+    summary = _summary(a).select("run_id", F.struct("total_problems", "correct_count", "accuracy", "total_tokens", "error_count").alias("summary"))
     docs = results.join(config, "run_id").join(summary, "run_id").withColumn("dataset_name", F.lit("d")).withColumn("schema_version", F.lit("1"))
     (docs.select(F.concat("run_id", F.lit(".json")).alias("file"), F.to_json(F.struct("schema_version", "config", "results", "summary", "dataset_name")).alias("value"))
      .write.partitionBy("file").text(path))
