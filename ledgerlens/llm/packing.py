@@ -1,13 +1,15 @@
 """Packing tokens into sequences by deficit round-robin over source queues.
 
-Each source has a target share of the tokens (its share of all tokens unless weights are given).  Documents are dealt evenly and
-tokenised where they land; a task cuts them into lanes of about ``LANE`` tokens and notes what each source had before the lane.
-Within a lane each source is a queue.  A window of ``LENGTH`` tokens credits every source with its share of
-the window - the given weight, or else what the lane still holds of it, so that the queues end together; sources are served in turn as far
+Each source has a target share of the tokens: its share of all tokens, or a given weight.  All documents of a source, cut anywhere, are one queue
+over the whole table.  Documents are tokenised where they land, and a task notes what each source had before; with the token counts of
+(partition, source), which are all that is exchanged first, each token knows its place in its source's queue.  The queues are dealt to lanes of
+``LANE`` tokens, to each as much of every source as its target says, so that every lane has the mixture of all however long a document or
+common a source is.  What a lane can't be given in whole tokens is the deficit that it starts with.
+
+Within a lane a window of ``LENGTH`` tokens credits every source with its share of the window; sources are served in turn as far
 as their credit goes, and what they couldn't use - or took in advance, when a window had room - stays as their deficit for the next one.
-Credit below ``BURST`` tokens waits, so that small sources come in usable pieces.  The deficits that all lanes before one left are paid by
-its windows in equal parts.  They follow from the token counts: a source's share of all tokens before the lane, less the source's
-own.  So the counts of (partition, source) are all that is exchanged between partitions.
+Credit below ``BURST`` tokens waits, so that small sources come in usable pieces.  With weights, a source that is used up leaves its share to the others,
+and sources without weight follow when all others are used up, each by its size.
 
 A lane's last tokens fill sequences of powers of two, which need no padding; all others are full.
 
@@ -21,7 +23,9 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, short_batches, stage, worker_cache
 
-LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 256, 450_000
+LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 32, 450_000
 TOKENIZER = "word_bpe_49k.json"
-LANES = pa.schema([("part", pa.int64()), ("lane", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())),
-                   ("before", pa.list_(pa.struct([("source", pa.string()), ("tokens", pa.int64())]))), ("width", pa.int32()), ("ids", pa.binary())])
-LANES_DDL = ("part long, lane long, doc_ids array<long>, sources array<string>, lengths array<long>, before array<struct<source:string,tokens:long>>, width int, ids binary")
+CHUNKS = pa.schema([("part", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())),
+                    ("before", pa.list_(pa.struct([("source", pa.string()), ("tokens", pa.int64())]))), ("width", pa.int32()), ("ids", pa.binary())])
+CHUNKS_DDL = "part long, doc_ids array<long>, sources array<string>, lengths array<long>, before array<struct<source:string,tokens:long>>, width int, ids binary"
+DEALT = pa.schema([("lane", pa.int64()), ("source", pa.string()), ("place", pa.int64()), ("owed", pa.float64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
+                   ("lengths", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary())])
+DEALT_DDL = ("lane long, source string, place long, owed double, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, width int, ids binary")
 PIECES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -137,20 +144,20 @@ def _tokenizer(path: str) -> WordTokenizer:
     return kept[path]
 
 
-def _lanes(path: str, end: int, most: int):
+def _chunks(path: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         width, last = tokenizer.kind.itemsize, np.array([end], tokenizer.kind).tobytes()
-        part, lane, before = TaskContext.get().partitionId(), 0, {}
+        part, before = TaskContext.get().partitionId(), {}
         docs: list[tuple] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
-            row = [[part], [lane], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) // width for d in docs]],
+            row = [[part], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) // width for d in docs]],
                    [[{"source": s, "tokens": n} for s, n in before.items()]], [width], [b"".join([d[2] for d in docs])]]
             for _, source, ids in docs:
                 before[source] = before.get(source, 0) + len(ids) // width
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, LANES)], schema=LANES)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, CHUNKS)], schema=CHUNKS)
 
         for piece in cut(batches, "text", 4 << 20):
             ids, first = tokenizer(piece.column("text"))
@@ -159,32 +166,101 @@ def _lanes(path: str, end: int, most: int):
                 size += b - a + 1
                 if size >= most:
                     yield emit()
-                    docs, size, lane = [], 0, lane + 1
+                    docs, size = [], 0
         if docs:
             yield emit()
     return run
 
 
-def lanes(docs: DataFrame, path: str, end: int = END, most: int = LANE) -> DataFrame:
+def chunks(docs: DataFrame, path: str, end: int = END, most: int = LANE) -> DataFrame:
+    """Tokenised documents, about ``most`` tokens a row, with the tokens that each source had before in the partition."""
     narrow = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return narrow.repartition(F.xxhash64("doc_id", "text")).mapInArrow(_lanes(path, end, most), LANES_DDL)
+    return narrow.repartition(F.xxhash64("doc_id", "text")).mapInArrow(_chunks(path, end, most), CHUNKS_DDL)
 
 
-def _starts(staged: DataFrame, weights: dict | None) -> DataFrame:
-    """part, tokens before it, and of each of its sources the share and the tokens before the part."""
+def _starts(staged: DataFrame) -> DataFrame:
+    """part, and of each of its sources the tokens before the part (ahead) and of all parts (size)."""
     each = staged.select("part", F.explode(F.arrays_zip(F.col("sources"), F.col("lengths"))).alias("d")).groupBy("part", F.col("d.sources").alias("source")).agg(F.sum("d.lengths").alias("tokens"))
-    each = stage(each, "part-source")
-    whole = each.groupBy("source").agg(F.sum("tokens").alias("all"))
-    if weights is None:
-        weight = F.col("all").cast("double")
-    else:
-        weight = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))) for s, w in weights.items()], F.lit(0.0))
-    whole = whole.select(F.col("source").alias("s"), (weight / F.sum(weight).over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row for each source
     up = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = each.groupBy("part").agg(F.sum("tokens").alias("tokens")).withColumn("total", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = each.withColumn("ahead", F.coalesce(F.sum("tokens").over(up), F.lit(0)))
-    own = own.join(whole, F.col("source").eqNullSafe(F.col("s")))
-    return (own.groupBy("part").agg(F.collect_list(F.struct("source", "share", "ahead")).alias("queues")).join(parts.select("part", "total"), "part"))
+    whole = each.groupBy(F.col("source").alias("s")).agg(F.sum("tokens").alias("size"))
+    own = each.withColumn("ahead", F.coalesce(F.sum("tokens").over(up), F.lit(0))).join(whole, F.col("source").eqNullSafe(F.col("s")))
+    return own.select("part", "source", "ahead", "tokens", "size")
+
+
+class Course:
+    """How far each source's queue has been dealt when x tokens of all sources have been.
+
+    ``named`` has the weight and size of the sources with a weight: they are dealt by weight until they are used up, which the
+    ``times`` tell (tokens per weight).  The others follow, each by its size; they are all where no weights are given."""
+
+    def __init__(self, total: int, named: dict | None = None):
+        self.total, self.named = total, {s: (Fraction(w), n) for s, (w, n) in (named or {}).items() if w > 0 and n}
+        self.times = [Fraction(0), *sorted({n / w for w, n in self.named.values()})]
+        self.dealt = [sum(min(n, int(w * t)) for w, n in self.named.values()) for t in self.times]
+
+    def queue(self, source: str | None, size: int) -> "Queue":
+        if source in self.named:
+            w, n = self.named[source]
+            return Queue(self.dealt, [min(n, int(w * t)) for t in self.times])
+        return Queue([self.dealt[-1], self.total], [0, size])
+
+
+class Queue:
+    """A source's course: straight lines between knots (x tokens of all sources, own tokens)."""
+
+    def __init__(self, xs: list[int], own: list[int]):
+        self.xs, self.own = xs, own
+
+    def at(self, x: int) -> tuple[int, float]:
+        """The whole tokens that are dealt before x, and what is owed then (0 or less, above -1)."""
+        k = bisect_right(self.xs, x) - 1
+        if k < 0 or k == len(self.xs) - 1:
+            return self.own[max(k, 0)], 0.0
+        over, run = (x - self.xs[k]) * (self.own[k + 1] - self.own[k]), self.xs[k + 1] - self.xs[k]
+        return self.own[k] - (-over // run), -(-over % run) / run
+
+    def lane(self, place: int, size: int) -> int:
+        """The lane of ``size`` tokens to which the own token at ``place`` goes."""
+        k = bisect_right(self.own, place) - 1
+        lane = (self.xs[k] + (place - self.own[k]) * (self.xs[k + 1] - self.xs[k]) // (self.own[k + 1] - self.own[k])) // size
+        while self.at((lane + 1) * size)[0] <= place:
+            lane += 1
+        while self.at(lane * size)[0] > place:
+            lane -= 1
+        return lane
+
+
+def _deal(course: Course, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                ids, width = memoryview(row["ids"]), row["width"]
+                had = {x["source"]: x["tokens"] for x in row["before"]}
+                queues = {x["source"]: (course.queue(x["source"], x["size"]), x["ahead"] + had.get(x["source"], 0)) for x in row["queues"]}
+                places = {s: place for s, (_, place) in queues.items()}
+                until: dict = {}
+                now: dict = {}
+                out: dict = {}
+                first = 0
+                for doc_id, s, n in zip(row["doc_ids"], row["sources"], row["lengths"]):
+                    start = 0
+                    while start < n:
+                        place = places[s]
+                        if place >= until.get(s, 0):
+                            queue = queues[s][0]
+                            lane = queue.lane(place, size)
+                            until[s] = queue.at((lane + 1) * size)[0]
+                            now[s] = out[lane, s] = (place, queue.at(lane * size)[1], [], [], [], [], [])
+                        take = min(n - start, until[s] - place)
+                        for values, x in zip(now[s][2:], (doc_id, start, take, n, ids[width * (first + start):width * (first + start + take)])):
+                            values.append(x)
+                        start += take
+                        places[s] += take
+                    first += n
+                for (lane, s), (place, owed, doc_ids, starts, lengths, tokens, pieces) in out.items():
+                    own = [[lane], [s], [place], [owed], [doc_ids], [starts], [lengths], [tokens], [width], [b"".join(pieces)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(own, DEALT)], schema=DEALT)
+    return run
 
 
 def serve(lengths: dict, carried: dict, share: dict | None = None, length: int = LENGTH, burst: int = BURST) -> Iterator[list[tuple]]:
@@ -228,52 +304,63 @@ def _tail(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def _pack(length: int, burst: int, weighted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ids, base = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes()), ((row["part"] << 24) + row["lane"]) << 16
-                starts = np.concatenate(([0], np.cumsum(row["lengths"]))).tolist()
-                queues: dict = {}
-                for k, s in enumerate(row["sources"]):
-                    queues.setdefault(s, []).append(k)
-                own = {x["source"]: x for x in row["queues"]}
-                had = {x["source"]: x["tokens"] for x in row["before"]}
-                before = row["total"] + sum(had.values())
-                share = {s: own[s]["share"] for s in queues}
-                carried = {s: share[s] * before - own[s]["ahead"] - had.get(s, 0) for s in queues}
-                at = {s: [0, 0] for s in queues}  # the queue's document and the tokens of it that are gone
-                out: list[tuple] = []
-                sequence, filled, room = 0, 0, 0
-                sizes: list[int] = []
-                lengths = {s: sum(row["lengths"][k] for k in own_docs) for s, own_docs in queues.items()}
-                for window in serve(lengths, carried, share if weighted else None, length, burst):
-                    total = sum(n for _, n in window)
-                    sizes = [length] if total == length else _tail(total)
-                    room, filled = sizes.pop(0), 0
-                    for s, n in window:
-                        while n:
-                            place = at[s]
-                            k = queues[s][place[0]]
-                            take = min(n, row["lengths"][k] - place[1], room - filled)
-                            a = starts[k] + place[1]
-                            out.append((row["doc_ids"][k], s, place[1], take, row["lengths"][k], base + sequence, filled, bytes(ids[4 * a:4 * (a + take)])))
-                            place[1] += take
-                            filled += take
-                            n -= take
-                            if place[1] == row["lengths"][k]:
-                                place[0], place[1] = place[0] + 1, 0
-                            if filled == room:
-                                sequence, filled = sequence + 1, 0
-                                room = sizes.pop(0) if sizes else 0
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), PIECES)], schema=PIECES)
+def _pack(length: int, burst: int, weights: dict | None):
+    def run(lane: pa.Table) -> pa.Table:
+        rows = sorted(lane.to_pylist(), key=lambda r: (r["source"] is None, r["source"] or "", r["place"]))
+        base = rows[0]["lane"] << 24
+        queues: dict = {}  # of each source its pieces of documents: doc_id, start, length, doc_tokens, ids
+        carried: dict = {}
+        for row in rows:
+            ids, a = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes()), 0
+            carried.setdefault(row["source"], row["owed"])
+            own = queues.setdefault(row["source"], [])
+            for doc_id, start, n, tokens in zip(row["doc_ids"], row["starts"], row["lengths"], row["doc_tokens"]):
+                own.append((doc_id, start, n, tokens, ids[4 * a:4 * (a + n)]))
+                a += n
+        lengths = {s: sum(x[2] for x in own) for s, own in queues.items()}
+        share = None if weights is None else {s: weights.get(s, 0.0) for s in queues}
+        at = {s: [0, 0] for s in queues}  # the queue's piece and the tokens of it that are gone
+        out: list[tuple] = []
+        sequence = 0
+        for window in serve(lengths, carried, share, length, burst):
+            total = sum(n for _, n in window)
+            sizes = [length] if total == length else _tail(total)
+            room, filled = sizes.pop(0), 0
+            for s, n in window:
+                own, place = queues[s], at[s]
+                while n:
+                    doc_id, start, size, tokens, ids = own[place[0]]
+                    gone = place[1]
+                    take = min(n, size - gone, room - filled)
+                    out.append((doc_id, s, start + gone, take, tokens, base + sequence, filled, bytes(ids[4 * gone:4 * (gone + take)])))
+                    filled += take
+                    n -= take
+                    if gone + take == size:
+                        place[0], place[1] = place[0] + 1, 0
+                    else:
+                        place[1] = gone + take
+                    if filled == room:
+                        sequence, filled = sequence + 1, 0
+                        room = sizes.pop(0) if sizes else 0
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), PIECES)], schema=PIECES)
     return run
 
 
 def pack(docs: DataFrame, path: str | None = None, weights: dict | None = None, length: int = LENGTH, burst: int = BURST, end: int = END, lane: int = LANE) -> DataFrame:
     """doc_id, source, start, length, doc_tokens, sequence_id, offset and ids (unsigned 32-bit, little-endian) of every piece.
 
-    weights: target share of each source, any scale; sources that aren't named come only where others leave room."""
-    staged = stage(lanes(docs, path or tokenizer_path(), end, lane), "lanes")
-    starts = stage(_starts(staged, weights), "starts")
-    return staged.join(starts, "part").mapInArrow(_pack(length, burst, weights is not None), PIECES_DDL)
+    weights: target share of each source, any scale; sources that aren't named come when the others are used up.  The driver gets the sizes of the
+    sources that are named, and of all together."""
+    lane = max(1, lane // length) * length
+    staged = stage(chunks(docs, path or tokenizer_path(), end, lane), "chunks")
+    starts = stage(_starts(staged), "starts")
+    total = starts.agg(F.sum("tokens")).first()[0] or 0
+    named = None
+    if weights is not None:
+        known = F.lit(False)
+        for s in weights:
+            known = known | F.col("source").eqNullSafe(F.lit(s))
+        sizes = {r["source"]: r["size"] for r in starts.where(known).groupBy("source").agg(F.max("size").alias("size")).collect()}
+        named = {s: (w, sizes.get(s, 0)) for s, w in weights.items()}
+    dealt = staged.join(starts.groupBy("part").agg(F.collect_list(F.struct("source", "ahead", "size")).alias("queues")), "part").mapInArrow(_deal(Course(total, named), lane), DEALT_DDL)
+    return dealt.groupBy("lane").applyInArrow(_pack(length, burst, weights), PIECES_DDL)
