@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches, stage, worker_cache
+from .common import cut, objects, short_batches, stage, worker_cache
 
 LENGTH, END, LANE, BURST, CACHE = 4096, 2, 1_000_000, 32, 450_000
 TOKENIZER = "word_bpe_49k.json"
@@ -106,12 +106,12 @@ class WordTokenizer:
         if len(fits):
             parts = parts.take(pa.array(fits))
             stems, marks = pc.ascii_lower(parts.field("stem")).dictionary_encode(), parts.field("marks").dictionary_encode()
-            letters = pa.array(self._stems(stems.dictionary.to_pylist()), pa.binary()).take(stems.indices)
-            rest = pa.array(self._alone(marks.dictionary.to_pylist()), pa.binary()).take(marks.indices)
-            for i, x in zip(fits.tolist(), pc.binary_join_element_wise(letters, rest, b"").to_pylist()):
+            letters = pa.array(self._stems(objects(stems.dictionary)), pa.binary()).take(stems.indices)
+            rest = pa.array(self._alone(objects(marks.dictionary)), pa.binary()).take(marks.indices)
+            for i, x in zip(fits.tolist(), objects(pc.binary_join_element_wise(letters, rest, b""))):
                 out[i] = x
         left = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(left, self._alone(words.take(pa.array(left, pa.int64())).to_pylist())):
+        for i, x in zip(left, self._alone(objects(words.take(pa.array(left, pa.int64()))))):
             out[i] = x
         return out
 
@@ -119,7 +119,7 @@ class WordTokenizer:
         """The ids of all texts one after the other, and where each text's begin, with the end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        kinds, which, known = words.dictionary.to_pylist(), np.asarray(words.indices), self._words
+        kinds, which, known = objects(words.dictionary), np.asarray(words.indices), self._words
         own = list(map(known.get, kinds))
         new = [i for i, x in enumerate(own) if x is None]
         for i, x in zip(new, self._learn(words.dictionary.take(pa.array(new, pa.int64())))):
