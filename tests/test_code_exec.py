@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from ledgerlens.operators.code_exec import TOLD_MB, register_run_scripts, run_program
+from ledgerlens.operators.code_exec import TOLD_MB, Interpreter, register_run_scripts, run_program
 
 
 def timed(script, limit=1.0, **options):
@@ -63,3 +63,53 @@ def test_table_function(spark):
     assert (rows[1].rc, rows[1].stdout, rows[2].rc, rows[3].rc) == (0, "RESULTS: 1/1\n", None, 1) and "ZeroDivisionError" in rows[3].stderr
     with pytest.raises(Exception, match="a column script"):
         spark.sql("SELECT * FROM run_scripts(TABLE({t}))", t=df.drop("script")).collect()
+
+
+def test_programs_forked_from_one_interpreter():
+    """Programs come from one interpreter that is started once, and leave nothing for the next; it is replaced when a program ends it."""
+    import subprocess
+    import sys
+    one = Interpreter()
+    try:
+        run = lambda script, limit=5.0: run_program(script, limit, interpreter=one)
+        assert run("import math, builtins\nmath.pi = 3\nbuiltins.left = 1\nx = 2\nprint('RESULTS', math.pi)")[1] == "RESULTS 3\n"
+        first = one._process.pid
+        assert run("import math\nprint('RESULTS', math.pi > 3, 'left' in dir(__builtins__), 'x' in globals())")[1] == "RESULTS True False False\n"
+        assert run("while True: pass", 0.5) == (None, "", "", True)
+        assert run("import os\nos.kill(os.getpid(), 9)")[0] == -9
+        # as the interpreter started anew for a program does it
+        for script in ("raise ValueError('x')", "x = = 1", "def f():\n    1/0\nf()", "import sys\nsys.exit('bye')", "import atexit\natexit.register(lambda: print('ERROR late'))",
+                       "import os, sys\nprint('RESULTS', __name__, sorted(globals()), sys.argv, sys.path, sys.flags, dict(os.environ), sys.stdin.read(), sys.stdout.encoding, sys.getrecursionlimit())"):
+            own = subprocess.run([sys.executable, "-I", "-"], input=script, capture_output=True, text=True, env={})
+            told = "".join(x for x in own.stdout.splitlines(True) if x.startswith(("RESULTS", "FAILED", "ERROR")))
+            assert run(script) == (own.returncode, told, "".join(own.stderr.splitlines(True)[-3:]), False)
+        assert one._process.pid == first
+        with pytest.raises(ChildProcessError):
+            run("import os, time\nos.kill(os.getppid(), 9)\ntime.sleep(1)")
+        assert run("print('RESULTS again')")[1] == "RESULTS again\n" and one._process.pid != first
+    finally:
+        one.close()
+
+
+def test_programs_start_fast():
+    """A program that does little costs a fork, not the start of an interpreter (before: 20 ms or more of CPU time each)."""
+    import resource
+    from ledgerlens.functions.extract import SCRIPT_IMPORTS
+    used = lambda: sum(resource.getrusage(resource.RUSAGE_CHILDREN)[:2])
+    script, n = "\n".join(SCRIPT_IMPORTS) + "\nprint('RESULTS: 1/1')", 60
+
+    def many():
+        one, before = Interpreter(), used()
+        for _ in range(n):
+            assert run_program(script, 10, interpreter=one)[1] == "RESULTS: 1/1\n"
+        one._link.close()  # it ends by itself and its children's times count
+        one._process.wait()
+        one._process = None
+        return used() - before
+
+    def anew():
+        before = used()
+        for _ in range(n // 4):
+            run_program(script, 10)
+        return 4 * (used() - before)
+    assert many() < anew() / 2
