@@ -2,7 +2,8 @@
 
 Layout on shared storage (every path is a folder, written by Spark tasks):
 
-* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``run_id`` and ``arrival``;
+* ``<ledger>/rows``  — attempt rows, Parquet, partitioned by ``run_bucket`` (a hash of the run) and ``arrival``, within a file by run, so folders don't
+  grow with the runs; rows from before, partitioned by ``run_id`` and ``arrival``, are read with them;
 * ``<ledger>/header`` — one identity row per run (hash + components), in folders that a log of numbered
   entries names; an entry is made only if its number is free, so headers are added one opener after the other;
 * JSON-lines ledgers written by other tools are read with :func:`read_ledger_json`:
@@ -23,6 +24,8 @@ from ..operators import runs as RU
 from . import files
 from .lines import numbered_lines
 
+# Folders of an arrival's rows, at most.
+RUN_BUCKETS = 64
 # The run a file's lines belong to, in files and folders named <run>.jsonl.
 RUN_OF_FILE = r"([^/]+?)(?:\.jsonl)?(?:/part-[^/]*)?$"
 # Flag key of a JSON-lines ledger header (configurable per call).
@@ -85,12 +88,14 @@ def ledger_json_lines(ledger: DataFrame) -> DataFrame:
 
 
 def append_rows(ledger: DataFrame, path: str, arrival: str | None = None) -> None:
-    """Add attempt rows as an arrival of their own, partitioned by run so summaries prune per run.
+    """Add attempt rows as an arrival of their own, partitioned by a hash of the run and sorted by run, so that a run's rows are read from few files.
 
     An arrival that is written again (a repeated micro-batch) replaces itself, so rows are
     added once; arrivals of batches and of streams lie side by side."""
-    (ledger.withColumn("arrival", F.lit(arrival or f"append-{uuid.uuid4().hex}")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "arrival").parquet(f"{path.rstrip('/')}/rows"))
+    bucket = F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(RUN_BUCKETS)).cast("int")
+    rows = ledger.withColumns({"run_id": F.col("run_id").cast("string"), "run_bucket": bucket, "arrival": F.lit(arrival or f"append-{uuid.uuid4().hex}")})
+    (rows.sortWithinPartitions("run_bucket", "arrival", "run_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket", "arrival").parquet(f"{path.rstrip('/')}/rows"))
 
 
 def read_by_run(spark: SparkSession, path: str, *partitions: str, form: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -103,7 +108,18 @@ def read_by_run(spark: SparkSession, path: str, *partitions: str, form: str = "p
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    return read_by_run(spark, f"{path.rstrip('/')}/rows", "run_id", "arrival").drop("arrival")
+    base = f"{path.rstrip('/')}/rows"
+    folders = files.names(spark, base, folders=True)
+    own = [f"{base}/{n}" for n in folders if n.startswith("run_bucket=")]
+    older = [f"{base}/{n}" for n in folders if n.startswith("run_id=")]
+    if not own:
+        return read_by_run(spark, base, "run_id", "arrival").drop("arrival")
+    rows = spark.read.option("basePath", base).parquet(*own).drop("run_bucket", "arrival")
+    if older:
+        within = spark.read.option("recursiveFileLookup", True).parquet(*older).schema
+        named = T.StructType([*[f for f in within.fields if f.name not in ("run_id", "arrival")], T.StructField("run_id", T.StringType()), T.StructField("arrival", T.StringType())])
+        rows = rows.unionByName(spark.read.schema(named).option("basePath", base).parquet(*older).drop("arrival"), allowMissingColumns=True)
+    return rows
 
 
 HEADER = "run_id string, identity_hash string, identity map<string,string>"

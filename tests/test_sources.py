@@ -141,3 +141,14 @@ def test_two_openers_with_different_configurations(spark, tmp_path, monkeypatch)
     assert [r["run_id"] for r in LIO.read_headers(spark, path).collect()] == ["r"]
     LIO.open_ledger(spark, path, other)  # resumed: nothing is added
     assert len([n for n in (tmp_path / "header" / "log").iterdir()]) == 1 and len(list((tmp_path / "header").glob("data-*"))) == 1
+
+
+def test_folders_of_a_ledger_do_not_grow_with_its_runs(spark, tmp_path):
+    rows = spark.range(600).selectExpr("concat('r', id) run_id", "id seq")
+    old = rows.where("seq < 3").withColumn("run_id", F.format_string("0%s", F.col("seq").cast("string"))).withColumn("arrival", F.lit("append-0"))
+    old.write.partitionBy("run_id", "arrival").parquet(str(tmp_path / "rows"))  # as ledgers were before
+    LIO.append_rows(rows, str(tmp_path), "a")
+    LIO.append_rows(rows, str(tmp_path), "a")
+    assert len([p for p in (tmp_path / "rows").iterdir() if p.is_dir()]) <= LIO.RUN_BUCKETS + 3
+    got = sorted((r.run_id, r.seq) for r in LIO.read_rows(spark, str(tmp_path)).collect())
+    assert got == sorted([(f"r{i}", i) for i in range(600)] + [(f"0{i}", i) for i in range(3)])
