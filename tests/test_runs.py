@@ -144,3 +144,20 @@ def test_urls_without_scheme(spark):
             "//u:pw@host/v1": f"//{MASK}@host/v1", "https://h/p?max_tokens=5#f?token=x": "https://h/p?max_tokens=5#f?token=x", "a@b": "a@b"}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", redact_url("u").alias("r")).collect()
     assert {r.u: r.r for r in got} == urls
+
+
+def test_run_registry_is_spread_behind_its_join(spark):
+    """The joined rows are few bytes, and coalesced they would be one task's, however much is done per run."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.plans.fixtures import runs
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    was = [spark.conf.get(n, None) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        got = runs(spark, "/root/testdata/sf0.001").select("run_id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for n, x in zip(names, was):
+            spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
+    assert len(got) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in got) < sum(r["count"] for r in got) / 2
