@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import LOADER_HINT
 from ..operators import ledger as L
 from ..operators import scoring as S
-from ..session import checkpoint_path
+from ..session import checkpoint_path, spread
 from ..sources import ledger_io as LIO
 from ..sources.problems import read_problems
 from . import fixture_sql as Q
@@ -85,7 +85,8 @@ def s4_ledger_scan(spark, sf_dir):
     extra = spark.createDataFrame(
         [('{"%s": true, "identity_hash": "h"}' % LIO.HEADER_KEY,), ('{"run_id": "run0", broken',), ("not json",)],
         "value string")
-    _write_lines(LIO.ledger_json_lines(a.where(named)).unionByName(extra), f"{path}/mixed.jsonl")
+    # its lines are in no order; spread, as the events' scan has few tasks
+    _write_lines(LIO.ledger_json_lines(spread(a.where(named))).unionByName(extra), f"{path}/mixed.jsonl")
     for run in ("run2", "run3"):  # one ledger each; its lines name neither run nor place, their order does
         own = a.where(F.col("run_id") == run).repartitionByRange("seq").sortWithinPartitions("seq")
         _write_lines(LIO.ledger_json_lines(own.drop("run_id", "seq")), f"{path}/{run}.jsonl")

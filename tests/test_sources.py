@@ -152,3 +152,12 @@ def test_folders_of_a_ledger_do_not_grow_with_its_runs(spark, tmp_path):
     assert len([p for p in (tmp_path / "rows").iterdir() if p.is_dir()]) <= LIO.RUN_BUCKETS + 3
     got = sorted((r.run_id, r.seq) for r in LIO.read_rows(spark, str(tmp_path)).collect())
     assert got == sorted([(f"r{i}", i) for i in range(600)] + [(f"0{i}", i) for i in range(3)])
+
+
+def test_groups_of_lines_are_worked_out_once_a_block(spark, tmp_path):
+    from ledgerlens.sources.lines import numbered_lines
+    (tmp_path / "run7.jsonl").write_text("a\nb\n")
+    got = numbered_lines(spark, str(tmp_path / "run7.jsonl"), F.regexp_extract("file", LIO.RUN_OF_FILE, 1))
+    assert sorted((r.value, r.group, r.line) for r in got.collect()) == [("a", "run7", 1), ("b", "run7", 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1  # not in each row of both scans
