@@ -228,3 +228,33 @@ def test_two_writers_of_one_name(spark, tmp_path):
     files.remove(spark, path)
     assert files.names(spark, str(tmp_path / "none")) == [] and files.create(spark, path, "é")
     assert files.read_text(spark, path) == "é"
+
+
+def test_a_stream_without_gaps_between_triggers_is_stopped(spark, tmp_path):
+    import threading
+    import time
+    from types import SimpleNamespace
+    import pytest
+    from ledgerlens.streaming import completion as K
+    store = K.Store(spark, str(tmp_path / "out"), "chat", buckets=2)
+    batch = spark.createDataFrame([("r", 0, _lines(["a"])[0], 0, None, None, None)], f"{K.HELD.split(', first')[0]}, kind string, first_arrived long, last_arrived long")
+
+    class Busy:  # a query whose triggers follow each other at once
+        isActive, status, exception = True, {"isTriggerActive": True}, staticmethod(lambda: None)
+        lastProgress = property(lambda self: SimpleNamespace(batchId=store.version["batch"]))
+
+        def stop(self):
+            self.isActive = False
+
+    began, query = time.monotonic(), Busy()
+    store.version["total"] = 1
+    stopping = threading.Thread(target=K.run_until, args=(query, store, 1, 60))
+    stopping.start()
+    stopping.join(20)
+    query.isActive = False
+    assert not stopping.is_alive() and time.monotonic() - began < 20
+    with pytest.raises(RuntimeError, match="closed"):  # not taken, so it isn't lost either
+        store.add(batch, 0)
+    again = K.Store(spark, str(tmp_path / "out"), "chat", buckets=2)
+    again.add(batch, 0)
+    assert again.version["batch"] == 0
