@@ -4,8 +4,8 @@ A request is over a while (``grace``) after its end marker, so that lines that a
 of order are in, or when it has been silent longer than the read timeout.  The stream's
 output has two kinds of rows: every line, passed on as it comes and held nowhere, and one
 mark for each request that is over, with the first and last arrival of its lines.  State
-holds five numbers and flags a request and no line; before the shuffle each Arrow batch is
-reduced to one row per request, so a hot request costs its state's task a row a batch.
+holds five numbers and flags a request and no line; before the shuffle the lines of each task are
+reduced to one row per request, so a hot request costs its state's task a row a task.
 
 ``responses`` joins lines and marks and lets the batch fold (C1-C3) make the responses;
 batch and stream agree on every request, and there is one response per request.  Lines that
@@ -46,12 +46,30 @@ def _arrived():
     return F.unix_micros(F.current_timestamp()).alias("arrived")
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per request and Arrow batch; rows without a request id are one, too."""
+#: Rows that ``_combine`` holds.
+COMBINED = 1 << 18
+
+
+def _combine(batches: Iterator[pa.RecordBatch], most: int = COMBINED) -> Iterator[pa.RecordBatch]:
+    """One row per request and task (more where a task has over ``most`` / 2 requests); rows without a request id are one, too."""
+    held, n = [], 0
+
+    def reduced(parts):
+        got = pa.Table.from_batches(parts).group_by("request_id").aggregate([("ts", "max"), ("ends", "max"), ("arrived", "max")])
+        return got.select(["request_id", "ts_max", "ends_max", "arrived_max"]).rename_columns(parts[0].schema.names).combine_chunks().to_batches()
+
     for batch in batches:
         if batch.num_rows:
-            got = pa.Table.from_batches([batch]).group_by("request_id").aggregate([("ts", "max"), ("ends", "max"), ("arrived", "max")])
-            yield from got.select(["request_id", "ts_max", "ends_max", "arrived_max"]).rename_columns(batch.schema.names).combine_chunks().to_batches()
+            own = reduced([batch])
+            held, n = held + own, n + sum(x.num_rows for x in own)
+            if n > most:
+                held = reduced(held)
+                n = sum(x.num_rows for x in held)
+                if 2 * n > most:
+                    yield from held
+                    held, n = [], 0
+    if held:
+        yield from reduced(held)
 
 
 def _over(read_timeout_ms: int, grace_ms: int, marker_ms: int):

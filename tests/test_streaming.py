@@ -258,3 +258,44 @@ def test_a_stream_without_gaps_between_triggers_is_stopped(spark, tmp_path):
     again = K.Store(spark, str(tmp_path / "out"), "chat", buckets=2)
     again.add(batch, 0)
     assert again.version["batch"] == 0
+
+
+def test_a_task_hands_on_one_row_a_request_however_its_lines_are_dealt():
+    import pyarrow as pa
+    from ledgerlens.streaming import assemble as A
+
+    def batch(ids, ends, arrived):
+        return pa.record_batch({"request_id": pa.array(ids, pa.string()), "ts": pa.array([None] * len(ids), pa.timestamp("us")), "ends": ends, "arrived": arrived})
+
+    batches = [batch(["a", "b", None], [False, False, False], [1, 1, 1]), batch(["b", "a"], [True, False], [2, 2]), batch([], pa.array([], pa.bool_()), pa.array([], pa.int64())),
+               batch(["c", "a", None], [False, False, False], [3, 3, 3])]
+    want = {"a": (False, 3), "b": (True, 2), "c": (False, 3), None: (False, 3)}
+    rows = [r for b in A._combine(iter(batches)) for r in b.to_pylist()]
+    assert len(rows) == 4 and {r["request_id"]: (r["ends"], r["arrived"]) for r in rows} == want
+    # with less room there are more rows, which say the same
+    rows = [r for b in A._combine(iter(batches), 4) for r in b.to_pylist()]
+    assert {k: (any(r["ends"] for r in rows if r["request_id"] == k), max(r["arrived"] for r in rows if r["request_id"] == k)) for k in want} == want
+    assert list(A._combine(iter([]))) == []
+
+
+def test_a_stream_that_goes_on_is_not_given_up(spark, tmp_path):
+    import time
+    from types import SimpleNamespace
+    from ledgerlens.streaming import completion as K
+    store, began = K.Store(spark, str(tmp_path / "out"), "chat", buckets=2), time.monotonic()
+
+    class Query:  # a trigger with lines every half a second, the responses after three seconds
+        status, exception = {"isTriggerActive": True}, staticmethod(lambda: None)
+        lastProgress = property(lambda self: SimpleNamespace(batchId=store.version["batch"]))
+
+        @property
+        def isActive(self):
+            passed = time.monotonic() - began
+            store.version = {**store.version, "batch": int(passed * 2), "written": 1, "total": int(passed > 3)}
+            return passed < 20
+
+        def stop(self):
+            pass
+
+    K.run_until(Query(), store, 1, seconds=1.5)
+    assert store.version["total"] == 1
