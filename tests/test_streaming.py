@@ -299,3 +299,83 @@ def test_a_stream_that_goes_on_is_not_given_up(spark, tmp_path):
 
     K.run_until(Query(), store, 1, seconds=1.5)
     assert store.version["total"] == 1
+
+
+class _State:
+    """A handle whose states are kept in Python; ``calls`` counts the calls, each of which is a round trip in a stream."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, set(), {}
+
+    def _named(self, name):
+        from types import SimpleNamespace
+
+        def counted(f):
+            def call(*args):
+                self.calls += 1
+                return f(*args)
+            return call
+
+        return SimpleNamespace(get=counted(lambda: self.held.get(name, None if name == "next" else [])), put=counted(lambda x: self.held.update({name: list(x)})),
+                               update=counted(lambda x: self.held.update({name: x})), clear=counted(lambda: self.held.pop(name, None)),
+                               appendList=counted(lambda x: self.held.update({name: [*self.held.get(name, []), *x]})))
+
+    def getListState(self, name, schema, ttlDurationMs=None):
+        return self._named(name)
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        return self._named(name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_the_state_is_called_once_for_a_group_of_requests():
+    from types import SimpleNamespace
+    from ledgerlens.streaming import completion as K
+    handle, lives = _State(), K.Requests(read_timeout_ms=10_000, grace_ms=1_000, marker_ms=60_000, limit_ms=5_000)
+    lives.init(handle)
+
+    def trigger(now, rows=()):
+        times = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+        out = list(lives.handleInputRows((7,), iter([SimpleNamespace(request_id=r, ends=e, arrived=now) for r, e in rows]), times)) if rows else []
+        for at in sorted(t for t in handle.timers if t <= now):
+            out += lives.handleExpiredTimer((7,), times, SimpleNamespace(getExpiryTimeInMs=lambda: at))
+            handle.timers.discard(at)
+        return {r.request_id: (r.kind, r.first_arrived, r.last_arrived) for r in out}
+
+    assert trigger(100, [(f"open{i}", False) for i in range(500)]) == {} and handle.timers == {5_100}
+    assert trigger(200, [(f"ends{i}", i % 2 == 0) for i in range(400)]) == {} and handle.timers == {1_200, 5_100}
+    assert trigger(900, [("ends0", False), ("ends1", False), ("ends1", True)]) == {}
+    assert trigger(1_200) == {f"ends{i}": (K.ENDED, 200, 200) for i in range(2, 400, 2)}  # not ends0, which had a line since
+    assert trigger(1_900) == {"ends0": (K.ENDED, 200, 900), "ends1": (K.ENDED, 200, 900)}
+    assert trigger(2_000, [("ends0", False), ("open0", True)]) == {"ends0": (K.LATE, 2_000, 2_000)}
+    assert trigger(3_000) == {"open0": (K.ENDED, 100, 2_000)}
+    assert trigger(5_100, [("open1", False)]) == {"open1": (K.LIMIT, 100, 5_100)} | {f"open{i}": (K.LIMIT, 100, 100) for i in range(2, 500)}
+    assert trigger(5_200) == {f"ends{i}": (K.LIMIT, 200, 200) for i in range(3, 400, 2)}
+    assert "open" not in handle.held and not handle.timers and len(handle.held["over"]) == 900
+    assert handle.calls < 100
+
+
+def test_a_write_by_bucket_has_few_files_a_task(spark, tmp_path):
+    from ledgerlens.streaming import completion as K
+    own = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false"}
+    was = {name: spark.conf.get(name) for name in own}
+    x = _lines(["a"])[0]
+    rows = [(f"r{r}", s * 4096, x, 0, None, None, None) for r in range(64) for s in range(30)] + [("hot", s * 4096, x, 0, None, None, None) for s in range(200)]
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        store = K.Store(spark, str(tmp_path / "out"), "chat")
+        store.add(spark.createDataFrame(rows, "request_id string, seq long, line string, arrived long, kind string, first_arrived long, last_arrived long"), 0)
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)
+    files = list((tmp_path / "out" / "lines").rglob("*.parquet"))
+    assert 32 <= len(files) <= 4 * 32  # 32 tasks with a part of each of 32 buckets wrote several hundred
+    kept = store._lines(spark, store.version["buckets"], list(store.version["buckets"])).select("request_id", "seq").collect()
+    assert sorted((r[0], r[1]) for r in kept) == sorted((r[0], r[1]) for r in rows)
+    from pyspark.sql import functions as F
+    hot = spark.read.parquet(*map(str, files)).where("request_id = 'hot'").select(F.input_file_name()).distinct().count()
+    assert hot >= 2  # the slices of a hot request are still in several files
