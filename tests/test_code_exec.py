@@ -113,3 +113,71 @@ def test_programs_start_fast():
             run_program(script, 10)
         return 4 * (used() - before)
     assert many() < anew() / 2
+
+
+ENDS = {
+    "method": "class A:\n    def __del__(self): print('RESULTS', 'gone')\na = A()",
+    "method set late": "class A:\n    __slots__ = ()\nsetattr(A, '__de' + 'l__', lambda self: print('RESULTS gone'))\na = A()",
+    "in a cycle": "class A: pass\nsetattr(A, '__de' + 'l__', lambda self: print('RESULTS gone'))\na = A()\na.a = a\ndel a",
+    "in another module": "import collections\nclass A: pass\nsetattr(A, '__de' + 'l__', lambda self: print('RESULTS gone'))\ncollections.Counter.a = A()",
+    "of a metaclass": "class M(type): pass\nsetattr(M, '__de' + 'l__', lambda self: print('RESULTS gone'))\nclass A(metaclass=M): pass",
+    "in a frame": "class A: pass\nsetattr(A, '__de' + 'l__', lambda self: print('RESULTS gone'))\ndef f():\n    a = A()\n    raise SystemExit(3)\nf()",
+    "generator": "def g():\n    try:\n        yield 1\n    finally:\n        print('RESULTS end')\nx = g()\nnext(x)",
+    "coroutine": "async def g(): pass\nx = g()",
+    "file": "f = open(1, 'w', closefd=False)\nf.write('RESULTS late')\nprint('RESULTS first')",
+    "bytes": "import sys\nsys.stdout.buffer.write(b'RESULTS bytes')",
+    "weak reference": "import weakref\nclass A: pass\na = A()\nr = weakref.ref(a, lambda x: print('RESULTS gone'))",
+    "weak proxy": "import weakref\nclass A: pass\na = A()\nr = weakref.proxy(a, lambda x: print('RESULTS gone'))",
+    "finalizer": "import weakref\nclass A: pass\na = A()\nr = weakref.finalize(a, print, 'RESULTS gone')",
+    "at exit": "import atexit\natexit.register(print, 'RESULTS 1')\natexit.register(lambda: 1 / 0)\natexit.register(print, 'RESULTS 2')",
+    "thread": "import threading, time\nthreading.Thread(target=lambda: (time.sleep(.2), print('RESULTS thread'))).start()",
+    "low thread": "import _thread, time\n_thread.start_new_thread(lambda: (time.sleep(.2), print('RESULTS thread')), ())",
+    "pool": "from concurrent.futures import ThreadPoolExecutor\nimport time\nThreadPoolExecutor(2).submit(lambda: (time.sleep(.2), print('RESULTS pool')))",
+    "other output": "import io, sys\nsys.stdout = io.StringIO()\nprint('RESULTS lost')",
+    "closed output": "import sys\nprint('RESULTS x')\nsys.stdout.close()",
+    "closed pipe": "import os\nprint('RESULTS x')\nos.close(1)",
+    "child": "import os\nprint('RESULTS before')\nif os.fork() == 0:\n    print('RESULTS child')\nelse:\n    os.wait()",
+    "tracing": "import sys\nsys.settrace(lambda f, e, a: print('RESULTS', e, f.f_code.co_name))",
+    "auditing": "import sys\nsys.addaudithook(lambda e, a: print('RESULTS', e))",
+    "collector": "import gc\nprint('RESULTS', gc.get_freeze_count(), gc.isenabled())",
+    "metaclass that answers": "class M(type):\n    def __eq__(s, o): print('RESULTS eq')\n    def __hash__(s): print('RESULTS hash'); return 1\n"
+                              "    def __getattribute__(s, n): print('RESULTS get'); return type.__getattribute__(s, n)\nclass A(metaclass=M): pass\na = A()",
+    "uncaught": "def f():\n    raise KeyError('é')\nf()", "group": "raise ExceptionGroup('g', [ValueError(1)])", "no module": "import nosuch",
+    **{f"exit {x}": f"raise SystemExit({x})" for x in ("", "None", "True", "0", "255", "256", "-1", "2 ** 70", "'text'", "2.5")},
+    "own exit": "class E(SystemExit):\n    code = 7\nraise E()", "quit": "quit()", "many": "a = [[] for _ in range(300000)]"}
+
+
+def test_programs_end_as_in_an_interpreter_of_their_own():
+    import subprocess
+    import sys
+    one = Interpreter()
+    try:
+        for name, script in ENDS.items():
+            own = subprocess.run([sys.executable, "-I", "-"], input=script, capture_output=True, text=True, env={})
+            told = "".join(x for x in own.stdout.splitlines(True) if x.startswith(("RESULTS", "FAILED", "ERROR")))
+            said = "".join([x for x in own.stderr.splitlines(True) if x.strip()][-3:])
+            assert run_program(script, 10, interpreter=one) == (own.returncode, told, said, False), name
+    finally:
+        one.close()
+
+
+def _faults(script, n=20):
+    """Memory pages that a program touches, with those of its fork."""
+    import resource
+    used = lambda: resource.getrusage(resource.RUSAGE_CHILDREN).ru_minflt
+
+    def run(times):
+        one, before = Interpreter(), used()
+        for _ in range(times):
+            assert run_program(script, 10, interpreter=one)[0] in (0, 1)
+        one._link.close()
+        one._process.wait()
+        one._process = None
+        return used() - before
+    return (run(n + 1) - run(1)) / n
+
+
+@pytest.mark.parametrize("script", ["print('RESULTS: 1/1')", "import re, random, json\nclass A:\n    x = [1]\na = A()\nraise SystemExit(1)", "1 / 0"])
+def test_programs_end_fast(script):
+    """The interpreter isn't taken down behind a program that can't tell (before: as many pages as with one that can)."""
+    assert _faults(script) < _faults("class A:\n    def __del__(self): pass\na = A()\n" + script) * .6
