@@ -181,3 +181,13 @@ def _faults(script, n=20):
 def test_programs_end_fast(script):
     """The interpreter isn't taken down behind a program that can't tell (before: as many pages as with one that can)."""
     assert _faults(script) < _faults("class A:\n    def __del__(self): pass\na = A()\n" + script) * .6
+
+
+def test_table_function_runs_programs_in_many_tasks(spark):
+    """AQE made one task of u5's programs, as their scripts are small."""
+    from ledgerlens.plans.registry import entries
+    df = entries()["u5_table_function"].fn(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "run_scripts" in final and "coalesced" not in final and final.count("Exchange hashpartitioning") == 1
