@@ -183,13 +183,12 @@ def x9_run_tests(spark, sf_dir):
 @query("u5_table_function", oracle=X9_SQL)
 def u5_table_function(spark, sf_dir):
     """The same programs run from SQL by the table function, graded by the same columns."""
-    from ..operators.code_exec import register_run_scripts
+    from ..operators.code_exec import dealt, register_run_scripts
     r = responses(spark, sf_dir).withColumn("c", X.code_answer("code_response"))
     code, n = F.col("code"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = r.select("doc_id", F.col("c.answer").alias("code"), "tests").withColumn("script", F.when((F.length(code) > 0) & (F.size("tests") > 0), X.test_script("code", "tests")))
     register_run_scripts(spark)
-    # scripts are small: left to AQE, one or a few tasks would run them all; with n as the number, it is the only exchange by bucket
-    programs = r.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8 * n))).repartition(n, "bucket")
+    programs = dealt(r, ["doc_id"], n)  # scripts are small: left to AQE, one or a few tasks would run them all
     ran = spark.sql("SELECT * FROM run_scripts(TABLE({programs}) PARTITION BY bucket)", programs=programs)
     outcome = X.run_outcome("tests", "rc", "stdout", "stderr", F.coalesce(F.col("timed_out"), F.lit(False)), "5")
     g = ran.withColumn("g", X.code_grade("code", "tests", outcome))

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from ledgerlens.operators.code_exec import TOLD_MB, Interpreter, register_run_scripts, run_program
+from ledgerlens.operators.code_exec import TOLD_MB, Interpreter, dealt, register_run_scripts, run_program
 
 
 def timed(script, limit=1.0, **options):
@@ -191,3 +191,11 @@ def test_table_function_runs_programs_in_many_tasks(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert "run_scripts" in final and "coalesced" not in final and final.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 51])
+def test_programs_are_dealt_evenly(spark, n):
+    """One value of the bucket in each partition, and each with its share of the rows (before: from none to several of 8 n buckets)."""
+    from pyspark.sql import functions as F
+    rows = dealt(spark.range(400 * n), ["id"], n).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("bucket").alias("buckets"), F.count("*").alias("rows")).collect()
+    assert len(rows) == n and all(r.buckets == 1 and 300 < r.rows < 500 for r in rows)
